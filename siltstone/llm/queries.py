@@ -4,14 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_codec, packing, token_counts
+from siltstone.llm import bpe_codec, exact_dedup, packing, simhash, token_counts, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; digests of ids and bytes."""
     return bpe_codec.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), finish=bpe_codec.round_trip, out=bpe_codec.DIGEST)
@@ -22,10 +29,20 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal documents."""
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op3_bpe_codec": op3_bpe_codec, "op7_packing": op7_packing, "op8_token_counts": op8_token_counts}
-ORACLES: dict[str, str] = {}
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best inner products of every query vector."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op2_simhash, op3_bpe_codec, op6_exact_dedup, op7_packing, op8_token_counts, op9_topk)}
+ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE}
