@@ -6,13 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_codec, exact_dedup, packing, simhash, token_counts, topk
+from siltstone.llm import bpe_codec, exact_dedup, license_scan, packing, simhash, token_counts, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's url. A page's outcome is the label of its id: bad if of low quality or toxic."""
+    bad = F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)
+    outcomes = table(spark, sf_dir, "labels").filter("quality is not null or toxic is not null").select(F.col("doc_id").alias("page_id"), bad.alias("bad"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), outcomes).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -29,6 +36,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan every document for license phrases and notices."""
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -44,5 +56,5 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_bpe_codec, op6_exact_dedup, op7_packing, op8_token_counts, op9_topk)}
-ORACLES: dict[str, str] = {"op6_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe_codec, op4_license_scan, op6_exact_dedup, op7_packing, op8_token_counts, op9_topk)}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op4_license_scan": license_scan.oracle(), "op6_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE}
