@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_codec, exact_dedup, license_scan, packing, simhash, token_counts, topk, url_filter
+from siltstone.llm import bpe_codec, exact_dedup, langid, license_scan, packing, quality, simhash, token_counts, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,12 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document; the network is fitted on labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of equal documents."""
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
@@ -56,5 +62,11 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe_codec, op4_license_scan, op6_exact_dedup, op7_packing, op8_token_counts, op9_topk)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label every document; the model is fitted on rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.predict(docs, langid.fit(docs))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe_codec, op4_license_scan, op5_quality, op6_exact_dedup, op7_packing, op8_token_counts, op9_topk, op10_langid)}
 ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op4_license_scan": license_scan.oracle(), "op6_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE}
