@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "region_lines"
-QUERIES: dict = {}
-ORACLES: dict = {}
+from siltstone.plans.oracles import ORACLES
+from siltstone.plans.queries import QUERIES
+
+FLAGSHIP = "compaction_graded"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
