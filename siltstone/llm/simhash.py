@@ -114,7 +114,7 @@ def _large(shared: DataFrame) -> DataFrame:
     ones = free.select("mask_no", "fp", "free", F.explode(F.concat(F.array(F.lit(0).cast("long")), F.col("free"))).alias("one"))
     # flips of two bits: the second one above the first in the list's order; a first flip of 0 gives radius 0 and 1
     rest = F.when(F.col("one") == 0, F.array(F.lit(0).cast("long"))).otherwise(F.concat(F.array(F.lit(0).cast("long")), F.expr("slice(free, array_position(free, one) + 1, 64)")))
-    points = ones.select("mask_no", "fp", "one", F.explode(rest).alias("two")).select("mask_no", "fp", F.col("fp").bitwiseXOR("one").bitwiseXOR("two").alias("point"), (F.col("two") == 0).alias("close"))
+    points = ones.select("mask_no", "fp", "one", F.explode(rest).alias("two")).select("mask_no", "fp", F.col("fp").bitwiseXOR(F.col("one")).bitwiseXOR(F.col("two")).alias("point"), (F.col("two") == 0).alias("close"))
     named = materialise(points)
     middle = materialise(named.filter("close").groupBy("mask_no", "point").agg(F.min("fp").alias("b")))
     return named.join(middle, ["mask_no", "point"]).select(F.col("fp").alias("a"), "b").filter("a <> b").distinct()
