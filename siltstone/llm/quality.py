@@ -24,8 +24,8 @@ FILTERS = 16
 BLOCK = 32
 SAMPLE = 4_000
 SAMPLE_CHARS = 20_000
-CROP = 4_096
-EPOCHS = 5
+CROP = 3_072
+STEPS = 900
 THRESHOLD = 0.7
 _STEP = 1 << 15
 
@@ -77,34 +77,33 @@ def probability(net: Net, text: str) -> float:
     return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
-def train(texts: list[str], labels: list[int], *, seed: int = 7, epochs: int = EPOCHS, filters: int = FILTERS, batch: int = 32, rate: float = 0.02) -> Net:
-    """Fit by Adam on the log loss. Longer texts show one window of CROP characters an epoch, at a place of its own."""
+def train(texts: list[str], labels: list[int], *, seed: int = 7, steps: int = STEPS, filters: int = FILTERS, batch: int = 32, rate: float = 0.02) -> Net:
+    """Fit by ``steps`` of Adam on the log loss, however many rows there are. Longer texts show one window of CROP characters a time, each at a place of its own."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Net(constant=float(y[0]) if len(y) else 1.0)
     rng = np.random.default_rng(seed)
     p = {"filters": rng.normal(0, 0.25, (WIDTH, 256, filters)).astype(np.float32), "bias": np.zeros(filters, np.float32), "top": rng.normal(0, 0.1, 2 * filters), "offset": np.array([np.log(y.mean() / (1 - y.mean()))])}
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
-    step = 0
-    for epoch in range(epochs):
-        order = rng.permutation(len(y))
-        for at in range(0, len(order), batch):
-            g = {k: np.zeros(v.shape, dtype=np.float64) for k, v in p.items()}
-            net = Net(p["filters"], p["bias"], p["top"], float(p["offset"][0]))
-            group = order[at : at + batch]
-            for i in group:
-                t = texts[i]
-                if len(t) > CROP:
-                    k = int(rng.integers(0, len(t) - CROP + 1))
-                    t = t[k : k + CROP]
-                _gradient(net, _bytes(t), y[i], g)
-            step += 1
-            lr = rate * (0.5 ** (epoch / 2))
-            for k, v in p.items():
-                d = g[k] / len(group) + 1e-5 * v
-                m1[k] = 0.9 * m1[k] + 0.1 * d
-                m2[k] = 0.99 * m2[k] + 0.01 * d * d
-                p[k] = (v - lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(v.dtype)
+    order = np.zeros(0, dtype=np.int64)
+    for step in range(1, steps + 1):
+        while len(order) < batch:
+            order = np.concatenate([order, rng.permutation(len(y))])
+        group, order = order[:batch], order[batch:]
+        g = {k: np.zeros(v.shape, dtype=np.float64) for k, v in p.items()}
+        net = Net(p["filters"], p["bias"], p["top"], float(p["offset"][0]))
+        for i in group:
+            t = texts[i]
+            if len(t) > CROP:
+                k = int(rng.integers(0, len(t) - CROP + 1))
+                t = t[k : k + CROP]
+            _gradient(net, _bytes(t), y[i], g)
+        lr = rate * 0.04 ** (step / steps)
+        for k, v in p.items():
+            d = g[k] / batch + 1e-5 * v
+            m1[k] = 0.9 * m1[k] + 0.1 * d
+            m2[k] = 0.99 * m2[k] + 0.01 * d * d
+            p[k] = (v - lr * (m1[k] / (1 - 0.9**step)) / (np.sqrt(m2[k] / (1 - 0.99**step)) + 1e-6)).astype(v.dtype)
     return Net(p["filters"], p["bias"], p["top"], float(p["offset"][0]))
 
 
