@@ -61,3 +61,39 @@ def surface_text(messages: DataFrame, key: str = "conv_id", turn: str = "turn",
     """(key, surface): the visible context as one text a conversation."""
     row = F.struct(F.col(turn).alias("t"), F.concat(F.lit("["), F.col(role), F.lit("] "), F.coalesce(text, F.lit(""))).alias("s"))
     return messages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"]), "\n").alias("surface"))
+
+
+def message_tokens(content: Column) -> Column:
+    """A message's price: 4, and for each block 4 and its tokens (text; a call's name and arguments; other blocks their JSON)."""
+    from siltstone.functions.text import chars4
+
+    block = lambda b: F.when(b["type"].isin("text", "reasoning"), chars4(F.coalesce(b["text"], F.lit("")))).when(b["type"] == "tool-call", chars4(F.concat(F.coalesce(b["name"], F.lit("")), F.coalesce(b["arguments"], F.lit(""))))).otherwise(chars4(F.coalesce(b["raw_json"], F.lit(""))))
+    return F.coalesce(F.aggregate(content, F.lit(4).cast("long"), lambda acc, b: acc + 4 + block(b)), F.lit(4))
+
+
+def region_chars(messages: DataFrame, key: str = "conv_id", content: str = "content") -> DataFrame:
+    """(key, chars): length of all contents as JSON."""
+    return messages.groupBy(key).agg(F.sum(F.length(F.to_json(content))).alias("chars"))
+
+
+def history_text(events: DataFrame, key: str = "session_id", order: str = "seq") -> DataFrame:
+    """(key, history): every event with a text as a line ``type: text``, in order."""
+    row = F.struct(F.col(order).alias("o"), F.concat("type", F.lit(": "), "text").alias("s"))
+    return events.filter("text is not null").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"]), "\n").alias("history"))
+
+
+def purpose(requests: DataFrame, wanted: str = "compaction") -> DataFrame:
+    """Requests made for a purpose."""
+    return requests.filter(F.col("purpose") == wanted)
+
+
+def replay_input(heads: DataFrame, messages: DataFrame, regions: DataFrame) -> DataFrame:
+    """(session_id, at, role, text): each session's system head (at 0) and the messages of its region. regions: session_id, seq."""
+    inside = messages.join(regions, ["session_id", "seq"], "left_semi")
+    at = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")).cast("long")
+    return heads.select("session_id", F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), "text").unionByName(inside.select("session_id", at.alias("at"), "role", "text"))
+
+
+def filler(spark, count: int, topic: str) -> DataFrame:
+    """(line_no, line): numbered filler lines."""
+    return spark.range(count).select(F.col("id").alias("line_no"), F.format_string(f"[filler %d] {topic}: routine output line %d", F.col("id") + 1, F.col("id") + 1).alias("line"))

@@ -38,10 +38,13 @@ def pick_routes(tasks: DataFrame, routes: DataFrame) -> DataFrame:
 
     tasks: task, tokens, preferred_key, is_retry, splittable. The first tier with a fitting healthy route serves: the preferred one first, then declared
     order, or for retries larger windows first. A retry whose tier is healthy but too small asks for a split; other tasks go on to the
-    next tier. routes: key, tier_idx, pos, window, max_tokens, healthy: a pool's configuration, a few rows.
+    next tier. Optional columns of tasks: from_tier, the tier to start at, and rejected, keys that turned the task down. routes: key, tier_idx, pos,
+    window, max_tokens, healthy: a pool's configuration, a few rows.
     """
+    tasks = tasks if "from_tier" in tasks.columns else tasks.withColumn("from_tier", F.lit(0))
+    tasks = tasks if "rejected" in tasks.columns else tasks.withColumn("rejected", F.array().cast("array<string>"))
     fits = budget.capacity_fits(F.col("tokens"), F.col("window"), F.col("max_tokens"))
-    each = tasks.join(F.broadcast(routes.select("key", "tier_idx", "pos", "window", "max_tokens", "healthy")), F.lit(True)).withColumn("_fits", F.col("healthy") & fits)
+    each = tasks.join(F.broadcast(routes.select("key", "tier_idx", "pos", "window", "max_tokens", "healthy")), F.lit(True)).withColumn("healthy", F.col("healthy") & (F.col("tier_idx") >= F.col("from_tier")) & ~F.array_contains("rejected", F.col("key"))).withColumn("_fits", F.col("healthy") & fits)
     order = F.struct((F.col("key") != F.coalesce("preferred_key", F.lit(""))).alias("a"), F.when(F.col("is_retry"), -F.col("window")).otherwise(0).alias("b"), "pos")
     tiers = each.groupBy("task", "is_retry", "splittable", "tier_idx").agg(F.bool_or("healthy").alias("_any"), F.min_by("key", F.when(F.col("_fits"), order)).alias("key"))
     split = F.col("key").isNull() & F.col("is_retry") & F.col("splittable") & F.col("_any")

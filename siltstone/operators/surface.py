@@ -102,3 +102,42 @@ def derive_span(surface: DataFrame, replay: DataFrame) -> DataFrame:
     full = tries.groupBy("session_id", "offset").agg(F.count(F.lit(1)).alias("hits"), F.min_by("seq", "pos").alias("start_seq"), F.max_by("seq", "pos").alias("end_seq"))
     best = full.join(sizes, "session_id").filter("hits = n").groupBy("session_id").agg(F.min_by(F.struct("start_seq", "end_seq"), "offset").alias("s"))
     return best.select("session_id", "s.start_seq", "s.end_seq")
+
+
+def commit(events: DataFrame, regions: DataFrame) -> DataFrame:
+    """The events that land each region's checkpoint, after the session's last: a start, the summary, the replacing user message, an end.
+
+    events: session_id, seq; regions: session_id, covers (array of shadowed seqs, in order), summary, error. A region with an error lands only its start and an
+    end that carries the error. The message names the start, the summary and what it shadows as its sources.
+    """
+    last = events.groupBy("session_id").agg(F.max("seq").alias("_last"))
+    r = regions.join(last, "session_id")
+    null, none = F.lit(None).cast("string"), F.lit(None).cast("array<bigint>")
+    at = lambda k: F.col("_last") + k
+    row = lambda k, kind, op, covers, sources, text: F.struct(at(k).alias("seq"), F.lit(kind).alias("type"), op.alias("op"), covers.alias("covers"), sources.alias("source_seqs"), text.alias("text"))
+    sources = F.concat(F.array(at(1), at(2)), F.col("covers"))
+    good = F.array(row(1, "compaction/start", null, none, none, null), row(2, "compaction/summary", null, none, F.col("covers"), F.col("summary")), row(3, "user/message", F.lit("replace"), F.col("covers"), sources, F.col("summary")), row(4, "compaction/end", null, none, none, null))
+    bad = F.array(row(1, "compaction/start", null, none, none, null), row(2, "compaction/end", null, none, none, F.col("error")))
+    return r.select("session_id", F.explode(F.when(F.col("error").isNull(), good).otherwise(bad)).alias("e")).select("session_id", "e.*")
+
+
+def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(session_id, stable): whether a session's nodes have the same seqs and prices in the same order. Both: session_id, pos, seq, tokens."""
+    price = lambda df, name: df.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seq", "tokens"))).alias(name))
+    both = price(before, "b").join(price(after, "a"), "session_id", "full")
+    return both.select("session_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("stable"))
+
+
+def keep_right_range(nodes: DataFrame, keep: int) -> DataFrame:
+    """(session_id, start_pos, end_pos): all but the first node and the last ``keep``, the cut moved left to a border where calls are paired."""
+    sides = tool_balance(nodes).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
+    cut = F.greatest(F.lit(1), F.least(F.col("_n") - keep, F.col("_n") - 1))
+    best = sides.filter((F.col("pos") <= cut) & (F.col("pos") > 1) & F.col("balanced_before")).groupBy("session_id").agg(F.max("pos").alias("_to"))
+    return best.select("session_id", F.lit(1).cast("long").alias("start_pos"), (F.col("_to") - 1).alias("end_pos"))
+
+
+def delete_range(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """The control branch: nodes without those of their session's span."""
+    joined = nodes.join(spans, "session_id", "left")
+    gone = F.coalesce((F.col("pos") >= F.col("start_pos")) & (F.col("pos") <= F.col("end_pos")), F.lit(False))
+    return joined.filter(~gone).drop("start_pos", "end_pos")
