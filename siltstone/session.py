@@ -32,9 +32,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by materialise(), by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors."""
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors. release() removes such tables."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the tables that this application's operators have written; call it once their results are written. Returns how many."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return len(paths)

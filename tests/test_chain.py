@@ -97,3 +97,15 @@ def test_small_line_operators(spark):
     heads = spark.createDataFrame([(1, "sys")], "session_id long, text string")
     got = lines.replay_input(heads, events.withColumn("role", F.lit("user")), spark.createDataFrame([(1, 1)], "session_id long, seq long")).orderBy("at").collect()
     assert [(r.at, r.text) for r in got] == [(0, "sys"), (1, "two")]
+
+
+def test_release_removes_what_was_written(spark):
+    import os
+
+    from siltstone.session import materialise, release, shared_dir
+
+    release(spark)
+    folder = shared_dir(spark).removeprefix("file://")
+    before = len(os.listdir(folder)) if os.path.isdir(folder) else 0
+    assert materialise(spark.range(3)).count() == 3 and len(os.listdir(folder)) == before + 1
+    assert release(spark) == 1 and len(os.listdir(folder)) == before and release(spark) == 0
