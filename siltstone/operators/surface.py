@@ -49,15 +49,15 @@ def retention_range(nodes: DataFrame, retain: int) -> DataFrame:
     """
     balanced = tool_balance(nodes)
     suffix = F.sum("tokens").over(_w().rowsBetween(0, Window.unboundedFollowing))
-    marked = balanced.withColumn("_suffix", suffix)
-    ends = marked.groupBy("session_id").agg(
-        F.greatest(F.coalesce(F.max(F.when(F.col("_suffix") >= retain, F.col("pos"))), F.lit(0)), F.lit(0)).alias("_cut"),
-        F.max(F.when((F.col("pos") == 0) & F.col("is_system"), 1).otherwise(0)).alias("start_pos"),
-        F.max("pos").alias("_last"),
+    whole = Window.partitionBy("session_id")
+    marked = balanced.withColumn("_suffix", suffix).withColumns(
+        {
+            "_cut": F.coalesce(F.max(F.when(F.col("_suffix") >= retain, F.col("pos"))).over(whole), F.lit(0)),
+            "start_pos": F.max(F.when((F.col("pos") == 0) & F.col("is_system"), 1).otherwise(0)).over(whole),
+        }
     )
-    cut = marked.select("session_id", "pos", "balanced_before").join(ends, "session_id")
     best = F.max(F.when((F.col("pos") <= F.col("_cut")) & (F.col("pos") > F.col("start_pos")) & F.col("balanced_before"), F.col("pos")))
-    found = cut.groupBy("session_id", "start_pos").agg(best.alias("_to"))
+    found = marked.groupBy("session_id", "start_pos").agg(best.alias("_to"))
     return found.filter("_to is not null").select("session_id", F.col("start_pos").cast("long").alias("start_pos"), (F.col("_to") - 1).alias("end_pos"))
 
 

@@ -151,7 +151,8 @@ def split_halves(spark, sf_dir):
 
 
 def _chunk_lines(spark, sf_dir):
-    rows = stage0.run_stage0(noisy(spark, sf_dir), skeleton_depth=2, log_lines=3)
+    """The lines of every chunk of the cleaned documents; the clean lines are written once, as slicing and cutting both read them."""
+    rows = materialise(stage0.run_stage0(noisy(spark, sf_dir), skeleton_depth=2, log_lines=3))
     return chunks.chunk_text(rows, chunks.chunk_lines(rows, chunks.budgets_of(WINDOWS)))
 
 
@@ -177,9 +178,7 @@ def merge_material(spark, sf_dir):
 
 
 def _compacted(spark, sf_dir):
-    rows = stage0.run_stage0(noisy(spark, sf_dir), skeleton_depth=2, log_lines=3)
-    cut = chunks.chunk_text(rows, chunks.chunk_lines(rows, chunks.budgets_of(WINDOWS)))
-    return digests.merged(materialise(digests.persona_perfect(cut)))
+    return digests.merged(materialise(digests.persona_perfect(_chunk_lines(spark, sf_dir))))
 
 
 def compaction_graded(spark, sf_dir):
