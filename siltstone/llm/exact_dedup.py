@@ -7,7 +7,7 @@ Texts that differ although their hashes agree are grouped again by hash and text
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.llm.arrowmap import text_of
@@ -33,25 +33,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = normalised(text_of(text_col))
     hashed = docs.select(F.col(id_col).alias("_id"), text.alias("_text"))
-    rows = materialise(hashed.select("_id", hash_of(F.col("_text")).alias("_hash"), F.unhex(F.sha2("_text", 256)).alias("_sha")))
-    groups = materialise(rows.groupBy("_hash").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size")))
+    keyed = hashed.select("_id", hash_of(F.col("_text")).alias("_hash"), F.unhex(F.sha2("_text", 256)).alias("_sha"))
+    rows = materialise(keyed.groupBy("_id", "_hash", "_sha").agg(F.count(F.lit(1)).alias("_n")))
+    groups = materialise(rows.groupBy("_hash").agg(F.min("_id").alias("_keep"), F.sum("_n").alias("_size")))
     several = groups.filter("_size > 1").select("_hash", "_keep")
     members = materialise(hashed.select("_id", hash_of(F.col("_text")).alias("_hash"), "_text").join(several, "_hash"))
     firsts = members.filter(F.col("_id").eqNullSafe(F.col("_keep"))).groupBy("_hash").agg(F.min("_text").alias("_first"))
     other = materialise(members.join(materialise(firsts), "_hash").filter(F.col("_text") != F.col("_first")).select("_id", "_hash", "_text"))
     if other.isEmpty():
-        classed = rows.join(groups, "_hash").select("_id", "_hash", "_sha", "_keep", "_size")
+        classed = rows.join(groups, "_hash")
     else:
         apart = other.groupBy("_hash", "_text").agg(F.min("_id").alias("_keep"), F.count(F.lit(1)).alias("_size"))
         apart = materialise(apart.select("_hash", F.unhex(F.sha2("_text", 256)).alias("_sha"), "_keep", "_size"))
         fewer = apart.groupBy("_hash").agg(F.sum("_size").alias("_gone"))
         first = groups.join(fewer, "_hash", "left").select("_hash", "_keep", (F.col("_size") - F.coalesce("_gone", F.lit(0))).alias("_size"))
         same = rows.join(apart.select("_hash", "_sha"), ["_hash", "_sha"], "left_anti").join(first, "_hash")
-        columns = ["_id", "_hash", "_sha", "_keep", "_size"]
+        columns = ["_id", "_sha", "_n", "_keep", "_size"]
         classed = same.select(columns).unionByName(rows.join(apart, ["_hash", "_sha"]).select(columns))
-    again = F.row_number().over(Window.partitionBy("_hash", "_sha", "_id").orderBy("_hash"))
-    kept = F.col("_id").eqNullSafe(F.col("_keep")) & (again == 1)
-    return classed.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
+    each = classed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))))
+    kept = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_copy") == 1)
+    return each.select(F.col("_id").alias(id_col), F.col("_keep").alias("keep_id"), F.col("_size").alias("group_size"), kept.alias("kept"), F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
 ORACLE = r"""
