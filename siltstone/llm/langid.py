@@ -34,6 +34,7 @@ LENGTH = 64
 EPOCHS = 4
 SEGMENT = 256
 CACHE_WORDS = 1 << 18
+KNOWN_GRAMS = 1 << 17
 UNKNOWN = "und"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -55,12 +56,28 @@ def words(text: str) -> list[str]:
     return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
+class _Grams(dict):
+    """Feature numbers of character n-grams; the first KNOWN_GRAMS that come are remembered."""
+
+    def __missing__(self, gram: str) -> int:
+        number = zlib.crc32(gram.encode("utf-8", "surrogatepass")) % FEATURES
+        if len(self) < KNOWN_GRAMS:
+            self[gram] = number
+        return number
+
+
+_GRAMS = _Grams()
+
+
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
-    """Feature numbers of a word: affixes of one to three characters, n-grams of two and three, and its place in the lexicon."""
+    """Feature numbers of a word: n-grams of two and three characters with its ends marked, affixes of up to three (the ends' n-grams and the outer four), and its place in the lexicon."""
     w = f"^{word[:40]}$"
-    found = {f"p{word[:n]}" for n in (1, 2, 3)} | {f"s{word[-n:]}" for n in (1, 2, 3)} | {w[k : k + 2] for k in range(len(w) - 1)} | {w[k : k + 3] for k in range(len(w) - 2)}
-    out = [zlib.crc32(x.encode("utf-8", "surrogatepass")) % FEATURES for x in found]
-    return [*out, lexicon[word]] if word in lexicon else out
+    found = {w[:4], w[-4:]}
+    found.update([w[k : k + 2] for k in range(len(w) - 1)], [w[k : k + 3] for k in range(len(w) - 2)])
+    out = [_GRAMS[x] for x in found]
+    if word in lexicon:
+        out.append(lexicon[word])
+    return out
 
 
 def _flat(found: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +255,7 @@ class Labeller:
             self.cache.update(zip(fresh, range(at, at + len(fresh)), strict=True))
         get = self.cache.__getitem__
         total = sum(map(len, groups))
-        return self.table[np.fromiter((get(w) for g in groups for w in g), dtype=np.int64, count=total)]
+        return self.table[np.fromiter(map(get, chain.from_iterable(groups)), dtype=np.int64, count=total)]
 
     def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, score) of each text; und with score 0 without a letter, or if no language was learned."""
