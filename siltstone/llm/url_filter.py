@@ -2,8 +2,9 @@
 
 Labelled page outcomes (bad or not) are summed by host, registered domain and suffix. Each level's beta-binomial prior strength is fitted to the
 spread between its members by the method of moments; the suffix's rate is shrunk towards that of all pages, the domain's towards its
-suffix's and the host's towards its domain's. A page is blocked if the lower bound of its host's posterior bad rate exceeds the
-threshold. The longest fitting rule goes first. All of it is DataFrame operations; only the three strengths reach the driver.
+suffix's and the host's towards its domain's. A host without labelled pages has the prior of the nearest level that has some. A page is
+blocked if the lower bound of its host's posterior bad rate exceeds the threshold. The longest fitting rule goes first. All of it is DataFrame
+operations; only the three strengths and the overall rate reach the driver. The oracle SQL has no bound for hosts without labelled pages.
 """
 
 from __future__ import annotations
@@ -65,10 +66,12 @@ def _strength(level: DataFrame) -> float:
     return min(MOST_STRENGTH, max(LEAST_STRENGTH, 1 / rho - 1)) if rho > 0 else MOST_STRENGTH
 
 
-def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str = "bad", *, z: float = Z) -> DataFrame:
-    """(host, n, bad_rate, lower): posterior mean and lower bound of each labelled host's bad rate.
+def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str = "bad", *, z: float = Z, others: DataFrame | None = None) -> DataFrame:
+    """(host, n, bad_rate, lower): posterior mean and lower bound of each labelled host's bad rate, and of the other hosts in others.
 
-    outcomes has a row per labelled page; null outcomes and null hosts take no part. An empty table gives an empty result.
+    outcomes has a row per labelled page; null outcomes and null hosts take no part. others (column host) may repeat hosts. Those without labelled
+    pages have n 0 and the posterior of no outcomes: the rate of their domain, else of their suffix, else of all pages, with the strength that the level
+    below is shrunk to it by. Without any labelled page the result is empty.
     """
     rows = outcomes.select(F.col(host_col).alias("host"), F.col(bad_col).cast("long").alias("bad")).filter("host is not null and bad is not null")
     hosts = materialise(rows.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum("bad").alias("k")).withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
@@ -82,24 +85,31 @@ def host_reputation(outcomes: DataFrame, host_col: str = "host", bad_col: str =
         s = _strength(level)
         return level.withColumn("rate", (F.col("m") * s + F.col("k")) / (F.col("n") + s)), s
 
-    by_suffix, _ = shrunk(suffixes.withColumn("m", F.lit(overall)))
-    by_domain, _ = shrunk(domains.join(by_suffix.select("suffix", F.col("rate").alias("m")), "suffix"))
-    by_host, s = shrunk(hosts.join(by_domain.select("domain", "suffix", F.col("rate").alias("m")), ["domain", "suffix"]))
-    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + s + 1))
-    return by_host.select("host", "n", F.col("rate").alias("bad_rate"), F.greatest(F.lit(0.0), F.col("rate") - z * deviation).alias("lower"))
+    by_suffix, s_suffix = shrunk(suffixes.withColumn("m", F.lit(overall)))
+    by_domain, s_domain = shrunk(domains.join(by_suffix.select("suffix", F.col("rate").alias("m")), "suffix"))
+    by_host, s_host = shrunk(hosts.join(by_domain.select("domain", "suffix", F.col("rate").alias("m")), ["domain", "suffix"]))
+    found = by_host.select("host", "n", "rate", F.lit(s_host).alias("s"))
+    if others is not None and n:
+        fresh = others.select("host").filter("host is not null").distinct().join(hosts.select("host"), "host", "left_anti")
+        fresh = materialise(fresh.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}))
+        near = fresh.join(by_domain.select("domain", "suffix", F.col("rate").alias("_domain")), ["domain", "suffix"], "left").join(by_suffix.select("suffix", F.col("rate").alias("_suffix")), "suffix", "left")
+        strength = F.when(F.col("_domain").isNotNull(), s_host).when(F.col("_suffix").isNotNull(), s_domain).otherwise(s_suffix)
+        found = found.unionByName(near.select("host", F.lit(0).cast("long").alias("n"), F.coalesce("_domain", "_suffix", F.lit(overall)).alias("rate"), strength.alias("s")))
+    deviation = F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n") + F.col("s") + 1))
+    return found.select("host", "n", F.col("rate").alias("bad_rate"), F.greatest(F.lit(0.0), F.col("rate") - z * deviation).alias("lower"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, id_col: str = "page_id", url_col: str = "url", *, rules=RULES, threshold: float = THRESHOLD, z: float = Z) -> DataFrame:
     """(id_col, host, path, rule, verdict, bad_rate, lower), one row per page.
 
     outcomes: (id_col, bad 0/1), labelled pages, a label per page at most counted as often as it occurs. Null urls and those without ://
-    have an empty host and path; a host without labelled pages is allowed by the method (null rate and bound). Rows that repeat
-    stay. Only id and url are read. An empty table gives an empty result.
+    have an empty host and path; a host without labelled pages is judged by its domain, suffix or all pages. Without any labelled page
+    the method allows all (null rate and bound). Rows that repeat stay. Only id and url are read. An empty table gives an empty result.
     """
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path"))
     labelled = rows.select("_id", "host").join(outcomes.select(F.col(id_col).alias("_id"), F.col("bad")), "_id")
-    known = materialise(host_reputation(labelled, "host", "bad", z=z))
+    known = materialise(host_reputation(labelled, "host", "bad", z=z, others=rows))
     ruled = rows.withColumn("_rule", rule_column(F.col("host"), F.col("path"), rules))
     joined = ruled.join(known, "host", "left")
     method = F.when(F.col("lower") > threshold, "block").otherwise("allow")

@@ -52,6 +52,27 @@ def test_reputation_shrinks_and_blocks(spark):
     assert all(0 <= r.lower <= r.bad_rate <= 1 for r in got.values())
 
 
+def test_hosts_without_labels_have_their_domains_reputation(spark):
+    pages, outcomes, n = [], [], 0
+    for domain, hosts, bad in [("spam.com", 10, 1.0), ("fine.com", 10, 0.0), ("dirt.net", 10, 1.0), ("mud.net", 10, 0.9), ("ok.org", 20, 0.0)]:
+        for k in range(hosts * 10):
+            pages.append((n, f"http://h{k % hosts}.{domain}/x"))
+            outcomes.append((n, int(k < bad * hosts * 10)))
+            n += 1
+    fresh = ["new.spam.com", "new.fine.com", "new.ok.org", "a.unseen.net", "a.unseen.org", "b.other.xyz"]
+    pages += [(n + k, f"http://{h}/x") for k, h in enumerate(fresh)] + [(n + 9, "http://new.spam.com/y"), (None, None)]
+    df, out = spark.createDataFrame(pages, "page_id long, url string"), spark.createDataFrame(outcomes, "page_id long, bad int")
+    rows = url_filter.judge(df, out).collect()
+    got = {r.host: r for r in rows}
+    assert len(rows) == len(pages) and [r.verdict for r in rows if r.host == "new.spam.com"] == ["block"] * 2
+    assert got["new.fine.com"].verdict == got["new.ok.org"].verdict == "allow" and got["new.spam.com"].bad_rate > 0.8
+    assert got["new.fine.com"].bad_rate < got["b.other.xyz"].bad_rate < got["a.unseen.net"].bad_rate and got["a.unseen.org"].bad_rate < got["b.other.xyz"].bad_rate
+    overall = (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 1)
+    assert got["b.other.xyz"].bad_rate == got[""].bad_rate == pytest.approx(overall) and all(0 <= r.lower <= r.bad_rate <= 1 for r in rows)
+    none = url_filter.judge(df, out.limit(0)).collect()
+    assert {(r.verdict, r.bad_rate, r.lower) for r in none} == {("allow", None, None)}
+
+
 def test_license_places_and_odd_rows(spark):
     texts = [None, "", "!!!", "CC BY", "cc by, CC-BY; cc\nby", "cc bye", "The General  Public--License and ALL RIGHTS reserved.", "general public é license", "all rights", "x " * 5000 + "all rights reserved", "cc by " * 2000]
     df = spark.createDataFrame([(k, t, "x") for k, t in enumerate(texts)] + [(3, "CC BY", "x"), (None, "cc by", "x")], "doc_id long, text string, words string")
