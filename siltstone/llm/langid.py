@@ -1,5 +1,6 @@
 """Language identification by a linear-chain conditional random field over words.
 
+A word is a run of letters; a run of more than WORD letters, as scripts without spaces have, is that many words of nearly equal length.
 Each word has affix, character n-gram and lexicon features (hashed); their weights give its emission for each language, and learned
 transitions tie neighbouring words, so switches inside a text are followed. Forward-backward gives each word's posterior; a
 text's language is the one with the largest share of posterior, which is its score. The model is fitted on the driver on a bounded sample,
@@ -33,6 +34,7 @@ SAMPLE_WORDS = 300
 LENGTH = 64
 EPOCHS = 4
 SEGMENT = 256
+WORD = 40
 CACHE_WORDS = 1 << 18
 KNOWN_GRAMS = 1 << 17
 UNKNOWN = "und"
@@ -50,9 +52,17 @@ class Model:
     lexicon: dict[str, int]
 
 
+def _pieces(run: str) -> list[str]:
+    """The run in as few pieces as WORD allows, of lengths that differ by one at most."""
+    n = -(-len(run) // WORD)
+    return [run[len(run) * k // n : len(run) * (k + 1) // n] for k in range(n)]
+
+
 def words(text: str) -> list[str]:
-    """Runs of letters, lower-cased; runs without any letter are no words."""
+    """Runs of letters, lower-cased, long ones in consecutive pieces of at most WORD letters; pieces without any letter are no words."""
     found = _WORD.findall(text.lower())
+    if max(map(len, found), default=0) > WORD:
+        found = list(chain.from_iterable(map(_pieces, found)))
     return found if all(map(str.isalpha, found)) else [w for w in found if any(map(str.isalpha, w))]
 
 
@@ -71,7 +81,7 @@ _GRAMS = _Grams()
 
 def features(word: str, lexicon: dict[str, int]) -> list[int]:
     """Feature numbers of a word: n-grams of two and three characters with its ends marked, affixes of up to three (the ends' n-grams and the outer four), and its place in the lexicon."""
-    w = f"^{word[:40]}$"
+    w = f"^{word}$"
     found = {w[:4], w[-4:]}
     found.update([w[k : k + 2] for k in range(len(w) - 1)], [w[k : k + 3] for k in range(len(w) - 2)])
     out = [_GRAMS[x] for x in found]

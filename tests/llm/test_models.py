@@ -98,6 +98,20 @@ def test_languages_odd_rows(spark, model):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_long_runs_count_whole(model):
+    """Runs of letters without spaces: all of a run is words, and its language is not that of its first letters."""
+    en, de = "thethatwiththisfromandofhave", "derdienichtsichmitauchundeineswird"
+    run = en[:40] + de * 100
+    assert "".join(langid.words(run)) == run and max(map(len, langid.words(run))) <= langid.WORD
+    assert [len(w) for w in langid.words("a" * 41 + " " + "b" * 40)] == [20, 21, 40]
+    labeller = langid.Labeller(model)
+    assert labeller.label([run])[0][0] == labeller.label([de * 100])[0][0] == "de" and labeller.label([en * 100])[0][0] == "en"
+    half = [x for _, x in labeller.spans(en * 60 + de * 50)]
+    assert half[0] == "en" and half[-1] == "de" and abs(half.count("de") / len(half) - 0.5) < 0.2
+    tail = langid.features("x" * 50 + "schaft", {})
+    assert langid._GRAMS["aft$"] in tail
+
+
 def test_posteriors_are_exact():
     """Forward-backward, in one piece and in segments, against a sum over all label sequences."""
     rng = np.random.default_rng(3)
