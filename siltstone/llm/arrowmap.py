@@ -17,6 +17,13 @@ def text_of(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def windows(text: Column, chars: int, count: int = 5) -> Column:
+    """A text of at most ``chars`` characters as it is; of a longer one ``count`` windows of like length from its first character to its last, a line each, about ``chars`` in all."""
+    size, width = F.length(text), chars // count
+    at = [F.floor((size - width) * k / (count - 1)).cast("int") + 1 for k in range(count)]
+    return F.when(size <= chars, text).otherwise(F.concat_ws("\n", *[F.substring(text, k, F.lit(width)) for k in at]))
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowmap import map_rows, plain
+from siltstone.llm.arrowmap import map_rows, plain, windows
 from siltstone.llm.bpe import batches
 from siltstone.session import ship
 
@@ -300,13 +300,13 @@ def held_out(id_col: str, parts: int = 3, part: int = 1):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """The model, from at most ``rows`` texts of at most ``chars`` characters that are not held out, by a hash of the id."""
-    usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= chars))
+    """The model, from at most ``rows`` texts, of any length, that are not held out, by a hash of the id; texts over ``chars`` characters as windows over all of them."""
+    usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = [r["_id"] for r in usable.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()]
     if not ids:
         return train([], [])
     chosen = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], T.StructType([plain("_id", docs.schema[id_col].dataType)]))
-    got = usable.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(chosen), "_id")
+    got = usable.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(chosen), "_id").select("_id", windows(F.col("_text"), chars).alias("_text"), "_lang")
     got = sorted((r["_id"], r["_text"], r["_lang"]) for r in got.limit(2 * rows).collect())
     return train([t for _, t, _ in got], [x for _, _, x in got])
 

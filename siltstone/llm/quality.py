@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowmap import map_rows, plain, text_of
+from siltstone.llm.arrowmap import map_rows, plain, text_of, windows
 from siltstone.session import ship
 
 WIDTH = 5
@@ -138,7 +138,7 @@ def _gradient(net: Net, x: np.ndarray, y: float, g: dict) -> None:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts of at most ``chars`` characters, by a hash of the id; held-out ids are left to the caller."""
+    """At most ``rows`` labelled texts, of any length, by a hash of the id, those over ``chars`` characters as windows over all of them; held-out ids are left to the caller."""
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     ids = [r["_id"] for r in known.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()]
     if not ids:
@@ -146,7 +146,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([plain("_id", labels.schema[id_col].dataType)]))
     wanted = known.join(F.broadcast(chosen), "_id")
     wanted = docs.sparkSession.createDataFrame(wanted.collect(), wanted.schema)
-    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).filter(F.length("_text") <= chars).join(F.broadcast(wanted), "_id")
+    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(wanted), "_id").select("_id", windows(F.col("_text"), chars).alias("_text"), "_y")
     got = sorted((r["_id"], r["_text"], int(r["_y"])) for r in found.limit(2 * rows).collect())
     return [t for _, t, _ in got], [y for _, _, y in got]
 

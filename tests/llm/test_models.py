@@ -98,6 +98,28 @@ def test_languages_odd_rows(spark, model):
     assert {r.lang_pred for r in langid.predict(df, none).collect()} == {"und"}
 
 
+def test_models_learn_from_long_texts_alone(spark):
+    """All labelled texts are longer than the sample's bound, and what tells them apart is not at their start."""
+    rng = random.Random(6)
+    kinds = {1: "good clear words about stones and rivers".split(), 0: "zzxq qqzx xxqz zqxz".split()}
+    rows, labels = [], []
+    for k in range(60):
+        y = k % 2
+        text = "same " * 1000 + " ".join(rng.choice(kinds[y]) for _ in range(9_000))
+        assert len(text) > quality.SAMPLE_CHARS
+        rows.append((k, text, "xx" if y else "yy"))
+        labels.append((k, y))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    marked = spark.createDataFrame(labels, "doc_id long, quality int")
+    texts, ys = quality.sample(docs, marked)
+    assert len(texts) == 60 and sum(ys) == 30 and all(len(t) <= quality.SAMPLE_CHARS + 4 for t in texts)
+    assert all(t.splitlines()[0] == rows[0][1][:4000] and any(t.endswith(r[1][-4000:]) for r in rows) for t in texts)
+    found = {r.doc_id: r.predicted for r in quality.score(docs, quality.fit(docs, marked)).collect()}
+    assert np.mean([found[k] == y for k, y in labels]) > 0.9
+    found = {r.doc_id: r.lang_pred for r in langid.predict(docs, langid.fit(docs)).collect()}
+    assert np.mean([found[k] == lang for k, _, lang in rows]) > 0.9
+
+
 def test_long_runs_count_whole(model):
     """Runs of letters without spaces: all of a run is words, and its language is not that of its first letters."""
     en, de = "thethatwiththisfromandofhave", "derdienichtsichmitauchundeineswird"
