@@ -1,7 +1,7 @@
 """A training corpus from documents: quality, language, exact and near duplicates, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents. Rows that share an
-id are one document, of which the near-duplicate stage keeps all rows or none; rows without an id likewise.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents. The duplicate
+stages decide by row, not by id: rows that share an id, or have none, stand for themselves.
 """
 
 from __future__ import annotations
@@ -53,9 +53,19 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest id."""
-    found = simhash.near_duplicates(docs)
-    return _keep(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")))
+    """One document of each near-duplicate group, the one with the smallest id; of several with that id the one with the least hash. Null ids sort last."""
+    sha = F.sha2(text_of("text"), 256)
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), sha.alias("sha"))
+    keyed = docs.withColumn("_row", row)
+    found = materialise(simhash.near_duplicates(keyed, "_row"))
+    kept = found.filter(F.col("_row") == F.col("component_id")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
+    kept = materialise(kept.select(F.col("_row.id").alias("_id"), F.col("_row.sha").alias("_sha"), "_n"))
+    shas = docs.withColumn("_text_sha", sha)
+    rows = shas.join(kept.hint("shuffle_hash"), shas["doc_id"].eqNullSafe(kept["_id"]) & (shas["_text_sha"] == kept["_sha"]), "left_semi")
+    if kept.filter("_n > 1").isEmpty():
+        return rows.select(*docs.columns)
+    # of rows that repeat in id and text one stays
+    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_text_sha").orderBy("_text_sha"))).filter("_k = 1").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,6 +200,20 @@ def test_pipeline_is_its_parts(spark, sf, net):
         assert sum(n for _, n in parts) <= packing.CAPACITY and [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
 
 
+def test_near_copies_go_by_row(spark, sf):
+    """Null and repeated ids: one row of each group stays, and what has the same id in another group is decided for itself."""
+    rng = random.Random(3)
+    a, b, c = (" ".join(f"{x}{rng.randrange(99)}" for _ in range(60)) for x in "abc")
+    rows = [(None, a), (None, a.upper()), (None, a + "\n"), (1, b), (None, b.upper()), (2, b.title()), (2, c), (2, c.upper()), (None, None), (None, ""), (7, c + " "), (5, a.title()), (5, a.title())]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, (r.text or "").lower().strip()) for r in kept.collect()), key=repr)
+    assert got == sorted([(5, a), (1, b), (2, c), (None, "")], key=repr)
+    without = corpus_pipeline.drop_near_copies(spark, docs.filter("doc_id is null"), sf).collect()
+    assert sorted((r.text or "").lower().strip() for r in without) == sorted([a, b, ""])
+
+
 def test_pipeline_stages_take_odd_rows(spark, sf):
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "of the and that this with from", "en", "s", 1), (3, "of the and that this with from", "en", "s", 1), (3, "of the and that this is other", "en", "s", 1), (None, "of the and with that", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
