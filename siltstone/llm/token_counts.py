@@ -3,8 +3,9 @@
 Tier one is a compact hash table of the corpus's frequent words and their token counts, broadcast to the workers;
 its size is bounded by ``table_words``. Tier two is each worker's bounded cache, filled from the words that tier one
 lacks. Texts never move: the counting pass is a map. The frequent words come from a pass over all documents
-in which each task keeps a bounded summary (lossy counting: a word more frequent than ``1/width`` of the task's
-words is never lost); only those summaries are exchanged.
+in which each task keeps a bounded summary (lossy counting) and reports the ``task_words`` best words of it; only these are
+exchanged. The table is thus approximate: words below that rank in a task lack its count, and few partitions do not fill it. Token
+counts are exact whatever it holds.
 """
 
 from __future__ import annotations
@@ -45,7 +46,10 @@ def _summary(texts, width: int) -> Counter:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", *, table_words: int = TABLE_WORDS, width: int = WIDTH, task_words: int = TASK_WORDS) -> DataFrame:
-    """(word, n): the most frequent words over all documents, ``table_words`` of them; ties to the smaller word."""
+    """(word, n): about the most frequent words over all documents, at most ``table_words`` of them; ties to the smaller word.
+
+    n sums what the tasks report, ``task_words`` words each, so it may be low, and a frequent word that is among no task's best is missing.
+    """
     schema = T.StructType([plain("word", T.StringType()), plain("n", T.LongType())])
     ship(docs.sparkSession)
 
