@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
@@ -12,11 +13,18 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
+#: Bytes of an Arrow batch on its way to a Python worker, where the session sets no bound of its own.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver imported it.
+    """Let Python workers import this package from where the driver imported it, and bound the batches that they get.
 
     On a cluster the package is installed or sent with --py-files; the extra path is then harmless.
     """
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
@@ -24,31 +32,67 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A local session without the setting gets a folder of its own; a cluster without it is refused, as its machines share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")  # only a local session comes without the setting
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="siltstone-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-#: Tables written by materialise(), by application.
+#: Tables written by materialise(), by application; and the scratch() blocks that each thread is in.
 _WRITTEN: dict[str, list[str]] = {}
+_OPEN = threading.local()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors. release() removes such tables."""
+    """Write df as a table in the shared folder and read it back: cuts lineage and survives lost executors. release() removes such tables, and scratch() those of its block."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
     _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    for block in getattr(_OPEN, "blocks", [])[-1:]:
+        block.paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 def release(spark: SparkSession) -> int:
     """Remove the tables that this application's operators have written; call it once their results are written. Returns how many."""
     paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
     for p in paths:
-        path = spark._jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, p)
     return len(paths)
+
+
+class scratch:  # noqa: N801
+    """A block whose tables go at its end, but for those that keep() names: for steps whose result is itself written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def __enter__(self) -> scratch:
+        _OPEN.blocks = [*getattr(_OPEN, "blocks", []), self]
+        return self
+
+    def keep(self) -> str:
+        """Keep the table written last, for the block around this one or release(); returns where it is."""
+        path = self.paths.pop()
+        for block in _OPEN.blocks[-2:-1]:
+            block.paths.append(path)
+        return path
+
+    def remove(self, path: str) -> None:
+        _WRITTEN[self.spark.sparkContext.applicationId].remove(path)
+        _delete(self.spark, path)
+
+    def __exit__(self, *_) -> None:
+        _OPEN.blocks = _OPEN.blocks[:-1]
+        for p in self.paths:
+            self.remove(p)
