@@ -24,6 +24,30 @@ def windows(text: Column, chars: int, count: int = 5) -> Column:
     return F.when(size <= chars, text).otherwise(F.concat_ws("\n", *[F.substring(text, k, F.lit(width)) for k in at]))
 
 
+def sampled(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """At most ``count`` rows, the same ones at every run, spread by a hash of the keys: those under a threshold that leaves about twice as many, then the first in order of hash and keys.
+
+    One pass finds the size of the table and one the rows; each task hands on only what lies under the threshold. keys should hold all columns that matter.
+    """
+    total = rows.count()
+    place = F.xxhash64(*keys)
+    if total > 4 * count:
+        rows = rows.filter(place <= F.lit(int(-(2**63) + 2**64 * (2 * count / total))).cast("long"))
+    return rows.orderBy(place, *keys).limit(count)
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like the given ones that df does not have, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in have:
+            name = "_" + name
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -31,7 +55,7 @@ def arrow_schema(schema: T.StructType) -> pa.Schema:
 
 
 def map_rows(df: DataFrame, per_batch: Callable[[pa.RecordBatch], Iterator[dict]], schema: T.StructType) -> DataFrame:
-    """mapInArrow with dictionaries of columns: per_batch yields {column: values}, whose order is the schema's."""
+    """mapInArrow with dictionaries of columns: per_batch yields {column: values}, whose order is the schema's. Batches are bounded in bytes as well as rows."""
     ship(df.sparkSession)
     arrow = arrow_schema(schema)
 

@@ -1,9 +1,7 @@
-"""Byte-level BPE of whole texts on a worker: word-wise with a bounded cache, exact for every text.
+"""Byte-level BPE on a worker: the library's encoder for one vocabulary file, and pre-tokens as it would split them.
 
-The public split pattern always has a boundary before a space that a non-space follows, so the run
-from one such space to the next (a "word" here: one pre-token, or a few that no space divides)
-is encoded independently of what surrounds it. Words therefore go through a cache; the misses of a batch
-are encoded together in one call and told apart by the token that starts with the space.
+Pre-tokens are found by the public split pattern with another engine than the library's. The two know different versions of Unicode: where a text
+holds a character that one takes for a letter or number and the other does not, its pre-tokens are not told here, and the library takes the text whole.
 """
 
 from __future__ import annotations
@@ -13,18 +11,15 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import regex
 import tiktoken
 
 RANKS = "byte_bpe_50k.tiktoken"
-CACHE_WORDS = 1 << 18
-CACHED_CHARS = 64
 BATCH_CHARS = 1 << 20
-#: A space before white space is no boundary; such texts are encoded whole.
-_UNSAFE = re.compile(r" (?=\s)")
+_ASTRAL = re.compile("[\U00010000-\U0010ffff]")
 
 
 def batches(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str]]:
@@ -40,6 +35,33 @@ def batches(texts: Iterable[str], chars: int = BATCH_CHARS) -> Iterator[list[str
         yield held
 
 
+@lru_cache(maxsize=1)
+def _splitter() -> tuple[regex.Pattern, re.Pattern, re.Pattern]:
+    """The split pattern, and the characters (of the basic plane; all) whose class the two engines see differently."""
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF)
+    one = {bytes([b]): b for b in range(256)}
+    odd: set[str] = set()
+    for kind in (r"\p{L}", r"\p{N}", r"\s"):
+        theirs = tiktoken.Encoding("class", pat_str=kind, mergeable_ranks=one, special_tokens={}).encode_ordinary(every)
+        odd |= set(bytes(theirs).decode()).symmetric_difference(regex.findall(kind, every))
+    low = [c for c in odd if c < "\U00010000"]
+    known = lambda chars: re.compile("[" + "".join(map(re.escape, sorted(chars))) + "]") if chars else re.compile(r"(?!)")
+    return regex.compile(public_tokenizers.PATTERN), known(low), known(odd)
+
+
+def odd(text: str) -> bool:
+    """Whether the two engines may split a text differently."""
+    if text.isascii():
+        return False
+    _, low, every = _splitter()
+    return bool(low.search(text) or (_ASTRAL.search(text) and every.search(text)))
+
+
+def pretokens(text: str) -> list[str]:
+    """The pre-tokens of a text, which they tile; the library's own unless the text is odd()."""
+    return _splitter()[0].findall(text)
+
+
 class ByteBPE:
     """Encoder for one rank file; ids come as little-endian unsigned 32-bit bytes."""
 
@@ -52,59 +74,33 @@ class ByteBPE:
         self.opens = np.array([t[:1] == b" " for t in self.token], dtype=bool)
         self.special = special or {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.cache: dict[str, bytes] = {}
-        self.space = self.plain(" ")
 
     def plain(self, text: str) -> bytes:
-        """Ids of one text, straight from the library."""
+        """Ids of one text, special strings being ordinary text."""
         return np.asarray(self.encoding.encode_ordinary(text), dtype="<u4").tobytes()
 
-    def fill(self, words: set[str]) -> None:
-        """Put words (each preceded by a space in its text, without spaces inside) into the cache."""
-        words.discard("")
-        if not words:
-            return
-        ordered = list(words)
-        ids = np.asarray(self.encoding.encode_ordinary(" " + " ".join(ordered)), dtype="<u4")
-        starts = np.flatnonzero(self.opens[ids])
-        if len(starts) != len(ordered):
-            raise AssertionError("a word's first token must be the only one that starts with a space")
-        raw, ends = ids.tobytes(), [*(starts[1:] * 4).tolist(), len(ids) * 4]
-        self.cache.update({w: raw[a:b] for w, a, b in zip(ordered, (starts * 4).tolist(), ends, strict=True)})
-
-    def split(self, text: str) -> tuple[bytes, list[str]] | None:
-        """The ids before the first boundary space, and the words after it; None if words do not apply."""
-        if _UNSAFE.search(text):
-            return None
-        head, *words = text.split(" ")
-        return (self.plain(head) if head else b""), words
-
-    def ordinary(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text, special strings being ordinary text."""
-        out: list[bytes] = []
-        for group in batches(texts):
-            parts = [self.split(t) for t in group]
-            if len(self.cache) > CACHE_WORDS:
-                self.cache.clear()
-                self.cache[""] = self.space
-            self.cache.setdefault("", self.space)
-            need = set(chain.from_iterable(p[1] for p in parts if p)).difference(self.cache)
-            self.fill(need)
-            get = self.cache.__getitem__
-            out += [p[0] + b"".join(map(get, p[1])) if p else self.plain(t) for t, p in zip(group, parts, strict=True)]
-            for w in need:
-                if len(w) > CACHED_CHARS:
-                    self.cache.pop(w, None)
-        return out
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text; special strings become their ids, as the tokenizers library does by default."""
-        if not self.cut or not any(s in t for t in texts for s in self.special):
-            return self.ordinary(texts)
-        parts = [self.cut.split(t) for t in texts]
-        plain = iter(self.ordinary([x for p in parts for x in p[::2]]))
-        marks = {s: np.asarray([i], dtype="<u4").tobytes() for s, i in self.special.items()}
-        return [b"".join(next(plain) if k % 2 == 0 else marks[x] for k, x in enumerate(p)) for p in parts]
+    def parts(self, text: str) -> list[str]:
+        """A text cut at special strings, which stand at the odd places."""
+        return self.cut.split(text) if self.cut and any(s in text for s in self.special) else [text]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of one text; special strings become their ids, as the tokenizers library does by default."""
+        parts = self.parts(text)
+        if len(parts) == 1:
+            return self.plain(text)
+        return b"".join(np.asarray([self.special[x]], dtype="<u4").tobytes() if k % 2 else self.plain(x) for k, x in enumerate(parts))
+
+    def lengths(self, pieces: Iterable[str]) -> dict[str, int]:
+        """Token counts of pre-tokens. Those that start with their only space are encoded in one call: each one's first token is the only one with a leading space."""
+        spaced = [w for w in pieces if len(w) > 1 and w[0] == " " and not w[1].isspace()]
+        out = {}
+        if spaced:
+            ids = np.asarray(self.encoding.encode_ordinary("".join(spaced)), dtype=np.int64)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(spaced):
+                raise AssertionError("a pre-token's first token must be the only one that starts with a space")
+            out = dict(zip(spaced, np.diff(starts, append=len(ids)).tolist(), strict=True))
+        return out | {w: len(self.encoding.encode_ordinary(w)) for w in pieces if w not in out}
 
     def decode(self, ids: list[int]) -> bytes:
         """The raw bytes of ids, joined."""

@@ -1,20 +1,24 @@
 """Byte-level BPE encoding and decoding by overlapping chunks.
 
-Long texts are cut into overlapping chunks that are pre-tokenised in parallel. A scan that starts amid a text may
-begin out of step, but the split pattern looks only forward: from the first boundary that both scans of an overlap share, they
-agree. Cuts are made there, at boundaries after a character that is not white space, where what follows cannot
-change what comes before. The pieces between cuts are encoded on their own and joined in order. A text with an overlap
-where no boundary is shared (one word longer than the overlap, say) is encoded as one piece, which is exact as well.
+Every text is cut into overlapping chunks that are pre-tokenised each for itself. A scan that starts amid a text may begin out of step, but
+the split pattern looks only forward: from the first boundary that two scans share, they agree. The text is cut there, at boundaries after a
+character that is not white space, where what follows cannot change what comes before; the pieces between cuts are encoded on their own
+and joined in order. Where an overlap has no shared boundary (one word is longer than it, say), the scan that is in step reads on, by
+doubling steps, until it shares one with a later chunk. So a text takes time in proportion to its length.
+
+A text longer than a section (many chunks) is dealt to several tasks, section by section. Sections overlap and are stitched by the same rule: only
+the boundaries inside their overlaps are compared. A text in which two sections share no boundary is gathered and cut in one task.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,90 +26,170 @@ from pyspark.sql import types as T
 from siltstone.llm import bpe
 from siltstone.llm.arrowmap import map_rows, plain, text_of
 
-CHUNK = 32_768
-OVERLAP = 1_024
+CHUNK = 512
+OVERLAP = 128
+SECTION = 65_536
+SEAM = 4_096
+
+
+def _starts(text: str, low: int, high: int) -> list[int]:
+    """Where the pre-tokens of text[low:high] start, and high, in the text's own places. Where engines may differ, only starts that every engine sees: at a space before what is none."""
+    body = text[low:high]
+    if bpe.odd(body):
+        return [low, *(low + k for k in range(1, len(body) - 1) if body[k] == " " and not body[k + 1].isspace() and not body[k - 1].isspace()), high]
+    return list(accumulate(map(len, bpe.pretokens(body)), initial=low))
+
+
+def _cuttable(text: str, starts: list[int], low: int, high: int) -> list[int]:
+    """The starts in [low, high) that follow a character which is not white space; not a scan's end nor its last start, as a contraction may be cut in two there."""
+    return [x for x in starts[bisect_left(starts, low) : min(bisect_left(starts, high), len(starts) - 2)] if x and not text[x - 1].isspace()]
+
+
+def cuts(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
+    """Where the text is cut: places at which every chunk's scan is in step with that of the whole text."""
+    n = len(text)
+    count = max(1, -(-(n - overlap) // chunk))
+    scans = [_starts(text, k * chunk, min(n, (k + 1) * chunk + overlap)) for k in range(count)]
+    out: list[int] = []
+    live, since, k = scans[0], 0, 1  # the scan that is in step, from where on it is, and the next chunk
+    while k < count:
+        at = k * chunk
+        heads = set(_cuttable(text, scans[k], at, at + overlap))
+        found = next((x for x in _cuttable(text, live, at, at + overlap) if x in heads), None)
+        if found is None:
+            found, k = _read_on(text, max([since, *live[-3:-2]]), scans, k, chunk)
+            if found is None:
+                break
+        out.append(found)
+        live, since, k = scans[k], found, k + 1
+    return out
+
+
+def _read_on(text: str, begin: int, scans: list[list[int]], k: int, chunk: int) -> tuple[int | None, int]:
+    """(place, chunk) of the first boundary from chunk k on that a scan from begin, a true boundary, shares with a chunk's own; (None, k) at the text's end."""
+    n, step = len(text), 2 * chunk
+    while True:
+        end = min(n, begin + step)
+        more = _starts(text, begin, end)
+        for x in _cuttable(text, more, max(k * chunk, begin + 1), end):
+            j = min(x // chunk, len(scans) - 1)
+            at = bisect_left(scans[j], x)
+            if at < len(scans[j]) - 2 and scans[j][at] == x:
+                return x, j
+        if end == n:
+            return None, k
+        begin, step = max([begin, *more[-3:-2]]), 2 * step
+
+
+def pieces(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[str]:
+    """The text as pieces that are encoded independently."""
+    at = [0, *cuts(text, chunk, overlap), len(text)]
+    return [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+def _keyed(df: DataFrame, per_row: Callable[[dict], Iterator[dict]], schema: T.StructType) -> DataFrame:
+    """mapInArrow that yields a batch a row, so that long texts do not add up."""
 
+    def run(batch):
+        names = batch.schema.names
+        for k in range(batch.num_rows):
+            made = list(per_row({c: batch.column(c)[k].as_py() for c in names}))
+            if made:
+                yield {f.name: [m[f.name] for m in made] for f in schema.fields}
 
-@lru_cache(maxsize=1)
-def _pattern():
-    return regex.compile(public_tokenizers.PATTERN)
+    return map_rows(df, run, schema)
 
 
-def boundaries(text: str, low: int, high: int) -> list[int]:
-    """Starts of pre-tokens of text in [low, high) that follow a character which is not white space."""
-    return [m.start() for m in _pattern().finditer(text) if low <= m.start() < high and m.start() and not text[m.start() - 1].isspace()]
+def sections(docs: DataFrame, keys: list[str], text: str, section: int = SECTION, seam: int = SEAM) -> DataFrame:
+    """keys, part, parts, body: overlapping sections of each text, part k starting at k * section characters; each text is walked once."""
+    schema = T.StructType([*(docs.schema[c] for c in keys), plain("part", T.IntegerType()), plain("parts", T.IntegerType()), plain("body", T.StringType())])
 
+    def cut(row):
+        t = row[text]
+        parts = max(1, -(-(len(t) - seam) // section))
+        for k in range(parts):
+            yield {c: row[c] for c in keys} | {"part": k, "parts": parts, "body": t[k * section : (k + 1) * section + seam]}
 
-def chunked(docs: DataFrame, keys: list[str], text: str, chunk: int, overlap: int) -> DataFrame:
-    """keys, part, whole, body: overlapping chunks of each text, part k starting at k * chunk characters."""
-    parts = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / F.lit(chunk))).cast("int")
-    out = docs.select(*keys, text, parts.alias("parts")).select(*keys, text, "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    return out.select(*keys, "part", "parts", F.substring(F.col(text), F.col("part") * chunk + 1, F.lit(chunk + overlap)).alias("body"))
+    return _keyed(docs.select(*keys, text), cut, schema)
 
 
-def pieces(docs: DataFrame, keys: list[str], text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """keys, part, piece: each text as pieces that are encoded independently; keys must be unique."""
-    cut = chunked(docs, keys, text, chunk, overlap).repartition(*keys, "part")
-    schema = T.StructType([*cut.schema.fields, plain("head", T.ArrayType(T.IntegerType())), plain("tail", T.ArrayType(T.IntegerType()))])
+def section_pieces(docs: DataFrame, keys: list[str], text: str, *, chunk: int = CHUNK, overlap: int = OVERLAP, section: int = SECTION, seam: int = SEAM) -> DataFrame:
+    """keys, part, pieces: each text's pieces by section, found in parallel; keys must be unique."""
+    dealt = sections(docs, keys, text, section, seam).repartition(*keys, "part")
+    ints = T.ArrayType(T.IntegerType())
+    schema = T.StructType([*dealt.schema.fields, plain("at", ints), plain("head", ints), plain("tail", ints)])
 
-    def scan(batch):
-        rows = batch.to_pydict()
-        heads, tails = [], []
-        for part, parts, body in zip(rows["part"], rows["parts"], rows["body"], strict=True):
-            found = boundaries(body, 0, len(body))
-            heads.append([x for x in found if x < overlap] if part else [])
-            tails.append([x - chunk for x in found if x >= chunk] if part < parts - 1 else [])
-        yield rows | {"head": heads, "tail": tails}
+    def scan(row):
+        body = row["body"]
+        at = cuts(body, chunk, overlap)
+        rest = _starts(body, max((x for x in at if x < section), default=0), len(body))
+        head = _cuttable(body, _starts(body, 0, min(len(body), 2 * seam)), 1, seam) if row["part"] else []
+        tail = [x - section for x in _cuttable(body, rest, section, len(body))] if row["part"] < row["parts"] - 1 else []
+        yield row | {"at": at, "head": head, "tail": tail}
 
     w = Window.partitionBy(*keys).orderBy("part")
-    scanned = map_rows(cut, scan, schema)
     first = F.array_min(F.array_intersect(F.lag("tail").over(w), F.col("head")))
-    stitched = scanned.withColumn("begin", F.when(F.col("part") == 0, F.lit(0)).otherwise(first))
+    stitched = _keyed(dealt, scan, schema).withColumn("begin", F.when(F.col("part") == 0, F.lit(0)).otherwise(first))
     lost = F.max(F.when(F.col("begin").isNull(), 1).otherwise(0)).over(Window.partitionBy(*keys)) == 1
-    end = F.lead("begin").over(w)
-    stitched = stitched.withColumn("stop", F.when(F.col("part") == F.col("parts") - 1, F.length("body")).otherwise(end + chunk)).withColumn("lost", lost)
-    body = F.when(F.col("lost") & (F.col("part") < F.col("parts") - 1), F.substring("body", 1, chunk)).when(F.col("lost"), F.col("body")).otherwise(F.expr("substring(body, begin + 1, stop - begin)"))
-    cuts = stitched.select(*keys, "part", "lost", body.alias("piece"))
-    whole = cuts.filter("lost").groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "piece"))), lambda x: x["piece"]), "").alias("piece"))
-    return cuts.filter("not lost").select(*keys, "part", "piece").unionByName(whole.select(*keys, F.lit(0).alias("part"), "piece"))
+    stop = F.when(F.col("part") == F.col("parts") - 1, F.length("body")).otherwise(F.lead("begin").over(w) + section)
+    stitched = stitched.withColumns({"stop": stop, "lost": lost}).drop("head", "tail")
+    gone = stitched.filter("lost").select(*keys, F.struct("part", F.when(F.col("part") < F.col("parts") - 1, F.substring("body", 1, section)).otherwise(F.col("body")).alias("body")).alias("p"))
+    whole = gone.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x["body"]), "").alias("body"))
+    out = T.StructType([*(docs.schema[c] for c in keys), plain("part", T.IntegerType()), plain("pieces", T.ArrayType(T.StringType()))])
+
+    def inside(row):
+        at = [row["begin"], *(x for x in row["at"] if row["begin"] < x < row["stop"]), row["stop"]]
+        yield {c: row[c] for c in keys} | {"part": row["part"], "pieces": [row["body"][a:b] for a, b in zip(at[:-1], at[1:], strict=True)]}
+
+    def again(row):
+        yield {c: row[c] for c in keys} | {"part": 0, "pieces": pieces(row["body"], chunk, overlap)}
+
+    return _keyed(stitched.filter("not lost"), inside, out).unionByName(_keyed(whole, again, out))
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, chunk: int = CHUNK, overlap: int = OVERLAP, finish=None, out: T.StructType | None = None) -> DataFrame:
-    """(id_col, ids array<int>), one row per input row; ``finish(encoder, raw ids)`` -> dict replaces ``ids`` by the columns ``out``.
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, chunk: int = CHUNK, overlap: int = OVERLAP, section: int = SECTION, seam: int = SEAM, finish=None, out: T.StructType | None = None) -> DataFrame:
+    """(id_col, ids array<int>, n_pieces), one row per input row; ``finish(encoder, raw ids)`` -> dict replaces ``ids`` by the columns ``out``.
 
-    Null and empty texts have no ids. Texts longer than a chunk go through pieces; of those, rows that repeat in id and text are encoded
-    once and repeated again at the end. Null ids stay null. Other columns are not read. An empty table gives an empty result.
+    Every text goes through chunks and pieces; texts longer than a section go through several tasks, and of those, rows that repeat in id and
+    text are encoded once and repeated again at the end. Null and empty texts have no ids and one empty piece. Null ids stay null. Other columns
+    are not read, whatever their names. An empty table gives an empty result.
     """
+    if not 0 < overlap <= chunk or not 0 < seam <= section:
+        raise ValueError("an overlap is at most as long as what overlaps")
     path = path or public_tokenizers.path(bpe.RANKS)
     kind = docs.schema[id_col].dataType
     out = out or T.StructType([plain("ids", T.ArrayType(T.IntegerType()))])
     finish = finish or (lambda encoder, raw: {"ids": np.frombuffer(raw, dtype="<u4").tolist()})
-    schema = T.StructType([plain(id_col, kind), *out.fields])
+    count = plain("n_pieces", T.LongType())
+    schema = T.StructType([plain(id_col, kind), *out.fields, count])
     rows = docs.select(F.col(id_col), text_of(text_col).alias("text"))
-    long = F.length("text") > chunk + overlap
+    long = F.length("text") > section + seam
 
-    def short(batch):
+    def one_section(batch):
         encoder = bpe.from_ranks(path)
-        done = [finish(encoder, raw) for raw in encoder.ordinary(batch.column(1).to_pylist())]
-        yield {id_col: batch.column(0)} | {f.name: [d[f.name] for d in done] for f in out.fields}
+        done = []
+        for t in batch.column(1).to_pylist():
+            found = pieces(t, chunk, overlap)
+            done.append(finish(encoder, b"".join(map(encoder.plain, found))) | {"n_pieces": len(found)})
+        yield {id_col: batch.column(0)} | {f.name: [d[f.name] for d in done] for f in [*out.fields, count]}
 
-    def piecewise(batch):
-        raw = bpe.from_ranks(path).ordinary(batch.column("piece").to_pylist())
-        yield {k: batch.column(k) for k in batch.schema.names if k != "piece"} | {"raw": raw}
+    keys = ["_id", "_sha", "_n"]
+    keyed = rows.filter(long).groupBy(F.col(id_col).alias("_id"), F.sha2("text", 256).alias("_sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("_n"))
+    cut = section_pieces(keyed, keys, "text", chunk=chunk, overlap=overlap, section=section, seam=seam)
+    raw_schema = T.StructType([*(keyed.schema[c] for c in keys), plain("part", T.IntegerType()), plain("raw", T.BinaryType()), count])
 
-    def joined(batch):
+    def piecewise(row):
         encoder = bpe.from_ranks(path)
-        done = [finish(encoder, b"".join(raws)) for raws in batch.column("raws").to_pylist()]
-        yield {id_col: batch.column(0), "_n": batch.column("_n")} | {f.name: [d[f.name] for d in done] for f in out.fields}
+        yield {c: row[c] for c in (*keys, "part")} | {"raw": b"".join(map(encoder.plain, row["pieces"])), "n_pieces": len(row["pieces"])}
 
-    simple = map_rows(rows.filter(~long), short, schema)
-    keyed = rows.filter(long).groupBy(F.col(id_col).alias("_id"), F.sha2("text", 256).alias("_sha")).agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("_n"))
-    cut = pieces(keyed, ["_id", "_sha", "_n"], "text", chunk, overlap)
-    done = map_rows(cut, piecewise, T.StructType([*(f for f in cut.schema.fields if f.name != "piece"), plain("raw", T.BinaryType())]))
-    gathered = done.groupBy("_id", "_sha", "_n").agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "raw"))), lambda x: x["raw"]).alias("raws"))
-    full = map_rows(gathered.select(F.col("_id").alias(id_col), "_n", "raws"), joined, T.StructType([*schema.fields, plain("_n", T.LongType())]))
+    def joined(row):
+        yield {id_col: row["_id"], "_n": row["_n"]} | finish(bpe.from_ranks(path), b"".join(row["raws"])) | {"n_pieces": row["n_pieces"]}
+
+    done = _keyed(cut, piecewise, raw_schema)
+    gathered = done.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("part", "raw"))), lambda x: x["raw"]).alias("raws"), F.sum("n_pieces").alias("n_pieces"))
+    full = _keyed(gathered, joined, T.StructType([*schema.fields, plain("_n", T.LongType())]))
     again = full.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*schema.names)
-    return simple.unionByName(again)
+    return map_rows(rows.filter(~long), one_section, schema).unionByName(again)
 
 
 def decode(ids: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -143,34 +143,39 @@ def pack(pieces: DataFrame, id_cols: list[str], length_col: str = "length", *, c
     """pieces with sequence_id and offset: sequences of at most ``capacity`` tokens, gapless from 0.
 
     Rows that repeat are pieces of their own. Null lengths, zero and negative ones take no part (both columns null); a length over
-    the capacity raises. Columns of pieces named sequence_id, offset or like the helpers here (``_rank`` ...) are replaced. An empty table gives
-    an empty result. pieces is read twice: pass a written table.
+    the capacity raises. Columns of pieces named sequence_id or offset are replaced; all others, whatever their names, stay as they are. Ties: pieces of a
+    length are placed in the order of a hash bucket and id_cols. An empty table gives an empty result. pieces is read twice: pass a written table.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
-    sized = pieces.filter(F.col(length_col) > 0)
-    hist = {int(r[0]): int(r[1]) for r in sized.groupBy(F.col(length_col)).agg(F.count(F.lit(1))).limit(capacity + 1).collect()}
+    names = pieces.columns
+    # all of a row but its length and ids travels in one struct, so no column of pieces can clash with those made here
+    rows = pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")).withColumn("length", F.col(f"row.`{length_col}`").cast("long"))
+    sized = rows.filter(F.col("length") > 0)
+    hist = {int(r[0]): int(r[1]) for r in sized.groupBy("length").agg(F.count(F.lit(1))).limit(capacity + 1).collect()}
     if any(v > capacity for v in hist):
         raise ValueError(f"a piece is longer than {capacity}")
-    rows = sum(hist.values())
-    buckets = max(LEAST_BUCKETS, rows // bucket_rows)
-    keyed = sized.withColumn("_bucket", F.pmod(F.xxhash64(*id_cols), F.lit(buckets)).cast("int")).withColumn("_length", F.col(length_col).cast("long"))
-    counts = keyed.groupBy("_length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.select("_length", "_bucket", (F.sum("_n").over(Window.partitionBy("_length").orderBy("_bucket")) - F.col("_n")).alias("_before"))
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_length", "_bucket").orderBy(*id_cols)) - 1)
-    ranked = ranked.join(before, ["_length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
-    places = spark.createDataFrame(slots(plan(hist, capacity)), "_len long, _lo long, _hi long, _base long, offset long")
-    found = ranked.join(F.broadcast(places), (F.col("_length") == F.col("_len")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
-    out = found.select(*pieces.columns, (F.col("_base") + F.col("_rank") - F.col("_lo")).alias("sequence_id"), "offset")
-    rest = pieces.filter(F.col(length_col).isNull() | (F.col(length_col) <= 0))
-    return out.unionByName(rest.withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
+    buckets = max(LEAST_BUCKETS, sum(hist.values()) // bucket_rows)
+    ids = [F.col(f"row.`{c}`") for c in id_cols]
+    keyed = sized.withColumn("bucket", F.pmod(F.xxhash64(*ids), F.lit(buckets)).cast("int"))
+    counts = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
+    ranked = keyed.withColumn("rank", F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*ids)) - 1)
+    ranked = ranked.join(before, ["length", "bucket"]).select("row", "length", (F.col("rank") + F.col("before")).alias("rank"))
+    places = spark.createDataFrame(slots(plan(hist, capacity)), "of long, lo long, hi long, base long, offset long")
+    found = ranked.join(F.broadcast(places), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")))
+    own = [F.col(f"row.`{c}`").alias(c) for c in names]
+    out = found.select(*own, (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    rest = rows.filter(F.col("length").isNull() | (F.col("length") <= 0)).select(*own, F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"))
+    return out.unionByName(rest)
 
 
 def cut(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = True) -> DataFrame:
     """(id_col, piece, start, length, ids_crc32[, ids]): each text's ids and the end id, longer ones cut.
 
-    The first piece of a longer text takes what full pieces leave. Null and empty texts give the end id alone. Files that are
-    not plain byte-level BPE are encoded by their own library.
+    The first piece of a longer text takes what full pieces leave; very long texts are cut into as many pieces as they need. Null and empty texts give the
+    end id alone. Rows that repeat, also in their id, are each cut; null ids stay null. Only id and text are read, so other columns may have any name. An empty table
+    gives an empty result. Files that are not plain byte-level BPE are encoded by their own library.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     fields = [plain(id_col, docs.schema[id_col].dataType), plain("piece", T.IntegerType()), plain("start", T.LongType()), plain("length", T.LongType()), plain("ids_crc32", T.LongType())]
@@ -179,7 +184,8 @@ def cut(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
 
     def raw_ids(texts):
         try:
-            return bpe.from_json(path).encode(texts)
+            encoder = bpe.from_json(path)
+            return [encoder.encode(t) for t in texts]
         except ValueError:
             return [np.asarray(x, dtype="<u4").tobytes() for group in bpe.batches(texts) for x in bpe.library(path)(group)]
 
@@ -205,6 +211,6 @@ def cut(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_c
 
 
 def pack_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, capacity: int = CAPACITY, end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
-    """Cut documents and pack the pieces; the pieces are written once in the shared folder, as they are read twice."""
+    """Cut documents and pack the pieces, with sequence_id and offset; odd rows as in cut() and pack(). The pieces are written once in the shared folder, as they are read twice."""
     pieces = materialise(cut(docs, path, id_col, text_col, capacity=capacity, end_id=end_id, keep_ids=keep_ids))
     return pack(pieces, [id_col, "piece", "ids_crc32"], capacity=capacity)

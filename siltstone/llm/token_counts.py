@@ -1,17 +1,14 @@
 """Token counts by a map-side two-tier lookup.
 
-Tier one is a compact hash table of the corpus's frequent words and their token counts, broadcast to the workers;
-its size is bounded by ``table_words``. Tier two is each worker's bounded cache, filled from the words that tier one
-lacks. Texts never move: the counting pass is a map. The frequent words come from a pass over all documents
-in which each task keeps a bounded summary (lossy counting) and reports the ``task_words`` best words of it; only these are
-exchanged. The table is thus approximate: words below that rank in a task lack its count, and few partitions do not fill it. Token
-counts are exact whatever it holds.
+Tier one is a compact hash table of frequent pre-tokens and their token counts, broadcast to the workers. It is made on the driver from a bounded
+sample of rows and has at most ``table_size`` entries, whatever the corpus. Tier two is each worker's bounded cache, filled with what tier one lacks by
+encoding it. One pass over the texts counts them; neither texts nor pre-tokens move. The table decides only how often the encoder is asked: counts
+are exact whatever it holds, for all of every text.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain
 
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -19,52 +16,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm import bpe
-from siltstone.llm.arrowmap import map_rows, plain, text_of
-from siltstone.session import ship
+from siltstone.llm.arrowmap import map_rows, plain, sampled, text_of, windows
 
-TABLE_WORDS = 1 << 15
-WIDTH = 1 << 16
-TASK_WORDS = 1 << 12
+TABLE_SIZE = 1 << 15
+SAMPLE = 4_000
+SAMPLE_CHARS = 20_000
+CACHE_SIZE = 1 << 18
+CACHED_CHARS = 64
 LIMIT = 512
 
 
-def _summary(texts, width: int) -> Counter:
-    """Lossy counting of words: after each ``width`` words what has been seen no more than once a bucket goes."""
+def frequent_pretokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, table_size: int = TABLE_SIZE, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> list[tuple[str, int]]:
+    """At most ``table_size`` pre-tokens with their counts, most frequent first (ties: the smaller), of at most ``rows`` texts by a hash of the row; of a text over ``chars`` characters windows over all of it count."""
+    found = sampled(docs.select(F.col(id_col).alias("_id"), windows(text_of(text_col), chars).alias("_text")), ["_id", "_text"], rows)
     counts: Counter = Counter()
-    since, buckets = 0, 0
-    for group in bpe.batches(texts):
-        for t in group:
-            words = t.split(" ")[1:]
-            counts.update(words)
-            since += len(words)
-        while since >= width:
-            since -= width
-            buckets += 1
-            if len(counts) > 2 * width:
-                counts = Counter({w: n for w, n in ((w, n - 1) for w, n in counts.items()) if n > 0})
-    return counts
-
-
-def frequent_words(docs: DataFrame, text_col: str = "text", *, table_words: int = TABLE_WORDS, width: int = WIDTH, task_words: int = TASK_WORDS) -> DataFrame:
-    """(word, n): about the most frequent words over all documents, at most ``table_words`` of them; ties to the smaller word.
-
-    n sums what the tasks report, ``task_words`` words each, so it may be low, and a frequent word that is among no task's best is missing.
-    """
-    schema = T.StructType([plain("word", T.StringType()), plain("n", T.LongType())])
-    ship(docs.sparkSession)
-
-    def run(it):
-        import pyarrow as pa
-
-        counts = _summary((t for b in it for t in b.column(0).to_pylist()), width)
-        best = [(w, n) for w, n in sorted(counts.items(), key=lambda x: (-x[1], x[0])) if 0 < len(w) <= bpe.CACHED_CHARS and not w[0].isspace()][:task_words]
-        yield pa.RecordBatch.from_pydict({"word": pa.array([w for w, _ in best], pa.string()), "n": pa.array([n for _, n in best], pa.int64())})
+    for r in found.select("_text").collect():
+        if not bpe.odd(r["_text"]):
+            counts.update(bpe.pretokens(r["_text"]))
+    return sorted(((w, n) for w, n in counts.items() if len(w) <= CACHED_CHARS), key=lambda x: (-x[1], x[0]))[:table_size]
 
-    found = docs.select(text_of(text_col).alias("text")).mapInArrow(run, schema)
-    return found.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(table_words)
 
-
-def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, limit: int = LIMIT, table_words: int = TABLE_WORDS) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", *, limit: int = LIMIT, table_size: int = TABLE_SIZE, rows: int = SAMPLE) -> DataFrame:
     """(id_col, n_bytes, n_tokens, over_limit), one row per input row.
 
     Null and empty texts have no bytes and no tokens. Rows that repeat, also in their id, are each counted; null
@@ -72,25 +44,20 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     Files that are not plain byte-level BPE are counted by their own library, text by text.
     """
     path = path or public_tokenizers.path("byte_bpe_50k.json")
-    spark = docs.sparkSession
     schema = T.StructType([plain(id_col, docs.schema[id_col].dataType), plain("n_bytes", T.LongType()), plain("n_tokens", T.LongType()), plain("over_limit", T.BooleanType())])
+    load = bpe.from_json if path.endswith(".json") else bpe.from_ranks
     try:
-        encoder = bpe.from_json(path) if path.endswith(".json") else bpe.from_ranks(path) if path.endswith(".tiktoken") else None
+        encoder = load(path) if path.endswith((".json", ".tiktoken")) else None
     except ValueError:
         encoder = None
-    table = {}
-    if encoder:
-        words = [r.word for r in frequent_words(docs, text_col, table_words=table_words).collect()]
-        encoder.cache.clear()
-        encoder.fill(set(words))
-        table = {w: len(encoder.cache[w]) // 4 for w in words}
-    known, load = spark.sparkContext.broadcast(table), "json" if path.endswith(".json") else "ranks"
-    fast = encoder is not None
+    table = encoder.lengths([w for w, _ in frequent_pretokens(docs, id_col, text_col, table_size=table_size, rows=rows)]) if encoder else {}
+    known, fast = docs.sparkSession.sparkContext.broadcast(table), encoder is not None
+    seen: dict[str, int] = {}
 
     def per_batch(batch):
         ids, texts = batch.column(0), batch.column(1).to_pylist()
         if fast:
-            counts = _counts((bpe.from_json if load == "json" else bpe.from_ranks)(path), known.value, texts)
+            counts = [n for group in bpe.batches(texts) for n in lookup(load(path), known.value, seen, group)]
         else:
             counts = [len(x) for group in bpe.batches(texts) for x in bpe.library(path)(group)]
         yield {id_col: ids, "n_bytes": [len(t.encode()) for t in texts], "n_tokens": counts, "over_limit": [n > limit for n in counts]}
@@ -98,25 +65,24 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     return map_rows(docs.select(F.col(id_col), text_of(text_col).alias("text")), per_batch, schema)
 
 
-def _counts(encoder: bpe.ByteBPE, known: dict[str, int], texts: list[str]) -> list[int]:
-    """Token counts: words by tier one, else by the worker's cache; texts that words do not fit by the library."""
-    out = []
-    for group in bpe.batches(texts):
-        cut = [encoder.cut.split(t) if encoder.cut and any(s in t for s in encoder.special) else [t] for t in group]
-        parts = [[encoder.split(x) for x in p[::2]] for p in cut]
-        if len(encoder.cache) > bpe.CACHE_WORDS:
-            encoder.cache.clear()
-        encoder.cache[""] = encoder.space
-        words = set(chain.from_iterable(w[1] for p in parts for w in p if w))
-        encoder.fill({w for w in words if w not in known and w not in encoder.cache})
-        lengths = {w: known[w] if w in known else len(encoder.cache[w]) // 4 for w in words}
-        get = lengths.__getitem__
-        for p, cuts in zip(parts, cut, strict=True):
-            n = len(cuts) // 2
-            for x, w in zip(cuts[::2], p, strict=True):
-                n += len(w[0]) // 4 + sum(map(get, w[1])) if w else len(encoder.plain(x)) // 4
-            out.append(n)
-        for w in words:
-            if len(w) > bpe.CACHED_CHARS:
-                encoder.cache.pop(w, None)
-    return out
+def lookup(encoder: bpe.ByteBPE, known: dict[str, int], seen: dict[str, int], texts: list[str]) -> list[int]:
+    """Token counts: a pre-token's by tier one, else by the worker's cache ``seen``, which takes up what is encoded; odd() texts by the library.
+
+    ``seen`` starts as a copy of tier one, so that one probe asks both.
+    """
+    if not seen or len(seen) > CACHE_SIZE + len(known):
+        seen.clear()
+        seen.update(known)
+    cut = [encoder.parts(t) for t in texts]
+    parts = [[None if bpe.odd(x) else bpe.pretokens(x) for x in p[::2]] for p in cut]
+    found = [[w and list(map(seen.get, w)) for w in p] for p in parts]
+    missed = {x for p, f in zip(parts, found, strict=True) for w, n in zip(p, f, strict=True) if n and None in n for x, y in zip(w, n, strict=True) if y is None}
+    fresh = encoder.lengths(missed)
+    seen.update((w, n) for w, n in fresh.items() if len(w) <= CACHED_CHARS)
+
+    def count(text: str, pre: list[str] | None, lengths: list[int | None]) -> int:
+        if pre is None:
+            return len(encoder.plain(text)) // 4
+        return sum(n or fresh[w] for w, n in zip(pre, lengths, strict=True)) if None in lengths else sum(lengths)
+
+    return [len(c) // 2 + sum(map(count, c[::2], p, f)) for c, p, f in zip(cut, parts, found, strict=True)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
 import zlib
 from collections import defaultdict
 
@@ -16,7 +17,7 @@ from tokenizers import Tokenizer
 
 from siltstone.llm import bpe, bpe_codec, packing, queries, token_counts
 
-ODD = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "\n\n x", "don't we'll", "x" * 5000, "é日本 漢字　z  q", "1234 5678", "<|endoftext|>", "a <|endoftext|> b", "!!?? ...", "\t\ttab  \r\n", "😀 😀😀", "word " * 3000, "ab" * 40_000, None]
+ODD = ["", " ", "  ", "a  b", " a", "a ", "a \n b", "\n\n x", "don't we'll", "x" * 5000, "é日本 漢字　z  q", "1234 5678", "<|endoftext|>", "a <|endoftext|> b", "!!?? ...", "\t\ttab  \r\n", "😀 😀😀", "!\U00033479\U00033479's \U00033479 a\u0558b ", "it's we're 'tis 'r", "word " * 3000, "ab" * 40_000, None]
 
 
 def library():
@@ -26,14 +27,14 @@ def library():
 
 def random_texts(n, seed=3):
     rng = random.Random(seed)
-    alphabet = ["a", "b", "the", " ", "  ", "\n", ".", ",", "é", "9", "'s", "Z", " ", "-", "日"]
+    alphabet = ["a", "b", "the", " ", "  ", "\n", ".", ",", "é", "9", "'s", "Z", " ", "-", "日", "\U00033479", "\x1c", "\u0558", "'re"]
     return ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400))) for _ in range(n)]
 
 
 def test_encoder_is_the_library():
     enc, lib = bpe.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), library()
     texts = [t for t in ODD if t is not None] + random_texts(300)
-    for raw, t in zip(enc.ordinary(texts), texts, strict=True):
+    for raw, t in zip(map(enc.plain, texts), texts, strict=True):
         assert np.frombuffer(raw, "<u4").tolist() == lib.encode_ordinary(t)
         assert enc.decode(np.frombuffer(raw, "<u4").tolist()) == t.encode()
 
@@ -41,30 +42,63 @@ def test_encoder_is_the_library():
 def test_json_encoder_is_the_library():
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     texts = [t for t in ODD if t is not None] + random_texts(100)
-    got = bpe.from_json(public_tokenizers.path("byte_bpe_50k.json")).encode(texts)
+    got = map(bpe.from_json(public_tokenizers.path("byte_bpe_50k.json")).encode, texts)
     assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
 
 
-@pytest.mark.parametrize(("chunk", "overlap"), [(50, 20), (300, 40), (32_768, 1024)])
-def test_chunks_stitch_to_the_whole(spark, chunk, overlap):
-    texts = [*ODD, *random_texts(60, 8), "x" * 300 + " y" * 100, " " * 500, "z" * 70 + " "]
+@pytest.mark.parametrize(("chunk", "overlap"), [(8, 5), (20, 20), (64, 16), (512, 128)])
+def test_pieces_are_encoded_as_the_whole(chunk, overlap):
+    enc = bpe.from_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    texts = [t for t in ODD if t is not None] + random_texts(300, 5) + ["a'" * 900, "'re" * 700, "!'re " * 500, "ab" * 4000 + " c d. e" * 50 + "q" * 3000 + "'re", "日" * 5000, "word, " * 900]
+    several = 0
+    for t in texts:
+        found = bpe_codec.pieces(t, chunk, overlap)
+        several += len(found) > 1
+        assert "".join(found) == t and b"".join(map(enc.plain, found)) == enc.plain(t)
+    assert several > (100 if chunk < 64 else 4)
+    # a text with boundaries everywhere is cut in every overlap
+    assert chunk < 64 or len(bpe_codec.pieces("a b " * 500, chunk, overlap)) >= (2000 - overlap) // chunk
+
+
+@pytest.mark.parametrize(("chunk", "overlap", "section", "seam"), [(20, 7, 60, 20), (64, 32, 300, 64), (512, 128, 65_536, 4_096)])
+def test_chunks_stitch_to_the_whole(spark, chunk, overlap, section, seam):
+    texts = [*ODD, *random_texts(60, 8), "x" * 300 + " y" * 100, " " * 500, "z" * 70 + " ", "It's one, two; three. " * 5000]
     rows = [(k, t, k) for k, t in enumerate(texts)] + [(3, texts[3], 0), (None, "a  b " * 50, 0), (None, "a  b " * 50, 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, ids long")
     lib = library()
     want = sorted(((d, lib.encode_ordinary(t or "")) for d, t, _ in rows), key=repr)
-    encoded = bpe_codec.encode(df, chunk=chunk, overlap=overlap)
+    encoded = bpe_codec.encode(df, chunk=chunk, overlap=overlap, section=section, seam=seam)
     assert sorted(((r.doc_id, list(r.ids)) for r in encoded.collect()), key=repr) == want
     back = bpe_codec.decode(encoded)
     assert sorted((bytes(r.raw) for r in back.collect())) == sorted((t or "").encode() for _, t, _ in rows)
-    assert bpe_codec.encode(df.limit(0), chunk=chunk, overlap=overlap).count() == 0
+    assert bpe_codec.encode(df.limit(0), chunk=chunk, overlap=overlap, section=section, seam=seam).count() == 0
+
+
+def test_time_follows_the_length():
+    text = "It's one, two; three of them. " * 100_000
+
+    def seconds(n):
+        best = 9.0
+        for _ in range(3):
+            at = time.perf_counter()
+            bpe_codec.pieces(text[:n])
+            best = min(best, time.perf_counter() - at)
+        return best
+
+    assert seconds(3_000_000) < 8 * seconds(750_000)
+    assert len(bpe_codec.pieces("x" * 3_000_000)) == 1  # one word: read on by doubling steps
 
 
 def test_query_op3(spark, sf):
     lib = library()
     docs = {r.doc_id: r.text or "" for r in queries.table(spark, sf, "documents").collect()}
-    for r in queries.op3_bpe_codec(spark, sf).collect():
+    got = queries.op3_bpe_codec(spark, sf).collect()
+    for r in got:
         ids = lib.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
+    # most documents have several chunks, and the stitched pieces are about as many
+    chunks = sum(max(1, -(-(len(t) - bpe_codec.OVERLAP) // bpe_codec.CHUNK)) for t in docs.values())
+    assert sum(r.n_pieces > 1 for r in got) > 0.7 * len(got) and sum(r.n_pieces for r in got) > 0.9 * chunks
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "word_bpe_49k.json", "piece_bpe_32k.model"])
@@ -90,10 +124,26 @@ def test_counts_of_every_kind_of_file(spark, name):
     assert token_counts.count_tokens(df.limit(0), path).count() == 0
 
 
-def test_frequent_words_are_counted_over_all_rows(spark):
-    df = spark.createDataFrame([("x common rare%d common" % k,) for k in range(500)], "text string").repartition(7)
-    top = token_counts.frequent_words(df, table_words=3, width=64).collect()
-    assert (top[0].word, top[0].n) == ("common", 1000)
+def test_tier_one_holds_pretokens(spark):
+    df = spark.createDataFrame([(k, "x common rare%d, common" % k, 0) for k in range(500)], "doc_id long, text string, _text int").repartition(7)
+    assert token_counts.frequent_pretokens(df, table_size=3) == [(" common", 1000), (" rare", 500), (",", 500)]
+    few = token_counts.frequent_pretokens(df, rows=100)
+    assert dict(few)[" common"] == 200 and few == token_counts.frequent_pretokens(df.repartition(3), rows=100)
+
+
+def test_counts_are_one_pass_without_exchange(spark, sf):
+    plan = queries.op8_token_counts(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("MapInArrow") == 1
+
+
+def test_the_tables_do_not_change_counts():
+    enc = bpe.from_json(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [t for t in ODD if t is not None] + random_texts(50, 4)
+    want = [len(enc.encode(t)) // 4 for t in texts]
+    words = sorted({w for t in texts for w in bpe.pretokens(t)})
+    for known in ({}, enc.lengths(words[::2]), enc.lengths(words)):
+        seen = {}
+        assert token_counts.lookup(enc, known, seen, texts) == want == token_counts.lookup(enc, known, seen, texts)
 
 
 def test_query_op8(spark, sf):
@@ -140,6 +190,10 @@ def test_pack_odd_rows(spark):
     assert len(got) == len(rows) and sound([(r.length, r.sequence_id, r.offset) for r in got if r.length]) == 3
     assert all(r.sequence_id is None for r in got if not r.length)
     assert packing.pack(df.limit(0), ["doc_id"]).count() == 0
+    other = spark.createDataFrame([(k, 400, "lo", 1, 2, "x", 3, 4, 5) for k in range(5)], "doc_id long, length int, lo string, _before int, rank int, row string, bucket int, base int, `a.b` int")
+    kept = packing.pack(other, ["doc_id"])
+    assert kept.columns == [*other.columns, "sequence_id", "offset"] and sound([(r.length, r.sequence_id, r.offset) for r in kept.collect()]) == 3
+    assert sorted(kept.select("doc_id", "length", "lo", "_before", "rank", "row", "bucket", "base", "`a.b`").collect()) == sorted(other.collect())
     with pytest.raises(ValueError, match="longer"):
         packing.pack(spark.createDataFrame([(1, 1025)], "doc_id long, length int"), ["doc_id"])
 
