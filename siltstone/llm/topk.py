@@ -3,7 +3,8 @@
 Query blocks meet candidate blocks cell by cell. Each round scores everything and counts, for each query, the scores in equal bins of the
 range that still holds its kth best score; a cell reports only bins that can matter (from its own kth best upwards). Summed over cells, the counts name
 the bin of the kth score, which the next round divides, until bins are single scores. The last pass keeps scores above the kth value, and
-of those equal to it the k smallest ids a cell: ties need no more.
+of those equal to it the k smallest ids a cell: ties need no more. Rows are told apart by a number of their own, given when they are written, so
+rows that share an id are rows like any others.
 """
 
 from __future__ import annotations
@@ -23,23 +24,23 @@ SCALE = 64
 EVERY = 20
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 16_384
+LEAST_BLOCK = 512
 BINS = 8  # bits
 _STEP = 256
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE) -> DataFrame:
-    """(vec_id long, v array<long>): floor(scale * x); without null ids, null vectors and null or non-finite components; one row an id."""
+    """(vec_id long, v array<long>): floor(scale * x); without null ids, null vectors and null or non-finite components."""
     x = F.col(vec_col).cast("array<double>")
     sound = F.col(id_col).isNotNull() & x.isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
-    rows = vectors.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"))
-    return rows.groupBy("vec_id").agg(F.min("v").alias("v"))
+    return vectors.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"))
 
 
 def _blocks(rows: DataFrame, name: str, count: int) -> DataFrame:
-    """(dim, name, ids, vs): rows packed by a hash of the id; a block's size is bounded in expectation by the count of blocks."""
-    keyed = rows.withColumn("dim", F.size("v")).withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(count)).cast("int"))
-    packed = keyed.groupBy("dim", name).agg(F.array_sort(F.collect_list(F.struct("vec_id", "v"))).alias("rows"))
-    return packed.select("dim", name, F.col("rows.vec_id").alias("ids"), F.flatten(F.col("rows.v")).alias("vs"))
+    """(dim, name, ids, rows, vs): rows packed by a hash of their number; a block's size is bounded in expectation by the count of blocks."""
+    keyed = rows.withColumn("dim", F.size("v")).withColumn(name, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
+    packed = keyed.groupBy("dim", name).agg(F.array_sort(F.collect_list(F.struct("vec_id", "row", "v"))).alias("all"))
+    return packed.select("dim", name, F.col("all.vec_id").alias("ids"), F.col("all.row").alias("rows"), F.flatten(F.col("all.v")).alias("vs"))
 
 
 def _rows(batch) -> Iterator[dict]:
@@ -58,22 +59,29 @@ def _scores(row: dict, exact: bool):
     """Integer scores of a cell in steps of queries: (first query, scores); own rows get the least integer."""
     q, c = _matrix(row["q_vs"], len(row["q_ids"]), exact), _matrix(row["c_vs"], len(row["c_ids"]), exact).T
     ids = np.asarray(row["c_ids"])
-    own = {x: k for k, x in enumerate(row["c_ids"])}
+    own = {x: k for k, x in enumerate(row["c_rows"])}
     for k in range(0, len(q), _STEP):
         s = (q[k : k + _STEP] @ c).astype(np.int64)
-        at = [(j, own[x]) for j, x in enumerate(row["q_ids"][k : k + _STEP]) if x in own]
+        at = [(j, own[x]) for j, x in enumerate(row["q_rows"][k : k + _STEP]) if x in own]
         if at:
             s[tuple(np.array(at).T)] = np.iinfo(np.int64).min
         yield k, s, ids
 
 
+def _lows(row: dict) -> np.ndarray:
+    """The lower ends of the ranges of a cell's queries, in the order of its rows."""
+    low = {x["query"]: x["low"] for x in row["s"]}
+    return np.array([low[x] for x in row["q_rows"]], dtype=np.int64)
+
+
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = K, every: int = EVERY, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each id divisible by ``every`` its k best other rows (all, if fewer), ties to the smaller id.
+    """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k best other rows (all, if fewer), ties to the smaller id.
 
-    Null vectors, ones that hold null or non-finite components and rows without an id take no part. Of rows that repeat an id the one with the least vector stays.
-    Only vectors of one length are compared. An empty table gives an empty result. Scores beyond 64 bits raise.
+    Null vectors, ones that hold null or non-finite components and rows without an id take no part. Rows that share an id, or repeat whole, each stand for
+    themselves, as queries (each has k rows in the result) and as candidates of all but themselves. Only vectors of one length are compared. Only id and
+    vector are read, so other columns may have any name. An empty table gives an empty result. Scores beyond 64 bits raise.
     """
-    rows = materialise(quantised(vectors, id_col, vec_col, scale))
+    rows = materialise(quantised(vectors, id_col, vec_col, scale).withColumn("row", F.monotonically_increasing_id()))
     square = F.aggregate(F.transform("v", lambda c: c.cast("double") * c), F.lit(0.0), lambda a, b: a + b)
     n, n_q, norm = rows.agg(F.count(F.lit(1)), F.sum((F.col("vec_id") % every == 0).cast("long")), F.max(square)).first()
     norm = float(norm or 0)
@@ -81,25 +89,28 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
         raise OverflowError("scores may exceed 64 bits")
     exact = norm < 2.0**52
     high = int(norm) + 2  # |score| is at most the largest squared norm
+    # few vectors still make a cell for every core
+    candidate_block = min(candidate_block, max(LEAST_BLOCK, -(-int(n) // (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
     q_blocks, c_blocks = max(1, -(-int(n_q or 0) // query_block)), max(1, -(-int(n) // candidate_block))
-    candidates = materialise(_blocks(rows, "c_block", c_blocks).withColumnsRenamed({"ids": "c_ids", "vs": "c_vs"}))
-    queries = materialise(_blocks(rows.filter(F.col("vec_id") % every == 0), "q_block", q_blocks).withColumnsRenamed({"ids": "q_ids", "vs": "q_vs"}))
+    candidates = materialise(_blocks(rows, "c_block", c_blocks).withColumnsRenamed({"ids": "c_ids", "rows": "c_rows", "vs": "c_vs"}))
+    queries = materialise(_blocks(rows.filter(F.col("vec_id") % every == 0), "q_block", q_blocks).withColumnsRenamed({"ids": "q_ids", "rows": "q_rows", "vs": "q_vs"}))
     cells = queries.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    start = queries.select("dim", "q_block", F.explode("q_ids").alias("query_id")).select("dim", "q_block", "query_id", F.lit(-high).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
+    start = queries.select("dim", "q_block", F.explode("q_rows").alias("query")).select("dim", "q_block", "query", F.lit(-high).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
     width = 1 << max(0, (2 * high).bit_length() - BINS)
     state = materialise(start)
-    counted = T.StructType([plain("query_id", T.LongType()), plain("bin", T.LongType()), plain("n", T.LongType())])
+    counted = T.StructType([plain("query", T.LongType()), plain("bin", T.LongType()), plain("n", T.LongType())])
+    needed = ["q_ids", "q_rows", "q_vs", "c_ids", "c_rows", "c_vs", "s"]
     span = 0  # of the range that is divided; at first all there is
 
     def with_state(state: DataFrame) -> DataFrame:
-        packed = state.groupBy("dim", "q_block").agg(F.array_sort(F.collect_list(F.struct("query_id", "low", "need"))).alias("s"))
+        packed = state.groupBy("dim", "q_block").agg(F.array_sort(F.collect_list(F.struct("query", "low", "need"))).alias("s"))
         return cells.join(packed, ["dim", "q_block"]).join(candidates, ["dim", "c_block"])
 
     while True:
 
         def count(batch, width=width, span=span):
             for row in _rows(batch):
-                lows = np.array([x["low"] for x in row["s"]], dtype=np.int64)
+                lows = _lows(row)
                 query, bins, ns = [], [], []
                 for at, s, _ in _scores(row, exact):
                     for j, line in enumerate(s):
@@ -110,51 +121,51 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
                         if len(line) > k:  # no bin below this cell's own kth best can hold the kth of all
                             line = line[line >= low + (int(np.partition(line, len(line) - k)[len(line) - k]) - low) // width * width]
                         found, n = np.unique((line - low) // width, return_counts=True)
-                        query += [row["q_ids"][at + j]] * len(found)
+                        query += [row["q_rows"][at + j]] * len(found)
                         bins += found.tolist()
                         ns += n.tolist()
-                yield {"query_id": query, "bin": bins, "n": ns}
+                yield {"query": query, "bin": bins, "n": ns}
 
-        needed = with_state(state).select("q_ids", "q_vs", "c_ids", "c_vs", "s")
-        hist = map_rows(needed, count, counted).groupBy("query_id", "bin").agg(F.sum("n").alias("n"))
-        above = F.sum("n").over(Window.partitionBy("query_id").orderBy(F.desc("bin"))) - F.col("n")
-        joined = state.join(hist.withColumn("above", above), "query_id", "left")
+        hist = map_rows(with_state(state).select(*needed), count, counted).groupBy("query", "bin").agg(F.sum("n").alias("n"))
+        above = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("bin"))) - F.col("n")
+        joined = state.join(hist.withColumn("above", above), "query", "left")
         # the bin of the kth score; a query with fewer scores keeps its lowest bin
         best = F.max(F.struct((F.col("above") < F.col("need")).alias("ok"), (-F.col("bin")).alias("down"), F.col("above"))).alias("b")
-        state = joined.groupBy("dim", "q_block", "query_id", "low", "need").agg(best)
-        state = materialise(state.select("dim", "q_block", "query_id", (F.col("low") + F.when(F.col("b.ok"), -F.col("b.down")).otherwise(0) * width).alias("low"), (F.col("need") - F.when(F.col("b.ok"), F.col("b.above")).otherwise(0)).alias("need")))
+        state = joined.groupBy("dim", "q_block", "query", "low", "need").agg(best)
+        state = materialise(state.select("dim", "q_block", "query", (F.col("low") + F.when(F.col("b.ok"), -F.col("b.down")).otherwise(0) * width).alias("low"), (F.col("need") - F.when(F.col("b.ok"), F.col("b.above")).otherwise(0)).alias("need")))
         if width == 1:
             break
         span, width = width, max(1, width >> BINS)
 
-    kept = T.StructType([plain("query_id", T.LongType()), plain("vec_id", T.LongType()), plain("score", T.LongType())])
+    kept = T.StructType([plain("query", T.LongType()), plain("query_id", T.LongType()), plain("vec_id", T.LongType()), plain("score", T.LongType())])
 
     def keep(batch):
         least = np.iinfo(np.int64).min
         for row in _rows(batch):
-            query, ids, scores = [], [], []
+            query, asked, ids, scores, lows = [], [], [], [], _lows(row)
             for at, s, cid in _scores(row, exact):
                 for j, line in enumerate(s):
-                    low = row["s"][at + j]["low"]
+                    low = lows[at + j]
                     more = np.flatnonzero(line > low)
                     ties = np.flatnonzero((line == low) & (line > least))
                     ties = ties[np.argsort(cid[ties], kind="stable")][:k]
                     at_all = np.concatenate([more, ties])
-                    query += [row["q_ids"][at + j]] * len(at_all)
+                    query += [row["q_rows"][at + j]] * len(at_all)
+                    asked += [row["q_ids"][at + j]] * len(at_all)
                     ids += cid[at_all].tolist()
                     scores += line[at_all].tolist()
-            yield {"query_id": query, "vec_id": ids, "score": scores}
+            yield {"query": query, "query_id": asked, "vec_id": ids, "score": scores}
 
-    found = map_rows(with_state(state).select("q_ids", "q_vs", "c_ids", "c_vs", "s"), keep, kept)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    found = map_rows(with_state(state).select(*needed), keep, kept)
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 ORACLE = f"""
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
-      FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.vec_id <> q.vec_id AND len(q.v) = len(c.v)),
-r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
+s AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id % {EVERY} = 0 AND c.r <> q.r AND len(q.v) = len(c.v)),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= {K}
 """
