@@ -1,7 +1,7 @@
 """License scans by diagonal voting.
 
-Every document's rolling word k-gram hashes are joined with the template positions of the same hash (the template table is a constant of
-this module or a parameter of bounded size, so it is broadcast). Matches vote for offset diagonals (document position less template position); neighbouring diagonals
+Every document's rolling word k-gram hashes are joined with the template positions of the same hash (the template table is broadcast up to
+BROADCAST_GRAMS rows, and a larger one joined by hash through an exchange, whose hot hashes adaptive execution splits). Matches vote for offset diagonals (document position less template position); neighbouring diagonals
 of one template are merged, which bridges a few words more or less; a merged span is verified by the share of the template's words that
 its matches cover. Matches compare the words themselves, so equal hashes of other words do not count.
 """
@@ -18,7 +18,7 @@ from siltstone.llm.arrowmap import text_of
 GRAM = 3
 TOLERANCE = 3
 COVERAGE = 0.8
-MAX_TEMPLATE_WORDS = 10_000
+BROADCAST_GRAMS = 10_000
 MARK = "\n"  # no gram; stands for the document itself, so that one without a match keeps its row
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -65,35 +65,39 @@ def template_table(templates: tuple[Template, ...], gram: int = GRAM) -> list[tu
         words = t.text.split(" ")
         size = min(gram, len(words))
         out += [(no, t.label, t.base, len(words), size, k, " ".join(words[k : k + size])) for k in range(len(words) - size + 1)]
-    if len(out) > MAX_TEMPLATE_WORDS:
-        raise ValueError("the templates are too long to broadcast")
     return out
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: tuple[Template, ...] = BASE + NOTICES, gram: int = GRAM, tolerance: int = TOLERANCE, coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: tuple[Template, ...] = BASE + NOTICES, gram: int = GRAM, tolerance: int = TOLERANCE, coverage: float = COVERAGE, broadcast_grams: int = BROADCAST_GRAMS) -> DataFrame:
     """One row per input row: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
     spans: array of (label, first, stop, coverage) in words from 0, verified ones only, in order. score: the best coverage, 0 without a span.
-    Null texts are empty: no words, no labels (empty strings), null first and last word. Rows that repeat stay, also in their id. Other columns
-    are not read. An empty table gives an empty result.
+    Null texts are empty: no words, no labels (empty strings), null first and last word. Rows that repeat stay, also in their id; those
+    that agree in id and text are counted before they are dealt out, so many of them, as null ids with empty texts, make no hot task. Other columns
+    are not read, whatever their names. An empty table gives an empty result.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame(template_table(templates, gram), "template int, label string, base boolean, n int, size int, tpos int, gram string")
+    grams_of = template_table(templates, gram)
+    few = len(grams_of) <= broadcast_grams
+    schema = "template int, label string, base boolean, n int, size int, tpos int, words string"
     sizes = sorted({min(gram, len(t.text.split(" "))) for t in templates})
-    row_mark = spark.createDataFrame([(-1, "", False, 0, 0, 0, MARK)], known.schema)
-    table = F.broadcast(known.unionByName(row_mark).withColumnsRenamed({"gram": "words"}).withColumn("hash", F.xxhash64("words")))
+    mark = (-1, "", False, 0, 0, 0, MARK)
+    table = spark.createDataFrame([*grams_of, mark] if few else grams_of, schema).withColumn("hash", F.xxhash64("words"))
 
     words = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).select("_id", F.xxhash64("_text").alias("_key"), words_of(F.col("_text")).alias("words"))
-    grams = words.select("_id", "_key", F.size("words").cast("long").alias("n_words"), F.concat(*[_grams("words", s) for s in sizes], F.array(F.lit(MARK))).alias("grams"))
+    counted = words.withColumn("n_words", F.size("words").cast("long"))
+    grams = counted.select("_id", "_key", "n_words", F.concat(*[_grams("words", s) for s in sizes], F.array([F.lit(MARK)] * few).cast("array<string>")).alias("grams"))
     # outer: a plain explode would make Catalyst filter on the size of an inlined copy of the grams
     each = grams.select("_id", "_key", "n_words", F.posexplode_outer("grams").alias("at", "gram")).withColumn("hash", F.xxhash64("gram"))
     before = {s: sum((F.greatest(F.lit(0), F.col("n_words") - (z - 1)) for z in sizes if z < s), F.lit(0)) for s in sizes}
     pos = F.coalesce(*[F.when(F.col("size") == s, F.col("at") - before[s]) for s in sizes], F.lit(0)).cast("int")
-    found = each.join(table, "hash").filter(F.col("gram") == F.col("words"))
-    hits = found.select("_id", "_key", "n_words", "template", "label", "base", "n", "size", "tpos", pos.alias("pos")).repartition("_id", "_key")
+    found = each.join(F.broadcast(table) if few else table.hint("merge"), "hash").filter(F.col("gram") == F.col("words"))
+    hits = found.select("_id", "_key", "n_words", "template", "label", "base", "n", "size", "tpos", pos.alias("pos"))
+    if not few:
+        hits = hits.unionByName(counted.select("_id", "_key", "n_words", *[F.lit(v).alias(c) for c, v in zip(("template", "label", "base", "n", "size", "tpos"), mark)], F.lit(0).alias("pos")))
 
     row = ["_id", "_key", "n_words", "template", "label", "base", "n"]
-    diagonals = hits.withColumn("diagonal", F.when(F.col("template") < 0, 0).otherwise(F.col("pos") - F.col("tpos"))).groupBy(*row, "size", "diagonal").agg(F.collect_set("tpos").alias("tpos"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("size")).alias("stop"), F.count(F.lit(1)).alias("votes"))
+    diagonals = hits.withColumn("diagonal", F.when(F.col("template") < 0, 0).otherwise(F.col("pos") - F.col("tpos"))).groupBy(*row, "size", "diagonal").agg(F.collect_set("tpos").alias("tpos"), F.min("pos").alias("first"), F.max(F.col("pos") + F.col("size")).alias("stop"), F.count(F.lit(1)).alias("votes")).repartition("_id", "_key")
     w = Window.partitionBy("_id", "_key", "n_words", "template").orderBy("diagonal")
     apart = (F.col("n") == F.col("size")) | F.lag("diagonal").over(w).isNull() | (F.col("diagonal") - F.lag("diagonal").over(w) > tolerance)
     merged = diagonals.withColumn("apart", apart.cast("int")).withColumn("group", F.sum("apart").over(w)).groupBy(*row, "size", "group").agg(F.flatten(F.collect_list("tpos")).alias("tpos"), F.min("first").alias("first"), F.max("stop").alias("stop"), F.sum("votes").alias("votes"))
