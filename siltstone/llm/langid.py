@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowmap import map_rows, plain, windows
+from siltstone.llm.arrowmap import map_rows, plain, sampled, windows
 from siltstone.llm.bpe import batches
 from siltstone.session import ship
 
@@ -30,9 +30,8 @@ FEATURES = 1 << 15
 LEXICON = 4_000
 SAMPLE = 2_000
 SAMPLE_CHARS = 20_000
-SAMPLE_WORDS = 300
 LENGTH = 64
-EPOCHS = 4
+STEPS = 350
 SEGMENT = 256
 WORD = 40
 CACHE_WORDS = 1 << 18
@@ -96,60 +95,54 @@ def _flat(found: list[str], lexicon: dict[str, int]) -> tuple[np.ndarray, np.nda
     return np.fromiter(chain.from_iterable(each), dtype=np.int64, count=int(size.sum())), np.concatenate([[0], np.cumsum(size)[:-1]])
 
 
-def train(texts: list[str], langs: list[str], *, seed: int = 11, epochs: int = EPOCHS, batch: int = 64, rate: float = 0.1) -> Model:
-    """Fit by Adagrad on the likelihood of spliced runs of words."""
+def train(texts: list[str], langs: list[str], *, seed: int = 11, steps: int = STEPS, batch: int = 64, rate: float = 0.1) -> Model:
+    """Fit by ``steps`` of Adagrad on the likelihood of runs of words, drawn from anywhere in the texts and spliced together, however many texts there are."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((0, 0)), np.zeros((0, 0)), np.zeros(0), {})
     rng = np.random.default_rng(seed)
-    no = {x: k for k, x in enumerate(languages)}
-    docs = []
+    numbers: dict[str, int] = {}
+    by: dict[int, list[np.ndarray]] = {}
+    counts: Counter = Counter()
     for t, lang in zip(texts, langs, strict=True):
         found = words(t)
         if found:
-            k = int(rng.integers(0, max(1, len(found) - SAMPLE_WORDS + 1)))
-            docs.append((found[k : k + SAMPLE_WORDS], no[lang]))
+            counts.update(found)
+            by.setdefault(languages.index(lang), []).append(np.array([numbers.setdefault(w, len(numbers)) for w in found], dtype=np.int32))
     n = len(languages)
-    counts = Counter(w for d, _ in docs for w in d)
     lexicon = {w: FEATURES + k for k, (w, _) in enumerate(sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:LEXICON])}
     model = Model(languages, np.zeros((FEATURES + len(lexicon), n)), np.zeros((n, n)), np.zeros(n), lexicon)
-    if not docs or n == 1:
+    if not by or n == 1:
         return model
-    by = [[d for d, k in docs if k == lang] for lang in range(n)]
-    by = {k: v for k, v in enumerate(by) if v}
-    numbers = {w: k for k, w in enumerate(counts)}
-    flat, starts = _flat(list(counts), lexicon)
-    ends = np.concatenate([starts[1:], [len(flat)]])
-    total = sum(len(d) for d, _ in docs)
+    known, drawn, vocabulary = sorted(by), {}, list(numbers)
     sums = {k: np.full_like(getattr(model, k), 1e-2) for k in ("weights", "transitions", "start")}
-    for _ in range(epochs):
-        for _ in range(max(1, total // (LENGTH * batch))):
-            x, y = np.zeros((batch, LENGTH), dtype=np.int64), np.zeros((batch, LENGTH), dtype=np.int64)
-            for b in range(batch):
-                at = 0
-                while at < LENGTH:
-                    lang = list(by)[int(rng.integers(0, len(by)))]
-                    d = by[lang][int(rng.integers(0, len(by[lang])))]
-                    run = min(LENGTH - at, int(rng.integers(4, 48)), len(d))
-                    k = int(rng.integers(0, len(d) - run + 1))
-                    x[b, at : at + run] = [numbers[w] for w in d[k : k + run]]
-                    y[b, at : at + run] = lang
-                    at += run
-            used, inverse = np.unique(x, return_inverse=True)
-            spans = [np.arange(a, z) for a, z in zip(starts[used].tolist(), ends[used].tolist(), strict=True)]
-            size = np.array([len(s) for s in spans])
-            feats = flat[np.concatenate(spans)]
-            emission = np.add.reduceat(model.weights[feats], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
-            e = np.exp(emission - emission.max(axis=1, keepdims=True))[inverse.reshape(x.shape)]
-            g_e, g_t, g_s = _gradient(model, e, y)
-            per_word = np.zeros((len(used), n))
-            np.add.at(per_word, inverse.ravel(), g_e.reshape(-1, n))
-            spread = np.repeat(per_word, size, axis=0)
-            g_w = np.stack([np.bincount(feats, weights=spread[:, k], minlength=len(model.weights)) for k in range(n)], axis=1)
-            for k, g in (("weights", g_w), ("transitions", g_t), ("start", g_s)):
-                g = g / batch
-                sums[k] += g * g
-                setattr(model, k, getattr(model, k) - rate * g / np.sqrt(sums[k]))
+    for _ in range(steps):
+        x, y = np.zeros((batch, LENGTH), dtype=np.int64), np.zeros((batch, LENGTH), dtype=np.int64)
+        for b in range(batch):
+            at = 0
+            while at < LENGTH:
+                lang = known[int(rng.integers(0, len(known)))]
+                d = by[lang][int(rng.integers(0, len(by[lang])))]
+                run = min(LENGTH - at, int(rng.integers(4, 48)), len(d))
+                k = int(rng.integers(0, len(d) - run + 1))
+                x[b, at : at + run] = d[k : k + run]
+                y[b, at : at + run] = lang
+                at += run
+        used, inverse = np.unique(x, return_inverse=True)
+        each = [drawn.get(w) if w in drawn else drawn.setdefault(w, np.array(features(vocabulary[w], lexicon), dtype=np.int64)) for w in used.tolist()]
+        size = np.array([len(f) for f in each])
+        feats = np.concatenate(each)
+        emission = np.add.reduceat(model.weights[feats], np.concatenate([[0], np.cumsum(size)[:-1]]), axis=0)
+        e = np.exp(emission - emission.max(axis=1, keepdims=True))[inverse.reshape(x.shape)]
+        g_e, g_t, g_s = _gradient(model, e, y)
+        per_word = np.zeros((len(used), n))
+        np.add.at(per_word, inverse.ravel(), g_e.reshape(-1, n))
+        spread = np.repeat(per_word, size, axis=0)
+        g_w = np.stack([np.bincount(feats, weights=spread[:, k], minlength=len(model.weights)) for k in range(n)], axis=1)
+        for k, g in (("weights", g_w), ("transitions", g_t), ("start", g_s)):
+            g = g / batch
+            sums[k] += g * g
+            setattr(model, k, getattr(model, k) - rate * g / np.sqrt(sums[k]))
     return model
 
 
@@ -267,9 +260,9 @@ class Labeller:
         total = sum(map(len, groups))
         return self.table[np.fromiter(map(get, chain.from_iterable(groups)), dtype=np.int64, count=total)]
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        """(language, score) of each text; und with score 0 without a letter, or if no language was learned."""
-        out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, sureness) of each text; und with score 0 without a letter, or if no language was learned. Sureness: the mean over the words of the largest posterior, whichever language has it."""
+        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
         at = 0
         for group in batches("" if t is None else t for t in texts):
             found = [words(t) for t in group]
@@ -279,9 +272,10 @@ class Labeller:
                 starts = np.cumsum(sizes) - sizes
                 post = posteriors(self.model, self.emissions([found[k] for k in here]), starts, sizes)
                 share = np.add.reduceat(post, starts, axis=0) / sizes[:, None]
-                for k, row in zip(here, share, strict=True):
+                sure = np.add.reduceat(post.max(axis=1), starts) / sizes
+                for k, row, x in zip(here, share, sure.tolist(), strict=True):
                     best = int(row.argmax())
-                    out[at + k] = (self.model.languages[best], min(1.0, float(row[best])))
+                    out[at + k] = (self.model.languages[best], min(1.0, float(row[best])), min(1.0, x))
             at += len(group)
         return out
 
@@ -300,15 +294,14 @@ def held_out(id_col: str, parts: int = 3, part: int = 1):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """The model, from at most ``rows`` texts, of any length, that are not held out, by a hash of the id; texts over ``chars`` characters as windows over all of them."""
+    """The model, from at most ``rows`` texts, of any length, that are not held out, by a hash of the row; texts over ``chars`` characters as windows over all of them.
+
+    Rows without a text or a language are not learned from. Rows that repeat, also in their id, count as often as they occur.
+    """
     usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    ids = [r["_id"] for r in usable.select(F.col(id_col).alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()]
-    if not ids:
-        return train([], [])
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(ids)], T.StructType([plain("_id", docs.schema[id_col].dataType)]))
-    got = usable.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")).join(F.broadcast(chosen), "_id").select("_id", windows(F.col("_text"), chars).alias("_text"), "_lang")
-    got = sorted((r["_id"], r["_text"], r["_lang"]) for r in got.limit(2 * rows).collect())
-    return train([t for _, t, _ in got], [x for _, _, x in got])
+    texts = usable.select(F.col(id_col).alias("_id"), windows(F.col(text_col), chars).alias("_text"), F.col(lang_col).alias("_lang"))
+    got = sampled(texts, ["_id", "_text", "_lang"], rows).collect()
+    return train([r["_text"] for r in got], [r["_lang"] for r in got])
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,21 +318,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if "labeller" not in held:
             held["labeller"] = Labeller(shared.value)
         found = held["labeller"].label(batch.column(2).to_pylist())
-        yield {id_col: batch.column(0), "held_out": batch.column(1), "lang_pred": [x for x, _ in found], "score": [s for _, s in found]}
+        yield {id_col: batch.column(0), "held_out": batch.column(1), "lang_pred": [x for x, _, _ in found], "score": [s for _, s, _ in found]}
 
     return map_rows(docs.select(F.col(id_col), held_out(id_col).alias("_held"), F.col(text_col).cast("string").alias("_text")), run, schema)
 
 
 def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """(lang, score) of each row's text as a column, for filters that keep all columns of docs."""
+    """(lang, score, sure) of each row's text as a column, for filters that keep all columns of docs."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = {}
 
-    @F.pandas_udf("lang string, score double")
+    @F.pandas_udf("lang string, score double, sure double")
     def run(texts: pd.Series) -> pd.DataFrame:
         if "labeller" not in held:
             held["labeller"] = Labeller(shared.value)
-        return pd.DataFrame(held["labeller"].label(list(texts)), columns=["lang", "score"])
+        return pd.DataFrame(held["labeller"].label(list(texts)), columns=["lang", "score", "sure"])
 
     return run(F.col(text_col).cast("string"))

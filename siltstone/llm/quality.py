@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowmap import map_rows, plain, text_of, windows
+from siltstone.llm.arrowmap import map_rows, plain, sampled, text_of, windows
 from siltstone.session import ship
 
 WIDTH = 5
@@ -78,7 +78,7 @@ def probability(net: Net, text: str) -> float:
 
 
 def train(texts: list[str], labels: list[int], *, seed: int = 7, steps: int = STEPS, filters: int = FILTERS, batch: int = 32, rate: float = 0.02) -> Net:
-    """Fit by ``steps`` of Adam on the log loss, however many rows there are. Longer texts show one window of CROP characters a time, each at a place of its own."""
+    """Fit by ``steps`` of Adam on the log loss, however many rows there are. Of a longer text each step that meets it shows CROP characters at a place drawn anew from all of it."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Net(constant=float(y[0]) if len(y) else 1.0)
@@ -138,17 +138,18 @@ def _gradient(net: Net, x: np.ndarray, y: float, g: dict) -> None:
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts, of any length, by a hash of the id, those over ``chars`` characters as windows over all of them; held-out ids are left to the caller."""
+    """At most ``rows`` labelled texts, of any length, by a hash of the id, those over ``chars`` characters as windows over all of them; held-out ids are left to the caller.
+
+    An id with several labels has the largest. Of documents that share a sampled id all are taken, in order of id, text hash and text, ``rows`` at most. Null ids have no label.
+    """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
-    ids = [r["_id"] for r in known.select("_id").orderBy(F.xxhash64("_id"), "_id").limit(rows).collect()]
-    if not ids:
+    wanted = sampled(known, ["_id"], rows).collect()
+    if not wanted:
         return [], []
-    chosen = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([plain("_id", labels.schema[id_col].dataType)]))
-    wanted = known.join(F.broadcast(chosen), "_id")
-    wanted = docs.sparkSession.createDataFrame(wanted.collect(), wanted.schema)
-    found = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(wanted), "_id").select("_id", windows(F.col("_text"), chars).alias("_text"), "_y")
-    got = sorted((r["_id"], r["_text"], int(r["_y"])) for r in found.limit(2 * rows).collect())
-    return [t for _, t, _ in got], [y for _, _, y in got]
+    wanted = docs.sparkSession.createDataFrame(wanted, known.schema)  # ``rows`` rows at most
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(wanted), "_id").select("_id", windows(F.col("_text"), chars).alias("_text"), "_y")
+    got = texts.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_text").limit(rows).collect()
+    return [r["_text"] for r in got], [int(r["_y"]) for r in got]
 
 
 def held_out(id_col: str, parts: int = 4, part: int = 2):

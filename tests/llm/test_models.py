@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from siltstone.llm import exact_dedup, langid, packing, quality, queries, simhash
+from siltstone.llm import exact_dedup, langid, quality, queries
+from tests.llm.test_dedup import brute_components, brute_fingerprint
 
 LARGER = "/root/testdata/sf0.01"
 
@@ -158,46 +163,120 @@ def test_switches_are_followed(model):
     assert labels[0] == "en" and labels[-1] == "de" and sum(a != b for a, b in itertools.pairwise(labels)) <= 3
 
 
-def test_pipeline_is_its_parts(spark, sf, net):
-    """Each stage against a plain reading of its rule, on its own input."""
+def brute_quality(net, text):
+    """The probability by plain loops over every position of the text."""
+    raw = list(text.encode())
+    positions = max(1, len(raw) - quality.WIDTH + 1)
+    positions += -positions % quality.BLOCK
+    raw += [0] * (positions + quality.WIDTH - 1 - len(raw))
+    f = net.filters.shape[2]
+    response = [[sum(float(net.filters[j][raw[p + j]][k]) for j in range(quality.WIDTH)) + float(net.bias[k]) for k in range(f)] for p in range(positions)]
+    size = 2 * quality.BLOCK
+    starts = range(0, max(1, positions - quality.BLOCK), quality.BLOCK)
+    chunks = [[max(0.0, *(row[k] for row in response[p : p + size])) for k in range(f)] for p in starts]
+    pooled = [max(c[k] for c in chunks) for k in range(f)] + [sum(c[k] for c in chunks) / len(chunks) for k in range(f)]
+    return 1 / (1 + math.exp(-(sum(a * float(w) for a, w in zip(pooled, net.top, strict=True)) + net.offset)))
+
+
+def brute_language(model, text):
+    """(language, share) by plain forward-backward over the whole text."""
+    runs = re.findall(r"[^\W\d_]+", (text or "").lower())
+    found = []
+    for r in runs:
+        n = -(-len(r) // 40)
+        found += [r[len(r) * k // n : len(r) * (k + 1) // n] for k in range(n)]
+    found = [w for w in found if any(map(str.isalpha, w))]
+    if not found:
+        return "und", 0.0, 0.0
+    n = len(model.languages)
+    emit = []
+    for w in found:
+        m = f"^{w}$"
+        grams = {m[:4], m[-4:], *(m[k : k + 2] for k in range(len(m) - 1)), *(m[k : k + 3] for k in range(len(m) - 2))}
+        at = [zlib.crc32(g.encode()) % langid.FEATURES for g in grams] + ([model.lexicon[w]] if w in model.lexicon else [])
+        z = [sum(model.weights[i][k] for i in at) for k in range(n)]
+        emit.append([math.exp(max(-30.0, x - max(z))) for x in z])
+    norm = lambda v: [x / sum(v) for x in v]
+    t = np.exp(model.transitions)
+    forward = [norm([math.exp(model.start[k]) * emit[0][k] for k in range(n)])]
+    for e in emit[1:]:
+        forward.append(norm([sum(forward[-1][j] * t[j][k] for j in range(n)) * e[k] for k in range(n)]))
+    backward = [[1.0] * n]
+    for e in emit[:0:-1]:
+        backward.append(norm([sum(t[k][j] * e[j] * backward[-1][j] for j in range(n)) for k in range(n)]))
+    each = [norm([f * b for f, b in zip(x, y, strict=True)]) for x, y in zip(forward, reversed(backward), strict=True)]
+    share = np.mean(each, axis=0)
+    return model.languages[int(share.argmax())], float(share.max()), sum(map(max, each)) / len(each)
+
+
+def test_query_op5(spark, sf):
+    """The registered query: every document, scores as plain loops have them, labels of held-out rows without influence."""
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    got = {r.doc_id: r for r in queries.op5_quality(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts) and all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) and r.predicted == int(r.score >= 0.7) for d, r in got.items())
+    net = quality.fit(docs, labels.withColumn("quality", F.when(quality.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality"))))
+    for d in sorted(texts, key=lambda d: len(texts[d] or ""))[::12]:
+        assert got[d].score == pytest.approx(brute_quality(net, texts[d] or ""), abs=1e-4)
+
+
+def test_query_op10(spark, sf):
+    """The registered query: every document, shares as plain forward-backward has them, languages of held-out rows without influence."""
     docs = queries.table(spark, sf, "documents")
-    given = {r.doc_id: r.text for r in docs.collect()}
-    q = quality.fit(docs, queries.table(spark, sf, "labels"))
-    m = langid.Labeller(langid.fit(docs))
+    got = {r.doc_id: r for r in queries.op10_langid(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert set(got) == set(texts) and all(r.held_out == (zlib.crc32(str(d).encode()) % 3 == 1) for d, r in got.items())
+    model = langid.fit(docs.withColumn("lang", F.when(langid.held_out("doc_id"), F.lit("zz")).otherwise(F.col("lang"))))
+    assert "zz" not in model.languages
+    for d in sorted(texts, key=lambda d: len(texts[d] or ""))[::12]:
+        lang, share, _ = brute_language(model, texts[d])
+        assert got[d].lang_pred == lang and got[d].score == pytest.approx(share, abs=1e-6)
+
+
+def test_samples_are_the_same_at_every_run(spark):
+    rows = [(k % 40, f"text {k}", "en" if k % 3 else "fr") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 2, "doc_id long, quality int")
+    one, other = quality.sample(docs.repartition(5), labels, rows=30), quality.sample(docs.repartition(3, "text"), labels.repartition(4), rows=30)
+    assert one == other and len(one[0]) == 30
+    a, b = langid.fit(docs.repartition(5), rows=50), langid.fit(docs.repartition(3, "text"), rows=50)
+    assert a.lexicon == b.lexicon and np.array_equal(a.weights, b.weights)
+
+
+def test_pipeline_is_its_parts(spark, sf):
+    """The whole pipeline and each stage's output against readings of the rules that share no code with the operators but the two fitted models."""
+    tables = {name: queries.table(spark, sf, name) for name in ("documents", "labels")}
+    docs = tables["documents"]
+    given = {r.doc_id: r.text or "" for r in docs.collect()}
+    net, model = quality.fit(docs, tables["labels"]), langid.fit(docs)
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         docs = corpus_pipeline.materialise(stage(spark, docs, sf))
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-        kept[name] = {r.doc_id: r.text for r in docs.collect()}
-    want = {d: t for d, t in given.items() if quality.probability(q, t) >= quality.THRESHOLD}
+        kept[name] = {r.doc_id: r.text or "" for r in docs.collect()}
+    scores = {d: brute_quality(net, t) if len(t) < 2500 else None for d, t in given.items()}
+    want = {d: t for d, t in given.items() if (scores[d] >= 0.7 if scores[d] is not None else d in kept["quality_classifier"])}
     assert kept["quality_classifier"] == want and 0 < len(want) < len(given)
-    want = {d: t for d, t in want.items() if m.label([t])[0][0] != "und" and m.label([t])[0][1] >= corpus_pipeline.LEAST_SHARE}
+    want = {d: t for d, t in want.items() if (brute_language(model, t)[2] >= 0.5 if len(t) < 2500 else d in kept["language_id"])}
     assert kept["language_id"] == want
     firsts = {}
     for d in sorted(want):
-        firsts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", want[d] or ""), d)
+        firsts.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", want[d]), d)
     want = {d: want[d] for d in firsts.values()}
     assert kept["exact_dedup"] == want
     ids = sorted(want)
-    prints = [simhash.fingerprint(want[d]) for d in ids]
-    root = list(range(len(ids)))
-    changed = True
-    while changed:
-        changed = False
-        for i in range(len(ids)):
-            for j in range(i):
-                if root[i] != root[j] and (prints[i] ^ prints[j]).bit_count() <= 3:
-                    root[i] = root[j] = min(root[i], root[j])
-                    changed = True
-    want = {d: want[d] for k, d in enumerate(ids) if root[k] == k}
+    roots = brute_components([brute_fingerprint(want[d]) for d in ids])
+    want = {d: want[d] for k, d in enumerate(ids) if roots[k] == k}
     assert kept["simhash_near_dedup"] == want
-    rows = corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()
-    assert {r.doc_id for r in rows} == set(want)
-    by = defaultdict(list)
-    for r in rows:
-        by[r.sequence_id].append((r.offset, r.length))
-    for parts in by.values():
-        assert sum(n for _, n in parts) <= packing.CAPACITY and [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    for rows in (corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect(), corpus_pipeline.run(spark, sf).collect()):
+        by, sizes = defaultdict(list), defaultdict(int)
+        for r in rows:
+            by[r.sequence_id].append((r.offset, r.length))
+            sizes[r.doc_id] += r.length
+        assert sizes == {d: len(tok.encode(t, add_special_tokens=False).ids) + 1 for d, t in want.items()}
+        for parts in by.values():
+            assert sum(n for _, n in parts) <= 1024 and [o for o, _ in sorted(parts)] == [sum(n for _, n in sorted(parts)[:k]) for k in range(len(parts))]
 
 
 def test_near_copies_go_by_row(spark, sf):
@@ -215,11 +294,26 @@ def test_near_copies_go_by_row(spark, sf):
 
 
 def test_pipeline_stages_take_odd_rows(spark, sf):
+    """Null, empty, repeated and clashing: every stage keeps all columns as they are."""
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "of the and that this with from", "en", "s", 1), (3, "of the and that this with from", "en", "s", 1), (3, "of the and that this is other", "en", "s", 1), (None, "of the and with that", None, None, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
-    for _, stage in corpus_pipeline.STAGES:
-        stage(spark, docs, sf).collect()
+    clashing = ["_keep", "_found", "_sha", "_n", "_row", "_text_sha", "_k", "_id", "score", "row"]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs = plain.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in clashing])
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, sf)
+        if name != "best_fit_packing":
+            assert got.columns == docs.columns
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for r in got.collect() for c in clashing)
+            assert sorted(map(repr, got.select(*plain.columns).collect())) == sorted(map(repr, stage(spark, plain, sf).collect()))
+        got.collect()
         assert stage(spark, docs.limit(0), sf).count() == 0
     kept = corpus_pipeline.drop_copies(spark, docs, sf).collect()
     want = sorted(r.text_sha256 for r in exact_dedup.exact_dedup(docs).collect() if r.kept)
     assert len(kept) == len(want) == 4
+
+
+def test_mixed_texts_are_kept(spark, sf):
+    """A clean text in three languages by turns stays, though none has half of its words; what no language knows goes."""
+    parts = ["the and of with that this from have", "der die und nicht sich mit auch ein", "le la des et une dans pour que"]
+    docs = spark.createDataFrame([(1, " ".join(parts * 9), "en", "s", 1), (2, "12 34 -- ..", "en", "s", 1), (3, None, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r.doc_id for r in corpus_pipeline.keep_language(spark, docs, sf).collect()] == [1]
