@@ -1,7 +1,9 @@
 """A training corpus from documents: quality, language, exact and near duplicates, packing.
 
-Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents. The duplicate
-stages decide by row, not by id: rows that share an id, or have none, stand for themselves.
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns of documents, and any others that
+docs has, whatever their names. Null texts are empty ones; very long texts are judged whole; an empty table stays empty. The two filters judge every row by its text
+alone, so rows that repeat go or stay together, null ids included. The duplicate stages decide by row, not by id: rows that share an id, or have none,
+stand for themselves.
 """
 
 from __future__ import annotations
@@ -11,17 +13,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.llm import exact_dedup, langid, packing, quality, simhash
-from siltstone.llm.arrowmap import text_of
+from siltstone.llm.arrowmap import fresh, text_of
 from siltstone.llm.queries import table
-from siltstone.session import materialise
+from siltstone.session import materialise, scratch
 
-#: A language is accepted from this share of a text's words on.
-LEAST_SHARE = 0.4
+#: The mean over a text's words of the largest posterior, from which on a language is accepted.
+LEAST_SURE = 0.5
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is in ids (column _keep); the small side is hashed, so texts are not sorted."""
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
+def _one_of_each(docs: DataFrame, kept: DataFrame, sha) -> DataFrame:
+    """The rows of docs whose (doc_id, hash of the text) is in kept (id, sha, n: how many rows of docs have both), one of each.
+
+    The small side is hashed, so texts are neither sorted nor sent twice unless some rows repeat.
+    """
+    at, number = fresh(docs, "sha_of_text", "copy")
+    rows = docs.withColumn(at, sha)
+    found = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(kept["id"]) & (rows[at] == kept["sha"]), "left_semi")
+    if not kept.filter("n > 1").isEmpty():
+        found = found.withColumn(number, F.row_number().over(Window.partitionBy("doc_id", at).orderBy(at))).filter(F.col(number) == 1)
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,45 +41,32 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und``, and LEAST_SHARE of the words or more."""
+    """Documents whose words the model places: not ``und``, and LEAST_SURE at least, whether one language has most of the words or several share them. If no language was learned, none can be told, and all stay."""
     model = langid.fit(table(spark, sf_dir, "documents"))
     if not model.languages:
         return docs
-    found = docs.withColumn("_found", langid.predictions(docs, model))
-    return found.filter((F.col("_found.lang") != langid.UNKNOWN) & (F.col("_found.score") >= LEAST_SHARE)).select(*docs.columns)
+    found = langid.predictions(docs, model)
+    return docs.filter((found["lang"] != langid.UNKNOWN) & (found["sure"] >= LEAST_SURE))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal ones."""
-    found = materialise(exact_dedup.exact_dedup(docs))
-    kept = _keep(docs, found.filter("kept").select(F.col("doc_id").alias("_keep")))
-    if found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
-        return kept
-    # an id on several rows: those of a dropped text go by the text's hash, of repeated rows one stays
-    sha = F.sha2(exact_dedup.normalised(text_of("text")), 256)
-    rows = kept.withColumn("_sha", sha).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_sha").orderBy("_sha")))
-    ids = found.filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_kept_sha"))
-    return rows.filter("_n = 1").join(ids, rows["doc_id"].eqNullSafe(ids["_id"]) & (rows["_sha"] == ids["_kept_sha"]), "left_semi").select(*docs.columns)
+    """One document of each group of equal ones, the one with the smallest id; null ids go last."""
+    found = exact_dedup.exact_dedup(docs)
+    each = found.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    return _one_of_each(docs, materialise(each.filter("kept").select("id", "sha", "n")), F.sha2(exact_dedup.normalised(text_of("text")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; of several with that id the one with the least hash. Null ids sort last."""
     sha = F.sha2(text_of("text"), 256)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), sha.alias("sha"))
-    keyed = docs.withColumn("_row", row)
-    found = materialise(simhash.near_duplicates(keyed, "_row"))
-    kept = found.filter(F.col("_row") == F.col("component_id")).groupBy("_row").agg(F.count(F.lit(1)).alias("_n"))
-    kept = materialise(kept.select(F.col("_row.id").alias("_id"), F.col("_row.sha").alias("_sha"), "_n"))
-    shas = docs.withColumn("_text_sha", sha)
-    rows = shas.join(kept.hint("shuffle_hash"), shas["doc_id"].eqNullSafe(kept["_id"]) & (shas["_text_sha"] == kept["_sha"]), "left_semi")
-    if kept.filter("_n > 1").isEmpty():
-        return rows.select(*docs.columns)
-    # of rows that repeat in id and text one stays
-    return rows.withColumn("_k", F.row_number().over(Window.partitionBy("doc_id", "_text_sha").orderBy("_text_sha"))).filter("_k = 1").select(*docs.columns)
+    found = materialise(simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row"))
+    kept = found.filter(F.col("row") == F.col("component_id")).groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+    return _one_of_each(docs, materialise(kept.select("row.id", "row.sha", "n")), sha)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 1024 tokens."""
+    """Pieces of all documents in sequences of at most 1024 tokens."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
@@ -79,8 +76,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written once in the shared folder and read by the next."""
+    """All stages over documents; each stage's rows are written once in the shared folder and read by the next. What a stage wrote besides goes when its rows are written, and so do its predecessor's."""
     docs = table(spark, sf_dir, "documents")
+    before = None
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark) as held:
+            docs = materialise(stage(spark, docs, sf_dir))
+            last = held.keep()
+        if before:
+            held.remove(before)
+        before = last
     return STAGES[-1][1](spark, docs, sf_dir)
