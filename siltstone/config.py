@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import math
+import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
@@ -138,3 +140,53 @@ def load(value: Mapping) -> Config:
         RunRecord(_flag(r.get("enabled", False), "runRecord.enabled"), _number(r.get("maxEntries", 200), "runRecord.maxEntries", 1, whole=True), _number(r.get("snapshotChars", 0), "runRecord.snapshotChars", 0, whole=True), _name(r.get("path", ""), "runRecord.path", True)),
         old,
     )
+
+
+class Conflict(RuntimeError):
+    """Somebody else has written the configuration since it was read."""
+
+
+def revision(value: Mapping) -> str:
+    """What tells one version of a configuration from another: 32-bit FNV-1a of its JSON over UTF-16 code units, in base 36."""
+    h = 2166136261
+    raw = json.dumps(value, sort_keys=True, ensure_ascii=False).encode("utf-16-be", "surrogatepass")
+    for k in range(0, len(raw), 2):
+        h = ((h ^ (raw[k] << 8 | raw[k + 1])) * 16777619) & 0xFFFFFFFF
+    digits = ""
+    while h or not digits:
+        h, r = divmod(h, 36)
+        digits = "0123456789abcdefghijklmnopqrstuvwxyz"[r] + digits
+    return digits
+
+
+def save(path: str, value: Mapping, expected: str | None) -> str:
+    """Validate a configuration and write it over the one at ``path`` if that is still of the expected revision (None: there is none yet); returns the new revision.
+
+    ConfigError if it is unsound, Conflict if the revision differs; in both cases the file stays as it is. It is replaced in one step.
+    """
+    load(value)
+    found = read(path) if os.path.exists(path) else None
+    if (None if found is None else revision(found)) != expected:
+        raise Conflict(path)
+    with open(f"{path}.tmp", "w", encoding="utf-8") as f:
+        json.dump(value, f, ensure_ascii=False, indent=2)
+    os.replace(f"{path}.tmp", path)
+    return revision(value)
+
+
+def read(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+def reload(path: str, current: Config) -> tuple[Config, str | None]:
+    """(configuration, error): the one at ``path``, or the current one and what is wrong if that cannot be used."""
+    try:
+        return load(read(path)), None
+    except (ConfigError, OSError, ValueError) as e:
+        return current, str(e)
+
+
+def log_path(explicit: str = "", home: str = "") -> str:
+    """Where the run log is: the explicit path, else under ``home``/storages, else under the user's own folder."""
+    return explicit or os.path.join(home or os.path.join(os.path.expanduser("~"), ".siltstone"), "storages", "runs")

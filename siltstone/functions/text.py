@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,14 +23,38 @@ def length16(text: Column) -> Column:
     return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
 
 
+def left16(text: Column, units: int) -> Column:
+    """The first ``units`` UTF-16 code units; half of a surrogate pair at the cut becomes U+FFFD."""
+    return _half(text, F.substring(F.encode(text, "UTF-16BE"), 1, 2 * units), -2, ("D8", "D9", "DA", "DB"), units)
+
+
+def right16(text: Column, units: int) -> Column:
+    """The last ``units`` UTF-16 code units; half of a surrogate pair at the cut becomes U+FFFD."""
+    if units == 0:
+        return F.lit("")
+    return _half(text, F.substring(F.encode(text, "UTF-16BE"), -2 * units, 2 * units), 1, ("DC", "DD", "DE", "DF"), units)
+
+
+def _half(text: Column, raw: Column, at: int, halves: tuple[str, ...], units: int) -> Column:
+    split = F.hex(F.substring(raw, at, 1)).isin(*halves) & (length16(text) > units)
+    size = F.octet_length(raw)
+    sound = F.substring(raw, F.lit(1), size - 2) if at < 0 else F.substring(raw, F.lit(3), size)
+    cut = F.decode(F.when(split, sound).otherwise(raw), "UTF-16BE")
+    return F.when(split, F.concat(cut, F.lit("\ufffd")) if at < 0 else F.concat(F.lit("\ufffd"), cut)).otherwise(cut)
+
+
+#: What a text costs, as a function of columns: chars4, or functions.tokens.counter() for a vocabulary.
+TokenCost = Callable[[Column], Column]
+
+
 def chars4(text: Column) -> Column:
     """Token estimate: a quarter of the UTF-16 length, rounded up."""
     return F.ceil(length16(text) / 4).cast("long")
 
 
-def line_cost(line: Column) -> Column:
+def line_cost(line: Column, cost: TokenCost = chars4) -> Column:
     """A line's tokens and its newline."""
-    return chars4(line) + 1
+    return cost(line) + 1
 
 
 def trimmed(text: Column) -> Column:
@@ -55,8 +80,8 @@ def route_key(provider: Column, model: Column) -> Column:
 
 
 def cut(text: Column, limit: int) -> Column:
-    """At most limit characters, the last one an ellipsis if something went."""
-    return F.when(length16(text) > limit, F.concat(F.substring(text, 1, limit - 1), F.lit("…"))).otherwise(text)
+    """At most limit UTF-16 code units, the last one an ellipsis if something went."""
+    return F.when(length16(text) > limit, F.concat(left16(text, limit - 1), F.lit("…"))).otherwise(text)
 
 
 def preview(text: Column, limit: int = 80) -> Column:
@@ -64,13 +89,11 @@ def preview(text: Column, limit: int = 80) -> Column:
 
 
 def cap_snapshot(text: Column, chars: int) -> Column:
-    """Head (80 %) and tail with a note of what was elided; all of it for chars <= 0."""
+    """Head (80 %) and tail with a note of what was elided, in UTF-16 code units; all of it for chars <= 0."""
     if chars <= 0:
         return text
     head = int(chars * SNAPSHOT_HEAD)
-    tail = chars - head
-    end = F.expr("''") if tail == 0 else F.right(text, F.lit(tail))
-    capped = F.concat(F.substring(text, 1, head), F.lit("\n…[elided "), (length16(text) - chars).cast("string"), F.lit(" chars]…\n"), end)
+    capped = F.concat(left16(text, head), F.lit("\n…[elided "), (length16(text) - chars).cast("string"), F.lit(" chars]…\n"), right16(text, chars - head))
     return F.when(length16(text) > chars, capped).otherwise(text)
 
 
@@ -84,18 +107,11 @@ def describe_error(messages: Column, limit: int = 600) -> Column:
 
 def fnv1a(text: Column) -> Column:
     """32-bit FNV-1a over UTF-16 code units, unsigned."""
-
-    def one(value):
-        h = 2166136261
-        raw = value.encode("utf-16-be", "surrogatepass")
-        for k in range(0, len(raw), 2):
-            h = ((h ^ (raw[k] << 8 | raw[k + 1])) * 16777619) & 0xFFFFFFFF
-        return h
-
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(one, na_action="ignore").astype("Int64")
-
-    return F.pandas_udf(run, "long")(text)
+    raw = F.encode(text, "UTF-16BE")
+    count = (F.octet_length(raw) / 2).cast("int")
+    places = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
+    unit = lambda k: F.conv(F.hex(F.substring(raw, k * 2 - 1, F.lit(2))), 16, 10).cast("long")
+    return F.aggregate(places, F.lit(2166136261).cast("long"), lambda h, k: (h.bitwiseXOR(unit(k)) * 16777619).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
 
 
 def base36(number: Column, upper: bool = True) -> Column:

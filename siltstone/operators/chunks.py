@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.functions import budget
-from siltstone.functions.text import boundary, line_cost
+from siltstone.functions.text import TokenCost, boundary, chars4, line_cost
 from siltstone.session import ship
 
 ALIGN_LINES = 12
@@ -37,14 +37,16 @@ def slice_at(sums: np.ndarray, good: np.ndarray, start: int, tokens: int, overla
     return aligned, back if back > start else aligned
 
 
-def chunk_lines(lines: DataFrame, budgets: list[tuple[int, int]]) -> DataFrame:
+def chunk_lines(lines: DataFrame, budgets: list[tuple[int, int]], cost: TokenCost = chars4) -> DataFrame:
     """doc_id, chunk, route, line_start, line_end, core_start, core_end, tokens, core_tokens (half open, from 0).
 
     budgets: (chunk tokens, overlap tokens) of the routes that take turns; chunk k goes to route k modulo their number. Cores tile the document.
+    Of a document, a number and a flag a line are gathered in one row; its lines stay where they are.
     """
     ship(lines.sparkSession)
-    row = F.struct("line_no", line_cost(F.col("line")).alias("cost"), boundary(F.col("line")).alias("good"))
-    docs = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("doc_id", F.col("rows.cost").alias("cost"), F.col("rows.good").alias("good"))
+    row = F.struct("line_no", "cost", "good")
+    priced = lines.select("doc_id", "line_no", line_cost(F.col("line"), cost).alias("cost"), boundary(F.col("line")).alias("good"))
+    docs = priced.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("doc_id", F.col("rows.cost").alias("cost"), F.col("rows.good").alias("good"))
     schema = T.StructType.fromDDL(SLICES.format(key=lines.schema["doc_id"].dataType.simpleString()))
 
     def run(it):
@@ -86,21 +88,22 @@ def digest_caps(chunks: DataFrame, usable: int) -> DataFrame:
 
 
 def chunk_text(lines: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunk, line_no, line): the lines of every chunk, overlaps included."""
-    c = chunks.select("doc_id", "chunk", "line_start", "line_end")
-    return lines.join(c, "doc_id").filter((F.col("line_no") >= F.col("line_start")) & (F.col("line_no") < F.col("line_end"))).select("doc_id", "chunk", "line_no", "line")
+    """(doc_id, chunk, line_no, line): the lines of every chunk, overlaps included; joined by document and line, so a long document's chunks do not meet all of its lines."""
+    wanted = chunks.select("doc_id", "chunk", F.explode(F.sequence("line_start", F.col("line_end") - 1)).alias("line_no"))
+    return lines.join(wanted, ["doc_id", "line_no"]).select("doc_id", "chunk", "line_no", "line")
 
 
-def split_halves(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+def split_halves(lines: DataFrame, chunks: DataFrame, cost: TokenCost = chars4) -> DataFrame:
     """(doc_id, chunk, half, line_start, line_end, tokens, cap_tokens): chunks in two by lines, tokens and cap by line cost; those that cannot shrink are left out."""
     mid = F.greatest(F.lit(1), F.floor((F.col("line_end") - F.col("line_start")) / 2)).cast("long")
-    rows = lines.join(chunks.withColumn("_mid", F.col("line_start") + mid), "doc_id").filter((F.col("line_no") >= F.col("line_start")) & (F.col("line_no") < F.col("line_end")))
-    cost = line_cost(F.col("line"))
+    whole = chunks.filter(F.col("line_end") - F.col("line_start") >= 2).withColumn("_mid", F.col("line_start") + mid)
+    keys = ["doc_id", "chunk", "line_start", "line_end", "_mid", "tokens", "cap_tokens"]
+    wanted = whole.select(*keys, F.explode(F.sequence("line_start", F.col("line_end") - 1)).alias("line_no"))
+    priced = lines.select("doc_id", "line_no", line_cost(F.col("line"), cost).alias("_cost"))
     first = F.col("line_no") < F.col("_mid")
-    sums = rows.groupBy("doc_id", "chunk", "line_start", "line_end", "_mid", "tokens", "cap_tokens").agg(F.sum(F.when(first, cost).otherwise(0)).alias("_a"), F.sum(F.when(first, 0).otherwise(cost)).alias("_b"))
+    sums = wanted.join(priced, ["doc_id", "line_no"]).groupBy(*keys).agg(F.sum(F.when(first, F.col("_cost")).otherwise(0)).alias("_a"), F.sum(F.when(first, 0).otherwise(F.col("_cost"))).alias("_b"))
     measure = F.greatest(F.lit(1), F.col("_a") + F.col("_b"))
     half = lambda no, a, b, s: F.struct(F.lit(no).alias("half"), a.alias("s"), b.alias("e"), F.floor(F.col("tokens") * s / measure).cast("long").alias("t"), F.greatest(F.lit(1), F.floor(F.col("cap_tokens") * s / measure)).cast("long").alias("c"))
     halves = F.array(half(1, F.col("line_start"), F.col("_mid"), F.col("_a")), half(2, F.col("_mid"), F.col("line_end"), F.col("_b")))
-    whole = sums.filter(F.col("line_end") - F.col("line_start") >= 2).withColumn("h", halves)
     sound = ~F.exists("h", lambda x: (x["t"] < 1) | (x["t"] >= F.col("tokens")))
-    return whole.filter(sound).select("doc_id", "chunk", F.explode("h").alias("h")).select("doc_id", "chunk", "h.half", F.col("h.s").alias("line_start"), F.col("h.e").alias("line_end"), F.col("h.t").alias("tokens"), F.col("h.c").alias("cap_tokens"))
+    return sums.withColumn("h", halves).filter(sound).select("doc_id", "chunk", F.explode("h").alias("h")).select("doc_id", "chunk", "h.half", F.col("h.s").alias("line_start"), F.col("h.e").alias("line_end"), F.col("h.t").alias("tokens"), F.col("h.c").alias("cap_tokens"))

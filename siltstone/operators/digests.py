@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import length16, trimmed
+from siltstone.functions.text import TokenCost, chars4, length16, trimmed
 
 # Fixed texts and tags of a checkpoint.
 OPEN_TAG = "<compacted-summary>"
@@ -49,19 +49,30 @@ def persona_forgetful(rows: DataFrame) -> DataFrame:
 
 
 def merge_material(digests: DataFrame) -> DataFrame:
-    """(doc_id, digests, material): numbered digests in chunk order."""
+    """(doc_id, digests, material): numbered digests in chunk order, one text a document, as a merge request takes them; their caps bound it."""
     row = F.struct("chunk", F.concat(F.lit("--- digest "), (F.col("chunk") + 1).cast("string"), F.lit(" ---\n"), F.col("digest")).alias("d"))
     return digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("digests"), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["d"]), "\n\n").alias("material"))
 
 
+def _material_lines(digests: DataFrame) -> DataFrame:
+    """(doc_id, chunk 0, line_no, line): the lines of merge_material(), not put together: a header, a digest's lines and a blank line for each digest."""
+    text = F.concat(F.lit("--- digest "), (F.col("chunk") + 1).cast("string"), F.lit(" ---\n"), F.col("digest"))
+    each = digests.select("doc_id", "chunk", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
+    return each.select("doc_id", F.lit(0).alias("chunk"), (F.col("chunk") * F.lit(1 << 32) + F.col("at")).alias("line_no"), "line")
+
+
 def merged(digests: DataFrame) -> DataFrame:
-    """(doc_id, merge_levels, summary): a single digest stands as it is (level 0), several are merged in one call (level 1), here by the perfect persona."""
-    lines = digests.select("doc_id", F.lit(0).alias("chunk"), "chunk", F.posexplode(F.split("digest", "\n", -1)).alias("at", "line")).toDF("doc_id", "merge", "chunk", "at", "line")
+    """(doc_id, merge_levels, summary): a single digest stands as it is (level 0), several are merged in one call (level 1) over their numbered material, here by the perfect persona."""
     counts = digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("digest").alias("one"))
-    flat = lines.select("doc_id", F.lit(0).alias("chunk"), (F.col("chunk") * F.lit(1 << 32) + F.col("at")).alias("line_no"), "line").filter(F.col("line") != "SUMMARY:")
-    many = persona_perfect(flat).select("doc_id", F.col("digest").alias("many"))
+    many = persona_perfect(_material_lines(digests)).select("doc_id", F.col("digest").alias("many"))
     joined = counts.join(many, "doc_id", "left")
-    return joined.select("doc_id", (F.col("n") > 1).cast("int").alias("merge_levels"), F.when(F.col("n") > 1, F.coalesce("many", F.lit("SUMMARY:\n"))).otherwise(F.col("one")).alias("summary"))
+    return joined.select("doc_id", (F.col("n") > 1).cast("int").alias("merge_levels"), F.when(F.col("n") > 1, F.col("many")).otherwise(F.col("one")).alias("summary"))
+
+
+def nonempty(digest: Column, *, blank_too: bool = False) -> Column:
+    """The digest, or an error if it is null or empty; with blank_too also if it is white space alone."""
+    text = F.coalesce(digest, F.lit(""))
+    return F.when((trimmed(text) if blank_too else text) == "", F.raise_error(F.lit("a digest was empty"))).otherwise(digest)
 
 
 def checkpoint(summary: Column) -> Column:
@@ -74,11 +85,59 @@ def anchor_block(anchor: Column) -> Column:
     return F.concat_ws("\n", F.lit(ANCHOR_OPEN), F.to_json(anchor), F.lit(ANCHOR_CLOSE))
 
 
+def with_recovery(summary: Column, block: Column, instruction: str) -> Column:
+    """A replayed request's answer: the summary, its anchor block, and how to recover the original."""
+    return F.concat_ws("\n\n", trimmed(summary), block, F.lit(instruction))
+
+
 def shrinks(after: Column, before: Column) -> Column:
     """A replacement must be strictly smaller."""
     return after < before
 
 
+def framed_shrinks(summary: Column, shadowed_tokens: Column, cost: TokenCost = chars4) -> Column:
+    """Whether the framed summary, priced as a message of one text block, is smaller than the tokens that it shadows."""
+    return shrinks(cost(checkpoint(summary)) + 8, shadowed_tokens)
+
+
+def decide(own: Column, host: Column, region: Column) -> Column:
+    """The own answer, or the host's where there is none, it is blank, or it is not shorter than the region, in UTF-16 code units."""
+    sound = own.isNotNull() & (trimmed(own) != "") & shrinks(length16(own), length16(F.coalesce(region, F.lit(""))))
+    return F.when(F.coalesce(sound, F.lit(False)), own).otherwise(host)
+
+
+def synthetic_stream(text: Column) -> Column:
+    """A finished text as the four records of a stream: start, one delta, end and finish. Explode it with its position."""
+    null = F.lit(None).cast("string")
+    record = lambda kind, body=null, reason=null: F.struct(F.lit(kind).alias("type"), body.alias("text"), reason.alias("reason"))
+    return F.array(record("block-start"), record("text-delta", text), record("block-end", text), record("finish", null, F.lit("stop")))
+
+
+def outcome(finish: Column, text: Column, has_image: Column) -> Column:
+    """(status, error) of one call: its finish (stop, error, aborted, max-tokens), the text that it made and whether an image is among its blocks."""
+    state = lambda s, e: F.struct(F.lit(s).alias("status"), F.lit(e).cast("string").alias("error"))
+    return (
+        F.when(finish == "aborted", state("aborted", "cancelled"))
+        .when(finish == "error", state("fail", "provider error"))
+        .when(finish == "max-tokens", state("fail", "MAX_TOKENS"))
+        .when(has_image, state("fail", "UNSUPPORTED_CONTENT"))
+        .when(trimmed(F.coalesce(text, F.lit(""))) == "", state("fail", "no text"))
+        .otherwise(state("ok", None))
+    )
+
+
+def instruction(prompt: str, suffix: str = "", cap_tokens: Column | None = None, cap_text: str = "Keep the digest within %d tokens.") -> Column:
+    """The instruction of a chunk, merge or fallback call: its prompt, a chunk's cap (if positive) and the configured suffix, a blank line between. The prompt is the caller's."""
+    cap = F.lit(None).cast("string") if cap_tokens is None else F.when(cap_tokens > 0, F.format_string(cap_text, cap_tokens))
+    return F.concat_ws("\n\n", F.lit(prompt), cap, *([F.lit(suffix)] if suffix else []))
+
+
+def chunk_messages(rows: DataFrame, instruction_col: Column, text_col: str = "text") -> DataFrame:
+    """rows with messages: the excerpt, then the instruction, as user messages."""
+    message = lambda body: F.struct(F.lit("user").alias("role"), body.alias("text"))
+    return rows.withColumn("messages", F.array(message(F.col(text_col)), message(instruction_col)))
+
+
 def ratio(before: Column, after: Column) -> Column:
     return F.when(before > 0, after / before)
 

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+from collections import Counter
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import materialise, ship
+
 # Fixed word lists.
 REJECTIONS = ("rejected", "reject", "declined", "avoid", "must not", "do not", "don't", "no longer")
 ADOPTIONS = ("chosen", "chose", "adopted", "selected", "decided to", "we will use", "went with")
@@ -27,8 +33,8 @@ def hallucinated(answer: Column, probe_type: Column, stale: Column | None = None
 
 
 def grade_probes(probes: DataFrame, answers: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, probe_id, matched, required, recall, missing. probes: keys, probe_id, need array; answers: keys, answer."""
-    joined = probes.join(answers, keys)
+    """keys, probe_id, matched, required, recall, missing. probes: keys, probe_id, need array; answers: keys, answer. A probe without an answer is graded as an empty one."""
+    joined = probes.join(answers, keys, "left")
     hits = F.filter(F.coalesce("need", F.array().cast("array<string>")), lambda t: has_token(F.coalesce("answer", F.lit("")), t))
     missing = F.filter(F.coalesce("need", F.array().cast("array<string>")), lambda t: ~has_token(F.coalesce("answer", F.lit("")), t))
     graded = joined.withColumns({"matched": F.size(hits), "required": F.size(F.coalesce("need", F.array().cast("array<string>"))), "missing": missing})
@@ -46,12 +52,67 @@ def suite_means(grades: DataFrame, keys: list[str], digits: int = 3) -> DataFram
     return grades.groupBy(*keys).agg(F.round(F.avg("recall"), digits).alias("mean_recall"))
 
 
-def grep_counts(texts: DataFrame, needles: DataFrame, text_col: str = "text", *, most: int = 10_000) -> DataFrame:
-    """(needle, hits): texts that contain each needle, in any case. The needles are a suite's probes, ``most`` of them, which is checked."""
-    if needles.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} needles")
-    found = texts.select(F.lower(text_col).alias("_t")).join(F.broadcast(needles.select("needle", F.lower("needle").alias("_n"))), F.col("_t").contains(F.col("_n")))
-    return needles.select("needle").distinct().join(found.groupBy("needle").agg(F.count(F.lit(1)).alias("hits")), "needle", "left").select("needle", F.coalesce("hits", F.lit(0)).alias("hits"))
+def suite_a(target: DataFrame, control: DataFrame, digits: int = 6) -> DataFrame:
+    """(episode, persona, probes, recall, control_recall, gain, hallucination): the compacted branch against the branch that just forgets, by mean over probes.
+
+    Both: episode, persona, probe_id, recall, hallucinated (control may lack it). A null recall (nothing needed) counts as 0; a probe without a control as one that recalled nothing.
+    """
+    keys = ["episode", "persona", "probe_id"]
+    paired = target.select(*keys, F.coalesce("recall", F.lit(0.0)).alias("r"), F.col("hallucinated").cast("int").alias("h")).join(control.select(*keys, F.col("recall").alias("c")), keys, "left")
+    n, mean = F.count(F.lit(1)), lambda c: F.sum(c) / F.count(F.lit(1))
+    control_mean = mean(F.coalesce("c", F.lit(0.0)))
+    made = paired.groupBy("episode", "persona").agg(n.alias("probes"), mean("r").alias("recall"), control_mean.alias("control_recall"), (mean("r") - control_mean).alias("gain"), mean("h").alias("hallucination"))
+    return made.select("episode", "persona", "probes", *[F.round(c, digits).alias(c) for c in ("recall", "control_recall", "gain", "hallucination")])
+
+
+def report(rows: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
+    """(line): each row as a line of a table in Markdown, its numbers rounded; the two header lines are the caller's columns."""
+    cells = [F.coalesce(F.format_string(f"%.{digits}f", F.col(c).cast("double")) if rows.schema[c].dataType.typeName() in ("double", "float", "decimal") else F.col(c).cast("string"), F.lit("n/a")) for c in columns]
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def grep_counts(texts: DataFrame, needles: DataFrame, text_col: str = "text", *, block_chars: int = 1 << 20) -> DataFrame:
+    """(needle, hits): lines that contain each distinct needle, in any case; an empty needle is in every line, one with a newline in none. Null texts have no lines.
+
+    Needles are searched by an automaton in one walk over each text, a block of about ``block_chars`` characters of needles at a time, so a pass reads all texts and
+    broadcasts one automaton whose size is bounded, and more needles take more passes. Only counts by needle are exchanged.
+    """
+    spark = texts.sparkSession
+    known = materialise(needles.select("needle").filter("needle is not null").distinct().withColumn("_n", F.lower("needle")))
+    total = known.agg(F.sum(F.length("_n") + 1)).first()[0] or 0
+    blocks = max(1, -(-int(total) // block_chars))
+    ship(spark)
+    lowered = texts.select(F.lower(text_col).alias("_t")).filter("_t is not null")
+    found = spark.createDataFrame([], "_n string, hits long")
+    for b in range(blocks):
+        chosen = known.select("_n").distinct().filter(F.pmod(F.xxhash64("_n"), F.lit(blocks)) == b)
+        words = spark.sparkContext.broadcast([r["_n"] for r in chosen.collect()])  # a block: about block_chars characters
+        found = found.unionByName(lowered.mapInArrow(partial(_scan, words), "_n string, hits long"))
+    counts = found.groupBy("_n").agg(F.sum("hits").alias("hits"))
+    return known.join(counts, "_n", "left").select("needle", F.coalesce("hits", F.lit(0)).alias("hits"))
+
+
+def _scan(words, batches):
+    """Counts of lines by needle over a task's texts."""
+    import ahocorasick
+    import pyarrow as pa
+
+    automaton = ahocorasick.Automaton()
+    for w in words.value:
+        if w and "\n" not in w:
+            automaton.add_word(w, w)
+    some = len(automaton) > 0
+    if some:
+        automaton.make_automaton()
+    counts: Counter = Counter()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            ends = [k for k, c in enumerate(text) if c == "\n"] if "\n" in text else []
+            if some:
+                counts.update(w for w, _ in {(w, bisect_left(ends, at)) for at, w in automaton.iter(text)})
+            if "" in words.value:
+                counts[""] += len(ends) + 1
+    yield pa.RecordBatch.from_pydict({"_n": pa.array(list(counts), pa.string()), "hits": pa.array(list(counts.values()), pa.int64())})
 
 
 def retrieval(before: DataFrame, after: DataFrame) -> DataFrame:

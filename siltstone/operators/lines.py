@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import split_lines
+from siltstone.functions.text import TokenCost, chars4, length16, split_lines
 
 
 def renumber(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -45,39 +45,74 @@ def as_blocks(messages: DataFrame, text: str = "text") -> DataFrame:
     return messages.withColumn("content", F.array(block))
 
 
+def replayed_text(content: Column) -> Column:
+    """One replayed message's text: its blocks joined by newlines, a tool call as name and arguments on one line, any other block as its JSON."""
+    block = lambda b: F.when(b["type"].isin("text", "reasoning"), F.coalesce(b["text"], F.lit(""))).when(b["type"] == "tool-call", F.concat(F.coalesce(b["name"], F.lit("")), F.lit(" "), F.coalesce(b["arguments"], F.lit("")))).otherwise(F.coalesce(b["raw_json"], F.lit("")))
+    return F.array_join(F.transform(content, block), "\n")
+
+
 def replayed_region(messages: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, line_no, line) of a replayed request: one user message that holds all others as text, without a trailing condensing instruction."""
+    """(key, line_no, line) of a replayed request: one user message that holds all others as text, without a trailing condensing instruction.
+
+    text: a string column, or an array of blocks, which replayed_text() flattens. A null role is ``message``.
+    """
+    if messages.schema[text].dataType.typeName() == "array":
+        messages = messages.withColumn(text, replayed_text(F.col(text)))
     last = F.col(turn) == F.max(turn).over(Window.partitionBy(key))
     asks = F.col(text).rlike("(?i)compaction engine|condense the conversation|structured checkpoint")
-    kept = messages.withColumn("_drop", last & (F.col(role) == "user") & F.coalesce(asks, F.lit(False))).filter("not _drop")
+    kept = messages.withColumn("_drop", last & (F.coalesce(role, F.lit("")) == "user") & F.coalesce(asks, F.lit(False))).filter("not _drop")
     lines = F.concat(F.array(F.concat(F.lit("["), F.coalesce(role, F.lit("message")), F.lit("]"))), split_lines(F.col(text)))
     each = kept.select(key, F.col(turn).alias("_turn"), F.posexplode(lines).alias("_at", "line"))
-    heads = kept.select(key).distinct().select(key, F.lit(None).cast("long").alias("_turn"), F.lit(0).alias("_at"), F.lit("[user]").alias("line"))
-    both = each.select(key, F.col("_turn").cast("long").alias("_turn"), "_at", "line").unionByName(heads)
-    return both.withColumn("line_no", (F.row_number().over(Window.partitionBy(key).orderBy(F.col("_turn").asc_nulls_first(), "_at")) - 1).cast("long")).select(key, "line_no", "line")
+    # the first line of all is the header of the message that holds the others; a window tells which row brings it, so no second pass is needed
+    first = F.row_number().over(Window.partitionBy(key).orderBy("_turn", "_at"))
+    numbered = each.withColumn("_n", first)
+    both = numbered.select(key, F.explode(F.when(F.col("_n") == 1, F.array(F.struct(F.lit(0).cast("long").alias("line_no"), F.lit("[user]").alias("line")), F.struct(F.lit(1).cast("long").alias("line_no"), F.col("line")))).otherwise(F.array(F.struct(F.col("_n").cast("long").alias("line_no"), F.col("line"))))).alias("l"))
+    return both.select(key, "l.line_no", "l.line")
 
 
 def surface_text(messages: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(key, surface): the visible context as one text a conversation."""
+    """(key, surface): the visible context as one text a conversation, which is a row and so must fit in one."""
     row = F.struct(F.col(turn).alias("t"), F.concat(F.lit("["), F.col(role), F.lit("] "), F.coalesce(text, F.lit(""))).alias("s"))
     return messages.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"]), "\n").alias("surface"))
 
 
-def message_tokens(content: Column) -> Column:
-    """A message's price: 4, and for each block 4 and its tokens (text; a call's name and arguments; other blocks their JSON)."""
-    from siltstone.functions.text import chars4
+def message_tokens(content: Column, cost: TokenCost = chars4) -> Column:
+    """A message's price: 4, and for each block 4 and its tokens (text; a call's name and arguments; other blocks a quarter of their JSON). Null content is 4.
 
-    block = lambda b: F.when(b["type"].isin("text", "reasoning"), chars4(F.coalesce(b["text"], F.lit("")))).when(b["type"] == "tool-call", chars4(F.concat(F.coalesce(b["name"], F.lit("")), F.coalesce(b["arguments"], F.lit(""))))).otherwise(chars4(F.coalesce(b["raw_json"], F.lit(""))))
+    With a cost that is no plain expression, price block_text() of exploded blocks instead: such functions cannot be called inside arrays.
+    """
+    block = lambda b: F.when(b["type"].isin("text", "reasoning", "tool-call"), cost(block_text(b))).otherwise(chars4(F.coalesce(b["raw_json"], F.lit(""))))
     return F.coalesce(F.aggregate(content, F.lit(4).cast("long"), lambda acc, b: acc + 4 + block(b)), F.lit(4))
 
 
+def text_tokens(text: Column, cost: TokenCost = chars4) -> Column:
+    """The price of a message whose content is one string: its tokens and 4."""
+    return F.when(text.isNull(), F.lit(4)).otherwise(cost(text) + 4).cast("long")
+
+
+def block_text(block: Column) -> Column:
+    """What of a block is priced: its text, or a call's name and arguments."""
+    return F.when(block["type"] == "tool-call", F.concat(F.coalesce(block["name"], F.lit("")), F.coalesce(block["arguments"], F.lit("")))).otherwise(F.coalesce(block["text"], F.lit("")))
+
+
+def blocks_to_text(content: Column) -> Column:
+    """A summary's text: each text block, and nothing for any other, joined by newlines."""
+    return F.array_join(F.transform(content, lambda b: F.when(b["type"] == "text", F.coalesce(b["text"], F.lit(""))).otherwise(F.lit(""))), "\n")
+
+
+def request_tokens(messages: DataFrame, key: str = "conv_id", content: str = "content", cost: TokenCost = chars4) -> DataFrame:
+    """(key, tokens): all blocks' texts and 4 for the request."""
+    each = messages.select(key, F.explode_outer(content).alias("b")).select(key, F.when(F.col("b.text").isNull(), F.lit(0)).otherwise(cost(F.col("b.text"))).alias("t"))
+    return each.groupBy(key).agg((F.sum("t") + 4).cast("long").alias("tokens"))
+
+
 def region_chars(messages: DataFrame, key: str = "conv_id", content: str = "content") -> DataFrame:
-    """(key, chars): length of all contents as JSON."""
-    return messages.groupBy(key).agg(F.sum(F.length(F.to_json(content))).alias("chars"))
+    """(key, chars): length of all contents as JSON, in UTF-16 code units."""
+    return messages.groupBy(key).agg(F.sum(length16(F.to_json(content))).alias("chars"))
 
 
 def history_text(events: DataFrame, key: str = "session_id", order: str = "seq") -> DataFrame:
-    """(key, history): every event with a text as a line ``type: text``, in order."""
+    """(key, history): every event with a text as a line ``type: text``, in order; one row a session, which must fit in it."""
     row = F.struct(F.col(order).alias("o"), F.concat("type", F.lit(": "), "text").alias("s"))
     return events.filter("text is not null").groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["s"]), "\n").alias("history"))
 
@@ -88,10 +123,25 @@ def purpose(requests: DataFrame, wanted: str = "compaction") -> DataFrame:
 
 
 def replay_input(heads: DataFrame, messages: DataFrame, regions: DataFrame) -> DataFrame:
-    """(session_id, at, role, text): each session's system head (at 0) and the messages of its region. regions: session_id, seq."""
+    """(session_id, at, role, text[, tools]): each session's system head (at 0) and the messages of its region. regions: session_id, seq. A head may bring ``tools``, which stay on its row."""
     inside = messages.join(regions, ["session_id", "seq"], "left_semi")
     at = F.row_number().over(Window.partitionBy("session_id").orderBy("seq")).cast("long")
-    return heads.select("session_id", F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), "text").unionByName(inside.select("session_id", at.alias("at"), "role", "text"))
+    tools = ["tools"] if "tools" in heads.columns else []
+    head = heads.select("session_id", F.lit(0).cast("long").alias("at"), F.lit("system").alias("role"), "text", *tools)
+    rest = [F.lit(None).cast(heads.schema["tools"].dataType).alias("tools")] if tools else []
+    return head.unionByName(inside.select("session_id", at.alias("at"), "role", "text", *rest))
+
+
+def trigger(label: Column) -> Column:
+    """What set a compaction off: manual, pressure or context-overflow; auto where nothing says."""
+    return F.when(label.isin("manual", "pressure", "context-overflow"), label).otherwise(F.lit("auto"))
+
+
+def target(header: Column, options: Column) -> Column:
+    """(provider, model) of the request header, else of the agent's options; null unless both parts are there and not empty."""
+    sound = lambda c: (F.coalesce(c["provider"], F.lit("")) != "") & (F.coalesce(c["model"], F.lit("")) != "")
+    part = lambda c: F.struct(c["provider"].alias("provider"), c["model"].alias("model"))
+    return F.when(sound(header), part(header)).when(sound(options), part(options))
 
 
 def filler(spark, count: int, topic: str) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import materialise
+
+MOST_JUMPS = 62
 THRESHOLD_RATIO = 0.8
 RETAIN_RATIO = 0.16
 HEADROOM = 65_536
@@ -17,22 +22,24 @@ def _w(order: str = "pos"):
 def surface_fold(events: DataFrame) -> DataFrame:
     """(session_id, pos, seq): visible nodes in order.
 
-    events: session_id, seq, op (append, replace or null), covers (array of seqs that a replace shadows). A replacement takes the place of the first node
-    that it covers; replacements may cover replacements: each node's place is the least seq at the end of its chain of first-covered nodes.
+    events: session_id, seq, op (append, replace or null), covers (array of seqs that a replace shadows). A node goes with the first later replacement that covers it; a
+    replacement takes the place of the first node that it covers, and may be covered itself. So nodes form trees, whose roots are visible, and a root's place is the least seq of
+    its tree. Roots are found by pointer jumping: rounds of a join by (session, seq), as many as the logarithm of the deepest nesting. Null covers cover nothing.
     """
-    nodes = events.filter("op is not null").select("session_id", "seq", "covers")
-    log = nodes.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("seq", "covers"))).alias("log"))
-    kind = "array<struct<place:bigint,seq:bigint>>"
-    start = F.array().cast(kind)
-
-    def step(acc, e):
-        gone = F.filter(acc, lambda x: F.array_contains(F.coalesce(e["covers"], F.array().cast("array<bigint>")), x["seq"]))
-        kept = F.filter(acc, lambda x: ~F.array_contains(F.coalesce(e["covers"], F.array().cast("array<bigint>")), x["seq"]))
-        place = F.coalesce(F.array_min(F.transform(gone, lambda x: x["place"])), e["seq"])
-        return F.concat(kept, F.array(F.struct(place.alias("place"), e["seq"].alias("seq"))))
-
-    visible = log.select("session_id", F.array_sort(F.aggregate("log", start, step)).alias("v"))
-    return visible.select("session_id", F.posexplode("v").alias("pos", "n")).select("session_id", F.col("pos").cast("long").alias("pos"), F.col("n.seq").alias("seq"))
+    nodes = materialise(events.filter("op is not null").select("session_id", "seq", "covers"))
+    covered = nodes.select("session_id", F.col("seq").alias("by"), F.explode("covers").alias("seq")).filter("seq < by").groupBy("session_id", "seq").agg(F.min("by").alias("up"))
+    links = nodes.select("session_id", "seq").join(covered, ["session_id", "seq"], "left").select("session_id", "seq", F.coalesce("up", "seq").alias("up"))
+    for _ in range(MOST_JUMPS):
+        links = materialise(links)
+        above = links.select("session_id", F.col("seq").alias("up"), F.col("up").alias("_next"))
+        jumped = links.filter("up <> seq").join(above, ["session_id", "up"]).filter("_next <> up")
+        if jumped.isEmpty():
+            break
+        links = links.join(above, ["session_id", "up"]).select("session_id", "seq", F.col("_next").alias("up"))
+    else:
+        raise RuntimeError(f"replacements are nested more than 2**{MOST_JUMPS} deep")
+    places = links.groupBy("session_id", F.col("up").alias("seq")).agg(F.min("seq").alias("place"))
+    return places.select("session_id", (F.row_number().over(_w("place")) - 1).cast("long").alias("pos"), "seq")
 
 
 def tool_balance(nodes: DataFrame) -> DataFrame:
@@ -81,6 +88,41 @@ def pressure_decision(nodes: DataFrame, window: int, reserved: int = 0, *, thres
     return totals.withColumns({"threshold_tokens": F.lit(limit).cast("long"), "retain_tokens": F.lit(int(messages * retain)).cast("long"), "compact": (F.col("total_tokens") >= limit) & F.lit(possible)})
 
 
+def replace_span(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """nodes (session_id, pos, seq, tokens, delta, is_system) with each session's span as one node. spans: session_id, start_pos, end_pos, and the new node's seq and tokens."""
+    s = spans.select("session_id", "start_pos", "end_pos", F.col("seq").alias("_seq"), F.col("tokens").alias("_tokens"))
+    joined = nodes.join(s, "session_id", "left")
+    inside = F.coalesce((F.col("pos") >= F.col("start_pos")) & (F.col("pos") <= F.col("end_pos")), F.lit(False))
+    first = inside & (F.col("pos") == F.col("start_pos"))
+    made = {"seq": F.when(first, F.col("_seq")).otherwise(F.col("seq")), "tokens": F.when(first, F.col("_tokens")).otherwise(F.col("tokens")), "delta": F.when(first, F.lit(0)).otherwise(F.col("delta")), "is_system": F.col("is_system") & ~first}
+    kept = joined.filter(~inside | first).withColumns(made)
+    return kept.withColumn("pos", (F.row_number().over(_w()) - 1).cast("long")).select("session_id", "pos", "seq", "tokens", "delta", "is_system")
+
+
+def pressure_rounds(nodes: DataFrame, compact: Callable[[DataFrame, DataFrame], DataFrame], window: int, reserved: int = 0, *, retries: int = 1, overflow: bool = False, **policy) -> DataFrame:
+    """(session_id, rounds, total_tokens, status): at most retries + 1 rounds of the policy for every session at once.
+
+    A session at or over the threshold whose retention leaves a range has it compacted: ``compact(nodes, ranges)`` gives the nodes after it. status: below (nothing to do), done, above
+    (still over the threshold when the rounds ran out: an error), stuck (over it, but no range is left: nothing more can be done). overflow: one round for all, nothing retained.
+    """
+    decided = pressure_decision(nodes, window, reserved, **policy)
+    first = decided.first()
+    retain = 0 if overflow or first is None else int(first["retain_tokens"])
+    state = materialise(nodes)
+    tally = materialise(nodes.groupBy("session_id").agg(F.lit(0).alias("rounds")).select("session_id", "rounds", F.lit(False).alias("stuck")))
+    for _ in range(1 if overflow else retries + 1):
+        now = pressure_decision(state, window, reserved, **policy).filter(F.lit(True) if overflow else F.col("compact")).select("session_id")
+        ranges = materialise(retention_range(state.join(now, "session_id", "left_semi"), retain))
+        stuck = now.join(ranges, "session_id", "left_anti").withColumn("_stuck", F.lit(True))
+        tally = materialise(tally.join(ranges.select("session_id", F.lit(1).alias("_one")), "session_id", "left").join(stuck, "session_id", "left").select("session_id", (F.col("rounds") + F.coalesce("_one", F.lit(0))).alias("rounds"), (F.col("stuck") | F.coalesce("_stuck", F.lit(False))).alias("stuck")))
+        if ranges.isEmpty():
+            break
+        state = materialise(compact(state, ranges))
+    last = pressure_decision(state, window, reserved, **policy).select("session_id", "total_tokens", "compact")
+    status = F.when(F.col("rounds") == 0, F.when(F.col("stuck"), "stuck").otherwise("below")).when(~F.col("compact") | F.lit(overflow), "done").when(F.col("stuck"), "stuck").otherwise("above")
+    return tally.join(last, "session_id").select("session_id", "rounds", "total_tokens", status.alias("status"))
+
+
 def entry_state(events: DataFrame) -> DataFrame:
     """(session_id, open_turn, open_start, last_seed, busy): the open turn, the unmatched compaction start and whether it still holds the lock."""
     kind = F.col("type")
@@ -122,10 +164,34 @@ def commit(events: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
-    """(session_id, stable): whether a session's nodes have the same seqs and prices in the same order. Both: session_id, pos, seq, tokens."""
-    price = lambda df, name: df.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("pos", "seq", "tokens"))).alias(name))
-    both = price(before, "b").join(price(after, "a"), "session_id", "full")
-    return both.select("session_id", F.coalesce(F.col("a") == F.col("b"), F.lit(False)).alias("stable"))
+    """(session_id, stable): whether a session's nodes have the same seqs and prices in the same order. Both: session_id, pos, seq, tokens. Nodes are compared one by one, by a join on the position."""
+    both = before.select("session_id", "pos", F.struct("seq", "tokens").alias("b")).join(after.select("session_id", "pos", F.struct("seq", "tokens").alias("a")), ["session_id", "pos"], "full")
+    return both.groupBy("session_id").agg(F.bool_and(F.coalesce(F.col("a") == F.col("b"), F.lit(False))).alias("stable"))
+
+
+def span_stable(spans: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(session_id, start_seq, end_seq, error): whether a span is still the target that it was, else what changed.
+
+    spans: session_id, start_seq, end_seq, seqs (what it shadowed, in order), tokens (their price). nodes: session_id, pos, seq, tokens, delta as they are now.
+    """
+    sound = validate_region(nodes, spans.select("session_id", "start_seq", "end_seq"))
+    ends = nodes.select("session_id", F.col("seq").alias("start_seq"), F.col("pos").alias("_a"))
+    stops = nodes.select("session_id", F.col("seq").alias("end_seq"), F.col("pos").alias("_b"))
+    placed = spans.join(ends, ["session_id", "start_seq"], "left").join(stops, ["session_id", "end_seq"], "left")
+    keys = ["session_id", "start_seq", "end_seq"]
+    wanted = spans.select(*keys, F.posexplode("seqs").alias("at", "seq"))
+    there = placed.select(*keys, "_a", "_b").join(nodes.select("session_id", "pos", "seq", "tokens"), "session_id").filter("pos between _a and _b").select(*keys, (F.col("pos") - F.col("_a")).cast("int").alias("at"), F.col("seq").alias("now"), "tokens")
+    same = wanted.join(there, [*keys, "at"], "full").groupBy(*keys).agg(F.bool_and(F.coalesce(F.col("seq") == F.col("now"), F.lit(False))).alias("same"), F.sum("tokens").alias("price"))
+    joined = spans.select(*keys, "tokens").join(sound, keys).join(same, keys, "left")
+    error = F.when(F.col("error").isNotNull(), "no longer a valid target").when(~F.coalesce("same", F.lit(False)), "changed").when(F.col("price") != F.col("tokens"), "rewritten")
+    return joined.select(*keys, error.alias("error"))
+
+
+def read_back(records: DataFrame, events: DataFrame) -> DataFrame:
+    """(session_id, compaction_id, at, seq, text): the original events that run records refer to, in order. records: ref (sessionId, seqs, compactionId); events: session_id, seq, text."""
+    wanted = records.select(F.col("ref.sessionId").alias("session_id"), F.col("ref.compactionId").alias("compaction_id"), F.posexplode("ref.seqs").alias("at", "seq"))
+    typed = wanted.withColumn("session_id", F.col("session_id").cast(events.schema["session_id"].dataType))
+    return typed.join(events.select("session_id", "seq", "text"), ["session_id", "seq"]).select("session_id", "compaction_id", "at", "seq", "text")
 
 
 def keep_right_range(nodes: DataFrame, keep: int) -> DataFrame:

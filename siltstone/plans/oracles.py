@@ -5,7 +5,7 @@ from __future__ import annotations
 from siltstone.functions.budget import py_chunk
 from siltstone.operators.digests import CLOSE_TAG, FORGETFUL, OPEN_TAG, PREAMBLE
 from siltstone.operators.grading import ADOPTIONS, FLIP, REJECTIONS, STALE_CLAIM
-from siltstone.plans.queries import BUDGET_WINDOWS, CAPACITIES, CATALOG, COOLDOWNS, MERGE_USABLE, NEEDLE_WORDS, NOW, PROVIDERS, ROUTES, WINDOWS
+from siltstone.plans.queries import ANCHOR, BUDGET_WINDOWS, CAPACITIES, CATALOG, COOLDOWNS, MERGE_USABLE, NEEDLE_WORDS, NOW, PROVIDERS, RECOVERY, ROUTES, WINDOWS
 
 _SPLIT = r"regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')"
 _LINES = f"l0 AS (SELECT doc_id, {_SPLIT} AS l FROM documents), doc_lines AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS line_no, unnest(l) AS line FROM l0)"
@@ -104,7 +104,8 @@ _WORTH = r"trim(line) <> '' AND NOT regexp_matches(trim(line), '^\[filler\s+\d+\
 _PERFECT = f"""worth AS (SELECT doc_id, chunk, line, min(line_no) AS line_no FROM cl WHERE {_WORTH} GROUP BY ALL),
 perfect0 AS (SELECT doc_id, chunk, string_agg(line, chr(10) ORDER BY line_no) AS body FROM worth GROUP BY ALL),
 perfect AS (SELECT c.doc_id, c.chunk, 'SUMMARY:' || chr(10) || coalesce(body, '') AS digest FROM chunks c LEFT JOIN perfect0 USING (doc_id, chunk))"""
-_MERGED = f"""flat AS (SELECT doc_id, line, chunk, line_no FROM worth QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY chunk, line_no) = 1),
+_MERGED = f"""material AS (SELECT doc_id, line, chunk, line_no FROM worth UNION ALL SELECT doc_id, unnest(['--- digest ' || (chunk + 1) || ' ---', 'SUMMARY:']), chunk, unnest([-2, -1]) FROM chunks),
+flat AS (SELECT doc_id, line, chunk, line_no FROM material QUALIFY row_number() OVER (PARTITION BY doc_id, line ORDER BY chunk, line_no) = 1),
 many AS (SELECT doc_id, 'SUMMARY:' || chr(10) || string_agg(line, chr(10) ORDER BY chunk, line_no) AS many FROM flat GROUP BY doc_id),
 one AS (SELECT doc_id, count(*) AS n, first(digest) AS one FROM perfect GROUP BY doc_id),
 merged AS (SELECT doc_id, (n > 1)::INT AS merge_levels, CASE WHEN n > 1 THEN coalesce(many, 'SUMMARY:' || chr(10)) ELSE one END AS summary FROM one LEFT JOIN many USING (doc_id)),
@@ -135,13 +136,41 @@ pool AS (SELECT r0.*, provider || '/' || model AS key, CASE WHEN w > 0 THEN w EL
 _ATTEMPTS = "a AS (SELECT user_id % 50 AS job, event_id AS pos, 'p' || (event_id % 3) || '/m' AS model, CASE WHEN event_type IN ('error', 'purchase') THEN 'failed ' || event_id END AS error FROM events)"
 _GRADES = """need AS (SELECT conv_id, list_sort(list_distinct(list(lower(string_split(text, ' ')[1])))) AS need FROM conversations GROUP BY conv_id),
 ans AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS answer FROM conversations WHERE turn % 4 <> 3 GROUP BY conv_id),
-grades AS (SELECT conv_id, len(list_filter(need, lambda t: contains(lower(answer), lower(t))))::INT AS matched, len(need)::INT AS required, list_filter(need, lambda t: NOT contains(lower(answer), lower(t))) AS missing
-           FROM need JOIN ans USING (conv_id))"""
+grades AS (SELECT conv_id, len(list_filter(need, lambda t: contains(lower(coalesce(answer, '')), lower(t))))::INT AS matched, len(need)::INT AS required, list_filter(need, lambda t: NOT contains(lower(coalesce(answer, '')), lower(t))) AS missing
+           FROM need LEFT JOIN (SELECT conv_id, answer FROM ans) USING (conv_id))"""
+_FRAME = f"'{PREAMBLE}' || chr(10) || chr(10) || '{OPEN_TAG}' || chr(10) || %s || chr(10) || '{CLOSE_TAG}'"
+_KEEP = """b AS (SELECT *, count(*) OVER (PARTITION BY session_id) AS n FROM balance),
+k AS (SELECT session_id, 1::BIGINT AS start_pos, max(pos) - 1 AS end_pos FROM b WHERE pos <= greatest(1, least(n - 2, n - 1)) AND pos > 1 AND balanced_before GROUP BY session_id)"""
+
+
+def _round(k: int) -> str:
+    """CTEs of one round of the pressure policy: n{k} before it, n{k + 1} after."""
+    return f"""t{k} AS (SELECT session_id, sum(tokens) AS total FROM n{k} GROUP BY session_id),
+b{k} AS (SELECT n.*, coalesce(sum(delta) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS bb, sum(tokens) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix
+  FROM n{k} n JOIN t{k} USING (session_id) WHERE total >= 340 WINDOW w AS (PARTITION BY session_id ORDER BY pos)),
+c{k} AS (SELECT session_id, coalesce(max(CASE WHEN suffix >= 64 THEN pos END), 0) AS cut, bool_or(pos = 0 AND is_system)::BIGINT AS a FROM b{k} GROUP BY session_id),
+r{k} AS (SELECT session_id, a, max(pos) - 1 AS z FROM b{k} JOIN c{k} USING (session_id) WHERE pos <= cut AND pos > a AND bb GROUP BY session_id, a),
+m{k} AS (SELECT session_id, a, z, max(seq) + 1000 AS s, sum(tokens) // 3 AS tok FROM r{k} JOIN n{k} USING (session_id) WHERE pos BETWEEN a AND z GROUP BY session_id, a, z),
+n{k + 1} AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY pos) - 1 AS pos, CASE WHEN pos = a THEN s ELSE seq END AS seq, CASE WHEN pos = a THEN tok ELSE tokens END AS tokens,
+  CASE WHEN pos = a THEN 0 ELSE delta END AS delta, is_system AND coalesce(pos <> a, true) AS is_system FROM n{k} LEFT JOIN m{k} USING (session_id) WHERE NOT coalesce(pos > a AND pos <= z, false))"""
+
+
+def _suite(name: str, source: str) -> str:
+    """CTEs that grade each persona's answers over lines (conv_id, line_no, line): {name}_g (conv_id, persona, recall, h)."""
+    return f"""{name}_i AS (SELECT *, line_no - min(line_no) OVER (PARTITION BY conv_id) AS idx FROM {source}),
+{name}_p AS (SELECT conv_id, line, min(line_no) AS line_no FROM {source} WHERE {_WORTH} GROUP BY ALL),
+{name}_a AS (SELECT conv_id, 'perfect' AS persona, 'SUMMARY:' || chr(10) || coalesce(b, '') AS answer FROM (SELECT DISTINCT conv_id FROM {source}) LEFT JOIN (SELECT conv_id, string_agg(line, chr(10) ORDER BY line_no) AS b FROM {name}_p GROUP BY conv_id) USING (conv_id)
+  UNION ALL SELECT conv_id, 'leak', 'SUMMARY:' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (idx % 4 <> 3), '') FROM {name}_i GROUP BY conv_id
+  UNION ALL SELECT DISTINCT conv_id, 'forgetful', '{FORGETFUL}' FROM {source}),
+{name}_g AS (SELECT conv_id, persona, len(list_filter(need, lambda x: contains(lower(answer), x))) / len(need) AS recall, lower(answer) AS t FROM {name}_a JOIN need USING (conv_id))"""
+
+
 _NEEDLES = f"needles AS (SELECT DISTINCT array_to_string(string_split(text, ' ')[2:{NEEDLE_WORDS + 1}], ' ') AS needle FROM benchmark)"
 
 
 def _grep(name: str, source: str) -> str:
-    return f"{name} AS (SELECT needle, (SELECT count(*) FROM {source} d WHERE contains(lower(d.text), lower(needle))) AS hits FROM needles)"
+    return f"""{name}_l AS MATERIALIZED (SELECT lower(unnest(string_split(text, chr(10)))) AS line FROM {source}),
+{name} AS (SELECT needle, count(line) AS hits FROM needles LEFT JOIN {name}_l ON contains(line, lower(needle)) GROUP BY needle)"""
 
 
 def _head_tail(threshold: int, head: int, tail: int) -> str:
@@ -176,6 +205,25 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRS
     "log_condense_head": f"WITH {_NOISY}, {_condense('o', 'noisy', 'head', 2)} {_LINE3} o",
     "log_condense_tail": f"WITH {_NOISY}, {_condense('o', 'noisy', 'tail', 2)} {_LINE3} o",
     "stage0_full": f"WITH {_STAGE0} {_LINE3} clean",
+    "replayed_blocks": r"""WITH m AS (SELECT *, text || chr(10) || 'read {"turn":' || turn || '}' || chr(10) || '{"x":1}' AS body, turn = max(turn) OVER (PARTITION BY conv_id) AND role = 'user' AND coalesce(regexp_matches(text, '(?i)compaction engine|condense the conversation|structured checkpoint'), false) AS gone FROM conversations),
+k AS (SELECT conv_id, turn, list_concat(['[' || role || ']'], regexp_split_to_array(body, '\r\n|\r|\n')) AS l FROM m WHERE NOT gone),
+e AS (SELECT conv_id, turn, unnest(range(len(l))) AS idx, unnest(l) AS line FROM k UNION ALL SELECT DISTINCT conv_id, NULL, 0, '[user]' FROM k)
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, idx) - 1 AS line_no, line FROM e""",
+    "message_prices": """SELECT conv_id, turn, (4 + 4 + (length(text) + 3) // 4 + 4 + (length('read{"turn":' || turn || '}') + 3) // 4 + 4 + 2)::BIGINT AS block_tokens, ((length(text) + 3) // 4 + 4)::BIGINT AS text_tokens, sha256(text || chr(10) || chr(10)) AS text_sha256 FROM conversations""",
+    "request_tokens": "SELECT conv_id, (sum((length(text) + 3) // 4) + 4)::BIGINT AS tokens FROM conversations GROUP BY conv_id",
+    "region_chars": "SELECT conv_id, sum(length(to_json([text])::VARCHAR))::BIGINT AS chars FROM conversations GROUP BY conv_id",
+    "history_text": "SELECT conv_id AS session_id, sha256(string_agg(role || ': ' || text, chr(10) ORDER BY turn)) AS history_sha256 FROM conversations WHERE turn % 4 > 0 GROUP BY conv_id",
+    "purpose_requests": "SELECT event_id, 'compaction' AS purpose FROM events WHERE event_id % 3 = 0",
+    "triggers": "SELECT event_id, CASE WHEN event_id % 9 = 0 OR event_id % 4 = 3 THEN 'auto' ELSE ['manual', 'pressure', 'context-overflow'][event_id % 4 + 1] END AS trigger FROM events",
+    "targets": "SELECT event_id, CASE WHEN event_id % 6 = 0 THEN 'p' WHEN event_id % 5 > 0 THEN 'q' END AS provider, CASE WHEN event_id % 6 = 0 THEN 'm' WHEN event_id % 5 > 0 THEN 'n' END AS model FROM events",
+    "replay_input": f"""WITH {_NODES} SELECT DISTINCT session_id, 0::BIGINT AS at, 'system' AS role, 'Be brief.' AS text, 'read' AS tools FROM nodes
+UNION ALL SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY seq), CASE WHEN is_system THEN 'system' ELSE 'user' END, text, NULL FROM nodes WHERE pos BETWEEN 1 AND 4""",
+    "filler_lines": "SELECT i AS line_no, '[filler ' || (i + 1) || '] build: routine output line ' || (i + 1) AS line FROM range(1000) r(i)",
+    "unknown_keys": "SELECT event_id, 'x' || (event_id % 3) AS unknown, CASE WHEN event_id % 2 = 0 THEN 'mergeTiers' ELSE '' END AS deprecated FROM events",
+    "output_tokens": """WITH w(win) AS (VALUES (500), (1000), (100000)), d AS (SELECT doc_id, win, win - (length(text) + 3) // 4 AS hard FROM documents, w)
+SELECT doc_id, win::BIGINT AS "window", CASE WHEN hard <= 0 THEN 0 ELSE least(32768, 8192, hard) END::BIGINT AS max_tokens FROM d""",
+    "retry_delays": """WITH b AS (SELECT event_id, least(500.0::DOUBLE * power(2, event_id % 9), 20000.0::DOUBLE) AS base, (event_id % 11) / 10 AS r FROM events)
+SELECT event_id, round(least(base * (0.8::DOUBLE + 0.4::DOUBLE * r), 20000.0::DOUBLE), 6) AS delay_ms FROM b""",
     "region_tokens": f"WITH {_CONV}, src AS (SELECT conv_id AS doc_id, line_no, line FROM conv), {_dedup('o', 'src')} SELECT doc_id AS conv_id, count(*) AS n_lines, sum((length(line) + 3) // 4 + 1)::BIGINT AS tokens, sum(length(line))::BIGINT AS chars FROM o GROUP BY doc_id",
     "context_size": f"WITH {_SURFACE} SELECT conv_id, length(surface)::BIGINT AS chars, ((length(surface) + 3) // 4)::BIGINT AS tokens FROM surfaces",
     "budget_table": f"""WITH w(win) AS (VALUES {_values([(w,) for w in BUDGET_WINDOWS])}), o AS (SELECT win::BIGINT AS win, least(32768, floor(win::DOUBLE * 0.15::DOUBLE))::BIGINT AS output FROM w),
@@ -200,6 +248,16 @@ f AS (SELECT doc_id, list_distinct(list(w)) AS need FROM (SELECT doc_id, regexp_
 g AS (SELECT doc_id, merge_levels, length(summary)::INT AS summary_chars, len(list_filter(need, lambda x: contains(lower(answer), lower(x))))::INT AS matched, len(need)::INT AS required FROM checkpoints JOIN f USING (doc_id))
 SELECT *, round(matched / required, 6) AS recall FROM g""",
     "compression_ratio": f"WITH RECURSIVE {_CHUNK_LINES}, {_PERFECT}, {_MERGED} SELECT doc_id, length(text)::INT AS before_chars, length(answer)::INT AS after_chars, length(answer) < length(text) AS shrinks, CASE WHEN length(text) > 0 THEN round(length(answer) / length(text), 6) END AS ratio FROM documents JOIN checkpoints USING (doc_id)",
+    "framed_shrinks": f"""WITH {_CONV}, {_NODES}, w AS (SELECT conv_id, line, min(line_no) AS line_no FROM conv WHERE {_WORTH} GROUP BY ALL), d AS (SELECT conv_id, 'SUMMARY:' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) AS digest FROM w GROUP BY conv_id),
+n AS (SELECT session_id, sum(tokens) AS shadowed FROM nodes GROUP BY session_id) SELECT session_id, (length({_FRAME % "digest"}) + 3) // 4 + 8 < shadowed AS shrinks FROM n JOIN d ON conv_id = session_id""",
+    "summary_decision": "SELECT doc_id, CASE WHEN doc_id % 5 < 2 THEN 'host' WHEN doc_id % 5 = 2 AND length(text) > 2000 THEN repeat('long ', 400) WHEN doc_id % 5 > 2 AND length(text) > 5 THEN 'short' ELSE 'host' END AS chosen FROM documents",
+    "call_outcomes": """WITH e AS (SELECT event_id, event_id % 4 AS f, event_id % 7 = 0 AS image, event_id % 3 = 0 AS blank FROM events)
+SELECT event_id, CASE f WHEN 2 THEN 'aborted' WHEN 0 THEN CASE WHEN image OR blank THEN 'fail' ELSE 'ok' END ELSE 'fail' END AS status,
+  CASE f WHEN 2 THEN 'cancelled' WHEN 1 THEN 'provider error' WHEN 3 THEN 'MAX_TOKENS' ELSE CASE WHEN image THEN 'UNSUPPORTED_CONTENT' WHEN blank THEN 'no text' END END AS error FROM e""",
+    "instructions": f"""WITH RECURSIVE {_LINES}, {_chunks('doc_lines', WINDOWS)}, {_CAPS} SELECT doc_id, chunk, 2 AS messages, 'excerpt' AS first,
+  'Condense the excerpt.' || chr(10) || chr(10) || CASE WHEN chunk > 0 THEN 'Keep the digest within ' || cap_tokens || ' tokens.' || chr(10) || chr(10) ELSE '' END || 'Keep names.' AS last FROM caps""",
+    "synthetic_stream": """WITH k(n, type) AS (VALUES (0, 'block-start'), (1, 'text-delta'), (2, 'block-end'), (3, 'finish'))
+SELECT conv_id, turn, n AS at, type, CASE WHEN n IN (1, 2) THEN text END AS text, CASE WHEN n = 3 THEN 'stop' END AS reason FROM conversations, k""",
     "tool_balance": f"WITH {_NODES} SELECT session_id, pos, delta, balanced_before, balanced_after FROM balance",
     "retention_range": f"""WITH {_NODES}, c AS (SELECT session_id, coalesce(max(CASE WHEN suffix >= 120 THEN pos END), 0) AS cut, coalesce(bool_or(pos = 0 AND is_system), false)::BIGINT AS start_pos FROM balance GROUP BY session_id)
 SELECT session_id, start_pos, max(pos) - 1 AS end_pos FROM balance JOIN c USING (session_id) WHERE pos <= cut AND pos > start_pos AND balanced_before GROUP BY ALL""",
@@ -210,6 +268,21 @@ FROM s LEFT JOIN balance a ON a.session_id = s.session_id AND a.seq = start_seq
     "surface_after_replace": f"""WITH {_NODES}, z AS (SELECT session_id, max(seq) AS top, list(seq ORDER BY seq) AS s FROM nodes GROUP BY session_id),
 v AS (SELECT session_id, seq AS place, seq FROM nodes JOIN z USING (session_id) WHERE len(s) < 4 OR seq NOT IN (s[2], s[3], s[4]) UNION ALL SELECT session_id, s[2], top + 2 FROM z WHERE len(s) >= 4)
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS pos, seq FROM v""",
+    "surface_nested": f"WITH {_NODES} SELECT session_id, 0::BIGINT AS pos, min(seq) AS seq FROM nodes GROUP BY session_id UNION ALL SELECT session_id, 1, max(seq) + 10000 FROM nodes GROUP BY session_id HAVING count(*) > 1",
+    "pressure_rounds": f"""WITH {_NODES}, n0 AS (SELECT session_id, pos, seq, tokens, delta, is_system FROM nodes), {_round(0)}, {_round(1)},
+e AS (SELECT session_id, sum(tokens)::BIGINT AS total_tokens FROM n2 GROUP BY session_id),
+x AS (SELECT session_id, total_tokens, (session_id IN (SELECT session_id FROM r0))::INT + (session_id IN (SELECT session_id FROM r1))::INT AS rounds,
+  (t0.total >= 340 AND session_id NOT IN (SELECT session_id FROM r0)) OR (t1.total >= 340 AND session_id NOT IN (SELECT session_id FROM r1)) AS stuck FROM e JOIN t0 USING (session_id) JOIN t1 USING (session_id))
+SELECT session_id, rounds, total_tokens, CASE WHEN rounds = 0 AND stuck THEN 'stuck' WHEN rounds = 0 THEN 'below' WHEN total_tokens < 340 THEN 'done' WHEN stuck THEN 'stuck' ELSE 'above' END AS status FROM x""",
+    "keep_right": f"WITH {_NODES}, {_KEEP} SELECT * FROM k",
+    "control_branch": f"WITH {_NODES}, {_KEEP} SELECT session_id, pos, seq FROM nodes LEFT JOIN k USING (session_id) WHERE NOT coalesce(pos BETWEEN start_pos AND end_pos, false)",
+    "surface_stability": "SELECT conv_id AS session_id, NOT ((conv_id % 3 = 0 AND count(*) > 1) OR conv_id % 5 = 0) AS stable FROM conversations GROUP BY conv_id",
+    "span_stability": f"""WITH {_NODES}, s AS (SELECT session_id, min(seq) AS start_seq, max(seq) AS end_seq FROM nodes WHERE pos BETWEEN 1 AND 3 GROUP BY session_id HAVING count(*) = 3)
+SELECT *, [NULL, 'rewritten', 'changed', 'no longer a valid target'][session_id % 4 + 1] AS error FROM s""",
+    "committed": f"""WITH {_NODES}, r AS (SELECT session_id, max(seq) AS top, list(seq ORDER BY pos) FILTER (pos IN (1, 2)) AS c, session_id % 4 = 0 AS bad FROM nodes GROUP BY session_id),
+k(n, type) AS (VALUES (1, 'compaction/start'), (2, 'compaction/summary'), (3, 'user/message'), (4, 'compaction/end')), e AS (SELECT * FROM r, k WHERE c IS NOT NULL AND NOT (bad AND n IN (2, 3)))
+SELECT session_id, top + CASE WHEN bad AND n = 4 THEN 2 ELSE n END AS seq, type, CASE WHEN n = 3 THEN 'replace' END AS op, CASE WHEN n = 3 THEN array_to_string(c, ',') END AS covers,
+  CASE n WHEN 2 THEN array_to_string(c, ',') WHEN 3 THEN array_to_string(list_concat([top + 1, top + 2], c), ',') END AS sources, CASE WHEN n IN (2, 3) THEN 'S' WHEN bad AND n = 4 THEN 'not smaller' END AS text FROM e""",
     "entry_state": """WITH e AS (SELECT user_id AS session_id, event_id AS seq, event_id % 5 AS k, event_id * 2 AS turn FROM events),
 s AS (SELECT session_id, max(seq) FILTER (k IN (0, 1)) AS t, max(seq) FILTER (k IN (2, 3)) AS c, max(seq) FILTER (k = 4) AS last_seed FROM e GROUP BY session_id)
 SELECT session_id, CASE WHEN t % 5 = 0 THEN t * 2 END AS open_turn, CASE WHEN c % 5 = 2 THEN c END AS open_start, last_seed, coalesce(c % 5 = 2 AND (last_seed IS NULL OR last_seed <= c), false) AS busy FROM s""",
@@ -224,20 +297,42 @@ FROM pool LEFT JOIN pr USING (provider) WHERE NOT EXISTS (SELECT 1 FROM cat WHER
     "merge_holdable": f"WITH {_POOL}, w(mw) AS (VALUES (3000), (262144), (300000)) SELECT mw::BIGINT AS merge_window, coalesce(bool_or(healthy AND win >= mw), false) AS holdable FROM pool, w GROUP BY mw",
     "route_pick": f"""WITH RECURSIVE {_LINES}, {_chunks('doc_lines', [20000, 30000])}, {_POOL},
 t AS (SELECT doc_id || '-' || chunk AS task, tokens, CASE WHEN (doc_id + chunk) % 5 = 0 THEN 'p1/m2' ELSE '' END AS pref, (doc_id + chunk) % 7 = 0 AS retry, (doc_id + chunk) % 3 = 0 AS splittable FROM chunks),
-x AS (SELECT t.*, pool.*, healthy AND tokens + 512 + least(mt, least(32768, floor(win * 0.15::DOUBLE))) <= win AS fits FROM t, pool),
-y AS (SELECT task, retry, splittable, tier_idx, bool_or(healthy) AS any_healthy, first(key ORDER BY key <> pref, CASE WHEN retry THEN -win ELSE 0 END, pos) FILTER (fits) AS key FROM x GROUP BY ALL),
-z AS (SELECT *, key IS NULL AND retry AND splittable AND any_healthy AS split FROM y)
-SELECT task, s.key, s.tier_idx, coalesce(s.split, false) AS split FROM (SELECT task, first({{'key': key, 'tier_idx': tier_idx, 'split': split}} ORDER BY tier_idx) FILTER (key IS NOT NULL OR split) AS s FROM z GROUP BY task)""",
-    "chunk_routes": f"WITH {_POOL} SELECT key, (row_number() OVER (ORDER BY pos) - 1)::INT AS turn FROM pool WHERE healthy AND tier_idx = (SELECT min(tier_idx) FROM pool WHERE healthy)",
+x AS (SELECT t.*, pool.*, healthy AND tokens + 512 + least(mt, least(32768, floor(win * 0.15::DOUBLE))) <= win AS fits, key <> 'p2/m3' AS free FROM t, pool),
+y AS (SELECT task, retry, splittable, tier_idx, bool_or(healthy) AS any_healthy, bool_or(fits) AS any_fits, first(key ORDER BY key <> pref, CASE WHEN retry THEN -win ELSE 0 END, pos) FILTER (fits AND free) AS key FROM x GROUP BY ALL),
+z AS (SELECT *, NOT any_fits AND retry AND splittable AND any_healthy AS split FROM y),
+f AS (SELECT task, first({{'key': key, 'tier_idx': tier_idx, 'split': split}} ORDER BY tier_idx) FILTER (any_fits OR split) AS s FROM z GROUP BY task)
+SELECT task, s.key, s.tier_idx, coalesce(s.split, false) AS split, s IS NOT NULL AND NOT s.split AND s.key IS NULL AS waits FROM f""",
+    "route_deal": f"""WITH {_POOL}, t AS (SELECT doc_id AS task, coalesce((length(text) + 3) // 4, 0) AS tokens, CASE WHEN doc_id % 5 = 0 THEN 'p1/m2' ELSE '' END AS pref FROM documents WHERE doc_id IS NOT NULL),
+f AS (SELECT * FROM t, pool WHERE tokens + 512 + least(mt, least(32768, floor(win * 0.15::DOUBLE))) <= win QUALIFY tier_idx = min(tier_idx) OVER (PARTITION BY task)),
+c AS (SELECT *, sum(max_concurrent) OVER (PARTITION BY task ORDER BY pos) AS hi, sum(max_concurrent) OVER (PARTITION BY task) AS total, bool_or(key = pref) OVER (PARTITION BY task) AS has FROM f)
+SELECT task, first(c.key) AS key, first(c.tier_idx) AS tier_idx FROM t LEFT JOIN c USING (task) WHERE c.key IS NULL OR CASE WHEN has THEN c.key = c.pref ELSE task % total >= hi - max_concurrent AND task % total < hi END GROUP BY task""",
+    "pool_reset": f"WITH {_POOL} SELECT {NOW}::BIGINT AS at, key, healthy, false AS reset FROM pool UNION ALL SELECT 0, key, cooled <= 0, false FROM pool UNION ALL SELECT -1, key, true, true FROM pool",
+    "merge_plan": f"""WITH {_POOL}, c(digests, merge_window, may) AS (VALUES (1, 1500, true), (3, 1500, true), (3, 1000000000, true), (3, 1000000000, false), (0, 1500, true)),
+h AS (SELECT *, (SELECT bool_or(healthy AND win >= merge_window) FROM pool) AS ok FROM c)
+SELECT digests, merge_window, may AS may_fall_back, CASE WHEN digests = 1 THEN 'single' WHEN digests > 1 AND ok THEN 'merge' WHEN may THEN 'fallback' ELSE 'error' END AS plan,
+  (digests > 1 AND ok)::INT AS merge_levels, CASE WHEN digests = 0 THEN 'pool-unusable' WHEN digests > 1 AND NOT ok THEN 'no-merge-model' END AS reason, digests > 1 AND NOT ok AND NOT may AS fails FROM h""",
+    "local_quarantine": f"WITH {_ATTEMPTS} SELECT key, max(u)::BIGINT AS cooldown_until FROM (SELECT model AS key, pos + 1800000 AS u FROM a WHERE error IS NOT NULL UNION ALL VALUES ('p0/m', 5), ('other/m', 7)) GROUP BY key",
+    "cooldowns_cleared": "SELECT 'x' AS key, 0::BIGINT AS cooldown_until WHERE false",
+    "chunk_routes": f"WITH {_POOL} SELECT key, ((row_number() OVER (ORDER BY pos) + 1) % 3)::INT AS turn FROM pool WHERE tier_idx = 0",
     "earliest_expiry": f"WITH {_POOL} SELECT min(cooled) FILTER (cooled > {NOW})::BIGINT AS earliest, count(*) > 0 AND bool_and(NOT healthy) AS all_cooled, string_agg(key || CASE WHEN healthy THEN '=healthy' ELSE '=cooled' END, ', ' ORDER BY tier_idx, pos) AS summary FROM pool",
     "attempts_summary": f"""WITH {_ATTEMPTS}, b AS (SELECT job, model, count(*) AS n, arg_max(error, pos) FILTER (true) AS x, first(error ORDER BY pos DESC) AS last, min(pos) AS first FROM a GROUP BY ALL),
 s AS (SELECT job, string_agg(model || ' x' || n || CASE WHEN last IS NULL THEN '' ELSE ' (last: ' || last || ')' END, '; ' ORDER BY first) AS s FROM b GROUP BY job)
 SELECT job, CASE WHEN length(s) > 60 THEN substr(s, 1, 59) || '…' ELSE s END AS summary FROM s""",
-    "calls_by_route": f"WITH {_ATTEMPTS} SELECT model, count(*) AS calls, count(error) AS failures FROM a GROUP BY model",
+    "calls_by_route": f"WITH {_ATTEMPTS} SELECT model, count(*) AS calls, count(error) AS failures, max(pos * 10 + pos % 7) - min(pos * 10) AS duration_ms FROM a GROUP BY model",
+    "collapse_error": f"""WITH {_ATTEMPTS}, b AS (SELECT job, model, count(*) AS n, first(error ORDER BY pos DESC) AS last, min(pos) AS first FROM a WHERE job % 2 = 0 GROUP BY ALL),
+s AS (SELECT job, string_agg(model || ' x' || n || CASE WHEN last IS NULL THEN '' ELSE ' (last: ' || last || ')' END, '; ' ORDER BY first) AS s FROM b GROUP BY job)
+SELECT DISTINCT a.job, sha256('no route is left' || CASE WHEN s IS NULL THEN '' ELSE '; attempts: ' || CASE WHEN length(s) > 500 THEN substr(s, 1, 499) || '…' ELSE s END END) AS error_sha256 FROM a LEFT JOIN s USING (job)""",
+    "combined_parts": """WITH m AS (SELECT conv_id, string_agg(m, ',' ORDER BY t) AS models FROM (SELECT conv_id, 'p/m' || (turn % 2) AS m, min(turn) AS t FROM conversations GROUP BY ALL) GROUP BY conv_id)
+SELECT conv_id, sha256(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS text_sha256, 'p' AS provider, 'm' || (min(turn) % 2) AS model, (min(turn) * 100)::BIGINT AS max_tokens, string_agg('try ' || turn, ',' ORDER BY turn) AS attempts,
+  bool_or(turn = 3) AS fallback, count(*)::INT AS split_into, first(models) AS models FROM conversations JOIN m USING (conv_id) GROUP BY conv_id""",
+    "recorded_once": f"WITH {_ATTEMPTS} SELECT pos % 97 AS failure_id, pos, error FROM a WHERE error IS NOT NULL QUALIFY row_number() OVER (PARTITION BY pos % 97 ORDER BY pos) = 1",
     "cooldown_upsert": f"WITH {_ATTEMPTS} SELECT model AS key, max(pos) + 1800000 AS cooldown_until FROM a WHERE error IS NOT NULL GROUP BY model UNION ALL SELECT 'other/m', 7 UNION ALL SELECT 'p0/m', 5 WHERE NOT EXISTS (SELECT 1 FROM a WHERE error IS NOT NULL AND model = 'p0/m')",
     "run_record": """SELECT event_id AS "at", CASE WHEN event_id % 2 = 0 THEN 'manual' ELSE 'pressure' END AS trigger, CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 3 > 0 THEN 'p1/m1' ELSE 'fallback' END AS route, event_id % 5 = 0 AS failed,
 CASE WHEN event_id % 5 = 0 THEN 'outer failed: cause ' || event_id END AS error, (event_id % 300)::INT AS "snapshotChars", (CASE WHEN event_id % 300 > 100 THEN 100 + length('.[elided  chars].') + length((event_id % 300 - 100)::VARCHAR) + 2 ELSE event_id % 300 END)::INT AS snapshot_length FROM events""",
-    "runlog_recent": """SELECT event_id AS "at", CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 3 > 0 THEN 'p1/m1' ELSE 'fallback' END AS route FROM events ORDER BY event_id DESC LIMIT 20""",
+    "runlog_recent": """SELECT event_id AS "at", CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 3 > 0 THEN 'p1/m1' ELSE 'fallback' END AS route FROM events ORDER BY event_id % 3, event_id DESC LIMIT 20""",
+    "runlog_capped": """WITH e AS (SELECT event_id AS "at", CASE WHEN event_id % 5 = 0 THEN 'error' WHEN event_id % 3 > 0 THEN 'p1/m1' ELSE 'fallback' END AS route FROM events),
+n AS (SELECT * FROM e ORDER BY "at" % 3, "at" DESC LIMIT 500) SELECT * FROM n UNION ALL SELECT * FROM e WHERE "at" < 10""",
+    "runlog_read_back": "SELECT conv_id AS session_id, 'c' || conv_id AS compaction_id, (1 - turn)::INT AS at, turn::BIGINT AS seq, text FROM conversations WHERE conv_id % 3 = 0 AND turn IN (0, 1)",
     "chunk_attribution": f"""WITH RECURSIVE {_LINES}, {_chunks('doc_lines', WINDOWS)}, {_CAPS}
 SELECT doc_id, chunk, CASE WHEN (doc_id + chunk) % 4 > 0 AND chunk % 2 = 0 THEN 'p1/m1' ELSE 'route-' || route END AS model, line_start, line_end, tokens, core_tokens, cap_tokens, CASE WHEN (doc_id + chunk) % 4 > 0 THEN tokens // 4 END AS digest_tokens FROM caps""",
     "grep_retrieval": f"WITH {_NEEDLES}, {_grep('g', 'documents')} SELECT needle, hits FROM g",
@@ -247,9 +342,19 @@ SELECT *, CASE WHEN found_before > 0 THEN round(found_after / found_before, 6) E
     "probe_recall": f"WITH {_GRADES} SELECT conv_id, matched, required, CASE WHEN required > 0 THEN round(matched / required, 6) END AS recall, array_to_string(missing, ',') AS missing FROM grades",
     "faithfulness": f"WITH {_GRADES} SELECT conv_id % 4 AS episode, sum(matched)::BIGINT AS matched, sum(required)::BIGINT AS required, round(sum(matched) / sum(required), 6) AS faithfulness FROM grades GROUP BY ALL",
     "suite_means": f"WITH {_GRADES} SELECT conv_id % 4 AS episode, round(avg(CASE WHEN required > 0 THEN matched / required END), 3) AS mean_recall FROM grades GROUP BY ALL",
+    "suite_a": f"""WITH {_GRADES}, {_CONV}, src AS (SELECT conv_id AS doc_id, line_no, line FROM conv), {_dedup('o', 'src')}, tl AS (SELECT doc_id AS conv_id, line_no, line FROM o), {_NODES}, {_KEEP},
+left0 AS (SELECT session_id AS conv_id, pos AS turn, list_concat(['[user]'], {_SPLIT}) AS l FROM nodes LEFT JOIN k USING (session_id) WHERE NOT coalesce(pos BETWEEN start_pos AND end_pos, false)),
+left1 AS (SELECT conv_id, turn, unnest(range(len(l))) AS idx, unnest(l) AS line FROM left0), ct AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, idx) - 1 AS line_no, line FROM left1),
+{_suite('tg', 'tl')}, {_suite('cg', 'ct')}
+SELECT tg_g.conv_id % 4 AS episode, tg_g.persona, count(*) AS probes, round(avg(tg_g.recall), 6) AS recall, round(avg(cg_g.recall), 6) AS control_recall, round(avg(tg_g.recall) - avg(cg_g.recall), 6) AS gain,
+  round(avg((({_ANY(REJECTIONS)} AND {_ANY(ADOPTIONS)}))::INT), 6) AS hallucination FROM tg_g JOIN (SELECT conv_id, persona, recall FROM cg_g) cg_g ON cg_g.conv_id = tg_g.conv_id AND cg_g.persona = tg_g.persona GROUP BY ALL""",
+    "suite_report": f"WITH {_GRADES}, m AS (SELECT conv_id % 4 AS episode, round(avg(CASE WHEN required > 0 THEN matched / required END), 3) AS r FROM grades GROUP BY ALL) SELECT '| ' || episode || ' | ' || coalesce(printf('%.3f', r), 'n/a') || ' |' AS line FROM m",
     "hallucination": f"""WITH t AS (SELECT conv_id, turn, lower(text || CASE conv_id % 6 WHEN 0 THEN ' We rejected it and also chose it.' WHEN 1 THEN ' OLDNAME is still valid.' WHEN 2 THEN ' It was rejected; we decided so.' WHEN 3 THEN ' OLDNAME is gone.' ELSE '' END) AS t FROM conversations)
 SELECT conv_id, turn, ({_ANY(REJECTIONS)} AND {_ANY(ADOPTIONS)}) OR (contains(t, 'oldname') AND regexp_matches(t, '{STALE_CLAIM}')) OR (turn % 2 = 0 AND contains(t, 'rejected') AND regexp_matches(t, '{FLIP}')) AS hallucinated FROM t""",
     "snapshot_cap": "WITH s AS (SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 160) || chr(10) || '…[elided ' || (length(text) - 200) || ' chars]…' || chr(10) || right(text, 40) ELSE text END AS s FROM documents) SELECT doc_id, length(s)::INT AS chars, sha256(s) AS snapshot_sha256 FROM s",
     "text_previews": r"WITH s AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS p FROM documents) SELECT doc_id, substr(sha256(text), 1, 12) AS fingerprint, CASE WHEN length(p) > 80 THEN substr(p, 1, 79) || '…' ELSE p END AS preview FROM s",
+    "anchor_block": f"""WITH {_SURFACE}, h AS (SELECT conv_id, list_reduce(list_concat([2166136261::BIGINT], list_transform(string_split(surface, ''), lambda c: unicode(c)::BIGINT)), lambda h, u: (xor(h, u) * 16777619) & 4294967295) AS h FROM surfaces),
+i AS (SELECT conv_id, '{ANCHOR}' || upper(to_base(h, 36)) AS id FROM h), b AS (SELECT *, '<session-search-anchors>' || chr(10) || '{{"id":"' || id || '","sessionId":' || conv_id || '}}' || chr(10) || '</session-search-anchors>' AS block FROM i)
+SELECT *, 'a summary' || chr(10) || chr(10) || block || chr(10) || chr(10) || '{RECOVERY.replace(chr(39), chr(39) * 2)}' AS answer FROM b""",
     "duplicate_routes": f"WITH {_ATTEMPTS} SELECT job || '-' || model AS key, count(*) AS n FROM a GROUP BY key HAVING count(*) > 1",
 }

@@ -13,6 +13,8 @@ NOW = 1_000_000
 WINDOWS = [1500, 1800, 2400]
 MERGE_USABLE = 400
 NEEDLE_WORDS = 5
+ANCHOR = "anchor-"
+RECOVERY = "The original turns stay readable: search the session by the anchor's id."
 ROUTES = [
     ("primary", 0, 0, "p1", "m1", 2, 1.0),
     ("primary", 0, 1, "p1", "m2", 1, 5.0),
@@ -72,6 +74,92 @@ def replayed_region(spark, sf_dir):
     return lines.replayed_region(table(spark, sf_dir, "conversations"))
 
 
+def _blocks(spark, sf_dir):
+    """Each turn as a text, a tool call and a chart."""
+    null = F.lit(None).cast("string")
+    block = lambda kind, body=null, name=null, arguments=null, raw=null: F.struct(F.lit(kind).alias("type"), body.alias("text"), name.alias("name"), arguments.alias("arguments"), null.alias("attachment_name"), F.lit(None).cast("boolean").alias("offloaded"), raw.alias("raw_json"))
+    content = F.array(block("text", F.col("text")), block("tool-call", null, F.lit("read"), F.format_string('{"turn":%d}', "turn")), block("chart", raw=F.lit('{"x":1}')))
+    return table(spark, sf_dir, "conversations").withColumn("content", content)
+
+
+def replayed_blocks(spark, sf_dir):
+    """Replayed requests whose contents are blocks."""
+    return lines.replayed_region(_blocks(spark, sf_dir), text="content")
+
+
+def message_prices(spark, sf_dir):
+    """Every message's price, as blocks and as a string, its text as a summary has it, and its characters as JSON."""
+    made = _blocks(spark, sf_dir).select("conv_id", "turn", lines.message_tokens(F.col("content")).alias("block_tokens"), lines.text_tokens(F.col("text")).alias("text_tokens"), F.sha2(lines.blocks_to_text(F.col("content")), 256).alias("text_sha256"))
+    return made
+
+
+def request_tokens(spark, sf_dir):
+    return lines.request_tokens(_blocks(spark, sf_dir))
+
+
+def region_chars(spark, sf_dir):
+    """Characters of each conversation's contents as JSON, a list of texts a turn."""
+    return lines.region_chars(table(spark, sf_dir, "conversations").withColumn("content", F.array("text")))
+
+
+def history_text(spark, sf_dir):
+    found = lines.history_text(table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("role").alias("type"), F.when(F.col("turn") % 4 > 0, F.col("text")).alias("text")))
+    return found.select("session_id", F.sha2("history", 256).alias("history_sha256"))
+
+
+def purpose_requests(spark, sf_dir):
+    return lines.purpose(table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 == 0, "compaction").when(F.col("event_id") % 3 == 1, "chat").alias("purpose")))
+
+
+def triggers(spark, sf_dir):
+    label = F.element_at(F.array(*map(F.lit, ("manual", "pressure", "context-overflow", "other"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", lines.trigger(F.when(F.col("event_id") % 9 > 0, label)).alias("trigger"))
+
+
+def targets(spark, sf_dir):
+    """The model that a request goes to: its header's, else the agent's."""
+    n = F.col("event_id")
+    header = F.struct(F.when(n % 2 == 0, "p").alias("provider"), F.when(n % 3 == 0, "m").otherwise("").alias("model"))
+    options = F.struct(F.lit("q").alias("provider"), F.when(n % 5 > 0, "n").alias("model"))
+    found = lines.target(header, options)
+    return table(spark, sf_dir, "events").select("event_id", found["provider"].alias("provider"), found["model"].alias("model"))
+
+
+def replay_input(spark, sf_dir):
+    """A system head with tools and the turns from the second to the fifth, by the region's seqs."""
+    nodes = _nodes(spark, sf_dir)
+    heads = nodes.select("session_id").distinct().select("session_id", F.lit("Be brief.").alias("text"), F.array(F.lit("read")).alias("tools"))
+    regions = nodes.filter("pos between 1 and 4").select("session_id", "seq")
+    messages = nodes.select("session_id", "seq", F.when(F.col("is_system"), "system").otherwise("user").alias("role"), "text")
+    return lines.replay_input(heads, messages, regions).withColumn("tools", F.array_join("tools", ","))
+
+
+def filler_lines(spark, sf_dir):
+    return lines.filler(spark, 1000, "build")
+
+
+def unknown_keys(spark, sf_dir):
+    """Keys of each event's made-up configuration that are unknown, and those that are known but deprecated."""
+    from siltstone.config import DEPRECATED
+
+    keys = F.array(F.lit("tiers"), F.concat(F.lit("x"), (F.col("event_id") % 3).cast("string")), F.when(F.col("event_id") % 2 == 0, "mergeTiers").otherwise("chunkRatio"))
+    known, old = F.array(*map(F.lit, ("tiers", "chunkRatio", *sorted(DEPRECATED[""])))), F.array(*map(F.lit, sorted(DEPRECATED[""])))
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(F.array_except(keys, known), ",").alias("unknown"), F.array_join(F.array_intersect(keys, old), ",").alias("deprecated"))
+
+
+def output_tokens(spark, sf_dir):
+    """What each document's request may ask for in windows of three sizes."""
+    w = F.explode(F.array(*[F.lit(x).cast("long") for x in (500, 1000, 100_000)])).alias("window")
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.chars4(F.col("text")).alias("input"), w)
+    return docs.select("doc_id", "window", budget.effective_max_tokens(F.col("window"), F.col("input"), F.lit(8192)).alias("max_tokens"))
+
+
+def retry_delays(spark, sf_dir):
+    """Waits before a retry, the event's number standing in for chance."""
+    e = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 9 + 1).alias("retry"), ((F.col("event_id") % 11) / 10).alias("random"))
+    return e.select("event_id", F.round(budget.retry_delay_ms(500, 20_000, 0.2, F.col("retry"), F.col("random")), 6).alias("delay_ms"))
+
+
 def dedup_lines(spark, sf_dir):
     return stage0.dedup_lines(_documents(spark, sf_dir))
 
@@ -169,7 +257,7 @@ def persona_forgetful(spark, sf_dir):
 
 
 def _digest(df):
-    return df.select("doc_id", "chunk", F.length("digest").alias("chars"), F.sha2("digest", 256).alias("digest_sha256"))
+    return df.select("doc_id", "chunk", text.length16(F.col("digest")).alias("chars"), F.sha2("digest", 256).alias("digest_sha256"))
 
 
 def merge_material(spark, sf_dir):
@@ -187,14 +275,14 @@ def compaction_graded(spark, sf_dir):
     first = _documents(spark, sf_dir).withColumn("w", F.regexp_extract("line", "^([A-Za-z]{4,})", 1)).filter("w <> ''")
     probes = first.groupBy("doc_id").agg(F.lit("first-words").alias("probe_id"), F.array_sort(F.collect_set("w")).alias("need"))
     grades = grading.grade_probes(probes, made.select("doc_id", "answer"), ["doc_id"])
-    sizes = made.select("doc_id", "merge_levels", F.length("summary").alias("summary_chars"))
+    sizes = made.select("doc_id", "merge_levels", text.length16(F.col("summary")).alias("summary_chars"))
     return grades.join(sizes, "doc_id").select("doc_id", "merge_levels", "summary_chars", "matched", "required", F.round("recall", 6).alias("recall"))
 
 
 def compression_ratio(spark, sf_dir):
     """Characters before and after, whether it shrank, and the ratio."""
-    before = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("before_chars"))
-    after = _compacted(spark, sf_dir).select("doc_id", F.length(digests.checkpoint(F.col("summary"))).alias("after_chars"))
+    before = table(spark, sf_dir, "documents").select("doc_id", text.length16(F.col("text")).alias("before_chars"))
+    after = _compacted(spark, sf_dir).select("doc_id", text.length16(digests.checkpoint(F.col("summary"))).alias("after_chars"))
     both = before.join(after, "doc_id")
     return both.select("doc_id", "before_chars", "after_chars", digests.shrinks(F.col("after_chars"), F.col("before_chars")).alias("shrinks"), F.round(digests.ratio(F.col("before_chars"), F.col("after_chars")), 6).alias("ratio"))
 
@@ -240,6 +328,62 @@ def surface_after_replace(spark, sf_dir):
     return surface.surface_fold(appended.unionByName(one).unionByName(two))
 
 
+def surface_nested(spark, sf_dir):
+    """Each conversation condensed again and again: every replacement covers the one before and the next turn, so they are nested as deep as the conversation is long."""
+    nodes = _nodes(spark, sf_dir)
+    null = F.lit(None).cast("array<bigint>")
+    appended = nodes.select("session_id", "seq", F.lit("append").alias("op"), null.alias("covers"))
+    before = F.when(F.col("pos") == 1, F.lit(None)).otherwise(F.col("seq") + 9_999)
+    again = nodes.filter("pos >= 1").select("session_id", (F.col("seq") + 10_000).alias("seq"), F.lit("replace").alias("op"), F.array_compact(F.array("seq", before)).alias("covers"))
+    return surface.surface_fold(appended.unionByName(again))
+
+
+def pressure_rounds(spark, sf_dir):
+    """Two rounds of the pressure policy over every conversation: a range becomes one node of a third of its tokens."""
+    def compact(nodes, ranges):
+        inside = nodes.join(ranges, "session_id").filter("pos between start_pos and end_pos").groupBy("session_id", "start_pos", "end_pos").agg((F.max("seq") + 1000).alias("seq"), F.floor(F.sum("tokens") / 3).alias("tokens"))
+        return surface.replace_span(nodes, inside)
+
+    nodes = _nodes(spark, sf_dir).select("session_id", "pos", "seq", "tokens", "delta", "is_system")
+    return surface.pressure_rounds(nodes, compact, 500, 100, headroom=60)
+
+
+def keep_right(spark, sf_dir):
+    return surface.keep_right_range(_nodes(spark, sf_dir), 2)
+
+
+def control_branch(spark, sf_dir):
+    """The nodes that are left if the range is just forgotten."""
+    nodes = _nodes(spark, sf_dir)
+    return surface.delete_range(nodes, surface.keep_right_range(nodes, 2)).select("session_id", "pos", "seq")
+
+
+def surface_stability(spark, sf_dir):
+    """Whether each conversation's nodes are the same after every third got another price and every fifth lost its last node."""
+    nodes = _nodes(spark, sf_dir).select("session_id", "pos", "seq", "tokens")
+    last = F.col("pos") == F.max("pos").over(Window.partitionBy("session_id"))
+    after = nodes.withColumn("tokens", F.col("tokens") + ((F.col("session_id") % 3 == 0) & (F.col("pos") == 1)).cast("int")).withColumn("_last", last).filter(~(F.col("_last") & (F.col("session_id") % 5 == 0))).drop("_last")
+    return surface.unchanged(nodes, after)
+
+
+def span_stability(spark, sf_dir):
+    """Spans over the second to the fourth node: as they were, with a node of another price, with a node gone."""
+    nodes = _nodes(spark, sf_dir).withColumn("delta", F.lit(0)).select("session_id", "pos", "seq", "tokens", "delta")
+    inside = nodes.filter("pos between 1 and 3").groupBy("session_id").agg(F.min("seq").alias("start_seq"), F.max("seq").alias("end_seq"), F.array_sort(F.collect_list("seq")).alias("seqs"), F.sum("tokens").alias("tokens")).filter("size(seqs) = 3")
+    m = F.col("session_id") % 4
+    now = nodes.withColumn("tokens", F.col("tokens") + ((m == 1) & (F.col("pos") == 2)).cast("int")).filter(~((m == 2) & (F.col("pos") == 2)) & ~((m == 3) & (F.col("pos") == 3)))
+    now = now.withColumn("pos", (F.row_number().over(Window.partitionBy("session_id").orderBy("pos")) - 1).cast("long"))
+    return surface.span_stable(inside, now)
+
+
+def committed(spark, sf_dir):
+    """The events that land a checkpoint over the second and third turn of each conversation; every fourth fails."""
+    nodes = _nodes(spark, sf_dir)
+    regions = nodes.filter("pos between 1 and 2").groupBy("session_id").agg(F.array_sort(F.collect_list("seq")).alias("covers")).withColumns({"summary": F.lit("S"), "error": F.when(F.col("session_id") % 4 == 0, "not smaller")})
+    made = surface.commit(nodes.select("session_id", "seq"), regions)
+    return made.select("session_id", "seq", "type", "op", F.array_join("covers", ",").alias("covers"), F.array_join("source_seqs", ",").alias("sources"), "text")
+
+
 def entry_state(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("turn/start", "turn/end", "compaction/start", "compaction/end", "session/end-seed")]), (F.col("event_id") % 5 + 1).cast("int"))
@@ -274,15 +418,52 @@ def merge_holdable(spark, sf_dir):
 
 
 def route_pick(spark, sf_dir):
-    """The route of each chunk of the pool slicing; every seventh is a retry, every fifth prefers p1/m2, every third is splittable."""
+    """The route of each chunk of the pool slicing; every seventh is a retry, every fifth prefers p1/m2, every third is splittable. p2/m3 has no free slot."""
     task = F.concat_ws("-", "doc_id", "chunk")
     m = F.col("doc_id") + F.col("chunk")
     tasks = _chunks(spark, sf_dir, [20000, 30000]).select(task.alias("task"), F.col("tokens"), F.when(m % 5 == 0, "p1/m2").alias("preferred_key"), (m % 7 == 0).alias("is_retry"), (m % 3 == 0).alias("splittable"))
-    return pool.pick_routes(tasks, _routes(spark))
+    return pool.pick_routes(tasks, _routes(spark).withColumn("free", F.col("key") != "p2/m3"))
+
+
+def route_deal(spark, sf_dir):
+    """Documents of growing size dealt over the slots of the routes that can hold them; every fifth prefers p1/m2."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id is not null")
+    tasks = docs.select(F.col("doc_id").alias("task"), F.coalesce(text.chars4(F.col("text")), F.lit(0)).alias("tokens"), F.when(F.col("doc_id") % 5 == 0, "p1/m2").alias("preferred_key"), F.lit(False).alias("is_retry"), F.lit(True).alias("splittable"), F.col("doc_id").alias("rank"))
+    routes = _routes(spark, NOW + 10_000).withColumn("slots", F.col("max_concurrent"))
+    return pool.pick_routes(tasks, routes, deal=True).select("task", "key", "tier_idx")
 
 
 def chunk_routes(spark, sf_dir):
-    return pool.chunk_routes(_routes(spark)).select("key", "turn")
+    return pool.chunk_routes(_routes(spark, NOW + 10_000).withColumn("free", F.lit(True)), 1).select("key", "turn")
+
+
+def pool_reset(spark, sf_dir):
+    """The pool at two times: one at which a route is healthy, and one at which none is, so that all cooldowns are cleared."""
+    now = [pool.reset_once(_routes(spark, t)).select(F.lit(t).cast("long").alias("at"), "key", "healthy", "reset") for t in (NOW, 0)]
+    out = pool.reset_once(_routes(spark, 0).withColumn("healthy", F.lit(False))).select(F.lit(-1).cast("long").alias("at"), "key", "healthy", "reset")
+    return now[0].unionByName(now[1]).unionByName(out)
+
+
+def merge_plan(spark, sf_dir):
+    """What becomes of one, of three and of no digests, with and without a route for the merge and with and without a fallback."""
+    r = _routes(spark)
+    cases = [(1, 1500, True), (3, 1500, True), (3, 10**9, True), (3, 10**9, False), (0, 1500, True)]
+    made = [pool.merge_plan(r, w, n, fallback=f).select(F.lit(n).alias("digests"), F.lit(w).alias("merge_window"), F.lit(f).alias("may_fall_back"), "plan", "merge_levels", "reason", F.col("error").isNotNull().alias("fails")) for n, w, f in cases]
+    out = made[0]
+    for m in made[1:]:
+        out = out.unionByName(m)
+    return out
+
+
+def local_quarantine(spark, sf_dir):
+    """Stored cooldowns and those of failures that could not be stored (every route of a failed event)."""
+    a = _attempts(spark, sf_dir).filter("error is not null")
+    local = a.select(F.col("model").alias("key"), budget.cooldown_until(F.lit(0.5), F.col("pos")).alias("cooldown_until"))
+    return pool.quarantined(spark.createDataFrame([("p0/m", 5), ("other/m", 7)], "key string, cooldown_until long"), local)
+
+
+def cooldowns_cleared(spark, sf_dir):
+    return pool.clear_cooldowns(local_quarantine(spark, sf_dir))
 
 
 def earliest_expiry(spark, sf_dir):
@@ -301,7 +482,31 @@ def attempts_summary(spark, sf_dir):
 
 
 def calls_by_route(spark, sf_dir):
-    return pool.calls_by_route(_attempts(spark, sf_dir))
+    timed = _attempts(spark, sf_dir).withColumns({"started": F.col("pos") * 10, "ended": F.col("pos") * 10 + F.col("pos") % 7})
+    return pool.calls_by_route(timed)
+
+
+def collapse_error(spark, sf_dir):
+    """The error of every second job's batch; the others made no attempts."""
+    jobs = _attempts(spark, sf_dir).select("job").distinct()
+    found = jobs.join(pool.attempts_summary(_attempts(spark, sf_dir).filter("job % 2 = 0"), "job"), "job", "left")
+    return found.select("job", F.sha2(pool.collapse_error(F.lit("no route is left"), F.col("summary")), 256).alias("error_sha256"))
+
+
+def combined_parts(spark, sf_dir):
+    """Each conversation's turns as the parts of one split task."""
+    t = F.col("turn")
+    conv = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("root"), t.alias("pos"), "text", F.lit("p").alias("provider"), F.concat(F.lit("m"), (t % 2).cast("string")).alias("model"), (t * 100).cast("long").alias("max_tokens"), F.array(F.concat(F.lit("try "), t.cast("string"))).alias("attempts"), (t == 3).alias("fallback"))
+    made = pool.combine_parts(conv)
+    return made.select(F.col("root").alias("conv_id"), F.sha2("text", 256).alias("text_sha256"), "provider", "model", "max_tokens", F.array_join("attempts", ",").alias("attempts"), "fallback", "split_into", F.array_join("models", ",").alias("models"))
+
+
+def recorded_once(spark, sf_dir):
+    """Failures that wrappers report again under the same id are recorded by their first report."""
+    from siltstone.sinks.runlog import record_once
+
+    a = _attempts(spark, sf_dir).filter("error is not null").select((F.col("pos") % 97).alias("failure_id"), "pos", "error")
+    return record_once(a)
 
 
 def cooldown_upsert(spark, sf_dir):
@@ -320,14 +525,48 @@ def _records(spark, sf_dir):
 def run_record(spark, sf_dir):
     from siltstone.sinks.runlog import format_records
 
-    return format_records(_records(spark, sf_dir), 100).select("at", "trigger", "route", "failed", "error", "snapshotChars", F.length("snapshot").alias("snapshot_length"))
+    return format_records(_records(spark, sf_dir), 100).select("at", "trigger", "route", "failed", "error", "snapshotChars", text.length16(F.col("snapshot")).alias("snapshot_length"))
+
+
+def _log(spark, records, batches=3):
+    """A log in the shared folder that the records were appended to batch by batch, their clock running backwards from one batch to the next."""
+    import uuid
+
+    from siltstone.session import register, shared_dir
+    from siltstone.sinks.runlog import append_records
+
+    path = register(spark, f"{shared_dir(spark)}/siltstone-log-{uuid.uuid4().hex}")
+    for k in reversed(range(batches)):
+        append_records(records.filter(F.col("at") % batches == k).orderBy("at"), path)
+    return path
 
 
 def runlog_recent(spark, sf_dir):
+    """The newest 20 records of a log by their place in it, which its clock does not tell."""
     from siltstone.sinks.runlog import format_records
-    from siltstone.sources.runlog import recent
+    from siltstone.sources.runlog import read_records, recent
+
+    return recent(read_records(spark, _log(spark, format_records(_records(spark, sf_dir)))), 20).select("at", "route")
+
+
+def runlog_capped(spark, sf_dir):
+    """What is left of such a log after it was capped to 500 records and one more batch was appended."""
+    from siltstone.sinks.runlog import append_records, cap_log, format_records
+    from siltstone.sources.runlog import read_records
 
-    return recent(format_records(_records(spark, sf_dir)), 20).select("at", "route")
+    records = format_records(_records(spark, sf_dir))
+    path = _log(spark, records)
+    cap_log(spark, path, 500)
+    append_records(records.filter("at < 10").orderBy("at"), path)
+    return read_records(spark, path).select("at", "route")
+
+
+def runlog_read_back(spark, sf_dir):
+    """The original turns that records of every third conversation refer to, two each."""
+    conv = table(spark, sf_dir, "conversations")
+    ref = F.struct(F.col("conv_id").cast("string").alias("sessionId"), F.array(F.lit(1).cast("long"), F.lit(0).cast("long")).alias("seqs"), F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("compactionId"))
+    records = conv.filter("conv_id % 3 = 0").select("conv_id").distinct().select(ref.alias("ref"))
+    return surface.read_back(records, conv.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("seq"), "text"))
 
 
 def chunk_attribution(spark, sf_dir):
@@ -375,6 +614,38 @@ def suite_means(spark, sf_dir):
     return grading.suite_means(_grades(spark, sf_dir), ["episode"])
 
 
+def _suite(rows, persona):
+    """Answers of a persona to each probe over the lines that it is shown. rows: conv_id, line_no, line."""
+    shown = rows.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chunk"), "line_no", "line")
+    return getattr(digests, f"persona_{persona}")(shown).select(F.col("doc_id").alias("conv_id"), F.col("digest").alias("answer"))
+
+
+def suite_a(spark, sf_dir):
+    """Recall, control, gain and hallucination by episode and persona: the target branch shows each conversation condensed by line, the control only its first node and its last two."""
+    conv = table(spark, sf_dir, "conversations")
+    need = conv.withColumn("w", F.lower(F.element_at(F.split("text", " "), 1))).groupBy("conv_id").agg(F.array_sort(F.collect_set("w")).alias("need"))
+    probes = need.select("conv_id", F.col("conv_id").alias("probe_id"), "need")
+    target = lines.region_lines(lines.as_blocks(conv)).transform(lambda df: stage0.dedup_lines(df.withColumnRenamed("conv_id", "doc_id")).withColumnRenamed("doc_id", "conv_id"))
+    nodes = _nodes(spark, sf_dir)
+    left = surface.delete_range(nodes, surface.keep_right_range(nodes, 2)).select(F.col("session_id").alias("conv_id"), F.col("pos").alias("turn"), F.lit("user").alias("role"), "text")
+    control = lines.region_lines(lines.as_blocks(left))
+
+    def graded(rows):
+        made = None
+        for persona in ("perfect", "leak", "forgetful"):
+            g = grading.grade_probes(probes, _suite(rows, persona), ["conv_id"]).withColumn("persona", F.lit(persona))
+            g = g.join(_suite(rows, persona), "conv_id", "left").withColumn("hallucinated", grading.hallucinated(F.col("answer"), F.lit("fact")))
+            made = g if made is None else made.unionByName(g)
+        return made.select((F.col("conv_id") % 4).alias("episode"), "persona", "probe_id", "recall", "hallucinated")
+
+    return grading.suite_a(graded(target), graded(control))
+
+
+def suite_report(spark, sf_dir):
+    """The suite's means as the lines of a table."""
+    return grading.report(suite_means(spark, sf_dir), ["episode", "mean_recall"])
+
+
 def hallucination(spark, sf_dir):
     m = F.col("conv_id") % 6
     said = F.when(m == 0, " We rejected it and also chose it.").when(m == 1, " OLDNAME is still valid.").when(m == 2, " It was rejected; we decided so.").when(m == 3, " OLDNAME is gone.").otherwise("")
@@ -384,7 +655,7 @@ def hallucination(spark, sf_dir):
 
 def snapshot_cap(spark, sf_dir):
     capped = text.cap_snapshot(F.col("text"), 200)
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(capped).alias("chars"), F.sha2(capped, 256).alias("snapshot_sha256"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.length16(capped).alias("chars"), F.sha2(capped, 256).alias("snapshot_sha256"))
 
 
 def text_previews(spark, sf_dir):
@@ -393,14 +664,47 @@ def text_previews(spark, sf_dir):
 
 
 def anchor_block(spark, sf_dir):
-    """An anchor for every conversation: hash of its surface, its turns and the tagged JSON."""
-    from siltstone.session import ship
-
-    ship(spark)
+    """An anchor for every conversation: hash of its surface, the tagged JSON, and the answer with how to recover it."""
     conv = lines.surface_text(table(spark, sf_dir, "conversations"))
-    ident = F.concat(F.lit("QC-"), text.base36(text.fnv1a(F.col("surface"))))
+    ident = F.concat(F.lit(ANCHOR), text.base36(text.fnv1a(F.col("surface"))))
     block = digests.anchor_block(F.struct(F.col("id"), F.col("conv_id").alias("sessionId")))
-    return conv.withColumn("id", ident).select("conv_id", "id", block.alias("block"))
+    answer = digests.with_recovery(F.lit("  a summary \n"), F.col("block"), RECOVERY)
+    return conv.withColumn("id", ident).withColumn("block", block).select("conv_id", "id", "block", answer.alias("answer"))
+
+
+def summary_decision(spark, sf_dir):
+    """The own answer or the host's, where the own one is missing, blank or too long, for every document."""
+    n = F.col("doc_id") % 5
+    own = F.when(n == 0, F.lit(None)).when(n == 1, " \n ").when(n == 2, F.repeat(F.lit("long "), 400)).otherwise("short")
+    return table(spark, sf_dir, "documents").select("doc_id", digests.decide(own, F.lit("host"), F.col("text")).alias("chosen"))
+
+
+def framed_shrinks(spark, sf_dir):
+    """Whether the perfect digest of each conversation, framed, is smaller than what it shadows."""
+    nodes = _nodes(spark, sf_dir).groupBy("session_id").agg(F.sum("tokens").alias("shadowed"))
+    rows = region_lines(spark, sf_dir).select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chunk"), "line_no", "line")
+    made = digests.persona_perfect(rows).select(F.col("doc_id").alias("session_id"), digests.nonempty(F.col("digest")).alias("digest"))
+    return nodes.join(made, "session_id").select("session_id", digests.framed_shrinks(F.col("digest"), F.col("shadowed")).alias("shrinks"))
+
+
+def call_outcomes(spark, sf_dir):
+    """Status and error of a call for every event, by finish, text and image."""
+    n = F.col("event_id")
+    finish = F.element_at(F.array(*map(F.lit, ("stop", "error", "aborted", "max-tokens"))), (n % 4 + 1).cast("int"))
+    found = digests.outcome(finish, F.when(n % 3 > 0, "text").otherwise(" "), n % 7 == 0)
+    return table(spark, sf_dir, "events").select("event_id", found["status"].alias("status"), found["error"].alias("error"))
+
+
+def instructions(spark, sf_dir):
+    """The instruction of every chunk: prompt, cap and suffix; and how many messages a call has."""
+    capped = digest_caps(spark, sf_dir)
+    made = digests.chunk_messages(capped.withColumn("text", F.lit("excerpt")), digests.instruction("Condense the excerpt.", "Keep names.", F.when(F.col("chunk") > 0, F.col("cap_tokens"))))
+    return made.select("doc_id", "chunk", F.size("messages").alias("messages"), F.col("messages")[0]["text"].alias("first"), F.col("messages")[1]["text"].alias("last"))
+
+
+def synthetic_stream(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.posexplode(digests.synthetic_stream(F.col("text"))).alias("at", "r"))
+    return conv.select("conv_id", "turn", "at", "r.type", "r.text", "r.reason")
 
 
 def duplicate_routes(spark, sf_dir):
@@ -410,10 +714,13 @@ def duplicate_routes(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        region_lines, block_lines, replayed_region, dedup_lines, purge_noise, skip_blank_blocks, head_middle_tail, ast_skeleton, log_runs, log_condense_balanced, log_condense_head,
+        region_lines, block_lines, replayed_region, replayed_blocks, message_prices, request_tokens, region_chars, history_text, purpose_requests, triggers, targets, replay_input, filler_lines,
+        unknown_keys, output_tokens, retry_delays, dedup_lines, purge_noise, skip_blank_blocks, head_middle_tail, ast_skeleton, log_runs, log_condense_balanced, log_condense_head,
         log_condense_tail, stage0_full, region_tokens, context_size, budget_table, chunk_slices, chunk_slices_pool, digest_caps, split_halves, persona_perfect, persona_leak,
-        persona_forgetful, merge_material, compaction_graded, compression_ratio, tool_balance, retention_range, pressure_decision, validate_region, surface_after_replace, entry_state,
-        derive_span, pool_validation, route_capacity, merge_holdable, route_pick, chunk_routes, earliest_expiry, attempts_summary, calls_by_route, cooldown_upsert, run_record,
-        runlog_recent, chunk_attribution, grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,
+        persona_forgetful, merge_material, compaction_graded, compression_ratio, framed_shrinks, summary_decision, call_outcomes, instructions, synthetic_stream, tool_balance, retention_range,
+        pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, entry_state,
+        derive_span, pool_validation, route_capacity, merge_holdable, merge_plan, route_pick, route_deal, chunk_routes, pool_reset, local_quarantine, cooldowns_cleared, earliest_expiry,
+        attempts_summary, calls_by_route, collapse_error, combined_parts, recorded_once, cooldown_upsert, run_record, runlog_recent, runlog_capped, runlog_read_back, chunk_attribution,
+        grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, suite_a, suite_report, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,
     )
 }

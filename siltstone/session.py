@@ -58,6 +58,30 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def register(spark: SparkSession, path: str) -> str:
+    """Have release() remove what will be written at a path of the shared folder; returns the path."""
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+class Ledger:
+    """A table of the shared folder that grows by rounds and is read in one scan."""
+
+    def __init__(self, spark: SparkSession, schema: str):
+        self.spark, self.schema, self.rounds = spark, schema, 0
+        self.path = f"{shared_dir(spark)}/siltstone-{uuid.uuid4().hex}"
+        _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(self.path)
+
+    def add(self, rows: DataFrame) -> None:
+        rows.select(*self.spark.createDataFrame([], self.schema).columns).write.parquet(f"{self.path}/round={self.rounds}")
+        self.rounds += 1
+
+    def read(self) -> DataFrame:
+        if not self.rounds:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self.path).drop("round")
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     found = spark._jvm.org.apache.hadoop.fs.Path(path)
     found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
@@ -89,10 +113,13 @@ class scratch:  # noqa: N801
         return path
 
     def remove(self, path: str) -> None:
-        _WRITTEN[self.spark.sparkContext.applicationId].remove(path)
+        """Remove a table at once, whichever block it belongs to."""
+        for known in (_WRITTEN.get(self.spark.sparkContext.applicationId, []), *(b.paths for b in getattr(_OPEN, "blocks", []))):
+            if path in known:
+                known.remove(path)
         _delete(self.spark, path)
 
     def __exit__(self, *_) -> None:
         _OPEN.blocks = _OPEN.blocks[:-1]
-        for p in self.paths:
+        for p in list(self.paths):
             self.remove(p)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import cap_snapshot, describe_error
-from siltstone.session import materialise
-from siltstone.sources.runlog import RECORD, read_records
+from siltstone.functions.text import cap_snapshot, describe_error, length16
+from siltstone.sources.runlog import PLACE, RECORD, batches, read_records
 
 
 def route_label(provider: Column, model: Column, failed: Column) -> Column:
@@ -28,20 +30,52 @@ def format_records(runs: DataFrame, snapshot_chars: int = 0) -> DataFrame:
     if "errors" in have:
         made["error"] = F.when(F.coalesce(failed, F.lit(False)), describe_error(F.col("errors")))
     if "region" in have and snapshot_chars > 0:
-        made |= {"snapshot": cap_snapshot(F.col("region"), snapshot_chars), "snapshotChars": F.length("region")}
+        made |= {"snapshot": cap_snapshot(F.col("region"), snapshot_chars), "snapshotChars": length16(F.col("region"))}
     return runs.select(*[made.get(f.name, given(f.name, f.dataType)).cast(f.dataType).alias(f.name) for f in RECORD.fields])
 
 
-def append_records(records: DataFrame, path: str) -> None:
-    """One JSON line a record; a single writer, as a log's order is its rows'."""
-    records.coalesce(1).write.mode("append").json(path)
+def record_once(failures: DataFrame) -> DataFrame:
+    """The first report of each failure, whichever wrapper reports it again. failures: failure_id, pos and any others; null ids are failures of their own."""
+    own = F.coalesce(F.col("failure_id").cast("string"), F.concat(F.lit("-"), F.col("pos").cast("string")))
+    return failures.groupBy(own.alias("_own")).agg(F.min_by(F.struct(*failures.columns), "pos").alias("r")).select("r.*")
+
+
+def append_records(records: DataFrame, path: str, tag: str = "") -> str:
+    """One JSON line a record, as the log's next batch, in the order of the rows; returns the batch's name, which ends in the tag. One writer at a time."""
+    spark = records.sparkSession
+    last = max((int(n[6:18]) for n in batches(spark, path)), default=-1)
+    name = f"batch={last + 1:012d}{tag}"
+    records.select(*[f.name for f in RECORD.fields]).write.json(f"{path}/{name}")
+    return name
+
+
+def cap_log(spark: SparkSession, path: str, limit: int, tag: str = "") -> None:
+    """Keep the newest ``limit`` records of a log.
+
+    They are written beside the log and become its base by a rename; only then do the batches before it go. A crash at any time leaves the log as it was or as it should be.
+    """
+    names = batches(spark, path)
+    if not names:
+        return
+    newest = read_records(spark, path).orderBy(F.desc(PLACE)).limit(limit)
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    staged, base = fs_path(f"{path}/_staged-{uuid.uuid4().hex}"), fs_path(f"{path}/batch={int(names[-1][6:18]) + 1:012d}{tag}-base")
+    newest.orderBy(PLACE).select(*[f.name for f in RECORD.fields]).write.json(staged.toString())
+    fs = staged.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.rename(staged, base):
+        raise OSError(f"could not rename {staged.toString()}")
+    for n in names:
+        fs.delete(fs_path(f"{path}/{n}"), True)
 
 
-def cap_records(records: DataFrame, path: str, limit: int) -> None:
-    """Keep the newest ``limit`` records: staged in the shared folder, then written over the log."""
-    kept = materialise(records.orderBy(F.desc("at")).limit(limit))
-    kept.orderBy("at").coalesce(1).write.mode("overwrite").json(path)
+def runlog_sink(path: str, limit: int | None = None) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: appends each micro-batch of records, and caps the log if a limit is given. A micro-batch that is tried again is written once."""
 
+    def write(records: DataFrame, epoch: int) -> None:
+        tag = f"-e{epoch:012d}"
+        if not any(tag in n for n in batches(records.sparkSession, path)):
+            append_records(records, path, tag)
+        if limit is not None:
+            cap_log(records.sparkSession, path, limit, tag)
 
-def cap_log(spark, path: str, limit: int) -> None:
-    cap_records(read_records(spark, path), path, limit)
+    return write

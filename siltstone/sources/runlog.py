@@ -1,4 +1,8 @@
-"""The run log: JSON lines read newest first."""
+"""The run log: JSON lines in the order in which they were written, read newest first.
+
+A log is a folder of batches, ``batch=000000000007`` and so on, each with Spark's part files in row order; a batch whose name ends in ``-base`` stands for all before it. A single file of JSON lines, or a
+folder of such files, is read as well. A record's place is its batch, file, block and line, whatever its clock says.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +17,35 @@ RECORD = T.StructType.fromDDL(
     f"fallbackReason string, digestChars int, attempts int, failed boolean, error string, chunks array<struct<{CHUNK}>>, cooldowns array<struct<{COOLDOWN}>>, "
     "ref struct<sessionId:string,seqs:array<bigint>,compactionId:string>, snapshotChars int, snapshot string, result string"
 )
+PLACE = "_place"
+_BROKEN = "_broken"
+
+
+def batches(spark: SparkSession, path: str) -> list[str]:
+    """The names of a log's whole batches that count, in order: from the last base on. A batch whose writer did not finish has no mark of success."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(folder) or not fs.getFileStatus(folder).isDirectory():
+        return []
+    found = [s.getPath().getName() for s in fs.listStatus(folder)]
+    names = sorted(n for n in found if n.startswith("batch=") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+    base = max((k for k, n in enumerate(names) if n.endswith("-base")), default=0)
+    return names[base:]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All sound records; blank and broken lines are skipped."""
-    return spark.read.schema(RECORD).option("mode", "DROPMALFORMED").json(path).filter("at is not null")
+    """All sound records with their place in the log (column ``_place``, which sorts as they were written); blank and broken lines are skipped. A log that is not there is empty."""
+    names = batches(spark, path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not names and not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], T.StructType([*RECORD.fields, T.StructField(PLACE, T.StringType())]))
+    lines = spark.read.text([f"{path}/{n}" for n in names] or path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    place = F.concat_ws("/", "file_path", F.format_string("%020d", "file_block_start"), F.format_string("%020d", "line"))
+    schema = T.StructType([*RECORD.fields, T.StructField(_BROKEN, T.StringType())])
+    parsed = lines.filter(F.trim("value") != "").select(F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BROKEN}).alias("r"), place.alias(PLACE))
+    return parsed.filter(f"r is not null and r.{_BROKEN} is null").select(*[F.col(f"r.{f.name}") for f in RECORD.fields], PLACE)
 
 
-def recent(records: DataFrame, limit: int, order: str = "at") -> DataFrame:
-    """The newest ``limit`` records, newest first."""
-    return records.orderBy(F.desc(order)).limit(limit)
+def recent(records: DataFrame, limit: int, order: str = PLACE) -> DataFrame:
+    """The newest ``limit`` records, newest first: the last ones of each task, then of these, so nothing is sorted as a whole."""
+    return records.orderBy(F.desc(order)).limit(limit).drop(PLACE)

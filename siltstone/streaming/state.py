@@ -27,19 +27,66 @@ def cooldown_stream(failures: DataFrame) -> DataFrame:
     return failures.groupBy("key").applyInPandasWithState(step, "key string, cooldown_until long", "until long", "update", GroupStateTimeout.NoTimeout)
 
 
-def pressure_stream(nodes: DataFrame, threshold: int) -> DataFrame:
-    """(session_id, total_tokens) whenever a session's running total reaches the threshold; the total starts again. nodes: session_id, tokens."""
+def pressure_stream(nodes: DataFrame, threshold: int, retained: int = 0) -> DataFrame:
+    """(session_id, total_tokens) whenever a session's running total reaches the threshold; the total goes on from what a compaction retains. nodes: session_id, tokens."""
 
     def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         total = state.get[0] if state.exists else 0
         total += sum(int(part["tokens"].sum()) for part in rows)
-        state.update((0 if total >= threshold else total,))
+        state.update((min(total, retained) if total >= threshold else total,))
         if total >= threshold:
             yield pd.DataFrame({"session_id": [key[0]], "total_tokens": [total]})
 
     return nodes.groupBy("session_id").applyInPandasWithState(step, "session_id long, total_tokens long", "total long", "update", GroupStateTimeout.NoTimeout)
 
 
+def surface_stream(events: DataFrame) -> DataFrame:
+    """(session_id, nodes, total_tokens): a session's visible surface after each micro-batch that brings events of it.
+
+    events: session_id, seq, op (append, replace or null), covers (array), tokens. State: the visible nodes (place, seq, tokens), which compaction keeps short. Events of a
+    micro-batch are taken in order of seq; one that is not newer than what was seen is a repetition and is dropped.
+    """
+
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, places, seqs, tokens = state.get if state.exists else (-1, [], [], [])
+        nodes = {int(s): (int(p), int(t)) for p, s, t in zip(places, seqs, tokens, strict=True)}
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if e.seq <= last:
+                continue
+            last = int(e.seq)
+            if not isinstance(e.op, str):
+                continue
+            gone = [nodes.pop(int(c)) for c in (e.covers if e.op == "replace" and e.covers is not None else []) if int(c) in nodes]
+            nodes[last] = (min((p for p, _ in gone), default=last), int(e.tokens))
+        order = sorted(nodes.items(), key=lambda n: n[1][0])
+        state.update((last, [p for _, (p, _) in order], [s for s, _ in order], [t for _, (_, t) in order]))
+        yield pd.DataFrame({"session_id": [key[0]], "nodes": [[s for s, _ in order]], "total_tokens": [sum(t for _, (_, t) in order)]})
+
+    out = "session_id long, nodes array<long>, total_tokens long"
+    return events.groupBy("session_id").applyInPandasWithState(step, out, "last long, places array<long>, seqs array<long>, tokens array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def overflow_stream(events: DataFrame, most: int = 1) -> DataFrame:
+    """(session_id, seq, retry): for every overflow of a session's context whether it is compacted and tried again: ``most`` times, counted anew after the agent was idle or an
+    assistant's message came. events: session_id, seq, type (overflow, idle, assistant/message or any other)."""
+
+    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        count = state.get[0] if state.exists else 0
+        seqs, retries = [], []
+        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
+            if e.type in ("idle", "assistant/message"):
+                count = 0
+            elif e.type == "overflow":
+                seqs.append(int(e.seq))
+                retries.append(count < most)
+                count += int(count < most)
+        state.update((count,))
+        if seqs:
+            yield pd.DataFrame({"session_id": key[0], "seq": seqs, "retry": retries})
+
+    return events.groupBy("session_id").applyInPandasWithState(step, "session_id long, seq long, retry boolean", "retries int", "update", GroupStateTimeout.NoTimeout)
+
+
 def surface_tokens(nodes: DataFrame, delay: str = "10 minutes", span: str = "5 minutes") -> DataFrame:
     """Tokens by session and window of event time, late rows dropped beyond the delay. nodes: session_id, ts, tokens."""
     from pyspark.sql import functions as F

@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone import config
-from siltstone.operators import lines, surface
-from siltstone.operators.chain import Route, run_chain
+from siltstone.operators import lines, pool, surface
+from siltstone.operators.chain import Route, run_chain, with_retry
+from siltstone.session import materialise, release, scratch, shared_dir
 
 TASKS = "task string, text string, tokens long, preferred_key string"
 
@@ -55,9 +56,88 @@ def test_fallback_or_failure(spark):
     tasks = spark.createDataFrame([("t", "a", 10, None), ("u", "b", 10, None)], TASKS)
     found, _ = run_chain(tasks, [Route("a", 0, 0)], script(fails=["a"]), fallback=script())
     assert results(found) == {"t": ("fallback", "A", 0, []), "u": ("fallback", "B", 0, [])}
-    found, _ = run_chain(tasks, [Route("a", 0, 0, cooled_until=9)], script(), now=8)
+    found, _ = run_chain(tasks, [Route("a", 0, 0), Route("b", 1, 0)], script(fails=["a", "b"]))
     assert {v[0] for v in results(found).values()} == {"failed"}
+    assert {r.error for r in found.collect()} == {"no healthy route is left in any tier and there is no fallback; attempts: a x1 (last: failed); b x1 (last: failed)"}
     assert run_chain(tasks.limit(0), [Route("a", 0, 0)], script())[0].count() == 0
+    assert {v[0] for v in results(run_chain(tasks, [], script())[0]).values()} == {"failed"}
+
+
+def test_a_pool_that_is_all_cooled_is_reset_once(spark):
+    tasks = spark.createDataFrame([("t", "a", 10, None)], TASKS)
+    found, routes = run_chain(tasks, [Route("a", 0, 0, cooled_until=9), Route("b", 1, 0, cooled_until=99)], script(fails=["a"]), now=8)
+    assert results(found)["t"][3] == ["b"] and {r.key: r.cooled_until for r in routes} == {"a": 3_600_008, "b": 0}
+
+
+def test_siblings_share_a_round_by_their_slots(spark):
+    tasks = spark.createDataFrame([(f"t{k}", "a", 10, None) for k in range(300)], TASKS)
+    found, _ = run_chain(tasks, [Route("a", 0, 0, max_concurrent=2), Route("b", 0, 1), Route("c", 1, 0)], script())
+    used = [v[3][0] for v in results(found).values()]
+    assert 150 < used.count("a") < 250 and 50 < used.count("b") < 150 and not used.count("c")
+
+
+def test_busy_routes_are_waited_for(spark):
+    tasks = spark.createDataFrame([("t", 10, None, False, True), ("u", 10, "b", False, True), ("r", 9000, None, True, True), ("w", 9000, None, False, True)], "task string, tokens long, preferred_key string, is_retry boolean, splittable boolean")
+    routes = spark.createDataFrame([("a", 0, 0, 2000, 100, True, False), ("b", 0, 1, 2000, 100, True, False), ("c", 1, 0, 90_000, 100, True, True)], "key string, tier_idx int, pos int, window long, max_tokens long, healthy boolean, free boolean")
+    got = {r.task: (r.key, r.tier_idx, r.split, r.waits) for r in pool.pick_routes(tasks, routes).collect()}
+    assert got == {"t": (None, 0, False, True), "u": (None, 0, False, True), "r": (None, 0, True, False), "w": ("c", 1, False, False)}
+    opened = pool.pick_routes(tasks, routes.withColumn("free", F.col("key") != "a"))
+    assert {r.task: r.key for r in opened.collect()}["t"] == "b"
+    plan = opened._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_cancelled_calls_cool_nothing_and_are_not_made_again(spark):
+    tasks = spark.createDataFrame([("t", "a", 10, None), ("u", "b", 10, None)], TASKS)
+
+    def call(work):
+        return work.select("task", "key", F.when(F.col("task") == "t", "aborted").otherwise("ok").alias("status"), F.upper("text").alias("digest"), F.lit(None).cast("string").alias("error"))
+
+    found, routes = run_chain(tasks, [Route("a", 0, 0), Route("b", 0, 1)], call, fallback=script())
+    assert {k: v[:2] for k, v in results(found).items()} == {"t": ("aborted", None), "u": ("ok", "B")} and not any(r.cooled_until for r in routes)
+
+
+def test_empty_digests_are_failures(spark):
+    tasks = spark.createDataFrame([("t", "", 10, "a")], TASKS)
+    found, routes = run_chain(tasks, [Route("a", 0, 0)], script())
+    assert results(found)["t"][0] == "failed" and "a digest was empty" in found.first().error and routes[0].cooled_until > 0
+
+
+def test_stores_keep_cooldowns_and_may_fail(spark):
+    tasks = spark.createDataFrame([("t", "a", 10, "a")], TASKS)
+    kept = {}
+    run_chain(tasks, [Route("a", 0, 0), Route("b", 0, 1)], script(fails=["a"]), now=5, store=kept.__setitem__)
+    assert kept == {"a": 3_600_005}
+
+    def broken(key, until):
+        raise OSError(key)
+
+    found, routes = run_chain(tasks, [Route("a", 0, 0), Route("b", 0, 1)], script(fails=["a"]), now=5, store=broken)
+    assert results(found)["t"][3] == ["b"] and routes[0].cooled_until == 3_600_005
+
+
+def test_providers_are_asked_again_before_a_failure_counts(spark):
+    tasks = spark.createDataFrame([("t", "a", 10, "a"), ("u", "b", 10, "a")], TASKS)
+    seen = []
+
+    def flaky(work):
+        seen.append(work.count())
+        code = F.when(F.col("task") == "t", "RATE").otherwise("AUTH")
+        return work.select("task", "key", F.lit("fail" if len(seen) < 3 else "ok").alias("status"), F.upper("text").alias("digest"), code.alias("error"))
+
+    work = tasks.select("task", F.lit("a").alias("key"), "text")
+    got = {r.task: r.status for r in with_retry(flaky, ("RATE",), 2)(work).collect()}
+    assert got == {"t": "ok", "u": "fail"} and seen == [2, 1, 1]
+    seen.clear()
+    assert {r.status for r in with_retry(flaky, None, 5)(work).collect()} == {"ok"} and seen == [2, 2, 2]
+
+
+def test_fallback_keeps_what_a_root_has(spark):
+    text = "\n".join(f"line {k}" for k in range(8))
+    tasks = spark.createDataFrame([("t", text, 6000, "large")], TASKS)
+    found, _ = run_chain(tasks, [Route("large", 0, 0, 20_000), Route("small", 0, 1, 5_000)], script(fails=["large"], rejects=["t/2-2:small"]), fallback=script())
+    status, digest, parts, _ = results(found)["t"]
+    assert (status, parts) == ("fallback", 1) and digest == "\n".join(text.upper().split("\n")[:4]) + "\n\n" + text.upper()
 
 
 def test_config():
@@ -69,6 +149,23 @@ def test_config():
             config.load(bad)
 
 
+def test_config_writes_are_fenced(tmp_path):
+    path, tiers = str(tmp_path / "c.json"), [{"name": "a", "models": [{"provider": "p", "model": "m"}]}]
+    first = config.save(path, {"tiers": tiers}, None)
+    second = config.save(path, {"tiers": tiers, "chunkRatio": 0.5}, first)
+    for expected, value in ((None, {"tiers": tiers}), (first, {"tiers": tiers})):
+        with pytest.raises(config.Conflict):
+            config.save(path, value, expected)
+    with pytest.raises(config.ConfigError):
+        config.save(path, {"tiers": []}, second)
+    assert config.read(path)["chunkRatio"] == 0.5 and config.revision({"b": 1, "a": "é"}) == config.revision({"a": "é", "b": 1})
+    now, error = config.reload(path, config.load({"tiers": tiers}))
+    assert now.chunk_ratio == 0.5 and error is None
+    (tmp_path / "c.json").write_text("{")
+    assert config.reload(path, now)[0] is now and config.reload(path, now)[1]
+    assert config.log_path("x") == "x" and config.log_path("", "/h") == "/h/storages/runs"
+
+
 def test_commit_folds_to_the_replacement(spark):
     events = spark.createDataFrame([(1, k) for k in range(5)], "session_id long, seq long")
     regions = spark.createDataFrame([(1, [1, 2], "S", None)], "session_id long, covers array<long>, summary string, error string")
@@ -102,10 +199,35 @@ def test_small_line_operators(spark):
 def test_release_removes_what_was_written(spark):
     import os
 
-    from siltstone.session import materialise, release, shared_dir
-
     release(spark)
     folder = shared_dir(spark).removeprefix("file://")
     before = len(os.listdir(folder)) if os.path.isdir(folder) else 0
     assert materialise(spark.range(3)).count() == 3 and len(os.listdir(folder)) == before + 1
     assert release(spark) == 1 and len(os.listdir(folder)) == before and release(spark) == 0
+    with scratch(spark) as outer:
+        materialise(spark.range(1))
+        with scratch(spark) as inner:
+            materialise(spark.range(2))
+            kept = materialise(spark.range(3))
+            path = inner.keep()
+        assert kept.count() == 3 and len(os.listdir(folder)) == before + 2
+        outer.remove(path)
+    assert len(os.listdir(folder)) == before and release(spark) == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getConf(self):  # noqa: N802
+            return Conf()
+
+    class Session:
+        conf, sparkContext = Conf(), Context()  # noqa: N815
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        shared_dir(Session())

@@ -126,11 +126,73 @@ def test_texts(spark):
 
 
 def test_fnv(spark):
-    from siltstone.session import ship
-
-    ship(spark)
-    got = spark.createDataFrame([("a",), ("",)], "s string").select(text.fnv1a(F.col("s")).alias("h")).collect()
-    assert [r.h for r in got] == [0xE40C292C, 2166136261]
+    def plain(s):
+        h = 2166136261
+        for k in range(0, len(raw := s.encode("utf-16-be")), 2):
+            h = ((h ^ (raw[k] << 8 | raw[k + 1])) * 16777619) & 0xFFFFFFFF
+        return h
+
+    texts = ["a", "", "é日本", "😀 x" * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "s string").select(text.fnv1a(F.col("s")).alias("h"))
+    assert [r.h for r in got.collect()] == [plain(t) for t in texts] and plain("a") == 0xE40C292C
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cuts_are_in_code_units(spark):
+    """300 emoji are 600 units: cuts count units, and half a pair at a cut is a replacement character."""
+    row = spark.createDataFrame([("😀" * 300, "x" + "😀" * 300, "short")], "a string, b string, c string")
+    got = row.select(text.cap_snapshot(F.col("a"), 200).alias("a"), text.cap_snapshot(F.col("b"), 200).alias("b"), text.preview(F.col("a")).alias("p"), text.preview(F.col("b")).alias("q"), text.cap_snapshot(F.col("c"), 200).alias("c"), text.cut(F.col("a"), 600).alias("w"), text.cap_snapshot(F.col("a"), 201).alias("o")).first()
+    assert got.a == "😀" * 80 + "\n…[elided 400 chars]…\n" + "😀" * 20 and got.c == "short" and got.w == "😀" * 300
+    assert got.b == "x" + "😀" * 79 + "\ufffd" + "\n…[elided 401 chars]…\n" + "😀" * 20
+    assert got.p == "😀" * 39 + "\ufffd…" and got.q == "x" + "😀" * 39 + "…"
+    assert got.o == "😀" * 80 + "\n…[elided 399 chars]…\n" + "\ufffd" + "😀" * 20
+
+
+def test_costs_by_a_vocabulary(spark, tmp_path):
+    import gzip
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from siltstone.functions.tokens import counter
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packed = tmp_path / "v.json.gz"
+    packed.write_bytes(gzip.compress(open(path, "rb").read()))
+    texts = ["", None, "one two  three", "日本 😀 don't", "x" * 500, "<|endoftext|>"]
+    df = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc_id long, line_no long, line string")
+    tok = Tokenizer.from_file(path)
+    tok.encode_special_tokens = True
+    want = [len(tok.encode(t, add_special_tokens=False).ids) if t else 0 for t in texts]
+    for at in (path, f"file://{packed}"):
+        assert [r.n for r in df.orderBy("line_no").select(counter(spark, at)(F.col("line")).alias("n")).collect()] == want
+    cost = counter(spark, path)
+    got = chunks.chunk_lines(df.filter("line is not null"), [(40, 0)], cost).agg(F.sum("core_tokens")).first()[0]
+    assert got == sum(n + 1 for n, t in zip(want, texts, strict=True) if t is not None)
+    assert df.select(F.sum(lines.text_tokens(F.col("line"), cost))).first()[0] == sum(want) + 4 * len(texts)
+    with pytest.raises(Exception, match="(?i)exist|path"):
+        counter(spark, str(tmp_path / "none.json"))
+
+
+def test_needles_are_counted_by_line(spark):
+    texts = ["one two\nTWO two\nthree", None, "", "two\n\ntwo", "aaa"]
+    needles = ["two", "TWO", "one two", "three\n", "aa", "zzz", "", None, "two", "é"]
+    rows = [x for t in texts if t is not None for x in t.lower().split("\n")]
+    want = {n: sum(n.lower() in x for x in rows) for n in needles if n is not None}
+    df, ns = spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame([(n,) for n in needles], "needle string")
+    for block in (1 << 20, 4):
+        got = grading.grep_counts(df, ns, block_chars=block).collect()
+        assert {r.needle: r.hits for r in got} == want and len(got) == len(want)
+    assert "NestedLoop" not in grading.grep_counts(df, ns)._jdf.queryExecution().toString()
+    assert grading.grep_counts(df, ns.limit(0)).count() == 0 and {r.hits for r in grading.grep_counts(df.limit(0), ns).collect()} == {0}
+
+
+def test_plans_have_no_fan_out(spark):
+    rows = doc(spark, ["word " * 30] * 50)
+    made = chunks.chunk_lines(rows, [(100, 20)])
+    for df in (chunks.chunk_text(rows, made), chunks.split_halves(rows, chunks.digest_caps(made, 300))):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Cross" not in plan and "line_no" in plan[plan.index("Join") :].split("\n")[0]
 
 
 def test_blocks(spark):
@@ -171,6 +233,9 @@ def test_health_boundary(spark):
 def test_grader(spark):
     probes = spark.createDataFrame([(1, "p", ["alpha", "beta"]), (1, "q", [])], "k long, probe_id string, need array<string>")
     answers = spark.createDataFrame([(1, "only ALPHA here")], "k long, answer string")
+    alone = spark.createDataFrame([(2, "p", ["alpha"])], "k long, probe_id string, need array<string>")
+    lost = grading.grade_probes(alone, answers, ["k"]).first()
+    assert (lost.matched, lost.required, lost.recall, lost.missing) == (0, 1, 0.0, ["alpha"])
     got = {r.probe_id: r for r in grading.grade_probes(probes, answers, ["k"]).collect()}
     assert got["p"].recall == 0.5 and got["p"].missing == ["beta"] and got["q"].recall is None
     said = spark.createDataFrame([("we rejected it and also chose it",), ("fine",), (None,)], "a string")
@@ -182,18 +247,44 @@ def test_framing(spark):
     assert got.c.endswith("<compacted-summary>\nS\n</compacted-summary>") and json.loads(got.a.split("\n")[1]) == {"id": "x"} and got.p == "25.6%"
 
 
-def test_run_log_round_trip(spark, tmp_path):
-    from siltstone.sinks.runlog import append_records, cap_log, format_records
-    from siltstone.sources.runlog import read_records, recent
+def _runs(spark, ids):
+    from siltstone.sinks.runlog import format_records
+
+    return format_records(spark.createDataFrame([(k, "p", "m", k == 3, ["bad"]) for k in ids], "at long, provider string, model string, failed boolean, errors array<string>"))
+
+
+def test_run_log_is_read_as_it_was_written(spark, tmp_path):
+    from siltstone.sinks.runlog import append_records, cap_log
+    from siltstone.sources.runlog import batches, read_records, recent
 
     path = f"file://{tmp_path}/log"
-    runs = spark.createDataFrame([(k, "p", "m", k == 3, ["bad"]) for k in range(5)], "at long, provider string, model string, failed boolean, errors array<string>")
-    append_records(format_records(runs), path)
-    (tmp_path / "log" / "broken.json").write_text('\n{"at": \n')
-    assert [r.at for r in recent(read_records(spark, path), 2).collect()] == [4, 3]
+    assert read_records(spark, path).count() == 0
+    for ids in ([5, 1], [3, 4], [2]):  # the clock goes back and forth
+        append_records(_runs(spark, ids).coalesce(1), path)
+    whole = tmp_path / "log" / "batch=000000000001" / "part-99999.json"
+    whole.write_text('\n{"at": \nnot json\n{"at": 9}\n')
+    half = tmp_path / "log" / "batch=000000000009"
+    half.mkdir()
+    (half / "part-00000.json").write_text('{"at": 77}\n')  # its writer did not finish
+    assert [r.at for r in recent(read_records(spark, path), 4).collect()] == [2, 9, 4, 3]
     cap_log(spark, path, 3)
-    left = read_records(spark, path).orderBy("at").collect()
-    assert [r.at for r in left] == [2, 3, 4] and left[1].route == "error" and left[1].error == "bad"
+    assert len(batches(spark, path)) == 1 and [r.at for r in recent(read_records(spark, path), 9).collect()] == [2, 9, 4]
+    append_records(_runs(spark, [3]), path)
+    left = recent(read_records(spark, path), 9).collect()
+    assert [r.at for r in left] == [3, 2, 9, 4] and left[0].route == "error" and left[0].error == "bad"
+    (tmp_path / "one.jsonl").write_text("".join(f'{{"at": {k}}}\n' for k in (3, 1, 2)))
+    assert [r.at for r in recent(read_records(spark, f"file://{tmp_path}/one.jsonl"), 2).collect()] == [2, 1]
+
+
+def test_capped_log_stream(spark, tmp_path):
+    from siltstone.sinks.runlog import runlog_sink
+    from siltstone.sources.runlog import read_records, recent
+
+    path = f"file://{tmp_path}/log"
+    write = runlog_sink(path, 4)
+    for epoch, ids in enumerate(([1, 2, 3], [4, 5], [4, 5])):
+        write(_runs(spark, ids), min(epoch, 1))  # the second micro-batch is tried again
+    assert [r.at for r in recent(read_records(spark, path), 9).collect()] == [5, 4, 3, 2]
 
 
 def test_cooldown_stream(spark, tmp_path):
@@ -213,3 +304,87 @@ def test_cooldown_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.session_id, r.total_tokens) for r in spark.table("press").collect()] == [(1, 110)]
+
+
+def _stream(spark, tmp_path, name, batches, schema, make):
+    """The rows that a streaming query puts out over micro-batches that come as files, one at a time."""
+    folder = tmp_path / name
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(folder / f"in-{k}"))
+    (folder / "live").mkdir()
+    query = make(spark.readStream.schema(schema).parquet(str(folder / "live"))).writeStream.format("memory").queryName(name).outputMode("update").option("checkpointLocation", str(folder / "ck")).start()
+    out = []
+    for k in range(len(batches)):
+        for f in (folder / f"in-{k}").glob("*.parquet"):
+            f.rename(folder / "live" / f"{k}-{f.name}")
+        query.processAllAvailable()
+        out.append(spark.table(name).count())
+    query.stop()
+    return spark.table(name).collect(), out
+
+
+def test_surface_stream_is_the_fold(spark, tmp_path):
+    from siltstone.streaming.state import surface_stream
+
+    events = [(1, k, "append", None, 10) for k in range(5)] + [(1, 5, "replace", [1, 2], 7), (1, 6, None, None, 0), (1, 7, "replace", [5, 3], 4), (1, 8, "append", None, 1), (2, 0, "append", None, 3)]
+    schema = "session_id long, seq long, op string, covers array<long>, tokens long"
+    rows, _ = _stream(spark, tmp_path, "folded", [events[:6], events[4:9], events[9:]], schema, surface_stream)
+    want = [r.seq for r in surface.surface_fold(spark.createDataFrame(events[:9], schema)).orderBy("pos").collect()]
+    last = [r for r in rows if r.session_id == 1][-1]
+    assert last.nodes == want == [0, 7, 4, 8] and last.total_tokens == 25
+    assert [(r.nodes, r.total_tokens) for r in rows if r.session_id == 2] == [([0], 3)]
+
+
+def test_overflow_stream_counts_retries(spark, tmp_path):
+    from siltstone.streaming.state import overflow_stream
+
+    first = [(1, 0, "overflow"), (1, 1, "overflow"), (2, 0, "overflow")]
+    second = [(1, 2, "assistant/message"), (1, 3, "overflow"), (2, 1, "overflow"), (2, 2, "idle"), (2, 3, "other"), (2, 4, "overflow")]
+    rows, _ = _stream(spark, tmp_path, "overflows", [first, second], "session_id long, seq long, type string", overflow_stream)
+    assert {(r.session_id, r.seq): r.retry for r in rows} == {(1, 0): True, (1, 1): False, (2, 0): True, (1, 3): True, (2, 1): False, (2, 4): True}
+
+
+def test_pressure_goes_on_from_what_is_retained(spark, tmp_path):
+    from siltstone.streaming.state import pressure_stream, surface_tokens
+
+    rows, _ = _stream(spark, tmp_path, "pressure", [[(1, 110)], [(1, 60)], [(1, 15)]], "session_id long, tokens long", lambda df: pressure_stream(df, 100, 30))
+    assert [r.total_tokens for r in rows] == [110, 105]
+    times = spark.createDataFrame([(1, "2026-01-01 00:00:01", 5), (1, "2026-01-01 00:04:59", 6), (1, "2026-01-01 00:05:00", 7)], "session_id long, ts string, tokens long").withColumn("ts", F.to_timestamp("ts"))
+    assert sorted(r.tokens for r in surface_tokens(times).collect()) == [7, 11]
+
+
+def test_nested_replacements_and_odd_covers(spark):
+    """Pointer jumping against a plain fold, with covers that name what is gone, later or not there."""
+    rng = random.Random(11)
+    events, want = [], {}
+    for session in range(12):
+        acc = []
+        for seq in range(40):
+            covers = None
+            if seq and rng.random() < 0.4:
+                covers = [rng.randrange(seq + 3) for _ in range(rng.randint(0, 4))]
+                gone = [p for p, s in acc if s in covers and s < seq]
+                acc = [(p, s) for p, s in acc if s not in covers]
+                acc.append((min(gone, default=seq), seq))
+            else:
+                acc.append((seq, seq))
+            events.append((session, seq, "append" if covers is None else "replace", covers))
+        want[session] = [s for _, s in sorted(acc)]
+    df = spark.createDataFrame(events, "session_id long, seq long, op string, covers array<long>")
+    got = surface.surface_fold(df).orderBy("session_id", "pos").collect()
+    assert {k: [r.seq for r in got if r.session_id == k] for k in want} == want
+
+
+def test_outcomes_and_guards(spark):
+    with pytest.raises(Exception, match="empty"):
+        spark.range(1).select(digests.nonempty(F.lit(""))).collect()
+    assert spark.range(1).select(digests.nonempty(F.lit(" "))).first()[0] == " "
+    with pytest.raises(Exception, match="empty"):
+        spark.range(1).select(digests.nonempty(F.lit(" "), blank_too=True)).collect()
+
+
+def test_merging_goes_over_the_numbered_material(spark):
+    """A line that equals a digest's head inside a digest is a line like others; headers stay."""
+    rows = [(1, 0, "SUMMARY:\na\nSUMMARY:\nb"), (1, 1, "SUMMARY:\nb\n\nc"), (2, 0, "SUMMARY:\nalone")]
+    got = {r.doc_id: (r.merge_levels, r.summary) for r in digests.merged(spark.createDataFrame(rows, "doc_id long, chunk int, digest string")).collect()}
+    assert got == {1: (1, "SUMMARY:\n--- digest 1 ---\nSUMMARY:\na\nb\n--- digest 2 ---\nc"), 2: (0, "SUMMARY:\nalone")}
