@@ -28,7 +28,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id_col, keep_id, group_size, kept, text_sha256), one row per input row.
 
     Null texts are empty ones. Null ids sort last: they are kept only in a group without other ids. Of rows that repeat in id and text one
-    is kept. Only id and text are read, so other columns may have any name. An empty table gives an empty result.
+    is kept. Very long texts are hashed and compared whole. Only id and text are read, so other columns may have any name. An empty table gives an empty result.
     ``hash_of`` may be weak: collisions are told apart by their bytes.
     """
     text = normalised(text_of(text_col))

@@ -308,7 +308,8 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """(id_col, held_out, lang_pred, score), one row per input row.
 
     A null or empty text, or one without a letter, is ``und`` with score 0; so is every text if nothing was learned. Equal shares go to the first language by
-    name. Rows that repeat are labelled alike. Other columns are not read. An empty table gives an empty result.
+    name. Very long texts are labelled whole, in segments that carry exact messages. Rows that repeat are labelled alike; a null id is not held out. Only id and text are read, so other
+    columns may have any name. An empty table gives an empty result.
     """
     schema = T.StructType([plain(id_col, docs.schema[id_col].dataType), plain("held_out", T.BooleanType()), plain("lang_pred", T.StringType()), plain("score", T.DoubleType())])
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -165,8 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, net: Net, id_col: str = "doc_id", text_col: str = "text", *, threshold: float = THRESHOLD) -> DataFrame:
     """(id_col, held_out, score, predicted), one row per input row.
 
-    Null and empty texts are scored as a run of zero bytes. Rows that repeat score alike. A null id is not held out. Other columns are not read. An
-    empty table gives an empty result.
+    Null and empty texts are scored as a run of zero bytes, very long ones over all their bytes, in steps that bound memory. Rows that repeat score alike. A null id is not held out. A
+    score equal to the threshold is predicted 1. Only id and text are read, so other columns may have any name. An empty table gives an empty result.
     """
     schema = T.StructType([plain(id_col, docs.schema[id_col].dataType), plain("held_out", T.BooleanType()), plain("score", T.DoubleType()), plain("predicted", T.IntegerType())])
     shared = docs.sparkSession.sparkContext.broadcast(net)

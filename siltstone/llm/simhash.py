@@ -123,8 +123,9 @@ def _large(shared: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, radius: int = RADIUS, width: int = SHINGLE, seed: int = SEED, bucket: int = BUCKET) -> DataFrame:
     """(id_col, fp long, component_id): one row per input row; component_id is the smallest id reachable over links.
 
-    Equal fingerprints are linked. Null and empty texts have fingerprint zero and are linked like any other. Null ids never name a component unless it
-    has no other. Rows that repeat stay. Other columns are not read. An empty table gives an empty result.
+    Equal fingerprints are linked. Null and empty texts have fingerprint zero and are linked like any other. Very long texts are hashed whole, in steps that bound memory. Null
+    ids never name a component unless it has no other; ties cannot be, as ids are compared whole. Rows that repeat, also in their id, stay. Only id and text are read, so other columns may
+    have any name. An empty table gives an empty result.
     """
     found = materialise(fingerprints(docs, id_col, text_col, width=width, seed=seed))
     distinct = materialise(found.groupBy("fp").agg(F.min(id_col).alias("least")))
