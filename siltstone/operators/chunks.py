@@ -17,6 +17,8 @@ from siltstone.session import ship
 
 ALIGN_LINES = 12
 SPLIT_DEPTH = 4
+#: Lines of a document that meet chunks together.
+BLOCK_LINES = 32
 
 SLICES = "doc_id {key}, chunk int, route int, line_start long, line_end long, core_start long, core_end long, tokens long, core_tokens long"
 
@@ -87,10 +89,17 @@ def digest_caps(chunks: DataFrame, usable: int) -> DataFrame:
     return chunks.withColumn("_cap", share).withColumn("cap_tokens", scaled.cast("long")).drop("_cap")
 
 
+def _inside(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Lines with the columns of every chunk that they are in. Both are joined by document and block of lines, so a line meets only chunks that touch its block, however long the document is."""
+    block = lambda c: F.floor(c / BLOCK_LINES).cast("long")
+    touched = chunks.withColumn("_block", F.explode(F.sequence(block(F.col("line_start")), block(F.col("line_end") - 1))))
+    met = lines.withColumn("_block", block(F.col("line_no"))).join(touched, ["doc_id", "_block"])
+    return met.filter((F.col("line_no") >= F.col("line_start")) & (F.col("line_no") < F.col("line_end"))).drop("_block")
+
+
 def chunk_text(lines: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc_id, chunk, line_no, line): the lines of every chunk, overlaps included; joined by document and line, so a long document's chunks do not meet all of its lines."""
-    wanted = chunks.select("doc_id", "chunk", F.explode(F.sequence("line_start", F.col("line_end") - 1)).alias("line_no"))
-    return lines.join(wanted, ["doc_id", "line_no"]).select("doc_id", "chunk", "line_no", "line")
+    """(doc_id, chunk, line_no, line): the lines of every chunk, overlaps included."""
+    return _inside(lines, chunks.select("doc_id", "chunk", "line_start", "line_end")).select("doc_id", "chunk", "line_no", "line")
 
 
 def split_halves(lines: DataFrame, chunks: DataFrame, cost: TokenCost = chars4) -> DataFrame:
@@ -98,10 +107,9 @@ def split_halves(lines: DataFrame, chunks: DataFrame, cost: TokenCost = chars4)
     mid = F.greatest(F.lit(1), F.floor((F.col("line_end") - F.col("line_start")) / 2)).cast("long")
     whole = chunks.filter(F.col("line_end") - F.col("line_start") >= 2).withColumn("_mid", F.col("line_start") + mid)
     keys = ["doc_id", "chunk", "line_start", "line_end", "_mid", "tokens", "cap_tokens"]
-    wanted = whole.select(*keys, F.explode(F.sequence("line_start", F.col("line_end") - 1)).alias("line_no"))
     priced = lines.select("doc_id", "line_no", line_cost(F.col("line"), cost).alias("_cost"))
     first = F.col("line_no") < F.col("_mid")
-    sums = wanted.join(priced, ["doc_id", "line_no"]).groupBy(*keys).agg(F.sum(F.when(first, F.col("_cost")).otherwise(0)).alias("_a"), F.sum(F.when(first, 0).otherwise(F.col("_cost"))).alias("_b"))
+    sums = _inside(priced, whole.select(*keys)).groupBy(*keys).agg(F.sum(F.when(first, F.col("_cost")).otherwise(0)).alias("_a"), F.sum(F.when(first, 0).otherwise(F.col("_cost"))).alias("_b"))
     measure = F.greatest(F.lit(1), F.col("_a") + F.col("_b"))
     half = lambda no, a, b, s: F.struct(F.lit(no).alias("half"), a.alias("s"), b.alias("e"), F.floor(F.col("tokens") * s / measure).cast("long").alias("t"), F.greatest(F.lit(1), F.floor(F.col("cap_tokens") * s / measure)).cast("long").alias("c"))
     halves = F.array(half(1, F.col("line_start"), F.col("_mid"), F.col("_a")), half(2, F.col("_mid"), F.col("line_end"), F.col("_b")))

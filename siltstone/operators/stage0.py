@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import SPACE, blank, length16
 from siltstone.operators.lines import renumber
 
+# Fixed patterns: they say what noise, rules, fences, stamps and levels are. White space is spelt out, as engines differ in what they take for it.
 ANSI = "\\x1B(?:[@-Z\\\\-_]|\\[[0-?]*[ -/]*[@-~])"
 CURSOR = f"\\A[{SPACE}]*[\\^~]{{4,}}[{SPACE}]*\\z"
 RULE = f"\\A[{SPACE}]*([^{SPACE}a-zA-Z0-9_])\\1{{15,}}[{SPACE}]*\\z"

@@ -3,10 +3,17 @@
 from __future__ import annotations
 
 from siltstone.functions.budget import py_chunk
-from siltstone.operators.digests import CLOSE_TAG, FORGETFUL, OPEN_TAG, PREAMBLE
-from siltstone.operators.grading import ADOPTIONS, FLIP, REJECTIONS, STALE_CLAIM
 from siltstone.plans.queries import ANCHOR, BUDGET_WINDOWS, CAPACITIES, CATALOG, COOLDOWNS, MERGE_USABLE, NEEDLE_WORDS, NOW, PROVIDERS, RECOVERY, ROUTES, WINDOWS
 
+# Fixed texts and word lists, written out here too, so that the operators' own are checked.
+OPEN_TAG, CLOSE_TAG = "<compacted-summary>", "</compacted-summary>"
+PREAMBLE = "This is an automatically generated checkpoint condensing an earlier span of the conversation to free up context. Treat the captured context as established background and build on it without restating it. Continue the task directly from the messages that follow, without acknowledging this checkpoint."
+FORGETFUL = "SUMMARY: the user asked for work; several files were inspected and edited; continue from here."
+REJECTIONS = ("rejected", "reject", "declined", "avoid", "must not", "do not", "don't", "no longer")
+ADOPTIONS = ("chosen", "chose", "adopted", "selected", "decided to", "we will use", "went with")
+STALE_CLAIM = "still (valid|available|supported)|is (still )?current|recommended"
+FLIP = "we (also )?(chose|chosen|decided|picked)"
+
 _SPLIT = r"regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')"
 _LINES = f"l0 AS (SELECT doc_id, {_SPLIT} AS l FROM documents), doc_lines AS (SELECT doc_id, unnest(range(len(l)))::BIGINT AS line_no, unnest(l) AS line FROM l0)"
 _ESC = "chr(27)"

@@ -25,6 +25,18 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def released():
+    """The tables that a module's queries wrote go when it is done."""
+    yield
+    from pyspark.sql import SparkSession
+
+    from siltstone.session import release
+
+    if session := SparkSession.getActiveSession():
+        release(session)
+
+
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()

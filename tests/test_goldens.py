@@ -192,7 +192,11 @@ def test_plans_have_no_fan_out(spark):
     made = chunks.chunk_lines(rows, [(100, 20)])
     for df in (chunks.chunk_text(rows, made), chunks.split_halves(rows, chunks.digest_caps(made, 300))):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
-        assert "Cross" not in plan and "line_no" in plan[plan.index("Join") :].split("\n")[0]
+        assert "Cross" not in plan and "_block" in plan[plan.index("Join") :].split("\n")[0]
+    whole = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.col("id").alias("line_no"), F.lit("x").alias("line"))
+    spans = spark.createDataFrame([(1, 0, 0, 3000), (1, 1, 31, 33), (1, 2, 64, 64 + 32), (1, 3, 2999, 3000)], "doc_id long, chunk int, line_start long, line_end long")
+    got = {r.chunk: (r.lo, r.hi, r.n) for r in chunks.chunk_text(whole, spans).groupBy("chunk").agg(F.min("line_no").alias("lo"), F.max("line_no").alias("hi"), F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {0: (0, 2999, 3000), 1: (31, 32, 2), 2: (64, 95, 32), 3: (2999, 2999, 1)}
 
 
 def test_blocks(spark):
