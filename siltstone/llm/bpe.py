@@ -71,6 +71,7 @@ class ByteBPE:
         self.token = [b""] * size
         for piece, rank in ranks.items():
             self.token[rank] = piece
+        self.names = [str(k) for k in range(size)]
         self.opens = np.array([t[:1] == b" " for t in self.token], dtype=bool)
         self.special = special or {}
         self.cut = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None

@@ -27,7 +27,7 @@ from siltstone.llm import bpe
 from siltstone.llm.arrowmap import map_rows, plain, text_of
 
 CHUNK = 512
-OVERLAP = 128
+OVERLAP = 64
 SECTION = 65_536
 SEAM = 4_096
 
@@ -207,7 +207,7 @@ def decode(ids: DataFrame, path: str | None = None, id_col: str = "doc_id", ids_
 def round_trip(encoder: bpe.ByteBPE, raw: bytes) -> dict:
     """Digests of a text's ids and of the bytes that they decode to."""
     ids = np.frombuffer(raw, dtype="<u4").tolist()
-    return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(encoder.decode(ids)).hexdigest()}
+    return {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(" ".join(map(encoder.names.__getitem__, ids)).encode()).hexdigest(), "decoded_sha256": hashlib.sha256(encoder.decode(ids)).hexdigest()}
 
 
 DIGEST = T.StructType([plain("n_tokens", T.LongType()), plain("ids_sha256", T.StringType()), plain("decoded_sha256", T.StringType())])
