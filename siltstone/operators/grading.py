@@ -52,6 +52,21 @@ def suite_means(grades: DataFrame, keys: list[str], digits: int = 3) -> DataFram
     return grades.groupBy(*keys).agg(F.round(F.avg("recall"), digits).alias("mean_recall"))
 
 
+def answers(branches: DataFrame, persona: str, key: str = "conv_id") -> DataFrame:
+    """(key, answer): what an answerer can say to a probe from a branch's context alone. branches: key, text, ask.
+
+    perfect repeats the context and the question, leak loses every fourth line of that, forgetful knows nothing.
+    """
+    shown = F.concat(F.col("text"), F.lit("\nAnswer strictly from the context above: "), F.col("ask"))
+    if persona == "forgetful":
+        shown = F.lit("I do not have that information.")
+    elif persona == "leak":
+        shown = F.array_join(F.filter(F.split(shown, "\n", -1), lambda _, k: k % 4 != 3), "\n")
+    elif persona != "perfect":
+        raise ValueError(persona)
+    return branches.select(key, shown.alias("answer"))
+
+
 def suite_a(target: DataFrame, control: DataFrame, digits: int = 6) -> DataFrame:
     """(episode, persona, probes, recall, control_recall, gain, hallucination): the compacted branch against the branch that just forgets, by mean over probes.
 

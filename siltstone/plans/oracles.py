@@ -125,7 +125,7 @@ c1 AS (SELECT conv_id, turn, unnest(range(len(l))) AS idx, unnest(l) AS line FRO
 conv AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, idx) - 1 AS line_no, line FROM c1)"""
 _SURFACE = "surfaces AS (SELECT conv_id, string_agg('[' || role || '] ' || coalesce(text, ''), chr(10) ORDER BY turn) AS surface FROM conversations GROUP BY conv_id)"
 _NODES = """calls AS (SELECT *, (turn % 3 = 1)::INT AS call FROM conversations),
-nodes AS (SELECT conv_id AS session_id, row_number() OVER w - 1 AS pos, turn + 100 AS seq, (length(text) + 3) // 4 + 8 AS tokens, call - coalesce(lag(call) OVER w, 0) AS delta, role = 'system' AS is_system, text
+nodes AS (SELECT conv_id AS session_id, row_number() OVER w - 1 AS pos, turn + 100 AS seq, (length(text) + 3) // 4 + 8 AS tokens, call - coalesce(lag(call) OVER w, 0) AS delta, role = 'system' AS is_system, text, role
           FROM calls WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 balance AS (SELECT *, coalesce(sum(delta) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS balanced_before, sum(delta) OVER (w ROWS UNBOUNDED PRECEDING) = 0 AS balanced_after,
             sum(tokens) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS suffix FROM nodes WINDOW w AS (PARTITION BY session_id ORDER BY pos))"""
@@ -163,12 +163,11 @@ n{k + 1} AS (SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER
 
 
 def _suite(name: str, source: str) -> str:
-    """CTEs that grade each persona's answers over lines (conv_id, line_no, line): {name}_g (conv_id, persona, recall, h)."""
-    return f"""{name}_i AS (SELECT *, line_no - min(line_no) OVER (PARTITION BY conv_id) AS idx FROM {source}),
-{name}_p AS (SELECT conv_id, line, min(line_no) AS line_no FROM {source} WHERE {_WORTH} GROUP BY ALL),
-{name}_a AS (SELECT conv_id, 'perfect' AS persona, 'SUMMARY:' || chr(10) || coalesce(b, '') AS answer FROM (SELECT DISTINCT conv_id FROM {source}) LEFT JOIN (SELECT conv_id, string_agg(line, chr(10) ORDER BY line_no) AS b FROM {name}_p GROUP BY conv_id) USING (conv_id)
-  UNION ALL SELECT conv_id, 'leak', 'SUMMARY:' || chr(10) || coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (idx % 4 <> 3), '') FROM {name}_i GROUP BY conv_id
-  UNION ALL SELECT DISTINCT conv_id, 'forgetful', '{FORGETFUL}' FROM {source}),
+    """CTEs that grade each persona's answers over branches (conv_id, text): {name}_g (conv_id, persona, recall, t)."""
+    return f"""{name}_m AS (SELECT conv_id, text || chr(10) || 'Answer strictly from the context above: Which words open the turns?' AS m FROM {source}),
+{name}_s AS (SELECT conv_id, string_split(m, chr(10)) AS l FROM {name}_m),
+{name}_a AS (SELECT conv_id, 'perfect' AS persona, m AS answer FROM {name}_m UNION ALL SELECT conv_id, 'forgetful', 'I do not have that information.' FROM {name}_m
+  UNION ALL SELECT conv_id, 'leak', array_to_string([l[i] FOR i IN range(1, len(l) + 1) IF i % 4 <> 0], chr(10)) FROM {name}_s),
 {name}_g AS (SELECT conv_id, persona, len(list_filter(need, lambda x: contains(lower(answer), x))) / len(need) AS recall, lower(answer) AS t FROM {name}_a JOIN need USING (conv_id))"""
 
 
@@ -349,10 +348,15 @@ SELECT *, CASE WHEN found_before > 0 THEN round(found_after / found_before, 6) E
     "probe_recall": f"WITH {_GRADES} SELECT conv_id, matched, required, CASE WHEN required > 0 THEN round(matched / required, 6) END AS recall, array_to_string(missing, ',') AS missing FROM grades",
     "faithfulness": f"WITH {_GRADES} SELECT conv_id % 4 AS episode, sum(matched)::BIGINT AS matched, sum(required)::BIGINT AS required, round(sum(matched) / sum(required), 6) AS faithfulness FROM grades GROUP BY ALL",
     "suite_means": f"WITH {_GRADES} SELECT conv_id % 4 AS episode, round(avg(CASE WHEN required > 0 THEN matched / required END), 3) AS mean_recall FROM grades GROUP BY ALL",
-    "suite_a": f"""WITH {_GRADES}, {_CONV}, src AS (SELECT conv_id AS doc_id, line_no, line FROM conv), {_dedup('o', 'src')}, tl AS (SELECT doc_id AS conv_id, line_no, line FROM o), {_NODES}, {_KEEP},
-left0 AS (SELECT session_id AS conv_id, pos AS turn, list_concat(['[user]'], {_SPLIT}) AS l FROM nodes LEFT JOIN k USING (session_id) WHERE NOT coalesce(pos BETWEEN start_pos AND end_pos, false)),
-left1 AS (SELECT conv_id, turn, unnest(range(len(l))) AS idx, unnest(l) AS line FROM left0), ct AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, idx) - 1 AS line_no, line FROM left1),
-{_suite('tg', 'tl')}, {_suite('cg', 'ct')}
+    "suite_a": f"""WITH {_GRADES}, {_NODES}, {_KEEP},
+placed AS (SELECT nodes.*, coalesce(pos BETWEEN start_pos AND end_pos, false) AS inside FROM nodes LEFT JOIN k USING (session_id)),
+rl0 AS (SELECT session_id AS doc_id, pos, list_concat(['[' || role || ']'], {_SPLIT}) AS l FROM placed WHERE inside), rl1 AS (SELECT doc_id, pos, unnest(range(len(l))) AS idx, unnest(l) AS line FROM rl0),
+rl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, idx) - 1 AS line_no, line FROM rl1), {_dedup('rd', 'rl')},
+pf AS (SELECT doc_id, line, min(line_no) AS line_no FROM rd WHERE {_WORTH} GROUP BY ALL), dg AS (SELECT doc_id, 'SUMMARY:' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) AS digest FROM pf GROUP BY doc_id),
+kept AS (SELECT session_id AS conv_id, pos, role, text FROM placed WHERE NOT inside), cd AS (SELECT doc_id AS conv_id, 1 AS pos, 'user' AS role, {_FRAME % "digest"} AS text FROM dg),
+tb AS (SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY pos) AS text FROM (SELECT * FROM kept UNION ALL SELECT * FROM cd) GROUP BY conv_id),
+cb AS (SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY pos) AS text FROM kept GROUP BY conv_id),
+{_suite('tg', 'tb')}, {_suite('cg', 'cb')}
 SELECT tg_g.conv_id % 4 AS episode, tg_g.persona, count(*) AS probes, round(avg(tg_g.recall), 6) AS recall, round(avg(cg_g.recall), 6) AS control_recall, round(avg(tg_g.recall) - avg(cg_g.recall), 6) AS gain,
   round(avg((({_ANY(REJECTIONS)} AND {_ANY(ADOPTIONS)}))::INT), 6) AS hallucination FROM tg_g JOIN (SELECT conv_id, persona, recall FROM cg_g) cg_g ON cg_g.conv_id = tg_g.conv_id AND cg_g.persona = tg_g.persona GROUP BY ALL""",
     "suite_report": f"WITH {_GRADES}, m AS (SELECT conv_id % 4 AS episode, round(avg(CASE WHEN required > 0 THEN matched / required END), 3) AS r FROM grades GROUP BY ALL) SELECT '| ' || episode || ' | ' || coalesce(printf('%.3f', r), 'n/a') || ' |' AS line FROM m",

@@ -295,7 +295,7 @@ def _nodes(spark, sf_dir):
     result = F.coalesce(F.lag((F.col("turn") % 3 == 1).cast("int")).over(w), F.lit(0))
     return conv.select(
         F.col("conv_id").alias("session_id"), (F.row_number().over(w) - 1).cast("long").alias("pos"), (F.col("turn") + 100).alias("seq"),
-        (text.chars4(F.col("text")) + 8).alias("tokens"), (calls - result).alias("delta"), (F.col("role") == "system").alias("is_system"), F.col("text"),
+        (text.chars4(F.col("text")) + 8).alias("tokens"), (calls - result).alias("delta"), (F.col("role") == "system").alias("is_system"), F.col("text"), F.col("role"),
     )
 
 
@@ -614,30 +614,33 @@ def suite_means(spark, sf_dir):
     return grading.suite_means(_grades(spark, sf_dir), ["episode"])
 
 
-def _suite(rows, persona):
-    """Answers of a persona to each probe over the lines that it is shown. rows: conv_id, line_no, line."""
-    shown = rows.select(F.col("conv_id").alias("doc_id"), F.lit(0).alias("chunk"), "line_no", "line")
-    return getattr(digests, f"persona_{persona}")(shown).select(F.col("doc_id").alias("conv_id"), F.col("digest").alias("answer"))
+def _branches(spark, sf_dir):
+    """Each conversation's context twice: with all but its first and last two turns condensed to a checkpoint, and with these just forgotten."""
+    nodes = _nodes(spark, sf_dir).withColumnRenamed("session_id", "conv_id")
+    spans = surface.keep_right_range(nodes.withColumnRenamed("conv_id", "session_id"), 2).withColumnRenamed("session_id", "conv_id")
+    placed = nodes.join(spans, "conv_id", "left").withColumn("inside", F.coalesce(F.col("pos").between(F.col("start_pos"), F.col("end_pos")), F.lit(False)))
+    region = lines.region_lines(lines.as_blocks(placed.filter("inside").select("conv_id", F.col("pos").alias("turn"), "role", "text"))).withColumnRenamed("conv_id", "doc_id")
+    digest = digests.persona_perfect(stage0.dedup_lines(region).select("doc_id", F.lit(0).alias("chunk"), "line_no", "line"))
+    condensed = digest.select(F.col("doc_id").alias("conv_id"), F.lit(1).cast("long").alias("pos"), F.lit("user").alias("role"), digests.checkpoint(F.col("digest")).alias("text"))
+    kept = placed.filter("not inside").select("conv_id", "pos", "role", "text")
+    return [lines.surface_text(rows, turn="pos").withColumnRenamed("surface", "text") for rows in (kept.unionByName(condensed), kept)]
 
 
 def suite_a(spark, sf_dir):
-    """Recall, control, gain and hallucination by episode and persona: the target branch shows each conversation condensed by line, the control only its first node and its last two."""
+    """Recall, control, gain and hallucination by episode and persona, over the branches of every conversation; a probe asks for the first words of its turns."""
     conv = table(spark, sf_dir, "conversations")
     need = conv.withColumn("w", F.lower(F.element_at(F.split("text", " "), 1))).groupBy("conv_id").agg(F.array_sort(F.collect_set("w")).alias("need"))
     probes = need.select("conv_id", F.col("conv_id").alias("probe_id"), "need")
-    target = lines.region_lines(lines.as_blocks(conv)).transform(lambda df: stage0.dedup_lines(df.withColumnRenamed("conv_id", "doc_id")).withColumnRenamed("doc_id", "conv_id"))
-    nodes = _nodes(spark, sf_dir)
-    left = surface.delete_range(nodes, surface.keep_right_range(nodes, 2)).select(F.col("session_id").alias("conv_id"), F.col("pos").alias("turn"), F.lit("user").alias("role"), "text")
-    control = lines.region_lines(lines.as_blocks(left))
 
-    def graded(rows):
+    def graded(branch):
         made = None
         for persona in ("perfect", "leak", "forgetful"):
-            g = grading.grade_probes(probes, _suite(rows, persona), ["conv_id"]).withColumn("persona", F.lit(persona))
-            g = g.join(_suite(rows, persona), "conv_id", "left").withColumn("hallucinated", grading.hallucinated(F.col("answer"), F.lit("fact")))
+            said = grading.answers(branch.withColumn("ask", F.lit("Which words open the turns?")), persona)
+            g = grading.grade_probes(probes, said, ["conv_id"]).join(said, "conv_id", "left").select((F.col("conv_id") % 4).alias("episode"), F.lit(persona).alias("persona"), "probe_id", "recall", grading.hallucinated(F.col("answer"), F.lit("recall")).alias("hallucinated"))
             made = g if made is None else made.unionByName(g)
-        return made.select((F.col("conv_id") % 4).alias("episode"), "persona", "probe_id", "recall", "hallucinated")
+        return made
 
+    target, control = _branches(spark, sf_dir)
     return grading.suite_a(graded(target), graded(control))
 
 
