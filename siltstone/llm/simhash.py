@@ -4,7 +4,8 @@ A fingerprint has a bit set where more than half of a text's shingle hashes have
 vector of r + 1 bits; each of the 2**(r+1) - 1 non-zero vectors v gives a mask of the positions whose vector has an odd inner product
 with v. Any r differing positions leave some v orthogonal to all of them, so every pair within the radius agrees under some mask: no link
 is lost. Distinct fingerprints are dealt into buckets by (mask, masked bits). A bucket of moderate size gives a spanning forest of its links, not
-its pairs. A larger one goes another exact way: each fingerprint names the points within one and within two flips of its free bits; all
+its pairs. A larger one is dealt again: its free bits fall into r + 1 groups, and r differing bits leave one group alone, so every pair within the radius agrees
+on mask and bits of some group. What is still large goes another exact way: each fingerprint names the points within one and within two flips of its free bits; all
 that name a point within two flips link with one that names it within one flip, if any does (1 + 2 = 3).
 """
 
@@ -35,6 +36,12 @@ def masks(radius: int = RADIUS) -> list[int]:
     return [sum(1 << k for k, m in enumerate(position) if (m & v).bit_count() % 2) for v in range(1, span + 1)]
 
 
+def refined(mask: int, radius: int = RADIUS) -> list[int]:
+    """The mask with each of the r + 1 groups of its free bits."""
+    free = [k for k in range(BITS) if not mask >> k & 1]
+    return [mask | sum(1 << k for k in free[g :: radius + 1]) for g in range(radius + 1)]
+
+
 def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
@@ -90,21 +97,33 @@ def links(fps: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFra
     """(a, b): edges between distinct fingerprints (column fp) whose components are those of all links within the radius."""
     if radius != 3:
         raise ValueError("the way for large buckets is for radius 3")
-    tables = F.array(*[F.struct(F.lit(k).alias("mask_no"), F.lit(signed(m)).alias("mask")) for k, m in enumerate(masks(radius))])
-    keyed = fps.select("fp", F.explode(tables).alias("t")).select("fp", "t.mask_no", F.col("fp").bitwiseAND(F.col("t.mask")).alias("key"), "t.mask")
-    counts = materialise(keyed.groupBy("mask_no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    shared = keyed.join(counts, ["mask_no", "key"])
     edge = T.StructType([plain("a", T.LongType()), plain("b", T.LongType())])
 
     def run(batch):
         pairs = [p for fs in batch.column(0).to_pylist() for p in forest(fs, radius)]
         yield {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]}
 
-    gathered = shared.filter(F.col("n") <= bucket).groupBy("mask_no", "key").agg(F.collect_list("fp").alias("fps"))
-    near = map_rows(gathered.select("fps"), run, edge)
-    if counts.filter(F.col("n") > bucket).isEmpty():
+    def dealt(rows: DataFrame, found: list[int]) -> tuple[DataFrame, DataFrame | None]:
+        """The edges of buckets of moderate size, and what is in larger ones (mask_no, fp, mask), if anything. rows: fp, tables (array of mask numbers)."""
+        known = F.array(*[F.lit(signed(m)) for m in found])
+        keyed = rows.select("fp", F.explode("tables").alias("mask_no")).withColumn("mask", F.element_at(known, F.col("mask_no") + 1)).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        counts = materialise(keyed.groupBy("mask_no", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
+        shared = keyed.join(counts, ["mask_no", "key"])
+        gathered = shared.filter(F.col("n") <= bucket).groupBy("mask_no", "key").agg(F.collect_list("fp").alias("fps"))
+        near = map_rows(gathered.select("fps"), run, edge)
+        if counts.filter(F.col("n") > bucket).isEmpty():
+            return near, None
+        return near, shared.filter(F.col("n") > bucket).select("mask_no", "fp", "mask")
+
+    first = masks(radius)
+    near, more = dealt(fps.select("fp", F.sequence(F.lit(0), F.lit(len(first) - 1)).alias("tables")), first)
+    if more is None:
         return near
-    return near.unionByName(_large(shared.filter(F.col("n") > bucket)))
+    parts = radius + 1
+    again = materialise(more).select("fp", F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda g: F.col("mask_no") * parts + g).alias("tables"))
+    closer, most = dealt(again, [m for x in first for m in refined(x, radius)])
+    near = near.unionByName(closer)
+    return near if most is None else near.unionByName(_large(most))
 
 
 def _large(shared: DataFrame) -> DataFrame:

@@ -81,6 +81,17 @@ def test_covering_masks_cover():
         assert any(flips & m == 0 for m in masks)
 
 
+def test_refined_masks_cover_what_a_mask_covers():
+    rng = random.Random(7)
+    for m in simhash.masks():
+        free = [k for k in range(64) if not m >> k & 1]
+        finer = simhash.refined(m)
+        assert len(finer) == 4 and all(x & m == m and x.bit_count() >= m.bit_count() + 6 for x in finer)
+        for _ in range(300):
+            flips = sum(1 << b for b in rng.sample(free, 3))
+            assert any(flips & x == 0 for x in finer)
+
+
 def test_fingerprint_is_the_brute_one():
     rng = random.Random(2)
     for t in ["", "   ", "One", "Two Words", "ÄB Äb äb x", *(" ".join(rng.choice("ab cd EF gh é".split()) for _ in range(rng.randint(1, 300))) for _ in range(30))]:
@@ -125,6 +136,22 @@ def test_links_lose_none(spark, bucket):
     assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
 
 
+def test_a_hot_bucket_writes_little(spark):
+    """Thousands of fingerprints that agree on all bits of some mask: dealt again they fall apart."""
+    rng = random.Random(12)
+    mask = simhash.masks()[0]
+    free = [k for k in range(64) if not mask >> k & 1]
+    prints = sorted({sum(1 << b for b in rng.sample(free, rng.randint(0, len(free)))) for _ in range(3000)})
+    df = spark.createDataFrame([(simhash.signed(x),) for x in prints], "fp long")
+    by = {r.node: r.root for r in components.connected_components(simhash.links(df, bucket=100)).collect()}
+    roots = brute_components(prints)
+    want, got = {}, {}
+    for k, x in enumerate(prints):
+        want.setdefault(roots[k], set()).add(x)
+        got.setdefault(by.get(simhash.signed(x), simhash.signed(x)), set()).add(x)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
 def test_near_duplicates_odd_rows(spark):
     rng = random.Random(9)
     base = [f"w{rng.randint(0, 500)}" for _ in range(200)]
