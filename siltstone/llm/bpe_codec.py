@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -46,35 +47,36 @@ def _cuttable(text: str, starts: list[int], low: int, high: int) -> list[int]:
 
 
 def cuts(text: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> list[int]:
-    """Where the text is cut: places at which every chunk's scan is in step with that of the whole text."""
+    """Where the text is cut: places at which every chunk's scan is in step with that of the whole text. Few chunks' scans are held at a time."""
     n = len(text)
     count = max(1, -(-(n - overlap) // chunk))
-    scans = [_starts(text, k * chunk, min(n, (k + 1) * chunk + overlap)) for k in range(count)]
+    scan = lru_cache(maxsize=4)(lambda k: _starts(text, k * chunk, min(n, (k + 1) * chunk + overlap)))
     out: list[int] = []
-    live, since, k = scans[0], 0, 1  # the scan that is in step, from where on it is, and the next chunk
+    live, since, k = scan(0), 0, 1  # the scan that is in step, from where on it is, and the next chunk
     while k < count:
         at = k * chunk
-        heads = set(_cuttable(text, scans[k], at, at + overlap))
+        heads = set(_cuttable(text, scan(k), at, at + overlap))
         found = next((x for x in _cuttable(text, live, at, at + overlap) if x in heads), None)
         if found is None:
-            found, k = _read_on(text, max([since, *live[-3:-2]]), scans, k, chunk)
+            found, k = _read_on(text, max([since, *live[-3:-2]]), scan, count, k, chunk)
             if found is None:
                 break
         out.append(found)
-        live, since, k = scans[k], found, k + 1
+        live, since, k = scan(k), found, k + 1
     return out
 
 
-def _read_on(text: str, begin: int, scans: list[list[int]], k: int, chunk: int) -> tuple[int | None, int]:
+def _read_on(text: str, begin: int, scan: Callable[[int], list[int]], count: int, k: int, chunk: int) -> tuple[int | None, int]:
     """(place, chunk) of the first boundary from chunk k on that a scan from begin, a true boundary, shares with a chunk's own; (None, k) at the text's end."""
     n, step = len(text), 2 * chunk
     while True:
         end = min(n, begin + step)
         more = _starts(text, begin, end)
         for x in _cuttable(text, more, max(k * chunk, begin + 1), end):
-            j = min(x // chunk, len(scans) - 1)
-            at = bisect_left(scans[j], x)
-            if at < len(scans[j]) - 2 and scans[j][at] == x:
+            j = min(x // chunk, count - 1)
+            other = scan(j)
+            at = bisect_left(other, x)
+            if at < len(other) - 2 and other[at] == x:
                 return x, j
         if end == n:
             return None, k
