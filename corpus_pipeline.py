@@ -21,11 +21,18 @@ from siltstone.session import materialise, scratch
 LEAST_SURE = 0.5
 
 
-def _one_of_each(docs: DataFrame, kept: DataFrame, sha) -> DataFrame:
-    """The rows of docs whose (doc_id, hash of the text) is in kept (id, sha, n: how many rows of docs have both), one of each.
+def _by_id(docs: DataFrame) -> bool:
+    """Whether ids alone tell the rows of docs apart: no two rows share one, or have none. Reads only the ids."""
+    return docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty()
+
+
+def _with_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in kept (id); the small side is hashed, so texts are not sorted."""
+    return docs.join(kept.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
 
-    The small side is hashed, so texts are neither sorted nor sent twice unless some rows repeat.
-    """
+
+def _one_of_each(docs: DataFrame, kept: DataFrame, sha) -> DataFrame:
+    """The rows of docs whose (doc_id, hash of the text) is in kept (id, sha, n: how many rows of docs have both), one of each."""
     at, number = fresh(docs, "sha_of_text", "copy")
     rows = docs.withColumn(at, sha)
     found = rows.join(kept.hint("shuffle_hash"), rows["doc_id"].eqNullSafe(kept["id"]) & (rows[at] == kept["sha"]), "left_semi")
@@ -52,12 +59,17 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal ones, the one with the smallest id; null ids go last."""
     found = exact_dedup.exact_dedup(docs)
+    if _by_id(docs):
+        return _with_ids(docs, materialise(found.filter("kept").select(F.col("doc_id").alias("id"))))
     each = found.groupBy(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).agg(F.bool_or("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
     return _one_of_each(docs, materialise(each.filter("kept").select("id", "sha", "n")), F.sha2(exact_dedup.normalised(text_of("text")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group, the one with the smallest id; of several with that id the one with the least hash. Null ids sort last."""
+    if _by_id(docs):
+        found = materialise(simhash.near_duplicates(docs))
+        return _with_ids(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")))
     sha = F.sha2(text_of("text"), 256)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), sha.alias("sha"))
     found = materialise(simhash.near_duplicates(docs.select(row.alias("row"), "text"), "row"))
