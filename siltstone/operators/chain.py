@@ -91,7 +91,7 @@ def run_chain(tasks: DataFrame, routes: list[Route], call: Call, *, now: int = 0
     """(results, routes with their cooldowns). results: task, status (ok, fallback, failed or aborted), digest, parts, models, attempts (model, error), error, one row a task.
 
     tasks: task, text, tokens, preferred_key; tasks are unique. Parts of a halved task are joined in order by a blank line; a root that fell back keeps its finished parts and adds the fallback's
-    text once. A failed task's error names every route that was asked and its last error. A digest that is empty is a failure of its route.
+    text once. A failed task's error names every route that was asked and its last error. A digest that is empty, or a task that the call does not answer, is a failure of its route.
     """
     spark = tasks.sparkSession
     if routes and all(r.cooled_until > now for r in routes):
@@ -109,14 +109,15 @@ def run_chain(tasks: DataFrame, routes: list[Route], call: Call, *, now: int = 0
         work = placed.filter("key is not null").select("task", "text", "key").withColumn("slot", F.pmod(F.xxhash64("task"), slots_of(F.col("key"), routes)))
         made = call(work.repartition("key", "slot").select("task", "key", "text"))
         empty = (F.col("status") == "ok") & (F.coalesce("digest", F.lit("")) == "")
-        made = materialise(made.select("task", F.col("key").alias("served"), F.when(empty, "fail").otherwise(F.col("status")).alias("status"), "digest", F.when(empty, "a digest was empty").otherwise(F.col("error")).alias("error")))
-        rows = placed.filter("key is not null").join(made, "task")
+        made = made.select("task", F.when(empty, "fail").otherwise(F.col("status")).alias("status"), "digest", F.when(empty, "a digest was empty").otherwise(F.col("error")).alias("error"))
+        answered = placed.filter("key is not null").withColumnRenamed("key", "served").join(made, "task", "left")
+        rows = materialise(answered.withColumns({"error": F.when(F.col("status").isNull(), "no answer").otherwise(F.col("error")), "status": F.coalesce("status", F.lit("fail"))}))
         tried = F.concat("attempts", F.array(F.struct(F.col("served").alias("model"), F.when(F.col("status") != "ok", F.coalesce("error", F.lit("failed"))).alias("error"))).cast(ATTEMPTS))
         done.add(rows.filter("status = 'ok'").withColumn("attempts", tried))
         lost.add(rows.filter("status = 'aborted'").withColumn("aborted", F.lit(True)))
         changes = {"attempts": F.when(F.col("status") == "fail", tried).otherwise(F.col("attempts")), "rejected": F.when(F.col("status") == "reject", F.concat("rejected", F.array("served"))).otherwise(F.col("rejected")), "from_tier": F.col("tier_idx")}
         again = rows.filter("status in ('fail', 'reject')").withColumns(changes)
-        failed = {r["served"] for r in made.filter("status = 'fail'").select("served").distinct().collect()}
+        failed = {r["served"] for r in rows.filter("status = 'fail'").select("served").distinct().collect()}
         routes = [_cool(r, now, store) if r.key in failed else r for r in routes]
         pending = materialise(again.select(*columns).unionByName(split.select(*columns)))
     part = F.struct("task", "digest", "served", "attempts")

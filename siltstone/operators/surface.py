@@ -105,11 +105,9 @@ def pressure_rounds(nodes: DataFrame, compact: Callable[[DataFrame, DataFrame],
     A session at or over the threshold whose retention leaves a range has it compacted: ``compact(nodes, ranges)`` gives the nodes after it. status: below (nothing to do), done, above
     (still over the threshold when the rounds ran out: an error), stuck (over it, but no range is left: nothing more can be done). overflow: one round for all, nothing retained.
     """
-    decided = pressure_decision(nodes, window, reserved, **policy)
-    first = decided.first()
-    retain = 0 if overflow or first is None else int(first["retain_tokens"])
+    retain = 0 if overflow else int((window - reserved) * policy.get("retain", RETAIN_RATIO))
     state = materialise(nodes)
-    tally = materialise(nodes.groupBy("session_id").agg(F.lit(0).alias("rounds")).select("session_id", "rounds", F.lit(False).alias("stuck")))
+    tally = materialise(state.select("session_id").distinct().select("session_id", F.lit(0).alias("rounds"), F.lit(False).alias("stuck")))
     for _ in range(1 if overflow else retries + 1):
         now = pressure_decision(state, window, reserved, **policy).filter(F.lit(True) if overflow else F.col("compact")).select("session_id")
         ranges = materialise(retention_range(state.join(now, "session_id", "left_semi"), retain))

@@ -103,6 +103,17 @@ def test_empty_digests_are_failures(spark):
     assert results(found)["t"][0] == "failed" and "a digest was empty" in found.first().error and routes[0].cooled_until > 0
 
 
+def test_calls_that_do_not_answer_are_failures(spark):
+    tasks = spark.createDataFrame([("t", "a", 10, "a"), ("u", "b", 10, "a")], TASKS)
+
+    def silent(work):
+        return script()(work).filter("not (task = 't' and key = 'a')")
+
+    found, routes = run_chain(tasks, [Route("a", 0, 0), Route("b", 0, 1)], silent, now=5)
+    got = {r.task: (r.status, list(r.models), [(a.model, a.error) for a in r.attempts]) for r in found.collect()}
+    assert got == {"t": ("ok", ["b"], [("a", "no answer"), ("b", None)]), "u": ("ok", ["a"], [("a", None)])} and routes[0].cooled_until > 5
+
+
 def test_stores_keep_cooldowns_and_may_fail(spark):
     tasks = spark.createDataFrame([("t", "a", 10, "a")], TASKS)
     kept = {}
