@@ -260,9 +260,9 @@ class Labeller:
         total = sum(map(len, groups))
         return self.table[np.fromiter(map(get, chain.from_iterable(groups)), dtype=np.int64, count=total)]
 
-    def label(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
-        """(language, score, sureness) of each text; und with score 0 without a letter, or if no language was learned. Sureness: the mean over the words of the largest posterior, whichever language has it."""
-        out: list[tuple[str, float, float]] = [(UNKNOWN, 0.0, 0.0)] * len(texts)
+    def label(self, texts: list[str | None]) -> list[tuple[str, float, float, int]]:
+        """(language, score, sureness, words) of each text; und with score 0 without a letter, or if no language was learned. Sureness: the mean over the words of the largest posterior, whichever language has it."""
+        out: list[tuple[str, float, float, int]] = [(UNKNOWN, 0.0, 0.0, 0)] * len(texts)
         at = 0
         for group in batches("" if t is None else t for t in texts):
             found = [words(t) for t in group]
@@ -273,9 +273,9 @@ class Labeller:
                 post = posteriors(self.model, self.emissions([found[k] for k in here]), starts, sizes)
                 share = np.add.reduceat(post, starts, axis=0) / sizes[:, None]
                 sure = np.add.reduceat(post.max(axis=1), starts) / sizes
-                for k, row, x in zip(here, share, sure.tolist(), strict=True):
+                for k, row, x, n in zip(here, share, sure.tolist(), sizes.tolist(), strict=True):
                     best = int(row.argmax())
-                    out[at + k] = (self.model.languages[best], min(1.0, float(row[best])), min(1.0, x))
+                    out[at + k] = (self.model.languages[best], min(1.0, float(row[best])), min(1.0, x), n)
             at += len(group)
         return out
 
@@ -319,21 +319,21 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
         if "labeller" not in held:
             held["labeller"] = Labeller(shared.value)
         found = held["labeller"].label(batch.column(2).to_pylist())
-        yield {id_col: batch.column(0), "held_out": batch.column(1), "lang_pred": [x for x, _, _ in found], "score": [s for _, s, _ in found]}
+        yield {id_col: batch.column(0), "held_out": batch.column(1), "lang_pred": [x[0] for x in found], "score": [x[1] for x in found]}
 
     return map_rows(docs.select(F.col(id_col), held_out(id_col).alias("_held"), F.col(text_col).cast("string").alias("_text")), run, schema)
 
 
 def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """(lang, score, sure) of each row's text as a column, for filters that keep all columns of docs."""
+    """(lang, score, sure, words) of each row's text as a column, for filters that keep all columns of docs."""
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held = {}
 
-    @F.pandas_udf("lang string, score double, sure double")
+    @F.pandas_udf("lang string, score double, sure double, words long")
     def run(texts: pd.Series) -> pd.DataFrame:
         if "labeller" not in held:
             held["labeller"] = Labeller(shared.value)
-        return pd.DataFrame(held["labeller"].label(list(texts)), columns=["lang", "score", "sure"])
+        return pd.DataFrame(held["labeller"].label(list(texts)), columns=["lang", "score", "sure", "words"])
 
     return run(F.col(text_col).cast("string"))
