@@ -163,6 +163,14 @@ def test_switches_are_followed(model):
     assert labels[0] == "en" and labels[-1] == "de" and sum(a != b for a, b in itertools.pairwise(labels)) <= 3
 
 
+@pytest.fixture
+def fitted_once(monkeypatch):
+    """The stages fit their models anew each time; here each is fitted once and remembered."""
+    for module in (quality, langid):
+        kept, fit = [], module.fit
+        monkeypatch.setattr(module, "fit", lambda *a, kept=kept, fit=fit, **k: kept[0] if kept else kept.append(fit(*a, **k)) or kept[0])
+
+
 def brute_quality(net, text):
     """The probability by plain loops over every position of the text."""
     raw = list(text.encode())
@@ -233,17 +241,18 @@ def test_query_op10(spark, sf):
         assert got[d].lang_pred == lang and got[d].score == pytest.approx(share, abs=1e-6)
 
 
-def test_samples_are_the_same_at_every_run(spark):
+def test_samples_are_the_same_at_every_run(spark, monkeypatch):
     rows = [(k % 40, f"text {k}", "en" if k % 3 else "fr") for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(k, k % 2) for k in range(40)] * 2, "doc_id long, quality int")
     one, other = quality.sample(docs.repartition(5), labels, rows=30), quality.sample(docs.repartition(3, "text"), labels.repartition(4), rows=30)
     assert one == other and len(one[0]) == 30
+    monkeypatch.setattr(langid, "train", lambda texts, langs: (texts, langs))
     a, b = langid.fit(docs.repartition(5), rows=50), langid.fit(docs.repartition(3, "text"), rows=50)
-    assert a.lexicon == b.lexicon and np.array_equal(a.weights, b.weights)
+    assert a == b and len(a[0]) == 50
 
 
-def test_pipeline_is_its_parts(spark, sf):
+def test_pipeline_is_its_parts(spark, sf, fitted_once):
     """The whole pipeline and each stage's output against readings of the rules that share no code with the operators but the two fitted models."""
     tables = {name: queries.table(spark, sf, name) for name in ("documents", "labels")}
     docs = tables["documents"]
@@ -294,7 +303,7 @@ def test_near_copies_go_by_row(spark, sf):
     assert sorted((r.text or "").lower().strip() for r in without) == sorted([a, b, ""])
 
 
-def test_pipeline_stages_take_odd_rows(spark, sf):
+def test_pipeline_stages_take_odd_rows(spark, sf, fitted_once):
     """Null, empty, repeated and clashing: every stage keeps all columns as they are."""
     rows = [(1, None, "en", "s", 0), (2, "", None, None, None), (3, "of the and that this with from", "en", "s", 1), (3, "of the and that this with from", "en", "s", 1), (3, "of the and that this is other", "en", "s", 1), (None, "of the and with that", None, None, None)]
     clashing = ["_keep", "_found", "_sha", "_n", "_row", "_text_sha", "_k", "_id", "score", "row"]
