@@ -162,3 +162,27 @@ def library(path: str):
     tok.no_truncation()
     tok.no_padding()
     return lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def raw_ids(path: str, texts: list[str]) -> list[bytes]:
+    """Ids of texts as little-endian unsigned 32-bit bytes, by the file's library, without begin, end or added special tokens."""
+    try:
+        encoder = from_json(path) if path.endswith(".json") else from_ranks(path) if path.endswith(".tiktoken") else None
+    except ValueError:
+        encoder = None
+    if encoder:
+        return [encoder.encode(t) for t in texts]
+    return [np.asarray(x, dtype="<u4").tobytes() for x in library(path)(texts)]
+
+
+def vocabulary(path: str) -> int:
+    """One more than the largest id of a file, special tokens included."""
+    if path.endswith(".tiktoken"):
+        return len(from_ranks(path).token)
+    if path.endswith(".model"):
+        import sentencepiece
+
+        return sentencepiece.SentencePieceProcessor(model_file=path).vocab_size()
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab(with_added_tokens=True).values()) + 1
