@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import bpe_codec, exact_dedup, langid, license_scan, packing, quality, simhash, token_counts, token_files, topk, url_filter, whitening
+from siltstone.llm import bpe_codec, exact_dedup, langid, license_scan, packing, prefix_trie, quality, simhash, token_counts, token_files, topk, url_filter, whitening
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,5 +78,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation as long)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe_codec, op4_license_scan, op5_quality, op6_exact_dedup, op7_packing, op8_token_counts, op9_topk, op10_langid, op11_token_files, op12_whitening)}
-ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op4_license_scan": license_scan.oracle(), "op6_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all rebuilt conversations' beginnings."""
+    return prefix_trie.conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_simhash, op3_bpe_codec, op4_license_scan, op5_quality, op6_exact_dedup, op7_packing, op8_token_counts, op9_topk, op10_langid, op11_token_files, op12_whitening, op13_prefix_trie)}
+ORACLES: dict[str, str] = {"op1_url_filter": url_filter.oracle(), "op4_license_scan": license_scan.oracle(), "op6_exact_dedup": exact_dedup.ORACLE, "op9_topk": topk.ORACLE, "op13_prefix_trie": prefix_trie.ORACLE}
