@@ -1,11 +1,13 @@
 """Model-sized overlapping chunks of line documents.
 
-A chunk starts where the one before says, so a document's chunks are found in one pass over its prefix sums (binary searches in an Arrow-batched
-function over one row a document); everything before and after is DataFrame operations.
+A chunk starts where the one before says. Blocks of lines are cut by binary searches over prefix sums in an Arrow-batched function; where a document has several, tables that say
+how each one is left, for any line where it may be entered, are composed by doubling. Everything before and after is DataFrame operations.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,67 +15,194 @@ from pyspark.sql import types as T
 
 from siltstone.functions import budget
 from siltstone.functions.text import TokenCost, boundary, chars4, line_cost
-from siltstone.session import ship
+from siltstone.session import materialise, ship
 
 ALIGN_LINES = 12
 SPLIT_DEPTH = 4
 #: Lines of a document that meet chunks together.
 BLOCK_LINES = 32
+#: Lines of a document that are sliced together.
+SLICE_LINES = 4096
 
 SLICES = "doc_id {key}, chunk int, route int, line_start long, line_end long, core_start long, core_end long, tokens long, core_tokens long"
 
 
-def slice_at(sums: np.ndarray, good: np.ndarray, start: int, tokens: int, overlap: int) -> tuple[int, int]:
-    """(end, next start) of the chunk from ``start``: sums has a leading 0, good[i] tells whether line i is a place to cut after."""
+def next_starts(sums: np.ndarray, good: np.ndarray, tokens: int, overlap: int) -> tuple[np.ndarray, np.ndarray]:
+    """(end, next start) of the chunk from every line at once: sums has a leading 0, good[i] tells whether line i is a place to cut after."""
     n = len(good)
-    end = max(start + 1, int(np.searchsorted(sums, sums[start] + tokens, side="right")) - 1)
-    if end >= n:
-        return n, n
-    low = max(start + 1, end - ALIGN_LINES)
-    ends = np.flatnonzero(good[low - 1 : end])
-    aligned = low + int(ends[-1]) if len(ends) else end
-    if overlap <= 0:
-        return aligned, aligned
-    back = int(np.searchsorted(sums, sums[aligned] - overlap, side="right")) - 1
-    back = max(start, min(aligned, back))
-    return aligned, back if back > start else aligned
-
-
-def chunk_lines(lines: DataFrame, budgets: list[tuple[int, int]], cost: TokenCost = chars4) -> DataFrame:
+    start = np.arange(n)
+    end = np.maximum(start + 1, np.searchsorted(sums, sums[:-1] + tokens, side="right") - 1)
+    place = np.maximum.accumulate(np.where(good, np.arange(1, n + 1), 0)) if n else start  # the last good cut up to each line
+    cut = place[np.minimum(end, n) - 1]
+    aligned = np.where(cut >= np.maximum(start + 1, end - ALIGN_LINES), cut, end)
+    after = aligned
+    if overlap > 0:
+        back = np.searchsorted(sums, sums[np.minimum(aligned, n)] - overlap, side="right") - 1
+        back = np.maximum(start, np.minimum(aligned, back))
+        after = np.where(back > start, back, aligned)
+    whole = end >= n
+    return np.where(whole, n, aligned), np.where(whole, n, after)
+
+
+class Block:
+    """A block of a document's lines with the lines after it that its chunks may reach, and the chunks from each of its lines on every route."""
+
+    def __init__(self, first: int, own: int, cost: np.ndarray, good: np.ndarray, budgets: list[tuple[int, int]]):
+        self.first, self.own = first, own
+        self.sums = np.concatenate([[0], np.cumsum(cost)])
+        self.steps = [next_starts(self.sums, good, *b) for b in budgets]
+
+    def jumps(self) -> np.ndarray:
+        """(4, routes, own lines): for each entry line and route the line where the block is left, the route then, the chunks begun until then, and the end of the last one.
+
+        Found by pointer doubling inside the block.
+        """
+        routes, own = len(self.steps), self.own
+        end = np.stack([e[:own] for e, _ in self.steps])
+        line = np.stack([a[:own] for _, a in self.steps])
+        route = np.repeat((np.arange(routes) + 1) % routes, own).reshape(routes, own)
+        count = np.ones_like(line)
+        while (inside := line < own).any():
+            r, k = route[inside], line[inside]
+            moved = line[r, k], route[r, k], count[inside] + count[r, k], end[r, k]
+            line[inside], route[inside], count[inside], end[inside] = moved
+        return np.stack([line + self.first, route, count, end + self.first])
+
+    def chunks(self, entry: int, core: int, number: int) -> Iterator[tuple]:
+        """The chunks that begin in the block when it is entered at a line, with a core that begins at ``core``, as the document's chunk ``number``."""
+        at, core = entry - self.first, core - self.first
+        while at < self.own:
+            route = number % len(self.steps)
+            end, after = (int(x[at]) for x in self.steps[route])
+            yield (number, route, at + self.first, end + self.first, core + self.first, end + self.first, int(self.sums[end] - self.sums[at]), int(self.sums[end] - self.sums[core]))
+            at, core, number = after, end, number + 1
+
+
+def _compose(first: np.ndarray, second: np.ndarray, start: int, own: int) -> np.ndarray:
+    """The jumps over two stretches of blocks; second begins at line ``start`` and has ``own`` entry lines. Jumps that leave the document stay."""
+    line, route, count, end = first
+    out = first.copy()
+    inside = line < start + own
+    r, k = route[inside], line[inside] - start
+    out[0][inside], out[1][inside], out[2][inside], out[3][inside] = second[0][r, k], second[1][r, k], count[inside] + second[2][r, k], second[3][r, k]
+    return out
+
+
+def chunk_lines(lines: DataFrame, budgets: list[tuple[int, int]], cost: TokenCost = chars4, *, block_lines: int = SLICE_LINES) -> DataFrame:
     """doc_id, chunk, route, line_start, line_end, core_start, core_end, tokens, core_tokens (half open, from 0).
 
-    budgets: (chunk tokens, overlap tokens) of the routes that take turns; chunk k goes to route k modulo their number. Cores tile the document.
-    Of a document, a number and a flag a line are gathered in one row; its lines stay where they are.
+    budgets: (chunk tokens, overlap tokens) of the routes that take turns; chunk k goes to route k modulo their number. Cores tile the document. Lines are numbered from 0 without
+    gaps. A line costs a token at least, so a chunk has no more lines than its budget has tokens.
+
+    A number and a flag a line are gathered a block; a block has block_lines lines, or the largest budget if that is more, and so reaches into the next block at most, whose
+    numbers it holds too. Where a document has several blocks, each one maps its entry lines to where it is left (a jump table); tables are composed by doubling, so the entries of
+    2**k blocks are known after k rounds; then each block cuts its own chunks. No row and no task holds a whole document. Null ids are one document.
     """
     ship(lines.sparkSession)
-    row = F.struct("line_no", "cost", "good")
-    priced = lines.select("doc_id", "line_no", line_cost(F.col("line"), cost).alias("cost"), boundary(F.col("line")).alias("good"))
-    docs = priced.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows")).select("doc_id", F.col("rows.cost").alias("cost"), F.col("rows.good").alias("good"))
-    schema = T.StructType.fromDDL(SLICES.format(key=lines.schema["doc_id"].dataType.simpleString()))
+    size = max(block_lines, *(t for t, _ in budgets))
+    kind = lines.schema["doc_id"].dataType
+    priced = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), line_cost(F.col("line"), cost).alias("cost"), boundary(F.col("line")).alias("good"))
+    block = F.expr(f"line_no div {size}")
+    # a block's numbers, and a copy for the block before, which reaches into it
+    dealt = priced.withColumn("block", F.explode(F.when(block > 0, F.array(block, block - 1)).otherwise(F.array(block))))
+    rows = dealt.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "cost", "good"))).alias("rows"))
+    rows = materialise(rows.select("doc_id", "block", F.col("rows.cost").alias("cost"), F.col("rows.good").alias("good")))
+    last = rows.agg(F.max("block")).first()[0] or 0
+    if last:
+        entries = _entries(rows, budgets, size, kind, int(last))
+        rows = rows.join(entries, rows["doc_id"].eqNullSafe(entries["_doc"]) & (rows["block"] == entries["_block"]))
+    else:
+        rows = rows.withColumns({"line": F.lit(0).cast("long"), "number": F.lit(0).cast("long"), "core": F.lit(0).cast("long")})
+    rows = rows.select("doc_id", "block", "cost", "good", "line", "number", "core")
+    schema = T.StructType.fromDDL(SLICES.format(key=kind.simpleString()))
 
     def run(it):
         import pyarrow as pa
 
-        names = schema.names[1:]
         for batch in it:
-            source, out = [], {name: [] for name in names}
+            source, out = [], []
             for k in range(batch.num_rows):
-                cost = batch.column(1)[k].values.to_numpy(zero_copy_only=False)
-                good = batch.column(2)[k].values.to_numpy(zero_copy_only=False)
-                sums = np.concatenate([[0], np.cumsum(cost)])
-                start = core = chunk = 0
-                while start < len(good):
-                    route = chunk % len(budgets)
-                    end, after = slice_at(sums, good, start, *budgets[route])
-                    source.append(k)
-                    values = (chunk, route, start, end, core, end, int(sums[end] - sums[start]), int(sums[end] - sums[core]))
-                    for name, value in zip(names, values, strict=True):
-                        out[name].append(value)
-                    start, core, chunk = after, end, chunk + 1
-            arrays = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(out["chunk"], pa.int32()), pa.array(out["route"], pa.int32()), *(pa.array(out[x], pa.int64()) for x in names[2:])]
+                held = _block(batch, k, size, budgets)
+                line, number, core = (batch.column(c)[k].as_py() for c in (4, 5, 6))
+                found = list(held.chunks(line, core, number))
+                source += [k] * len(found)
+                out += found
+            columns = list(zip(*out, strict=True)) or [()] * 8
+            arrays = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
+
+
+def _block(batch, k: int, size: int, budgets: list[tuple[int, int]]) -> Block:
+    """Row k of (doc_id, block, cost, good, ...)."""
+    number = batch.column(1)[k].as_py()
+    cost, good = (batch.column(c)[k].values.to_numpy(zero_copy_only=False) for c in (2, 3))
+    return Block(number * size, min(size, len(cost)), cost, good, budgets)
+
+
+def _entries(rows: DataFrame, budgets: list[tuple[int, int]], size: int, kind: T.DataType, last: int) -> DataFrame:
+    """(_doc, _block, line, number, core): where each block is entered, as which chunk of the document, and where that chunk's core begins; blocks that no chunk begins in are left out.
+
+    Round k composes each block's table with that of the block 2**k further, so tables of one block's size move log2(blocks) times.
+    """
+    routes = len(budgets)
+    table = T.StructType([T.StructField("_doc", kind), T.StructField("_block", T.LongType()), T.StructField("jumps", T.BinaryType())])
+    entry = T.StructType([T.StructField("_doc", kind), *[T.StructField(c, T.LongType()) for c in ("_block", "line", "number", "core")]])
+
+    def own(it):
+        import pyarrow as pa
+
+        for batch in it:
+            jumps = [_block(batch, k, size, budgets).jumps().astype("<i8").tobytes() for k in range(batch.num_rows)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(jumps, pa.binary())], names=table.names)
+
+    def array(raw) -> np.ndarray:
+        return np.frombuffer(raw, dtype="<i8").reshape(4, routes, -1)
+
+    def pairs(it):
+        import pyarrow as pa
+
+        for batch in it:
+            at, a, b = batch.column(3).to_pylist(), batch.column(2), batch.column(4)
+            out = [x.as_py() if far is None else _compose(array(x.as_py()), array(y.as_py()), far * size, array(y.as_py()).shape[2]).tobytes() for far, x, y in zip(at, a, b, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=table.names)
+
+    def enter(step):
+        def run(it):
+            import pyarrow as pa
+
+            for batch in it:
+                found = []
+                for k, (block, line, number, core, raw) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+                    jumps = array(raw)
+                    at = line - block * size
+                    if at < jumps.shape[2]:
+                        line, _, count, core = (int(x) for x in jumps[:, number % routes, at])
+                        found.append((k, block + step, line, number + count, core))
+                columns = list(zip(*found, strict=True)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0], pa.int64())), *(pa.array(c, pa.int64()) for c in columns[1:])], names=entry.names)
+
+        return run
+
+    tables = materialise(rows.mapInArrow(own, table))
+    known = rows.filter("block = 0").select(F.col("doc_id").alias("_doc"), F.col("block").alias("_block"), *[F.lit(0).cast("long").alias(c) for c in ("line", "number", "core")])
+    step = 1
+    while step <= last:
+        known = materialise(known)
+        same = known.select(F.col("_doc").alias("_d"), F.col("_block").alias("_b"), "line", "number", "core")
+        far = same.join(tables, F.col("_d").eqNullSafe(F.col("_doc")) & (F.col("_b") == F.col("_block"))).select("_doc", "_block", "line", "number", "core", "jumps")
+        ends = rows.select(F.col("doc_id").alias("_e"), F.col("block").alias("_to"))
+        found = far.mapInArrow(enter(step), entry)
+        found = found.join(ends, F.col("_doc").eqNullSafe(F.col("_e")) & (F.col("_block") == F.col("_to")), "left_semi")
+        known = known.unionByName(found)
+        if 2 * step <= last:
+            # a table that the document's end cuts off has no partner and stays
+            other = tables.select(F.col("_doc").alias("_d"), F.col("_block").alias("_far"), F.col("jumps").alias("more"))
+            paired = tables.join(other, F.col("_doc").eqNullSafe(F.col("_d")) & (F.col("_block") + step == F.col("_far")), "left")
+            tables = materialise(paired.select("_doc", "_block", "jumps", "_far", "more").mapInArrow(pairs, table))
+        step *= 2
+    return materialise(known)
 
 
 def budgets_of(windows: list[int], ratio: float = budget.CHUNK_RATIO, overlap: float = budget.OVERLAP_RATIO) -> list[tuple[int, int]]:
