@@ -2,9 +2,10 @@
 
 Only the histogram of piece lengths (at most ``capacity`` bins, whatever the corpus) reaches the driver. There, patterns of
 up to three lengths that fill a sequence exactly are enumerated over the lengths that occur, repeat counts are fitted
-to the histogram by non-negative least squares (coordinate descent), rounded so that no length is used more often than it
-occurs, and what is left is packed by best fit, decreasing, over counts of like lengths. Each piece then finds its place by its
-rank among the pieces of its length: ranks come from counts by (length, hash bucket), so no length's pieces meet in one task.
+to the histogram by non-negative least squares (coordinate descent, until it settles), rounded so that no length is used more often than it
+occurs, and what is left is packed by best fit over counts of like lengths: decreasing into the fullest sequence, or a sequence at a time with the
+set of lengths that leaves least room, of any number of pieces, whichever takes fewer sequences. Where either takes fewer without the patterns, that
+is the plan. Each piece then finds its place by its rank among the pieces of its length: ranks come from counts by (length, hash bucket), so no length's pieces meet in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +26,8 @@ CAPACITY = 1024
 END_ID = 2
 BUCKET_ROWS = 100_000
 LEAST_BUCKETS = 256
-PASSES = 6
+#: Coordinate descent has settled when a pass makes the squared residual smaller by less than this share.
+SETTLED = 1e-3
 
 
 def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
@@ -44,8 +46,8 @@ def patterns(lengths: np.ndarray, capacity: int) -> np.ndarray:
     return np.concatenate(rows).astype(np.int64) if rows else np.zeros((0, 3), dtype=np.int64)
 
 
-def fit(pats: np.ndarray, hist: np.ndarray, passes: int = PASSES) -> np.ndarray:
-    """Non-negative repeat counts x that bring the patterns' lengths near the histogram, by coordinate descent."""
+def fit(pats: np.ndarray, hist: np.ndarray, settled: float = SETTLED) -> np.ndarray:
+    """Non-negative repeat counts x that bring the patterns' lengths near the histogram, by coordinate descent until the residual settles."""
     rest = hist.astype(float).tolist()
     x = [0.0] * len(pats)
     cols = []
@@ -56,8 +58,8 @@ def fit(pats: np.ndarray, hist: np.ndarray, passes: int = PASSES) -> np.ndarray:
                 uses[length] = uses.get(length, 0) + 1
         cols.append((tuple(uses.items()), float(sum(n * n for n in uses.values()))))
     order = range(len(cols) - 1, -1, -1)
-    for _ in range(passes):
-        moved = 0.0
+    before = float("inf")
+    while cols:
         for j in order:
             uses, norm = cols[j]
             step = sum(rest[length] * n for length, n in uses) / norm
@@ -66,11 +68,12 @@ def fit(pats: np.ndarray, hist: np.ndarray, passes: int = PASSES) -> np.ndarray:
                 new, step = 0.0, -x[j]
             if step:
                 x[j] = new
-                moved += abs(step)
                 for length, n in uses:
                     rest[length] -= n * step
-        if moved < 1:
+        now = sum(v * v for v in rest)
+        if now < 1 or now > before * (1 - settled):
             break
+        before = now
     return np.array(x)
 
 
@@ -85,15 +88,54 @@ def plan(hist: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int
         counts[capacity] = 0
     pats = patterns(np.flatnonzero(counts), capacity)
     x = fit(pats, counts)
-    left = counts.tolist()
+    left, fitted = counts.tolist(), []
     for j in sorted(np.flatnonzero(x >= 0.5).tolist(), key=lambda j: (-x[j], j)):
         lengths = [v for v in pats[j].tolist() if v]
         n = min(round(x[j]), *(left[v] // lengths.count(v) for v in lengths))
         if n > 0:
-            out.append((tuple(lengths), n))
+            fitted.append((tuple(lengths), n))
             for v in lengths:
                 left[v] -= n
-    return out + residual(left, capacity)
+    plans = [fitted + rest(left, capacity) for rest in (tight, residual)]
+    plans += [rest(counts.tolist(), capacity) for rest in (tight, residual)]
+    return out + min(plans, key=lambda p: sum(n for _, n in p))
+
+
+def tight(left: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences one kind at a time: the largest length that is left with the lengths, as often as they occur, that leave least room; of several such sets the one with the largest lengths.
+
+    A kind is repeated until one of its lengths is used up, so there are no more kinds than lengths.
+    """
+    left, out = list(left), []
+    for first in range(capacity, 0, -1):
+        while left[first]:
+            left[first] -= 1
+            room = capacity - first
+            have = [(v, min(left[v], room // v)) for v in range(1, min(first, room) + 1) if left[v]]
+            # the sums that the lengths so far can make, as bits
+            sums, mask = [1], (2 << room) - 1
+            for v, most in have:
+                now, copies = sums[-1], 1
+                while most > 0:
+                    take = min(copies, most)
+                    now |= now << (v * take) & mask
+                    most, copies = most - take, 2 * copies
+                sums.append(now)
+            target, uses = sums[-1].bit_length() - 1, {first: 1}
+            for k in range(len(have) - 1, -1, -1):
+                v, most = have[k]
+                take = min(most, target // v)
+                while not sums[k] >> (target - take * v) & 1:
+                    take -= 1
+                if take:
+                    uses[v] = uses.get(v, 0) + take
+                    target -= take * v
+            left[first] += 1
+            n = min(left[v] // k for v, k in uses.items())
+            for v, k in uses.items():
+                left[v] -= n * k
+            out.append((tuple(v for v, k in sorted(uses.items(), reverse=True) for _ in range(k)), n))
+    return out
 
 
 def residual(left: list[int], capacity: int) -> list[tuple[tuple[int, ...], int]]:

@@ -93,6 +93,7 @@ def test_query_op3(spark, sf):
     lib = library()
     docs = {r.doc_id: r.text or "" for r in queries.table(spark, sf, "documents").collect()}
     got = queries.op3_bpe_codec(spark, sf).collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
     for r in got:
         ids = lib.encode_ordinary(docs[r.doc_id])
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(docs[r.doc_id].encode()).hexdigest())
@@ -149,7 +150,9 @@ def test_the_tables_do_not_change_counts():
 def test_query_op8(spark, sf):
     tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     docs = {r.doc_id: r.text or "" for r in queries.table(spark, sf, "documents").collect()}
-    assert {r.doc_id: r.n_tokens for r in queries.op8_token_counts(spark, sf).collect()} == {d: len(tok.encode(t, add_special_tokens=False).ids) for d, t in docs.items()}
+    want = {d: (len(t.encode()), n := len(tok.encode(t, add_special_tokens=False).ids), n > 512) for d, t in docs.items()}
+    got = queries.op8_token_counts(spark, sf).collect()
+    assert len(got) == len(docs) and {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in got} == want
 
 
 def sound(rows, capacity=1024):
@@ -183,6 +186,21 @@ def test_plan_uses_every_piece_once(kind):
     assert sequences <= {"one length": 334, "long": 500}.get(kind, bound * 1.02 + 3)
 
 
+@pytest.mark.parametrize(("low", "high", "count", "over"), [(1, 1024, 200_000, 0.002), (100, 700, 200_000, 0.0005), (1, 341, 200_000, 0.0001), (1, 100, 50_000, 0.0001), (200, 341, 200_000, 0.07), (300, 600, 100_000, 0.045)])
+def test_plan_is_never_worse_than_best_fit(low, high, count, over):
+    """Near the bound, and no more sequences than packing everything by either best fit."""
+    lengths = np.random.default_rng(7).integers(low, high + 1, count)
+    counts = np.bincount(lengths, minlength=1025).tolist()
+    made = packing.plan({v: n for v, n in enumerate(counts) if n})
+    used = np.zeros(1025, dtype=np.int64)
+    for parts, n in made:
+        assert sum(parts) <= 1024
+        np.add.at(used, list(parts), n)
+    assert used.tolist() == counts
+    took = lambda p: sum(n for _, n in p)
+    assert took(made) <= min(took(packing.residual(counts, 1024)), took(packing.tight(counts, 1024)), -(-int(lengths.sum()) // 1024) * (1 + over))
+
+
 def test_pack_odd_rows(spark):
     rows = [(1, 5, "a"), (1, 5, "a"), (2, 1024, "b"), (3, 1000, None), (4, 24, "c"), (None, 7, "c"), (5, None, "d"), (6, 0, "e")]
     df = spark.createDataFrame(rows, "doc_id long, length int, sequence_id string")
@@ -213,7 +231,7 @@ def test_query_op7(spark, sf):
             at += r.length
         assert at == len(ids)
     sequences = sound([(r.length, r.sequence_id, r.offset) for r in got])
-    assert sequences <= -(-sum(r.length for r in got) // 1024) * 1.02 + 2
+    assert set(by) == set(docs) and sequences <= -(-sum(r.length for r in got) // 1024) + 1
 
 
 def test_ids_come_along(spark):
