@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,15 +25,20 @@ def windows(text: Column, chars: int, count: int = 5) -> Column:
     return F.when(size <= chars, text).otherwise(F.concat_ws("\n", *[F.substring(text, k, F.lit(width)) for k in at]))
 
 
-def sampled(rows: DataFrame, keys: list[str], count: int) -> DataFrame:
+def sampled(rows: DataFrame, keys: list[str], count: int, *, size: str | None = None, most: int | None = None) -> DataFrame:
     """At most ``count`` rows, the same ones at every run, spread by a hash of the keys: those under a threshold that leaves about twice as many, then the first in order of hash and keys.
 
-    One pass finds the size of the table and one the rows; each task hands on only what lies under the threshold. keys should hold all columns that matter.
+    Rows come whole. With ``most``, the text column ``size`` has at most so many bytes in all: rows are taken in that order until the next one would pass it. A pass finds the size of the table,
+    one the lengths where they matter, and one the rows; each task hands on only what lies under the threshold. keys should hold all columns that matter.
     """
     total = rows.count()
     place = F.xxhash64(*keys)
     if total > 4 * count:
         rows = rows.filter(place <= F.lit(int(-(2**63) + 2**64 * (2 * count / total))).cast("long"))
+    if most is not None:
+        lengths = rows.select(place.alias("_place"), F.octet_length(size).cast("long").alias("_n")).orderBy("_place", "_n").limit(count).collect()
+        fits = np.cumsum([r["_n"] for r in lengths], dtype=np.int64) <= most
+        count = int(fits.argmin()) if len(fits) and not fits.all() else len(fits)
     return rows.orderBy(place, *keys).limit(count)
 
 

@@ -22,14 +22,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowmap import map_rows, plain, sampled, windows
+from siltstone.llm.arrowmap import map_rows, plain, sampled
 from siltstone.llm.bpe import batches
 from siltstone.session import ship
 
 FEATURES = 1 << 15
 LEXICON = 4_000
-SAMPLE = 2_000
-SAMPLE_CHARS = 20_000
+#: The rows that are learned from: so many, and so many bytes of text in all, at most.
+SAMPLE, SAMPLE_BYTES = 2_000, 32 << 20
 LENGTH = 64
 STEPS = 350
 SEGMENT = 256
@@ -293,14 +293,14 @@ def held_out(id_col: str, parts: int = 3, part: int = 1):
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % parts == part, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
-    """The model, from at most ``rows`` texts, of any length, that are not held out, by a hash of the row; texts over ``chars`` characters as windows over all of them.
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", *, rows: int = SAMPLE, most: int = SAMPLE_BYTES) -> Model:
+    """The model, from at most ``rows`` texts with ``most`` bytes in all, each of them whole, that are not held out, by a hash of the row.
 
     Rows without a text or a language are not learned from. Rows that repeat, also in their id, count as often as they occur.
     """
     usable = docs.filter(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    texts = usable.select(F.col(id_col).alias("_id"), windows(F.col(text_col), chars).alias("_text"), F.col(lang_col).alias("_lang"))
-    got = sampled(texts, ["_id", "_text", "_lang"], rows).collect()
+    texts = usable.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text"), F.col(lang_col).alias("_lang"))
+    got = sampled(texts, ["_id", "_text", "_lang"], rows, size="_text", most=most).collect()
     return train([r["_text"] for r in got], [r["_lang"] for r in got])
 
 

@@ -16,15 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siltstone.llm.arrowmap import map_rows, plain, sampled, text_of, windows
+from siltstone.llm.arrowmap import map_rows, plain, sampled, text_of
 from siltstone.session import ship
 
 WIDTH = 5
 FILTERS = 16
 BLOCK = 32
-SAMPLE = 4_000
-SAMPLE_CHARS = 20_000
-CROP = 3_072
+#: The labelled rows that are learned from: so many, and so many bytes of text in all, at most.
+SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
 STEPS = 900
 THRESHOLD = 0.7
 _STEP = 1 << 15
@@ -78,11 +77,11 @@ def probability(net: Net, text: str) -> float:
 
 
 def train(texts: list[str], labels: list[int], *, seed: int = 7, steps: int = STEPS, filters: int = FILTERS, batch: int = 32, rate: float = 0.02) -> Net:
-    """Fit by ``steps`` of Adam on the log loss, however many rows there are. Of a longer text each step that meets it shows CROP characters at a place drawn anew from all of it."""
+    """Fit by ``steps`` of Adam on the log loss, however many rows there are; a step sees whole texts, as scoring does."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Net(constant=float(y[0]) if len(y) else 1.0)
-    rng = np.random.default_rng(seed)
+    rng, raw = np.random.default_rng(seed), [_bytes(t) for t in texts]
     p = {"filters": rng.normal(0, 0.25, (WIDTH, 256, filters)).astype(np.float32), "bias": np.zeros(filters, np.float32), "top": rng.normal(0, 0.1, 2 * filters), "offset": np.array([np.log(y.mean() / (1 - y.mean()))])}
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     order = np.zeros(0, dtype=np.int64)
@@ -93,11 +92,7 @@ def train(texts: list[str], labels: list[int], *, seed: int = 7, steps: int = ST
         g = {k: np.zeros(v.shape, dtype=np.float64) for k, v in p.items()}
         net = Net(p["filters"], p["bias"], p["top"], float(p["offset"][0]))
         for i in group:
-            t = texts[i]
-            if len(t) > CROP:
-                k = int(rng.integers(0, len(t) - CROP + 1))
-                t = t[k : k + CROP]
-            _gradient(net, _bytes(t), y[i], g)
+            _gradient(net, raw[i], y[i], g)
         lr = rate * 0.04 ** (step / steps)
         for k, v in p.items():
             d = g[k] / batch + 1e-5 * v
@@ -109,13 +104,17 @@ def train(texts: list[str], labels: list[int], *, seed: int = 7, steps: int = ST
 
 def _gradient(net: Net, x: np.ndarray, y: float, g: dict) -> None:
     n, f = len(x) - WIDTH + 1, net.filters.shape[2]
-    s = net.filters[0][x[:n]].copy()
-    for j in range(1, WIDTH):
-        s += net.filters[j][x[j : j + n]]
-    s = s.reshape(-1, BLOCK, f)
-    where = s.argmax(axis=1)
-    blocks = np.maximum(np.take_along_axis(s, where[:, None], axis=1)[:, 0] + net.bias, 0)
-    place = where + np.arange(len(blocks))[:, None] * BLOCK
+    best, where = [], []
+    for k in range(0, n, _STEP):
+        m = min(_STEP, n - k)
+        s = net.filters[0][x[k : k + m]]
+        for j in range(1, WIDTH):
+            s += net.filters[j][x[k + j : k + j + m]]
+        s = s.reshape(-1, BLOCK, f)
+        where.append(s.argmax(axis=1))
+        best.append(np.take_along_axis(s, where[-1][:, None], axis=1)[:, 0])
+    blocks = np.maximum(np.concatenate(best) + net.bias, 0)
+    place = np.concatenate(where) + np.arange(len(blocks))[:, None] * BLOCK
     if len(blocks) > 1:
         second = blocks[1:] > blocks[:-1]
         chunk, source = np.where(second, blocks[1:], blocks[:-1]), np.where(second, place[1:], place[:-1])
@@ -137,18 +136,18 @@ def _gradient(net: Net, x: np.ndarray, y: float, g: dict) -> None:
         g["filters"][j] += np.bincount(x[at + j].astype(np.int64) * f + column, weights=weight, minlength=256 * f).reshape(256, f)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, rows: int = SAMPLE, chars: int = SAMPLE_CHARS) -> tuple[list[str], list[int]]:
-    """At most ``rows`` labelled texts, of any length, by a hash of the id, those over ``chars`` characters as windows over all of them; held-out ids are left to the caller.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, rows: int = SAMPLE, most: int = SAMPLE_BYTES) -> tuple[list[str], list[int]]:
+    """At most ``rows`` labelled texts with ``most`` bytes in all, each of them whole, by a hash of the id; held-out ids are left to the caller.
 
-    An id with several labels has the largest. Of documents that share a sampled id all are taken, in order of id, text hash and text, ``rows`` at most. Null ids have no label.
+    An id with several labels has the largest. Of documents that share a sampled id all are taken, in order of id, text hash and text, within the same bounds. Null ids have no label.
     """
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     wanted = sampled(known, ["_id"], rows).collect()
     if not wanted:
         return [], []
     wanted = docs.sparkSession.createDataFrame(wanted, known.schema)  # ``rows`` rows at most
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(wanted), "_id").select("_id", windows(F.col("_text"), chars).alias("_text"), "_y")
-    got = texts.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("_text"), "_text").limit(rows).collect()
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(F.broadcast(wanted), "_id").select("_id", "_text", "_y")
+    got = sampled(texts, ["_id", "_text"], rows, size="_text", most=most).collect()
     return [r["_text"] for r in got], [int(r["_y"]) for r in got]
 
 
