@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.session import materialise
@@ -13,6 +13,8 @@ MOST_JUMPS = 62
 THRESHOLD_RATIO = 0.8
 RETAIN_RATIO = 0.16
 HEADROOM = 65_536
+#: Nodes of a session that are sorted together.
+BLOCK_NODES = 8192
 
 
 def _w(order: str = "pos"):
@@ -42,30 +44,42 @@ def surface_fold(events: DataFrame) -> DataFrame:
     return places.select("session_id", (F.row_number().over(_w("place")) - 1).cast("long").alias("pos"), "seq")
 
 
-def tool_balance(nodes: DataFrame) -> DataFrame:
+def running(nodes: DataFrame, sums: dict[str, tuple[Column, str]], *, block_nodes: int = BLOCK_NODES) -> DataFrame:
+    """nodes (session_id, pos, ...) with sums over each session, by name: of a value and a reach, ``before`` a node, ``from`` it on, or ``whole``.
+
+    A session is cut into blocks of positions. Blocks' totals are added up over the session, a row a block, and joined to their nodes; inside a block a window does the rest. So no task
+    sorts or holds a whole session, and the nodes are exchanged once. Null values count as nothing, null ids are one session.
+    """
+    block = F.floor(F.col("pos") / block_nodes).cast("long")
+    rows = nodes.withColumns({"_block": block, **{f"_v_{k}": v for k, (v, _) in sums.items()}})
+    totals = rows.groupBy(F.col("session_id").alias("_session"), F.col("_block").alias("_at")).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    order = Window.partitionBy("_session").orderBy("_at")
+    reach = {"before": order.rowsBetween(Window.unboundedPreceding, -1), "from": order.rowsBetween(1, Window.unboundedFollowing), "whole": Window.partitionBy("_session")}
+    entering = totals.select("_session", "_at", *[F.coalesce(F.sum(f"_t_{k}").over(reach[r]), F.lit(0)).alias(f"_e_{k}") for k, (_, r) in sums.items()])
+    joined = rows.join(entering.hint("shuffle_hash"), F.col("session_id").eqNullSafe(F.col("_session")) & (F.col("_block") == F.col("_at")))
+    inside = Window.partitionBy("session_id", "_block").orderBy("pos")
+    near = {"before": inside.rowsBetween(Window.unboundedPreceding, -1), "from": inside.rowsBetween(0, Window.unboundedFollowing)}
+    local = {k: F.col(f"_e_{k}") + (F.coalesce(F.sum(f"_v_{k}").over(near[r]), F.lit(0)) if r in near else F.lit(0)) for k, (_, r) in sums.items()}
+    return joined.select(*nodes.columns, *[v.alias(k) for k, v in local.items()])
+
+
+def tool_balance(nodes: DataFrame, *, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """nodes (session_id, pos, delta) with balanced_before and balanced_after: every call has its result at that border."""
-    past = F.sum("delta").over(_w().rowsBetween(Window.unboundedPreceding, -1))
-    here = F.sum("delta").over(_w().rowsBetween(Window.unboundedPreceding, 0))
-    return nodes.withColumns({"balanced_before": F.coalesce(past, F.lit(0)) == 0, "balanced_after": here == 0})
+    open_calls = running(nodes, {"_open": (F.col("delta"), "before")}, block_nodes=block_nodes)
+    return open_calls.withColumns({"balanced_before": F.col("_open") == 0, "balanced_after": F.col("_open") + F.col("delta") == 0}).drop("_open")
 
 
-def retention_range(nodes: DataFrame, retain: int) -> DataFrame:
+def retention_range(nodes: DataFrame, retain: int, *, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """(session_id, start_pos, end_pos): what may be compacted so that the last nodes with ``retain`` tokens stay; sessions without a range are left out.
 
-    nodes: session_id, pos from 0, tokens, delta, is_system. The cut moves left to a border where tool calls are paired.
+    nodes: session_id, pos from 0, tokens (not negative), delta, is_system. The cut moves left to a border where tool calls are paired: it is the last such border from which on there are
+    enough tokens, so each task looks for its own last one, and a session's is the largest of those.
     """
-    balanced = tool_balance(nodes)
-    suffix = F.sum("tokens").over(_w().rowsBetween(0, Window.unboundedFollowing))
-    whole = Window.partitionBy("session_id")
-    marked = balanced.withColumn("_suffix", suffix).withColumns(
-        {
-            "_cut": F.coalesce(F.max(F.when(F.col("_suffix") >= retain, F.col("pos"))).over(whole), F.lit(0)),
-            "start_pos": F.max(F.when((F.col("pos") == 0) & F.col("is_system"), 1).otherwise(0)).over(whole),
-        }
-    )
-    best = F.max(F.when((F.col("pos") <= F.col("_cut")) & (F.col("pos") > F.col("start_pos")) & F.col("balanced_before"), F.col("pos")))
-    found = marked.groupBy("session_id", "start_pos").agg(best.alias("_to"))
-    return found.filter("_to is not null").select("session_id", F.col("start_pos").cast("long").alias("start_pos"), (F.col("_to") - 1).alias("end_pos"))
+    marked = running(nodes, {"_open": (F.col("delta"), "before"), "_suffix": (F.col("tokens"), "from")}, block_nodes=block_nodes)
+    border = (F.col("_open") == 0) & (F.col("_suffix") >= retain) & (F.col("pos") > 0)
+    start = F.max(F.when((F.col("pos") == 0) & F.col("is_system"), 1).otherwise(0)).cast("long")
+    found = marked.groupBy("session_id").agg(start.alias("start_pos"), F.max(F.when(border, F.col("pos"))).alias("_to"))
+    return found.filter("_to > start_pos").select("session_id", "start_pos", (F.col("_to") - 1).alias("end_pos"))
 
 
 def validate_region(nodes: DataFrame, spans: DataFrame) -> DataFrame:
@@ -194,9 +208,9 @@ def read_back(records: DataFrame, events: DataFrame) -> DataFrame:
 
 def keep_right_range(nodes: DataFrame, keep: int) -> DataFrame:
     """(session_id, start_pos, end_pos): all but the first node and the last ``keep``, the cut moved left to a border where calls are paired."""
-    sides = tool_balance(nodes).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy("session_id")))
+    sides = running(nodes, {"_open": (F.col("delta"), "before"), "_n": (F.lit(1), "whole")})
     cut = F.greatest(F.lit(1), F.least(F.col("_n") - keep, F.col("_n") - 1))
-    best = sides.filter((F.col("pos") <= cut) & (F.col("pos") > 1) & F.col("balanced_before")).groupBy("session_id").agg(F.max("pos").alias("_to"))
+    best = sides.filter((F.col("pos") <= cut) & (F.col("pos") > 1) & (F.col("_open") == 0)).groupBy("session_id").agg(F.max("pos").alias("_to"))
     return best.select("session_id", F.lit(1).cast("long").alias("start_pos"), (F.col("_to") - 1).alias("end_pos"))
 
 

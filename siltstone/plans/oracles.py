@@ -289,6 +289,20 @@ SELECT *, [NULL, 'rewritten', 'changed', 'no longer a valid target'][session_id
 k(n, type) AS (VALUES (1, 'compaction/start'), (2, 'compaction/summary'), (3, 'user/message'), (4, 'compaction/end')), e AS (SELECT * FROM r, k WHERE c IS NOT NULL AND NOT (bad AND n IN (2, 3)))
 SELECT session_id, top + CASE WHEN bad AND n = 4 THEN 2 ELSE n END AS seq, type, CASE WHEN n = 3 THEN 'replace' END AS op, CASE WHEN n = 3 THEN array_to_string(c, ',') END AS covers,
   CASE n WHEN 2 THEN array_to_string(c, ',') WHEN 3 THEN array_to_string(list_concat([top + 1, top + 2], c), ',') END AS sources, CASE WHEN n IN (2, 3) THEN 'S' WHEN bad AND n = 4 THEN 'not smaller' END AS text FROM e""",
+    "compacted_log": rf"""WITH {_NODES}, c AS (SELECT session_id, coalesce(max(CASE WHEN suffix >= 120 THEN pos END), 0) AS cut, coalesce(bool_or(pos = 0 AND is_system), false)::BIGINT AS start_pos FROM balance GROUP BY session_id),
+span AS (SELECT session_id, start_pos, max(pos) - 1 AS end_pos FROM balance JOIN c USING (session_id) WHERE pos <= cut AND pos > start_pos AND balanced_before GROUP BY ALL),
+inside AS (SELECT n.* FROM nodes n JOIN span USING (session_id) WHERE pos BETWEEN start_pos AND end_pos),
+l0 AS (SELECT session_id AS doc_id, pos, list_concat(['[' || role || ']'], regexp_split_to_array(coalesce(text, ''), '\r\n|\r|\n')) AS l FROM inside),
+l1 AS (SELECT doc_id, pos, unnest(range(len(l))) AS idx, unnest(l) AS line FROM l0),
+src AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, idx) - 1 AS line_no, line FROM l1),
+{_dedup("d1", "src")}, {_purge("d2", "d1")}, {_blanks("d3", "d2")}, {_condense("d4", "d3", "balanced", 200)},
+w AS (SELECT doc_id, line, min(line_no) AS line_no FROM d4 WHERE {_WORTH} GROUP BY ALL),
+d AS (SELECT doc_id AS session_id, 'SUMMARY:' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) AS digest FROM w GROUP BY doc_id),
+r AS (SELECT session_id, list(seq ORDER BY pos) AS c, sum(tokens) AS shadowed FROM inside GROUP BY session_id),
+good AS (SELECT session_id, c, {_FRAME % "digest"} AS summary FROM r JOIN d USING (session_id) WHERE (length({_FRAME % "digest"}) + 3) // 4 + 8 < shadowed),
+v AS (SELECT n.session_id, seq AS place, seq, role || '/message' AS type, text, 0 AS covered, 0::BIGINT AS batch FROM nodes n LEFT JOIN good g ON g.session_id = n.session_id WHERE c IS NULL OR NOT list_contains(c, seq)
+      UNION ALL SELECT session_id, c[1], (SELECT max(seq) FROM nodes n WHERE n.session_id = good.session_id) + 3, 'user/message', summary, len(c)::INT, 1 FROM good)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS pos, seq, type, sha256(text) AS text_sha256, covered, batch FROM v""",
     "entry_state": """WITH e AS (SELECT user_id AS session_id, event_id AS seq, event_id % 5 AS k, event_id * 2 AS turn FROM events),
 s AS (SELECT session_id, max(seq) FILTER (k IN (0, 1)) AS t, max(seq) FILTER (k IN (2, 3)) AS c, max(seq) FILTER (k = 4) AS last_seed FROM e GROUP BY session_id)
 SELECT session_id, CASE WHEN t % 5 = 0 THEN t * 2 END AS open_turn, CASE WHEN c % 5 = 2 THEN c END AS open_start, last_seed, coalesce(c % 5 = 2 AND (last_seed IS NULL OR last_seed <= c), false) AS busy FROM s""",

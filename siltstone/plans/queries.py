@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import budget, text
 from siltstone.operators import chunks, digests, grading, lines, pool, stage0, surface
-from siltstone.session import materialise
+from siltstone.session import materialise, register, shared_dir
+from siltstone.sinks.eventlog import EventLog
 
 NOW = 1_000_000
 WINDOWS = [1500, 1800, 2400]
 MERGE_USABLE = 400
 NEEDLE_WORDS = 5
 ANCHOR = "anchor-"
+#: Tokens that stay as they are at a conversation's end.
+RETAIN = 120
 RECOVERY = "The original turns stay readable: search the session by the anchor's id."
 ROUTES = [
     ("primary", 0, 0, "p1", "m1", 2, 1.0),
@@ -384,6 +389,33 @@ def committed(spark, sf_dir):
     return made.select("session_id", "seq", "type", "op", F.array_join("covers", ",").alias("covers"), F.array_join("source_seqs", ",").alias("sources"), "text")
 
 
+def compacted_log(spark, sf_dir):
+    """From log to log: every conversation's events are committed, what retention lets go is cleaned, digested, framed and committed as one append, and the log is read back and folded.
+
+    A checkpoint that is not smaller than what it stands for lands as an error and leaves the surface as it was.
+    """
+    log = EventLog(spark, register(spark, f"{shared_dir(spark)}/siltstone-log-{uuid.uuid4().hex}"))
+    null = F.lit(None)
+    turns = _nodes(spark, sf_dir)
+    log.append(lambda _: turns.select("session_id", "seq", F.concat(F.col("role"), F.lit("/message")).alias("type"), F.lit("append").alias("op"), null.alias("covers"), null.alias("source_seqs"), "text"))
+
+    def compact(events):
+        said = events.select("session_id", "seq", "text")
+        nodes = turns.drop("text").join(said, ["session_id", "seq"])
+        spans = surface.retention_range(nodes, RETAIN)
+        inside = materialise(nodes.join(spans, "session_id").filter("pos between start_pos and end_pos"))
+        regions = inside.groupBy("session_id").agg(F.array_sort(F.collect_list("seq")).alias("covers"), F.sum("tokens").alias("shadowed"))
+        rows = lines.region_lines(lines.as_blocks(inside.withColumnRenamed("session_id", "conv_id").withColumnRenamed("pos", "turn"))).withColumnRenamed("conv_id", "doc_id")
+        made = digests.persona_perfect(stage0.run_stage0(rows).withColumn("chunk", F.lit(0))).select(F.col("doc_id").alias("session_id"), digests.nonempty(F.col("digest")).alias("digest"))
+        landed = regions.join(made, "session_id")
+        return surface.commit(events.select("session_id", "seq"), landed.select("session_id", "covers", digests.checkpoint(F.col("digest")).alias("summary"), F.when(~digests.framed_shrinks(F.col("digest"), F.col("shadowed")), "not smaller").alias("error")))
+
+    log.append(compact)
+    events = materialise(log.read())
+    seen = surface.surface_fold(events)
+    return seen.join(events.select("session_id", "seq", "type", F.sha2("text", 256).alias("text_sha256"), F.size(F.coalesce("covers", F.array().cast("array<bigint>"))).alias("covered"), "batch"), ["session_id", "seq"])
+
+
 def entry_state(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("turn/start", "turn/end", "compaction/start", "compaction/end", "session/end-seed")]), (F.col("event_id") % 5 + 1).cast("int"))
@@ -721,7 +753,7 @@ QUERIES = {
         unknown_keys, output_tokens, retry_delays, dedup_lines, purge_noise, skip_blank_blocks, head_middle_tail, ast_skeleton, log_runs, log_condense_balanced, log_condense_head,
         log_condense_tail, stage0_full, region_tokens, context_size, budget_table, chunk_slices, chunk_slices_pool, digest_caps, split_halves, persona_perfect, persona_leak,
         persona_forgetful, merge_material, compaction_graded, compression_ratio, framed_shrinks, summary_decision, call_outcomes, instructions, synthetic_stream, tool_balance, retention_range,
-        pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, entry_state,
+        pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, compacted_log, entry_state,
         derive_span, pool_validation, route_capacity, merge_holdable, merge_plan, route_pick, route_deal, chunk_routes, pool_reset, local_quarantine, cooldowns_cleared, earliest_expiry,
         attempts_summary, calls_by_route, collapse_error, combined_parts, recorded_once, cooldown_upsert, run_record, runlog_recent, runlog_capped, runlog_read_back, chunk_attribution,
         grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, suite_a, suite_report, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,
