@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions import pieces
 from siltstone.functions.text import TokenCost, chars4, length16, split_lines
 
 
@@ -79,12 +80,22 @@ def surface_text(messages: DataFrame, key: str = "conv_id", turn: str = "turn",
 def message_tokens(content: Column, cost: TokenCost = chars4) -> Column:
     """A message's price: 4, and for each block 4 and its tokens (text; a call's name and arguments; other blocks a quarter of their JSON). Null content is 4.
 
-    With a cost that is no plain expression, price block_text() of exploded blocks instead: such functions cannot be called inside arrays.
+    With a cost that is no plain expression, exact_message_tokens() prices exploded blocks instead: such functions cannot be called inside arrays.
     """
     block = lambda b: F.when(b["type"].isin("text", "reasoning", "tool-call"), cost(block_text(b))).otherwise(chars4(F.coalesce(b["raw_json"], F.lit(""))))
     return F.coalesce(F.aggregate(content, F.lit(4).cast("long"), lambda acc, b: acc + 4 + block(b)), F.lit(4))
 
 
+def exact_message_tokens(messages: DataFrame, keys: list[str], content: str, vocabulary: bytes) -> DataFrame:
+    """(keys, tokens): as message_tokens(), texts and calls at their exact price by a vocabulary (pieces.vocabulary()). Messages that share their keys are added up but for the first 4."""
+    each = messages.select(*keys, F.explode_outer(content).alias("b"))
+    spoken = F.col("b.type").isin("text", "reasoning", "tool-call")
+    rows = each.select(*keys, F.when(spoken, block_text(F.col("b"))).alias("text"), F.when(F.col("b").isNull(), 0).when(spoken, 4).otherwise(chars4(F.coalesce("b.raw_json", F.lit(""))) + 4).alias("rest"))
+    rest = rows.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg((F.sum("rest") + 4).alias("_rest"))
+    found = pieces.exact_tokens(rows, keys, "text", vocabulary).join(rest, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    return found.select(*keys, (F.col("tokens") + F.col("_rest")).cast("long").alias("tokens"))
+
+
 def text_tokens(text: Column, cost: TokenCost = chars4) -> Column:
     """The price of a message whose content is one string: its tokens and 4."""
     return F.when(text.isNull(), F.lit(4)).otherwise(cost(text) + 4).cast("long")

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siltstone.functions import budget, text
+from siltstone.functions import budget, pieces, text
 from siltstone.operators import chunks, digests, grading, lines, pool, stage0, surface
 from siltstone.session import materialise, register, shared_dir
 from siltstone.sinks.eventlog import EventLog
@@ -205,6 +205,14 @@ def stage0_full(spark, sf_dir):
     return stage0.run_stage0(noisy(spark, sf_dir), skeleton_depth=2, log_lines=3)
 
 
+def exact_document_tokens(spark, sf_dir):
+    """Every document's tokens by a public vocabulary, and how many pieces were priced."""
+    import public_tokenizers
+
+    content = pieces.vocabulary(spark, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.exact_tokens(table(spark, sf_dir, "documents"), ["doc_id"], "text", content)
+
+
 def region_tokens(spark, sf_dir):
     """Lines, tokens and characters of each conversation after deduplication."""
     rows = region_lines(spark, sf_dir).withColumnRenamed("conv_id", "doc_id").transform(stage0.dedup_lines)
@@ -751,7 +759,7 @@ QUERIES = {
     for f in (
         region_lines, block_lines, replayed_region, replayed_blocks, message_prices, request_tokens, region_chars, history_text, purpose_requests, triggers, targets, replay_input, filler_lines,
         unknown_keys, output_tokens, retry_delays, dedup_lines, purge_noise, skip_blank_blocks, head_middle_tail, ast_skeleton, log_runs, log_condense_balanced, log_condense_head,
-        log_condense_tail, stage0_full, region_tokens, context_size, budget_table, chunk_slices, chunk_slices_pool, digest_caps, split_halves, persona_perfect, persona_leak,
+        log_condense_tail, stage0_full, exact_document_tokens, region_tokens, context_size, budget_table, chunk_slices, chunk_slices_pool, digest_caps, split_halves, persona_perfect, persona_leak,
         persona_forgetful, merge_material, compaction_graded, compression_ratio, framed_shrinks, summary_decision, call_outcomes, instructions, synthetic_stream, tool_balance, retention_range,
         pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, compacted_log, entry_state,
         derive_span, pool_validation, route_capacity, merge_holdable, merge_plan, route_pick, route_deal, chunk_routes, pool_reset, local_quarantine, cooldowns_cleared, earliest_expiry,

@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def _like(rows: DataFrame, column: str) -> str:
+    """A column of rows as DDL: ids are of whatever type they come in."""
+    return f"{column} {rows.schema[column].dataType.simpleString()}"
+
+
 def cooldown_stream(failures: DataFrame) -> DataFrame:
     """(key, cooldown_until) whenever a failure moves a route's cooldown. failures: key, at_ms long, hours double.
 
@@ -24,7 +29,7 @@ def cooldown_stream(failures: DataFrame) -> DataFrame:
         if until != before:
             yield pd.DataFrame({"key": [key[0]], "cooldown_until": [until]})
 
-    return failures.groupBy("key").applyInPandasWithState(step, "key string, cooldown_until long", "until long", "update", GroupStateTimeout.NoTimeout)
+    return failures.groupBy("key").applyInPandasWithState(step, f"{_like(failures, 'key')}, cooldown_until long", "until long", "update", GroupStateTimeout.NoTimeout)
 
 
 def pressure_stream(nodes: DataFrame, threshold: int, retained: int = 0) -> DataFrame:
@@ -37,7 +42,7 @@ def pressure_stream(nodes: DataFrame, threshold: int, retained: int = 0) -> Data
         if total >= threshold:
             yield pd.DataFrame({"session_id": [key[0]], "total_tokens": [total]})
 
-    return nodes.groupBy("session_id").applyInPandasWithState(step, "session_id long, total_tokens long", "total long", "update", GroupStateTimeout.NoTimeout)
+    return nodes.groupBy("session_id").applyInPandasWithState(step, f"{_like(nodes, 'session_id')}, total_tokens long", "total long", "update", GroupStateTimeout.NoTimeout)
 
 
 def surface_stream(events: DataFrame) -> DataFrame:
@@ -62,7 +67,7 @@ def surface_stream(events: DataFrame) -> DataFrame:
         state.update((last, [p for _, (p, _) in order], [s for s, _ in order], [t for _, (_, t) in order]))
         yield pd.DataFrame({"session_id": [key[0]], "nodes": [[s for s, _ in order]], "total_tokens": [sum(t for _, (_, t) in order)]})
 
-    out = "session_id long, nodes array<long>, total_tokens long"
+    out = f"{_like(events, 'session_id')}, nodes array<long>, total_tokens long"
     return events.groupBy("session_id").applyInPandasWithState(step, out, "last long, places array<long>, seqs array<long>, tokens array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
@@ -84,7 +89,7 @@ def overflow_stream(events: DataFrame, most: int = 1) -> DataFrame:
         if seqs:
             yield pd.DataFrame({"session_id": key[0], "seq": seqs, "retry": retries})
 
-    return events.groupBy("session_id").applyInPandasWithState(step, "session_id long, seq long, retry boolean", "retries int", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy("session_id").applyInPandasWithState(step, f"{_like(events, 'session_id')}, seq long, retry boolean", "retries int", "update", GroupStateTimeout.NoTimeout)
 
 
 def surface_tokens(nodes: DataFrame, delay: str = "10 minutes", span: str = "5 minutes") -> DataFrame:

@@ -356,6 +356,17 @@ def test_surface_stream_is_the_fold(spark, tmp_path):
     assert [(r.nodes, r.total_tokens) for r in rows if r.session_id == 2] == [([0], 3)]
 
 
+def test_streams_take_ids_of_any_type(spark, tmp_path):
+    from siltstone.streaming.state import overflow_stream, pressure_stream, surface_stream
+
+    rows, _ = _stream(spark, tmp_path, "named_pressure", [[("s1", 110)], [("s2", 60)]], "session_id string, tokens long", lambda df: pressure_stream(df, 100))
+    assert [tuple(r) for r in rows] == [("s1", 110)]
+    rows, _ = _stream(spark, tmp_path, "named_overflow", [[("s1", 1, "overflow")]], "session_id string, seq long, type string", overflow_stream)
+    assert [tuple(r) for r in rows] == [("s1", 1, True)]
+    rows, _ = _stream(spark, tmp_path, "named_surface", [[("s1", 1, "append", None, 5)]], "session_id string, seq long, op string, covers array<long>, tokens long", surface_stream)
+    assert [(r.session_id, list(r.nodes), r.total_tokens) for r in rows] == [("s1", [1], 5)]
+
+
 def test_overflow_stream_counts_retries(spark, tmp_path):
     from siltstone.streaming.state import overflow_stream
 

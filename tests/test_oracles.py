@@ -28,4 +28,5 @@ def test_query_matches_oracle(spark, duck, sf, name):
 
 
 def test_every_query_has_an_oracle():
-    assert set(ORACLES) == set(QUERIES)
+    """But for merging by a vocabulary, which SQL cannot express; tests/test_pieces.py holds it against a plain merge."""
+    assert set(QUERIES) - set(ORACLES) == {"exact_document_tokens"} and set(ORACLES) <= set(QUERIES)
