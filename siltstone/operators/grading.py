@@ -9,6 +9,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.functions.text import length16
 from siltstone.session import materialise, ship
 
 # Fixed word lists.
@@ -80,6 +81,25 @@ def suite_a(target: DataFrame, control: DataFrame, digits: int = 6) -> DataFrame
     return made.select("episode", "persona", "probes", *[F.round(c, digits).alias(c) for c in ("recall", "control_recall", "gain", "hallucination")])
 
 
+def suite_matrix(contexts: DataFrame, probes: DataFrame, variants: list[str], control: str, whole: str, personas: tuple[str, ...] = ("perfect", "leak", "forgetful"), digits: int = 6) -> DataFrame:
+    """(episode, persona, probes, recall_<variant> ..., recall_<control>, hallucination_<variant> ..., ratio_<variant> ...): all variants of compaction side by side.
+
+    contexts: conv_id, variant (those named, the control that just forgets, and the whole conversation), text; probes: conv_id, episode, ask, need. Means over probes; an answer is what a
+    persona can say from the context alone, a conversation without a context recalls nothing. A ratio is the characters after compaction over those of the whole. Contexts
+    and probes meet in one join, personas and variants in one aggregation.
+    """
+    met = probes.join(contexts, "conv_id", "left")
+    shown = F.concat(F.coalesce("text", F.lit("")), F.lit("\nAnswer strictly from the context above: "), F.col("ask"))
+    said = {"perfect": shown, "leak": F.array_join(F.filter(F.split(shown, "\n", -1), lambda _, k: k % 4 != 3), "\n"), "forgetful": F.lit("I do not have that information.")}
+    each = met.select("conv_id", "episode", "variant", "need", F.coalesce(length16(F.col("text")), F.lit(0)).alias("chars"), F.explode(F.create_map(*[x for p in personas for x in (F.lit(p), said[p])])).alias("persona", "answer"))
+    hits = F.size(F.filter("need", lambda t: has_token(F.col("answer"), t)))
+    graded = each.withColumns({"recall": F.when(F.size("need") > 0, hits / F.size("need")).otherwise(0.0), "bad": hallucinated(F.col("answer"), F.lit("recall")).cast("int")})
+    n = F.count_distinct("conv_id")
+    of = lambda value, v: F.sum(F.when(F.col("variant") == v, F.col(value)).otherwise(0))
+    columns = {f"recall_{v}": of("recall", v) / n for v in [*variants, control]} | {f"hallucination_{v}": of("bad", v) / n for v in variants} | {f"ratio_{v}": of("chars", v) / of("chars", whole) for v in variants}
+    return graded.groupBy("episode", "persona").agg(n.alias("probes"), *[F.round(c, digits).alias(k) for k, c in columns.items()])
+
+
 def report(rows: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     """(line): each row as a line of a table in Markdown, its numbers rounded; the two header lines are the caller's columns."""
     cells = [F.coalesce(F.format_string(f"%.{digits}f", F.col(c).cast("double")) if rows.schema[c].dataType.typeName() in ("double", "float", "decimal") else F.col(c).cast("string"), F.lit("n/a")) for c in columns]

@@ -373,6 +373,26 @@ cb AS (SELECT conv_id, string_agg('[' || role || '] ' || text, chr(10) ORDER BY
 {_suite('tg', 'tb')}, {_suite('cg', 'cb')}
 SELECT tg_g.conv_id % 4 AS episode, tg_g.persona, count(*) AS probes, round(avg(tg_g.recall), 6) AS recall, round(avg(cg_g.recall), 6) AS control_recall, round(avg(tg_g.recall) - avg(cg_g.recall), 6) AS gain,
   round(avg((({_ANY(REJECTIONS)} AND {_ANY(ADOPTIONS)}))::INT), 6) AS hallucination FROM tg_g JOIN (SELECT conv_id, persona, recall FROM cg_g) cg_g ON cg_g.conv_id = tg_g.conv_id AND cg_g.persona = tg_g.persona GROUP BY ALL""",
+    "suite_matrix": f"""WITH {_GRADES}, {_NODES}, {_KEEP},
+placed AS (SELECT nodes.*, coalesce(pos BETWEEN start_pos AND end_pos, false) AS inside FROM nodes LEFT JOIN k USING (session_id)),
+rl0 AS (SELECT session_id AS doc_id, pos, list_concat(['[' || role || ']'], {_SPLIT}) AS l FROM placed WHERE inside), rl1 AS (SELECT doc_id, pos, unnest(range(len(l))) AS idx, unnest(l) AS line FROM rl0),
+rl AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY pos, idx) - 1 AS line_no, line FROM rl1), {_dedup('rd', 'rl')}, ht_in AS (SELECT * FROM rd), {_head_tail(600, 300, 80)},
+pf AS (SELECT 'default' AS v, doc_id, line, min(line_no) AS line_no FROM rd WHERE {_WORTH} GROUP BY ALL UNION ALL SELECT 'legacy', doc_id, line, min(line_no) FROM ht WHERE {_WORTH} GROUP BY ALL),
+dg AS (SELECT v, doc_id, 'SUMMARY:' || chr(10) || string_agg(line, chr(10) ORDER BY line_no) AS digest FROM pf GROUP BY v, doc_id),
+ctx AS (SELECT x AS v, session_id AS conv_id, pos, role, text FROM placed, (VALUES ('default'), ('legacy'), ('control'), ('whole')) w(x) WHERE NOT inside OR x = 'whole'
+  UNION ALL SELECT v, doc_id, 1, 'user', {_FRAME % "digest"} FROM dg),
+sf AS (SELECT v, conv_id, string_agg('[' || role || '] ' || coalesce(text, ''), chr(10) ORDER BY pos) AS text FROM ctx GROUP BY v, conv_id),
+vd AS (SELECT conv_id, text FROM sf WHERE v = 'default'), vl AS (SELECT conv_id, text FROM sf WHERE v = 'legacy'), vc AS (SELECT conv_id, text FROM sf WHERE v = 'control'),
+{_suite('d', 'vd')}, {_suite('l', 'vl')}, {_suite('c', 'vc')},
+z AS (SELECT conv_id, sum(length(text)) FILTER (v = 'default') AS zd, sum(length(text)) FILTER (v = 'legacy') AS zl, sum(length(text)) FILTER (v = 'whole') AS zw FROM sf GROUP BY conv_id),
+g AS (SELECT d_g.conv_id, d_g.persona, d_g.recall AS rd, l_g.recall AS rl, c_g.recall AS rc, d_g.t AS td, l_g.t AS tl FROM d_g JOIN l_g ON l_g.conv_id = d_g.conv_id AND l_g.persona = d_g.persona JOIN c_g ON c_g.conv_id = d_g.conv_id AND c_g.persona = d_g.persona)
+SELECT conv_id % 4 AS episode, persona, count(*) AS probes, round(avg(rd), 6) AS recall_default, round(avg(rl), 6) AS recall_legacy, round(avg(rc), 6) AS recall_control,
+  round(avg(({_ANY(REJECTIONS).replace("contains(t,", "contains(td,")} AND {_ANY(ADOPTIONS).replace("contains(t,", "contains(td,")})::INT), 6) AS hallucination_default,
+  round(avg(({_ANY(REJECTIONS).replace("contains(t,", "contains(tl,")} AND {_ANY(ADOPTIONS).replace("contains(t,", "contains(tl,")})::INT), 6) AS hallucination_legacy,
+  round(sum(zd) / sum(zw), 6) AS ratio_default, round(sum(zl) / sum(zw), 6) AS ratio_legacy FROM g JOIN z USING (conv_id) GROUP BY ALL""",
+    "request_sizes": f"""WITH RECURSIVE {_LINES}, {_chunks('doc_lines', WINDOWS)},
+w AS (SELECT *, [{", ".join(map(str, WINDOWS))}][route + 1]::BIGINT AS win, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks), x AS (SELECT *, tokens + 512 AS i, least(32768, floor(win * 0.15::DOUBLE))::BIGINT AS o FROM w)
+SELECT doc_id, chunk, win AS "window", i AS input_tokens, o AS output_tokens, i + o <= win AS within, n AS chunks, (n > 1)::INT AS merge_calls FROM x""",
     "suite_report": f"WITH {_GRADES}, m AS (SELECT conv_id % 4 AS episode, round(avg(CASE WHEN required > 0 THEN matched / required END), 3) AS r FROM grades GROUP BY ALL) SELECT '| ' || episode || ' | ' || coalesce(printf('%.3f', r), 'n/a') || ' |' AS line FROM m",
     "hallucination": f"""WITH t AS (SELECT conv_id, turn, lower(text || CASE conv_id % 6 WHEN 0 THEN ' We rejected it and also chose it.' WHEN 1 THEN ' OLDNAME is still valid.' WHEN 2 THEN ' It was rejected; we decided so.' WHEN 3 THEN ' OLDNAME is gone.' ELSE '' END) AS t FROM conversations)
 SELECT conv_id, turn, ({_ANY(REJECTIONS)} AND {_ANY(ADOPTIONS)}) OR (contains(t, 'oldname') AND regexp_matches(t, '{STALE_CLAIM}')) OR (turn % 2 = 0 AND contains(t, 'rejected') AND regexp_matches(t, '{FLIP}')) AS hallucinated FROM t""",

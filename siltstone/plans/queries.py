@@ -19,6 +19,8 @@ NEEDLE_WORDS = 5
 ANCHOR = "anchor-"
 #: Tokens that stay as they are at a conversation's end.
 RETAIN = 120
+#: Threshold, head and tail of the cut that was once made of long regions.
+TRIM = (600, 300, 80)
 RECOVERY = "The original turns stay readable: search the session by the anchor's id."
 ROUTES = [
     ("primary", 0, 0, "p1", "m1", 2, 1.0),
@@ -684,6 +686,32 @@ def suite_a(spark, sf_dir):
     return grading.suite_a(graded(target), graded(control))
 
 
+def suite_matrix(spark, sf_dir):
+    """Two ways to clean a region before it is digested, as shipped and with head and tail alone, beside forgetting it: recall by episode and persona, and how much smaller the context is."""
+    nodes = _nodes(spark, sf_dir)
+    spans = surface.keep_right_range(nodes, 2)
+    placed = materialise(nodes.join(spans, "session_id", "left").select(F.col("session_id").alias("conv_id"), "pos", "role", "text", F.coalesce(F.col("pos").between(F.col("start_pos"), F.col("end_pos")), F.lit(False)).alias("inside")))
+    region = lines.region_lines(lines.as_blocks(placed.filter("inside").withColumnRenamed("pos", "turn"))).withColumnRenamed("conv_id", "doc_id")
+    ways = {"default": [stage0.Dedup()], "legacy": [stage0.Dedup(), stage0.Ends(*TRIM[1:]), stage0.Trim(TRIM[0])]}
+    cleaned = [stage0.run_steps(region, steps).select("doc_id", F.lit(k).alias("chunk"), "line_no", "line") for k, steps in enumerate(ways.values())]
+    digest = digests.persona_perfect(cleaned[0].unionByName(cleaned[1]))
+    condensed = digest.select(F.col("doc_id").alias("conv_id"), F.element_at(F.array(*map(F.lit, ways)), F.col("chunk") + 1).alias("variant"), F.lit(1).cast("long").alias("pos"), F.lit("user").alias("role"), digests.checkpoint(F.col("digest")).alias("text"))
+    shown = F.when(F.col("inside"), F.array(F.lit("whole"))).otherwise(F.array(*map(F.lit, [*ways, "control", "whole"])))
+    rows = placed.select("conv_id", F.explode(shown).alias("variant"), "pos", "role", "text").unionByName(condensed)
+    contexts = lines.surface_text(rows.withColumn("key", F.struct("conv_id", "variant")), "key", "pos").select("key.conv_id", "key.variant", F.col("surface").alias("text"))
+    first = F.lower(F.element_at(F.split("text", " "), 1))
+    probes = placed.groupBy("conv_id").agg(F.array_sort(F.collect_set(first)).alias("need")).select("conv_id", (F.col("conv_id") % 4).alias("episode"), F.lit("Which words open the turns?").alias("ask"), "need")
+    return grading.suite_matrix(contexts, probes, list(ways), "control", "whole")
+
+
+def request_sizes(spark, sf_dir):
+    """For every chunk of every document the tokens that its request and its answer may take, and whether both are within the window of its route; and how many chunks its document has."""
+    window = F.element_at(F.array(*map(F.lit, WINDOWS)), F.col("route") + 1)
+    asked = _chunks(spark, sf_dir, WINDOWS).withColumn("window", window.cast("long")).withColumns({"input_tokens": F.col("tokens") + budget.PROMPT_OVERHEAD, "output_tokens": budget.output_budget(F.col("window"))})
+    n = _chunks(spark, sf_dir, WINDOWS).groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"))
+    return asked.join(n, "doc_id").select("doc_id", "chunk", "window", "input_tokens", "output_tokens", (F.col("input_tokens") + F.col("output_tokens") <= F.col("window")).alias("within"), "chunks", (F.col("chunks") > 1).cast("int").alias("merge_calls"))
+
+
 def suite_report(spark, sf_dir):
     """The suite's means as the lines of a table."""
     return grading.report(suite_means(spark, sf_dir), ["episode", "mean_recall"])
@@ -764,6 +792,6 @@ QUERIES = {
         pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, compacted_log, entry_state,
         derive_span, pool_validation, route_capacity, merge_holdable, merge_plan, route_pick, route_deal, chunk_routes, pool_reset, local_quarantine, cooldowns_cleared, earliest_expiry,
         attempts_summary, calls_by_route, collapse_error, combined_parts, recorded_once, cooldown_upsert, run_record, runlog_recent, runlog_capped, runlog_read_back, chunk_attribution,
-        grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, suite_a, suite_report, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,
+        grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, suite_a, suite_matrix, request_sizes, suite_report, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,
     )
 }
