@@ -25,6 +25,8 @@ EVERY = 20
 QUERY_BLOCK = 1024
 CANDIDATE_BLOCK = 16_384
 LEAST_BLOCK = 512
+#: Bytes of a block's vectors, whatever their length.
+BLOCK_BYTES = 8 << 20
 BINS = 8  # bits
 _STEP = 256
 
@@ -74,23 +76,24 @@ def _lows(row: dict) -> np.ndarray:
     return np.array([low[x] for x in row["q_rows"]], dtype=np.int64)
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = K, every: int = EVERY, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = K, every: int = EVERY, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k best other rows (all, if fewer), ties to the smaller id.
 
     Null vectors, ones that hold null or non-finite components and rows without an id take no part. Rows that share an id, or repeat whole, each stand for
     themselves, as queries (each has k rows in the result) and as candidates of all but themselves. Only vectors of one length are compared. Only id and
-    vector are read, so other columns may have any name. An empty table gives an empty result. Scores beyond 64 bits raise.
+    vector are read, so other columns may have any name. An empty table gives an empty result. Scores beyond 64 bits raise. A block has at most so many rows, and so many bytes, in expectation.
     """
     rows = materialise(quantised(vectors, id_col, vec_col, scale).withColumn("row", F.monotonically_increasing_id()))
     square = F.aggregate(F.transform("v", lambda c: c.cast("double") * c), F.lit(0.0), lambda a, b: a + b)
-    n, n_q, norm = rows.agg(F.count(F.lit(1)), F.sum((F.col("vec_id") % every == 0).cast("long")), F.max(square)).first()
+    n, n_q, norm, longest = rows.agg(F.count(F.lit(1)), F.sum((F.col("vec_id") % every == 0).cast("long")), F.max(square), F.max(F.size("v"))).first()
+    most = max(1, block_bytes // (8 * max(1, int(longest or 0))))  # rows of the longest vectors that a block holds
     norm = float(norm or 0)
     if norm >= 2.0**62:
         raise OverflowError("scores may exceed 64 bits")
     exact = norm < 2.0**52
     high = int(norm) + 2  # |score| is at most the largest squared norm
     # few vectors still make a cell for every core
-    candidate_block = min(candidate_block, max(LEAST_BLOCK, -(-int(n) // (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
+    query_block, candidate_block = min(query_block, most), min(candidate_block, most, max(LEAST_BLOCK, -(-int(n) // (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
     q_blocks, c_blocks = max(1, -(-int(n_q or 0) // query_block)), max(1, -(-int(n) // candidate_block))
     candidates = materialise(_blocks(rows, "c_block", c_blocks).withColumnsRenamed({"ids": "c_ids", "rows": "c_rows", "vs": "c_vs"}))
     queries = materialise(_blocks(rows.filter(F.col("vec_id") % every == 0), "q_block", q_blocks).withColumnsRenamed({"ids": "q_ids", "rows": "q_rows", "vs": "q_vs"}))

@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.llm import license_scan, queries, topk, url_filter
 
@@ -183,6 +184,23 @@ def test_top_k_with_ties_and_odd_rows(spark, blocks, k):
     assert topk.top_k(df.limit(0)).count() == 0
 
 
+def test_blocks_of_long_vectors_are_bounded_in_bytes(spark, monkeypatch):
+    seen = []
+    real = topk.materialise
+    monkeypatch.setattr(topk, "materialise", lambda df: seen.append(real(df)) or seen[-1])
+    rng = random.Random(9)
+    rows = [(k, [rng.uniform(-1, 1) for _ in range(256)]) for k in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, k=3, every=10, block_bytes=64 * 1024).collect()
+    x = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    for q in range(0, 400, 10):
+        want = sorted(((-int(x[q] @ x[c]), c) for c in range(400) if c != q))[:3]
+        assert [(r.vec_id, r.score) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == [(c, -s) for s, c in want]
+    packed = [t for t in seen if {"c_vs", "q_vs"} & set(t.columns)]
+    sizes = [t.agg(F.max(F.size(next(c for c in t.columns if c.endswith("_vs"))))).first()[0] * 8 for t in packed]
+    assert len(sizes) == 2 and max(sizes) < 3 * 64 * 1024 < 400 * 256 * 8 / 2
+
+
 def test_top_k_of_few_and_of_large_numbers(spark):
     vectors = [(0, [3.0e6, 1.0]), (1, [2.5e6, 7.0]), (2, [-3.0e6, 2.0]), (20, [1.0, 1.0])]
     got = topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<double>"))
