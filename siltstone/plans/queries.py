@@ -586,9 +586,9 @@ def _log(spark, records, batches=3):
 def runlog_recent(spark, sf_dir):
     """The newest 20 records of a log by their place in it, which its clock does not tell."""
     from siltstone.sinks.runlog import format_records
-    from siltstone.sources.runlog import read_records, recent
+    from siltstone.sources.runlog import newest
 
-    return recent(read_records(spark, _log(spark, format_records(_records(spark, sf_dir)))), 20).select("at", "route")
+    return newest(spark, _log(spark, format_records(_records(spark, sf_dir))), 20).select("at", "route")
 
 
 def runlog_capped(spark, sf_dir):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import cap_snapshot, describe_error, length16
-from siltstone.sources.runlog import PLACE, RECORD, batches, read_records
+from siltstone.sources.runlog import PLACE, RECORD, batches, newest
 
 
 def route_label(provider: Column, model: Column, failed: Column) -> Column:
@@ -57,10 +57,10 @@ def cap_log(spark: SparkSession, path: str, limit: int, tag: str = "") -> None:
     names = batches(spark, path)
     if not names:
         return
-    newest = read_records(spark, path).orderBy(F.desc(PLACE)).limit(limit)
+    kept = newest(spark, path, limit)
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     staged, base = fs_path(f"{path}/_staged-{uuid.uuid4().hex}"), fs_path(f"{path}/batch={int(names[-1][6:18]) + 1:012d}{tag}-base")
-    newest.orderBy(PLACE).select(*[f.name for f in RECORD.fields]).write.json(staged.toString())
+    kept.orderBy(PLACE).select(*[f.name for f in RECORD.fields]).write.json(staged.toString())
     fs = staged.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.rename(staged, base):
         raise OSError(f"could not rename {staged.toString()}")

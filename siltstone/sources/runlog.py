@@ -33,9 +33,9 @@ def batches(spark: SparkSession, path: str) -> list[str]:
     return names[base:]
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """All sound records with their place in the log (column ``_place``, which sorts as they were written); blank and broken lines are skipped. A log that is not there is empty."""
-    names = batches(spark, path)
+def read_records(spark: SparkSession, path: str, names: list[str] | None = None) -> DataFrame:
+    """All sound records, or those of some batches, with their place in the log (column ``_place``, which sorts as they were written); blank and broken lines are skipped. A log that is not there is empty."""
+    names = batches(spark, path) if names is None else names
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not names and not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], T.StructType([*RECORD.fields, T.StructField(PLACE, T.StringType())]))
@@ -49,3 +49,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def recent(records: DataFrame, limit: int, order: str = PLACE) -> DataFrame:
     """The newest ``limit`` records, newest first: the last ones of each task, then of these, so nothing is sorted as a whole."""
     return records.orderBy(F.desc(order)).limit(limit).drop(PLACE)
+
+
+def newest(spark: SparkSession, path: str, limit: int) -> DataFrame:
+    """The newest ``limit`` records of a log with their place, newest first. Batches are read from the end, twice as many each time, until they hold enough; older ones are not opened."""
+    names, take = batches(spark, path), 1
+    while take < len(names) and read_records(spark, path, names[-take:]).limit(limit).count() < limit:
+        take *= 2
+    return read_records(spark, path, names[-take:] or None).orderBy(F.desc(PLACE)).limit(limit)

@@ -297,6 +297,22 @@ def test_run_log_is_read_as_it_was_written(spark, tmp_path):
     assert [r.at for r in recent(read_records(spark, f"file://{tmp_path}/one.jsonl"), 2).collect()] == [2, 1]
 
 
+def test_the_newest_records_open_the_newest_batches(spark, tmp_path):
+    from siltstone.sinks.runlog import append_records, cap_log, format_records
+    from siltstone.sources.runlog import newest
+
+    path = f"file://{tmp_path}/log"
+    for k in range(12):
+        append_records(format_records(spark.createDataFrame([(10 * k + j,) for j in range(5)], "at long")).coalesce(1), path)
+    for limit, opened in ((3, 1), (5, 1), (6, 2), (11, 4), (60, 12), (100, 12)):
+        found = newest(spark, path, limit)
+        assert [r["at"] for r in found.collect()] == [10 * k + j for k in range(11, -1, -1) for j in range(4, -1, -1)][:limit]
+        assert len({f.split("/batch=")[1][:12] for f in found.inputFiles()}) == opened
+    cap_log(spark, path, 7)
+    assert [r["at"] for r in newest(spark, path, 50).collect()] == [114, 113, 112, 111, 110, 104, 103]
+    assert newest(spark, f"file://{tmp_path}/none", 5).count() == 0
+
+
 def test_capped_log_stream(spark, tmp_path):
     from siltstone.sinks.runlog import runlog_sink
     from siltstone.sources.runlog import read_records, recent
