@@ -25,6 +25,8 @@ BLOCK = 32
 #: The labelled rows that are learned from: so many, and so many bytes of text in all, at most.
 SAMPLE, SAMPLE_BYTES = 4_000, 32 << 20
 STEPS = 900
+#: Bytes of text that all steps see together, at most; where texts are so long that STEPS would see more, there are fewer steps.
+SEEN_BYTES = 256 << 20
 THRESHOLD = 0.7
 _STEP = 1 << 15
 
@@ -77,11 +79,12 @@ def probability(net: Net, text: str) -> float:
 
 
 def train(texts: list[str], labels: list[int], *, seed: int = 7, steps: int = STEPS, filters: int = FILTERS, batch: int = 32, rate: float = 0.02) -> Net:
-    """Fit by ``steps`` of Adam on the log loss, however many rows there are; a step sees whole texts, as scoring does."""
+    """Fit by ``steps`` of Adam on the log loss, however many rows there are; a step sees whole texts, as scoring does. Very long texts mean fewer steps (SEEN_BYTES)."""
     y = np.array(labels, dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return Net(constant=float(y[0]) if len(y) else 1.0)
     rng, raw = np.random.default_rng(seed), [_bytes(t) for t in texts]
+    steps = max(1, min(steps, SEEN_BYTES * len(raw) // (batch * sum(map(len, raw)))))
     p = {"filters": rng.normal(0, 0.25, (WIDTH, 256, filters)).astype(np.float32), "bias": np.zeros(filters, np.float32), "top": rng.normal(0, 0.1, 2 * filters), "offset": np.array([np.log(y.mean() / (1 - y.mean()))])}
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     order = np.zeros(0, dtype=np.int64)
