@@ -274,6 +274,9 @@ FROM s LEFT JOIN balance a ON a.session_id = s.session_id AND a.seq = start_seq
     "surface_after_replace": f"""WITH {_NODES}, z AS (SELECT session_id, max(seq) AS top, list(seq ORDER BY seq) AS s FROM nodes GROUP BY session_id),
 v AS (SELECT session_id, seq AS place, seq FROM nodes JOIN z USING (session_id) WHERE len(s) < 4 OR seq NOT IN (s[2], s[3], s[4]) UNION ALL SELECT session_id, s[2], top + 2 FROM z WHERE len(s) >= 4)
 SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS pos, seq FROM v""",
+    "surface_streamed": f"""WITH {_NODES}, z AS (SELECT session_id, max(seq) AS top, list(seq ORDER BY seq) AS s FROM nodes GROUP BY session_id),
+v AS (SELECT session_id, seq AS place, seq, tokens FROM nodes JOIN z USING (session_id) WHERE len(s) < 4 OR seq NOT IN (s[2], s[3], s[4]) UNION ALL SELECT session_id, s[2], top + 2, 0 FROM z WHERE len(s) >= 4)
+SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY place) - 1 AS pos, seq, tokens::BIGINT AS tokens FROM v""",
     "surface_nested": f"WITH {_NODES} SELECT session_id, 0::BIGINT AS pos, min(seq) AS seq FROM nodes GROUP BY session_id UNION ALL SELECT session_id, 1, max(seq) + 10000 FROM nodes GROUP BY session_id HAVING count(*) > 1",
     "pressure_rounds": f"""WITH {_NODES}, n0 AS (SELECT session_id, pos, seq, tokens, delta, is_system FROM nodes), {_round(0)}, {_round(1)},
 e AS (SELECT session_id, sum(tokens)::BIGINT AS total_tokens FROM n2 GROUP BY session_id),

@@ -332,7 +332,7 @@ def validate_region(spark, sf_dir):
     return surface.validate_region(nodes, spans)
 
 
-def surface_after_replace(spark, sf_dir):
+def _replacing(spark, sf_dir):
     """Each conversation's turns, then two replacements: of its second and third node, and of that one with the next."""
     nodes = _nodes(spark, sf_dir)
     null = F.lit(None).cast("array<bigint>")
@@ -340,7 +340,32 @@ def surface_after_replace(spark, sf_dir):
     ends = nodes.groupBy("session_id").agg(F.max("seq").alias("top"), F.array_sort(F.collect_list("seq")).alias("s")).filter(F.size("s") >= 4)
     one = ends.select("session_id", (F.col("top") + 1).alias("seq"), F.lit("replace").alias("op"), F.slice("s", 2, 2).alias("covers"))
     two = ends.select("session_id", (F.col("top") + 2).alias("seq"), F.lit("replace").alias("op"), F.array(F.col("top") + 1, F.element_at("s", 4)).alias("covers"))
-    return surface.surface_fold(appended.unionByName(one).unionByName(two))
+    return appended.unionByName(one).unionByName(two)
+
+
+def surface_after_replace(spark, sf_dir):
+    return surface.surface_fold(_replacing(spark, sf_dir))
+
+
+def surface_streamed(spark, sf_dir):
+    """The same surface from a stream of those events in four stretches that take no heed of their order, with the node's tokens beside it."""
+    from siltstone.streaming.state import surface_changes
+
+    priced = _replacing(spark, sf_dir).join(_nodes(spark, sf_dir).select("session_id", "seq", "tokens"), ["session_id", "seq"], "left")
+    events = materialise(priced.repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("seq", "session_id")))
+    files = events.inputFiles()
+    path = register(spark, f"{shared_dir(spark)}/siltstone-stream-{uuid.uuid4().hex}")
+    live = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", max(1, -(-len(files) // 4))).parquet(files[0].rsplit("/", 1)[0])
+
+    def write(changes, epoch):
+        changes.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
+
+    stream = surface_changes(live).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    stream.awaitTermination()
+    changes = spark.read.schema("session_id long, seq long, visible boolean, place long, tokens long, total_tokens long, epoch long").parquet(f"{path}/out")
+    last = changes.groupBy("session_id", "seq").agg(F.max_by(F.struct("visible", "place", "tokens"), "epoch").alias("n")).filter("n.visible")
+    pos = F.row_number().over(Window.partitionBy("session_id").orderBy("n.place")) - 1
+    return last.select("session_id", pos.cast("long").alias("pos"), "seq", "n.tokens")
 
 
 def surface_nested(spark, sf_dir):
@@ -789,7 +814,7 @@ QUERIES = {
         unknown_keys, output_tokens, retry_delays, dedup_lines, purge_noise, skip_blank_blocks, head_middle_tail, ast_skeleton, log_runs, log_condense_balanced, log_condense_head,
         log_condense_tail, stage0_full, exact_document_tokens, region_tokens, context_size, budget_table, chunk_slices, chunk_slices_pool, digest_caps, split_halves, persona_perfect, persona_leak,
         persona_forgetful, merge_material, compaction_graded, compression_ratio, framed_shrinks, summary_decision, call_outcomes, instructions, synthetic_stream, tool_balance, retention_range,
-        pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, compacted_log, entry_state,
+        pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_streamed, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, compacted_log, entry_state,
         derive_span, pool_validation, route_capacity, merge_holdable, merge_plan, route_pick, route_deal, chunk_routes, pool_reset, local_quarantine, cooldowns_cleared, earliest_expiry,
         attempts_summary, calls_by_route, collapse_error, combined_parts, recorded_once, cooldown_upsert, run_record, runlog_recent, runlog_capped, runlog_read_back, chunk_attribution,
         grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, suite_a, suite_matrix, request_sizes, suite_report, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,

@@ -1,12 +1,25 @@
-"""Stateful behaviour on Structured Streaming: cooldowns and pressure per key, by event time that the rows bring."""
+"""Stateful behaviour on Structured Streaming: cooldowns, pressure, surface and overflow retries per key, by event time that the rows bring.
+
+State is kept by processors with value and map state and timers, in RocksDB, which these functions choose for the session if it has another store; queries that run or restart keep
+the store that their checkpoint names. Sessions end: where a time column is named, a session's state goes once the watermark has passed its last row by ``idle``. A row that
+comes later still begins it anew. No row is dropped for being late. Without a time column nothing tells that a session has ended, and state stays.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from siltstone.session import ship
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: How long a session may be silent, and how late rows may come before that is judged.
+IDLE, DELAY = 3_600_000, "10 minutes"
+_AT = "_at"
 
 
 def _like(rows: DataFrame, column: str) -> str:
@@ -14,86 +27,273 @@ def _like(rows: DataFrame, column: str) -> str:
     return f"{column} {rows.schema[column].dataType.simpleString()}"
 
 
-def cooldown_stream(failures: DataFrame) -> DataFrame:
-    """(key, cooldown_until) whenever a failure moves a route's cooldown. failures: key, at_ms long, hours double.
+def _timed(rows: DataFrame, columns: list[str], time: str | None, delay: str) -> DataFrame:
+    """The columns, and the time in milliseconds, without rows whose seq is null. The watermark is drawn from the time, which then goes: what is left carries no watermark, so late rows stay."""
+    at = F.unix_millis(time) if time else F.lit(None).cast("long")
+    timed = (rows.withWatermark(time, delay) if time else rows).select(*columns, at.alias(_AT))
+    return timed.filter("seq is not null") if "seq" in columns else timed
 
-    The clock is the rows' own: a route is healthy again once its time has passed, whatever the wall clock says.
-    """
 
-    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        until = before = state.get[0] if state.exists else 0
-        for part in rows:
-            if len(part):
-                until = max(until, int((part["at_ms"] + part["hours"] * 3_600_000).max()))
-        state.update((until,))
-        if until != before:
-            yield pd.DataFrame({"key": [key[0]], "cooldown_until": [until]})
+def _run(rows: DataFrame, key: str, processor: StatefulProcessor, out: str, timed: bool, initial: DataFrame | None = None) -> DataFrame:
+    spark = rows.sparkSession
+    ship(spark)
+    if "RocksDB" not in spark.conf.get(STORE):
+        spark.conf.set(STORE, ROCKS)
+    start = None if initial is None else initial.groupBy(key)
+    return rows.groupBy(key).transformWithState(processor, f"{_like(rows, key)}, {out}", "Update", "EventTime" if timed else "None", start)
 
-    return failures.groupBy("key").applyInPandasWithState(step, f"{_like(failures, 'key')}, cooldown_until long", "until long", "update", GroupStateTimeout.NoTimeout)
 
+class _Cooldowns(StatefulProcessor):
+    def init(self, handle) -> None:
+        self.handle, self.until = handle, handle.getValueState("until", "until long")
 
-def pressure_stream(nodes: DataFrame, threshold: int, retained: int = 0) -> DataFrame:
-    """(session_id, total_tokens) whenever a session's running total reaches the threshold; the total goes on from what a compaction retains. nodes: session_id, tokens."""
+    def _move(self, until: int, now: int) -> bool:
+        before = self.until.get()
+        if until <= max(now, before[0] if before else 0):
+            return False
+        if before:
+            self.handle.deleteTimer(before[0])
+        self.handle.registerTimer(until)
+        self.until.update((until,))
+        return True
 
-    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        total = state.get[0] if state.exists else 0
-        total += sum(int(part["tokens"].sum()) for part in rows)
-        state.update((min(total, retained) if total >= threshold else total,))
-        if total >= threshold:
-            yield pd.DataFrame({"session_id": [key[0]], "total_tokens": [total]})
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        until = max((int(r["at_ms"] + r["hours"] * 3_600_000) for r in rows), default=0)
+        if self._move(until, timerValues.getCurrentWatermarkInMs()):
+            yield Row(key=key[0], cooldown_until=until)
 
-    return nodes.groupBy("session_id").applyInPandasWithState(step, f"{_like(nodes, 'session_id')}, total_tokens long", "total long", "update", GroupStateTimeout.NoTimeout)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        until = self.until.get()
+        if until and until[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.until.clear()
+            yield Row(key=key[0], cooldown_until=None)
 
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._move(int(initialState["cooldown_until"]), timerValues.getCurrentWatermarkInMs())
 
-def surface_stream(events: DataFrame) -> DataFrame:
-    """(session_id, nodes, total_tokens): a session's visible surface after each micro-batch that brings events of it.
+    def close(self) -> None:
+        pass
 
-    events: session_id, seq, op (append, replace or null), covers (array), tokens. State: the visible nodes (place, seq, tokens), which compaction keeps short. Events of a
-    micro-batch are taken in order of seq; one that is not newer than what was seen is a repetition and is dropped.
+
+def cooldown_stream(failures: DataFrame, initial: DataFrame | None = None, delay: str = "0 seconds") -> DataFrame:
+    """(key, cooldown_until) whenever a failure moves a route's cooldown, and with null once it is over. failures: key, at_ms long, hours double.
+
+    The clock is the rows' own: a cooldown is over when the latest row, less the delay, has passed it, whatever the wall clock says; then its state goes. A late failure counts while its
+    cooldown lasts. A failure without time or hours cools nothing. initial: a table of cooldowns (key, cooldown_until) to
+    begin with, the longest of each key counting; nulls are none.
     """
+    rows = failures.withColumn(_AT, F.timestamp_millis("at_ms")).withWatermark(_AT, delay).select("key", "at_ms", "hours").filter("at_ms is not null and hours is not null")
+    if initial is not None:
+        initial = initial.filter("cooldown_until is not null").groupBy("key").agg(F.max("cooldown_until").alias("cooldown_until"))
+    return _run(rows, "key", _Cooldowns(), "cooldown_until long", True, initial)
 
-    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, places, seqs, tokens = state.get if state.exists else (-1, [], [], [])
-        nodes = {int(s): (int(p), int(t)) for p, s, t in zip(places, seqs, tokens, strict=True)}
-        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if e.seq <= last:
-                continue
-            last = int(e.seq)
-            if not isinstance(e.op, str):
+
+class _Session(StatefulProcessor):
+    """What sessions have in common: they end ``idle`` milliseconds after their last row, where rows have a time."""
+
+    def __init__(self, idle: int):
+        self.idle = idle
+
+    def init(self, handle) -> None:
+        self.handle, self.end = handle, handle.getValueState("end", "at long")
+        self.states = [self.end, *self.declare(handle)]
+
+    def _stays(self, times: list[int | None]) -> None:
+        latest, before = max((t for t in times if t is not None), default=None), self.end.get()
+        if latest is None or (before and latest + self.idle <= before[0]):
+            return
+        if before:
+            self.handle.deleteTimer(before[0])
+        self.handle.registerTimer(latest + self.idle)
+        self.end.update((latest + self.idle,))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        rows = list(rows)
+        self._stays([r[_AT] for r in rows])
+        yield from self.step(key[0], rows)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        end = self.end.get()
+        if end and end[0] <= expiredTimerInfo.getExpiryTimeInMs():
+            for s in self.states:
+                s.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+class _Pressure(_Session):
+    def __init__(self, idle: int, threshold: int, retained: int):
+        super().__init__(idle)
+        self.threshold, self.retained = threshold, retained
+
+    def declare(self, handle) -> list:
+        self.total = handle.getValueState("total", "total long")
+        return [self.total]
+
+    def step(self, session, rows: list[Row]) -> Iterator[Row]:
+        before = self.total.get()
+        total = (before[0] if before else 0) + sum(r["tokens"] or 0 for r in rows)
+        full = total >= self.threshold
+        self.total.update((min(total, self.retained) if full else total,))
+        if full:
+            yield Row(session_id=session, total_tokens=total)
+
+
+def pressure_stream(nodes: DataFrame, threshold: int, retained: int = 0, *, time: str | None = None, idle: int = IDLE, delay: str = DELAY) -> DataFrame:
+    """(session_id, total_tokens) whenever a session's running total reaches the threshold; the total goes on from what a compaction retains. nodes: session_id, tokens (null: none)."""
+    rows = _timed(nodes, ["session_id", "tokens"], time, delay)
+    return _run(rows, "session_id", _Pressure(idle, threshold, retained), "total_tokens long", time is not None)
+
+
+class _Cache:
+    """A map state as one call sees it: read once, written back at the end."""
+
+    def __init__(self, state):
+        self.state, self.seen, self.new = state, {}, set()
+
+    def get(self, seq: int):
+        if seq not in self.seen:
+            self.seen[seq] = self.state.getValue((seq,))
+        return self.seen[seq]
+
+    def put(self, seq: int, value: tuple) -> None:
+        self.seen[seq] = value
+        self.new.add(seq)
+
+    def flush(self) -> None:
+        for seq in self.new:
+            self.state.updateValue((seq,), self.seen[seq])
+
+
+class _Surface(_Session):
+    """Nodes by seq (tokens, place, covers) and, apart from them, the replacement that each covered seq went with, which may be known before the seq itself."""
+
+    def __init__(self, idle: int, whole: bool):
+        super().__init__(idle)
+        self.whole = whole
+
+    def declare(self, handle) -> list:
+        self.nodes = handle.getMapState("nodes", "seq long", "tokens long, place long, covers array<long>")
+        self.ups = handle.getMapState("ups", "seq long", "up long")
+        self.total = handle.getValueState("total", "total long")
+        return [self.nodes, self.ups, self.total]
+
+    def step(self, session, rows: list[Row]) -> Iterator[Row]:
+        nodes, ups, touched = _Cache(self.nodes), _Cache(self.ups), {}
+        before = self.total.get()
+        total = before[0] if before else 0
+
+        def touch(seq: int) -> None:
+            if seq not in touched:
+                node = nodes.get(seq)
+                touched[seq] = node[1] if node and not ups.get(seq) else None
+
+        def place(seq: int, covers: list[int]) -> int:
+            found = (nodes.get(c) for c in covers if (ups.get(c) or (None,))[0] == seq)
+            return min((n[1] for n in found if n), default=seq)
+
+        def refresh(seq: int) -> None:
+            """Places from a replacement upward, as far as they change."""
+            while True:
+                tokens, old, covers = nodes.get(seq)
+                new = min(seq, place(seq, covers))
+                if new == old:
+                    return
+                touch(seq)
+                nodes.put(seq, (tokens, new, covers))
+                if not ups.get(seq):
+                    return
+                seq = ups.get(seq)[0]
+
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            seq = int(r["seq"])
+            if r["op"] is None or nodes.get(seq):
                 continue
-            gone = [nodes.pop(int(c)) for c in (e.covers if e.op == "replace" and e.covers is not None else []) if int(c) in nodes]
-            nodes[last] = (min((p for p, _ in gone), default=last), int(e.tokens))
-        order = sorted(nodes.items(), key=lambda n: n[1][0])
-        state.update((last, [p for _, (p, _) in order], [s for s, _ in order], [t for _, (_, t) in order]))
-        yield pd.DataFrame({"session_id": [key[0]], "nodes": [[s for s, _ in order]], "total_tokens": [sum(t for _, (_, t) in order)]})
+            touch(seq)
+            covers = sorted({int(c) for c in r["covers"] or [] if c is not None and c < seq}) if r["op"] == "replace" else []
+            robbed = set()
+            for c in covers:
+                up = ups.get(c)
+                if up and up[0] <= seq:
+                    continue
+                touch(c)
+                if up:
+                    robbed.add(up[0])
+                elif nodes.get(c):
+                    total -= nodes.get(c)[0]
+                ups.put(c, (seq,))
+            tokens = int(r["tokens"] or 0)
+            nodes.put(seq, (tokens, min(seq, place(seq, covers)), covers))
+            if not ups.get(seq):
+                total += tokens
+            for up in sorted(robbed | {u[0] for u in [ups.get(seq)] if u}):
+                refresh(up)
+        nodes.flush()
+        ups.flush()
+        self.total.update((total,))
+        if self.whole:
+            gone = {k[0] for k in self.ups.keys()}
+            shown = sorted((v[1], k[0]) for k, v in self.nodes.iterator() if k[0] not in gone)
+            yield Row(session_id=session, nodes=[s for _, s in shown], total_tokens=total)
+            return
+        for seq, old in sorted(touched.items()):
+            node = nodes.get(seq)
+            now = node[1] if node and not ups.get(seq) else None
+            if now != old:
+                yield Row(session_id=session, seq=seq, visible=now is not None, place=now, tokens=node[0], total_tokens=total)
 
-    out = f"{_like(events, 'session_id')}, nodes array<long>, total_tokens long"
-    return events.groupBy("session_id").applyInPandasWithState(step, out, "last long, places array<long>, seqs array<long>, tokens array<long>", "update", GroupStateTimeout.NoTimeout)
 
+def surface_changes(events: DataFrame, *, time: str | None = None, idle: int = IDLE, delay: str = DELAY) -> DataFrame:
+    """(session_id, seq, visible, place, tokens, total_tokens): the nodes that came to a session's surface, left it (place null) or changed their place in a micro-batch; visible nodes in
+    order of place are the surface, total_tokens its tokens after the micro-batch.
+
+    events: session_id, seq, op (append, replace or null), covers (array), tokens (null: none). The result is `operators.surface.surface_fold`'s at any split of the events and in any order of
+    their coming: a node goes with the first replacement (by seq) that covers it, even where another that came earlier had taken it. An event reads and writes what it covers, and one that comes
+    late also the replacements above it. An event whose seq was seen is a repetition and is dropped. State holds covered nodes too, until the session ends.
+    """
+    rows = _timed(events, ["session_id", "seq", "op", "covers", "tokens"], time, delay)
+    return _run(rows, "session_id", _Surface(idle, False), "seq long, visible boolean, place long, tokens long, total_tokens long", time is not None)
+
+
+def surface_stream(events: DataFrame, *, time: str | None = None, idle: int = IDLE, delay: str = DELAY) -> DataFrame:
+    """(session_id, nodes, total_tokens): a session's whole visible surface after each micro-batch that brings events of it, which it must read as a whole; `surface_changes` need not.
+
+    Events and what becomes of late and repeated ones are as there.
+    """
+    rows = _timed(events, ["session_id", "seq", "op", "covers", "tokens"], time, delay)
+    return _run(rows, "session_id", _Surface(idle, True), "nodes array<long>, total_tokens long", time is not None)
 
-def overflow_stream(events: DataFrame, most: int = 1) -> DataFrame:
-    """(session_id, seq, retry): for every overflow of a session's context whether it is compacted and tried again: ``most`` times, counted anew after the agent was idle or an
-    assistant's message came. events: session_id, seq, type (overflow, idle, assistant/message or any other)."""
 
-    def step(key, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        count = state.get[0] if state.exists else 0
-        seqs, retries = [], []
-        for e in pd.concat(list(rows)).sort_values("seq").itertuples():
-            if e.type in ("idle", "assistant/message"):
+class _Overflows(_Session):
+    def __init__(self, idle: int, most: int):
+        super().__init__(idle)
+        self.most = most
+
+    def declare(self, handle) -> list:
+        self.count = handle.getValueState("count", "retries int")
+        return [self.count]
+
+    def step(self, session, rows: list[Row]) -> Iterator[Row]:
+        before = self.count.get()
+        count = before[0] if before else 0
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            if r["type"] in ("idle", "assistant/message"):
                 count = 0
-            elif e.type == "overflow":
-                seqs.append(int(e.seq))
-                retries.append(count < most)
-                count += int(count < most)
-        state.update((count,))
-        if seqs:
-            yield pd.DataFrame({"session_id": key[0], "seq": seqs, "retry": retries})
+            elif r["type"] == "overflow":
+                yield Row(session_id=session, seq=int(r["seq"]), retry=count < self.most)
+                count += int(count < self.most)
+        self.count.update((count,))
+
 
-    return events.groupBy("session_id").applyInPandasWithState(step, f"{_like(events, 'session_id')}, seq long, retry boolean", "retries int", "update", GroupStateTimeout.NoTimeout)
+def overflow_stream(events: DataFrame, most: int = 1, *, time: str | None = None, idle: int = IDLE, delay: str = DELAY) -> DataFrame:
+    """(session_id, seq, retry): for every overflow of a session's context whether it is compacted and tried again: ``most`` times, counted anew after the agent was idle or an
+    assistant's message came. events: session_id, seq, type (overflow, idle, assistant/message or any other)."""
+    rows = _timed(events, ["session_id", "seq", "type"], time, delay)
+    return _run(rows, "session_id", _Overflows(idle, most), "seq long, retry boolean", time is not None)
 
 
 def surface_tokens(nodes: DataFrame, delay: str = "10 minutes", span: str = "5 minutes") -> DataFrame:
     """Tokens by session and window of event time, late rows dropped beyond the delay. nodes: session_id, ts, tokens."""
-    from pyspark.sql import functions as F
-
     return nodes.withWatermark("ts", delay).groupBy(F.window("ts", span), "session_id").agg(F.sum("tokens").alias("tokens"))
