@@ -51,9 +51,9 @@ def recent(records: DataFrame, limit: int, order: str = PLACE) -> DataFrame:
     return records.orderBy(F.desc(order)).limit(limit).drop(PLACE)
 
 
-def newest(spark: SparkSession, path: str, limit: int) -> DataFrame:
-    """The newest ``limit`` records of a log with their place, newest first. Batches are read from the end, twice as many each time, until they hold enough; older ones are not opened."""
-    names, take = batches(spark, path), 1
+def newest(spark: SparkSession, path: str, limit: int, names: list[str] | None = None) -> DataFrame:
+    """The newest ``limit`` records of a log with their place, newest first. Batches are read from the end, twice as many each time, until they hold enough; older ones are not opened. names: the batches to look at, all by default."""
+    names, take = batches(spark, path) if names is None else names, 1
     while take < len(names) and read_records(spark, path, names[-take:]).limit(limit).count() < limit:
         take *= 2
     return read_records(spark, path, names[-take:] or None).orderBy(F.desc(PLACE)).limit(limit)
