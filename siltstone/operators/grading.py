@@ -8,6 +8,7 @@ from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siltstone.functions.text import length16
 from siltstone.session import materialise, ship
@@ -106,6 +107,25 @@ def report(rows: DataFrame, columns: list[str], digits: int = 3) -> DataFrame:
     return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def aligned_table(rows: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """(part, *order, line): a table with header (part 0), rule (1) and rows (2), to be read by part and order. Columns are as wide as their widest cell, two spaces apart; nulls are empty.
+
+    order: columns that no other column's name hides. Widths are learned in a pass of their own, one row of numbers; the rows stay where they are.
+    """
+    cell = {c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns}
+    found = rows.agg(*[F.max(F.length(v)).alias(f"_{k}") for k, v in enumerate(cell.values())]).first()
+    wide = [max(len(c), found[k] or 0) for k, c in enumerate(columns)]
+    body = rows.select(F.lit(2).alias("part"), *order, F.concat_ws("  ", *[F.rpad(v, w, " ") for v, w in zip(cell.values(), wide, strict=True)]).alias("line"))
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in body.schema])
+    top = ["  ".join(c.ljust(w) for c, w in zip(columns, wide, strict=True)), "  ".join("-" * w for w in wide)]
+    return rows.sparkSession.createDataFrame([(k, *[None] * len(order), line) for k, line in enumerate(top)], schema).unionByName(body)
+
+
+def report_json(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): each row as a JSON object of those columns, in that order, nulls included."""
+    return rows.select(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).alias("line"))
+
+
 def grep_counts(texts: DataFrame, needles: DataFrame, text_col: str = "text", *, block_chars: int = 1 << 20) -> DataFrame:
     """(needle, hits): lines that contain each distinct needle, in any case; an empty needle is in every line, one with a newline in none. Null texts have no lines.
 

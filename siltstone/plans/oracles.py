@@ -397,6 +397,9 @@ SELECT conv_id % 4 AS episode, persona, count(*) AS probes, round(avg(rd), 6) AS
 w AS (SELECT *, [{", ".join(map(str, WINDOWS))}][route + 1]::BIGINT AS win, count(*) OVER (PARTITION BY doc_id) AS n FROM chunks), x AS (SELECT *, tokens + 512 AS i, least(32768, floor(win * 0.15::DOUBLE))::BIGINT AS o FROM w)
 SELECT doc_id, chunk, win AS "window", i AS input_tokens, o AS output_tokens, i + o <= win AS within, n AS chunks, (n > 1)::INT AS merge_calls FROM x""",
     "suite_report": f"WITH {_GRADES}, m AS (SELECT conv_id % 4 AS episode, round(avg(CASE WHEN required > 0 THEN matched / required END), 3) AS r FROM grades GROUP BY ALL) SELECT '| ' || episode || ' | ' || coalesce(printf('%.3f', r), 'n/a') || ' |' AS line FROM m",
+    "suite_table": f"""WITH {_GRADES}, m AS (SELECT conv_id % 4 AS episode, printf('%.3f', round(avg(CASE WHEN required > 0 THEN matched / required END), 3)) AS r FROM grades GROUP BY ALL)
+SELECT 0 AS part, NULL AS episode, 'episode  recall' AS line UNION ALL SELECT 1, NULL, '-------  ------' UNION ALL SELECT 2, episode, rpad(episode::VARCHAR, 7, ' ') || '  ' || rpad(r, 6, ' ') FROM m""",
+    "suite_json": f"WITH {_GRADES}, m AS (SELECT conv_id % 4 AS episode, round(avg(CASE WHEN required > 0 THEN matched / required END), 3) AS r FROM grades GROUP BY ALL) SELECT '{{\"episode\":' || episode || ',\"mean_recall\":' || coalesce(r::VARCHAR, 'null') || '}}' AS line FROM m",
     "hallucination": f"""WITH t AS (SELECT conv_id, turn, lower(text || CASE conv_id % 6 WHEN 0 THEN ' We rejected it and also chose it.' WHEN 1 THEN ' OLDNAME is still valid.' WHEN 2 THEN ' It was rejected; we decided so.' WHEN 3 THEN ' OLDNAME is gone.' ELSE '' END) AS t FROM conversations)
 SELECT conv_id, turn, ({_ANY(REJECTIONS)} AND {_ANY(ADOPTIONS)}) OR (contains(t, 'oldname') AND regexp_matches(t, '{STALE_CLAIM}')) OR (turn % 2 = 0 AND contains(t, 'rejected') AND regexp_matches(t, '{FLIP}')) AS hallucinated FROM t""",
     "snapshot_cap": "WITH s AS (SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 160) || chr(10) || '…[elided ' || (length(text) - 200) || ' chars]…' || chr(10) || right(text, 40) ELSE text END AS s FROM documents) SELECT doc_id, length(s)::INT AS chars, sha256(s) AS snapshot_sha256 FROM s",

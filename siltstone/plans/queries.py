@@ -742,6 +742,16 @@ def suite_report(spark, sf_dir):
     return grading.report(suite_means(spark, sf_dir), ["episode", "mean_recall"])
 
 
+def suite_table(spark, sf_dir):
+    """The suite's means as a table with header, its columns aligned."""
+    means = suite_means(spark, sf_dir).withColumn("recall", F.format_string("%.3f", "mean_recall"))
+    return grading.aligned_table(means, ["episode", "recall"], ["episode"])
+
+
+def suite_json(spark, sf_dir):
+    return grading.report_json(suite_means(spark, sf_dir), ["episode", "mean_recall"])
+
+
 def hallucination(spark, sf_dir):
     m = F.col("conv_id") % 6
     said = F.when(m == 0, " We rejected it and also chose it.").when(m == 1, " OLDNAME is still valid.").when(m == 2, " It was rejected; we decided so.").when(m == 3, " OLDNAME is gone.").otherwise("")
@@ -817,6 +827,6 @@ QUERIES = {
         pressure_decision, pressure_rounds, validate_region, surface_after_replace, surface_streamed, surface_nested, keep_right, control_branch, surface_stability, span_stability, committed, compacted_log, entry_state,
         derive_span, pool_validation, route_capacity, merge_holdable, merge_plan, route_pick, route_deal, chunk_routes, pool_reset, local_quarantine, cooldowns_cleared, earliest_expiry,
         attempts_summary, calls_by_route, collapse_error, combined_parts, recorded_once, cooldown_upsert, run_record, runlog_recent, runlog_capped, runlog_read_back, chunk_attribution,
-        grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, suite_a, suite_matrix, request_sizes, suite_report, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,
+        grep_retrieval, retrieval_recall, probe_recall, faithfulness, suite_means, suite_a, suite_matrix, request_sizes, suite_report, suite_table, suite_json, hallucination, snapshot_cap, text_previews, anchor_block, duplicate_routes,
     )
 }

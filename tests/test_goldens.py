@@ -436,3 +436,11 @@ def test_merging_goes_over_the_numbered_material(spark):
     rows = [(1, 0, "SUMMARY:\na\nSUMMARY:\nb"), (1, 1, "SUMMARY:\nb\n\nc"), (2, 0, "SUMMARY:\nalone")]
     got = {r.doc_id: (r.merge_levels, r.summary) for r in digests.merged(spark.createDataFrame(rows, "doc_id long, chunk int, digest string")).collect()}
     assert got == {1: (1, "SUMMARY:\n--- digest 1 ---\nSUMMARY:\na\nb\n--- digest 2 ---\nc"), 2: (0, "SUMMARY:\nalone")}
+
+
+def test_report_table_and_json(spark):
+    rows = spark.createDataFrame([("b", 1, None), ("a long name", 22, 0.5)], "variant string, calls int, recall double")
+    table = grading.aligned_table(rows, ["variant", "calls", "recall"], ["variant"]).orderBy("part", "variant").collect()
+    assert [r.line for r in table] == ["variant      calls  recall", "-----------  -----  ------", "a long name  22     0.5   ", "b            1            "]
+    assert sorted(r.line for r in grading.report_json(rows, ["calls", "recall"]).collect()) == ['{"calls":1,"recall":null}', '{"calls":22,"recall":0.5}']
+    assert [r.line for r in grading.aligned_table(rows.limit(0), ["calls"], ["variant"]).orderBy("part").collect()] == ["calls", "-----"]
