@@ -28,8 +28,9 @@ def split_lines(text: Column) -> Column:
 
 
 def length16(text: Column) -> Column:
-    """Length in UTF-16 code units."""
-    return (F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long")
+    """Length in UTF-16 code units; where every character is one byte, that is the number of bytes."""
+    size = F.octet_length(text)
+    return F.when(size == F.length(text), size.cast("long")).otherwise((F.octet_length(F.encode(text, "UTF-16BE")) / 2).cast("long"))
 
 
 def left16(text: Column, units: int) -> Column:
@@ -70,13 +71,21 @@ def trimmed(text: Column) -> Column:
     return F.regexp_replace(text, f"\\A[{SPACE}]+|[{SPACE}]+\\z", "")
 
 
+def begins_blank(line: Column) -> Column:
+    """Whether a line is empty or may begin with white space: told by its first character alone, before a pattern is tried."""
+    return (line < "!") | (line >= "\x80")
+
+
 def blank(line: Column) -> Column:
-    return line.rlike(f"\\A[{SPACE}]*\\z")
+    return F.when(begins_blank(line), line.rlike(f"\\A[{SPACE}]*\\z")).otherwise(F.when(line.isNotNull(), F.lit(False)))
 
 
 def boundary(line: Column) -> Column:
     """A good place to cut after: a blank line or one that ends in closing punctuation."""
-    return blank(line) | trimmed(line).rlike("[.?!:;,}\\])\"'`]\\z")
+    last = F.substring(line, -1, 1)
+    plain = (last > " ") & (last < "\x7f")
+    closed = F.when(plain, last.isin(*".?!:;,}])\"'`")).otherwise(trimmed(line).rlike("[.?!:;,}\\])\"'`]\\z"))
+    return blank(line) | closed
 
 
 def fingerprint(text: Column) -> Column:

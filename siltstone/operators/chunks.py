@@ -95,26 +95,42 @@ def chunk_lines(lines: DataFrame, budgets: list[tuple[int, int]], cost: TokenCos
     gaps. A line costs a token at least, so a chunk has no more lines than its budget has tokens.
 
     A number and a flag a line are gathered a block; a block has block_lines lines, or the largest budget if that is more, and so reaches into the next block at most, whose
-    numbers it holds too. Where a document has several blocks, each one maps its entry lines to where it is left (a jump table); tables are composed by doubling, so the entries of
+    numbers it holds too. Of documents with several blocks, each one maps its entry lines to where it is left (a jump table); tables are composed by doubling, so the entries of
     2**k blocks are known after k rounds; then each block cuts its own chunks. No row and no task holds a whole document. Null ids are one document.
     """
+    return _cut(lines, budgets, cost, block_lines)
+
+
+def chunk_texts(lines: DataFrame, budgets: list[tuple[int, int]], cost: TokenCost = chars4, *, block_lines: int = SLICE_LINES) -> DataFrame:
+    """(doc_id, chunk, lines): the lines of every chunk in order, overlaps included, as chunk_text() of chunk_lines() has them a row each. They are cut where a block is sliced, so lines move once, when blocks are gathered."""
+    return _cut(lines, budgets, cost, block_lines, True).select("doc_id", "chunk", "lines")
+
+
+def _cut(lines: DataFrame, budgets: list[tuple[int, int]], cost: TokenCost, block_lines: int, texts: bool = False) -> DataFrame:
     ship(lines.sparkSession)
     size = max(block_lines, *(t for t, _ in budgets))
     kind = lines.schema["doc_id"].dataType
-    priced = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), line_cost(F.col("line"), cost).alias("cost"), boundary(F.col("line")).alias("good"))
+    held = ["line"] * texts
+    priced = lines.select("doc_id", F.col("line_no").cast("long").alias("line_no"), line_cost(F.col("line"), cost).alias("cost"), boundary(F.col("line")).alias("good"), *held)
     block = F.expr(f"line_no div {size}")
     # a block's numbers, and a copy for the block before, which reaches into it
     dealt = priced.withColumn("block", F.explode(F.when(block > 0, F.array(block, block - 1)).otherwise(F.array(block))))
-    rows = dealt.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "cost", "good"))).alias("rows"))
-    rows = materialise(rows.select("doc_id", "block", F.col("rows.cost").alias("cost"), F.col("rows.good").alias("good")))
+    rows = dealt.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list(F.struct("line_no", "cost", "good", *held))).alias("rows"))
+    rows = materialise(rows.select("doc_id", "block", F.col("rows.cost").alias("cost"), F.col("rows.good").alias("good"), *[F.col("rows.line").alias("texts")] * texts))
     last = rows.agg(F.max("block")).first()[0] or 0
+    columns = ["doc_id", "block", "cost", "good", "line", "number", "core", *["texts"] * texts]
+    first = rows.withColumns({c: F.lit(0).cast("long") for c in ("line", "number", "core")}).select(*columns)
     if last:
-        entries = _entries(rows, budgets, size, kind, int(last))
-        rows = rows.join(entries, rows["doc_id"].eqNullSafe(entries["_doc"]) & (rows["block"] == entries["_block"]))
+        # every document's first block is entered at its first line; only the other blocks of long ones have to be told
+        others = rows.filter("block > 0")
+        long = others.select(F.col("doc_id").alias("_long")).distinct()
+        numbers = rows.drop("texts")
+        entries = _entries(materialise(numbers.join(long, numbers["doc_id"].eqNullSafe(long["_long"]), "left_semi")), budgets, size, kind, int(last))
+        others = others.join(entries, others["doc_id"].eqNullSafe(entries["_doc"]) & (others["block"] == entries["_block"]))
+        rows = first.filter("block = 0").unionByName(others.select(*columns))
     else:
-        rows = rows.withColumns({"line": F.lit(0).cast("long"), "number": F.lit(0).cast("long"), "core": F.lit(0).cast("long")})
-    rows = rows.select("doc_id", "block", "cost", "good", "line", "number", "core")
-    schema = T.StructType.fromDDL(SLICES.format(key=kind.simpleString()))
+        rows = first
+    schema = T.StructType.fromDDL(SLICES.format(key=kind.simpleString()) + ", lines array<string>" * texts)
 
     def run(it):
         import pyarrow as pa
@@ -128,12 +144,24 @@ def chunk_lines(lines: DataFrame, budgets: list[tuple[int, int]], cost: TokenCos
                 source += [k] * len(found)
                 out += found
             columns = list(zip(*out, strict=True)) or [()] * 8
-            arrays = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:])]
+            more = [_ranges(batch.column(7), source, [x[2] - batch.column(1)[k].as_py() * size for k, x in zip(source, out, strict=True)], [x[3] - x[2] for x in out])] if texts else []
+            arrays = [batch.column(0).take(pa.array(source, pa.int64())), pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[2:]), *more]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
 
+def _ranges(lists, source: list[int], begin: list[int], count: list[int]):
+    """Lists of ``count`` elements from place ``begin`` of the lists at ``source``."""
+    import pyarrow as pa
+
+    count = np.array(count, dtype=np.int64)
+    ends = np.cumsum(count)
+    at = lists.offsets.to_numpy()[np.array(source, dtype=np.int64)] + np.array(begin, dtype=np.int64)
+    place = np.arange(int(count.sum())) + np.repeat(at - (ends - count), count)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), lists.values.take(pa.array(place)))
+
+
 def _block(batch, k: int, size: int, budgets: list[tuple[int, int]]) -> Block:
     """Row k of (doc_id, block, cost, good, ...)."""
     number = batch.column(1)[k].as_py()

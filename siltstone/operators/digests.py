@@ -1,6 +1,6 @@
 """Digests of chunks by deterministic personas, merging, framing and size checks.
 
-A summarizer is a function from (doc_id, chunk, line_no, line) to (doc_id, chunk, digest); the personas below are such functions, and a model behind
+A summarizer is a function from (doc_id, chunk, line_no, line), or (doc_id, chunk, lines), to (doc_id, chunk, digest); the personas below are such functions, and a model behind
 mapInPandas is another.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.functions.text import TokenCost, chars4, length16, trimmed
+from siltstone.functions.text import TokenCost, blank, chars4, length16, trimmed
 
 # Fixed texts and tags of a checkpoint.
 OPEN_TAG = "<compacted-summary>"
@@ -22,30 +22,42 @@ FORGETFUL = "SUMMARY: the user asked for work; several files were inspected and
 
 def keepworthy(line: Column) -> Column:
     """Neither blank, nor filler, nor a bare condensation marker."""
+    # the patterns are tried on the few lines that hold their fixed words
     t = trimmed(line)
-    return (t != "") & ~t.rlike("\\A\\[filler\\s+[0-9]+\\]") & ~(t.rlike("\\A\\[condensed: .*removed\\]\\z") & ~t.contains("including"))
+    filler = F.when(line.contains("[filler"), t.rlike("\\A\\[filler\\s+[0-9]+\\]")).otherwise(F.lit(False))
+    bare = F.when(line.contains("[condensed: ") & ~line.contains("including"), t.rlike("\\A\\[condensed: .*removed\\]\\z")).otherwise(F.lit(False))
+    return ~blank(line) & ~filler & ~bare
 
 
-def _joined(rows: DataFrame) -> DataFrame:
-    ordered = F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line_no", "line"))))
-    return rows.groupBy("doc_id", "chunk").agg(F.concat(F.lit("SUMMARY:\n"), F.array_join(F.transform(ordered, lambda x: x["line"]), "\n")).alias("digest"))
+def _summary(lines: Column) -> Column:
+    return F.concat(F.lit("SUMMARY:\n"), F.array_join(lines, "\n"))
+
+
+def _gathered(rows: DataFrame, line: Column) -> DataFrame:
+    """(doc_id, chunk, lines, first): a chunk's lines that are not null, in order, and its first line's number. Lines move once, and a chunk's whole digest is made where they meet. Rows that hold a chunk's lines already stay where they are."""
+    met = F.array_sort(F.collect_list(F.when(line.isNotNull(), F.struct(F.col("line_no"), line.alias("line")))))
+    return rows.groupBy("doc_id", "chunk").agg(met.alias("lines"), F.min("line_no").alias("first"))
 
 
 def persona_perfect(rows: DataFrame) -> DataFrame:
     """Every informative line once, in order of first sight."""
-    kept = F.when(keepworthy(F.col("line")), F.col("line"))
-    return _joined(rows.withColumn("line", kept).groupBy("doc_id", "chunk", "line").agg(F.min("line_no").alias("line_no")))
+    if "lines" in rows.columns:
+        return rows.select("doc_id", "chunk", _summary(F.array_distinct(F.filter("lines", keepworthy))).alias("digest"))
+    met = _gathered(rows, F.when(keepworthy(F.col("line")), F.col("line")))
+    return met.select("doc_id", "chunk", _summary(F.array_distinct(F.col("lines.line"))).alias("digest"))
 
 
 def persona_leak(rows: DataFrame) -> DataFrame:
     """Every fourth line is lost; line_no counts from the chunk's start."""
-    first = rows.groupBy("doc_id", "chunk").agg(F.min("line_no").alias("_first"))
-    lost = (F.col("line_no") - F.col("_first")) % 4 == 3
-    return _joined(rows.join(first, ["doc_id", "chunk"]).withColumn("line", F.when(~lost, F.col("line"))))
+    if "lines" in rows.columns:
+        return rows.select("doc_id", "chunk", _summary(F.filter("lines", lambda _, k: k % 4 != 3)).alias("digest"))
+    kept = F.filter("lines", lambda x: (x["line_no"] - F.col("first")) % 4 != 3)
+    return _gathered(rows, F.col("line")).select("doc_id", "chunk", _summary(F.transform(kept, lambda x: x["line"])).alias("digest"))
 
 
 def persona_forgetful(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "chunk").distinct().withColumn("digest", F.lit(FORGETFUL))
+    chunks = rows.select("doc_id", "chunk") if "lines" in rows.columns else rows.select("doc_id", "chunk").distinct()
+    return chunks.withColumn("digest", F.lit(FORGETFUL))
 
 
 def merge_material(digests: DataFrame) -> DataFrame:
@@ -54,19 +66,18 @@ def merge_material(digests: DataFrame) -> DataFrame:
     return digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("digests"), F.array_join(F.transform(F.array_sort(F.collect_list(row)), lambda x: x["d"]), "\n\n").alias("material"))
 
 
-def _material_lines(digests: DataFrame) -> DataFrame:
-    """(doc_id, chunk 0, line_no, line): the lines of merge_material(), not put together: a header, a digest's lines and a blank line for each digest."""
-    text = F.concat(F.lit("--- digest "), (F.col("chunk") + 1).cast("string"), F.lit(" ---\n"), F.col("digest"))
-    each = digests.select("doc_id", "chunk", F.posexplode(F.split(text, "\n", -1)).alias("at", "line"))
-    return each.select("doc_id", F.lit(0).alias("chunk"), (F.col("chunk") * F.lit(1 << 32) + F.col("at")).alias("line_no"), "line")
+def _material_lines(chunk: Column, digest: Column) -> Column:
+    """A digest's lines in merge_material() that are informative, each once: its header, then its own."""
+    text = F.concat(F.lit("--- digest "), (chunk + 1).cast("string"), F.lit(" ---\n"), digest)
+    return F.array_distinct(F.filter(F.split(text, "\n", -1), keepworthy))
 
 
 def merged(digests: DataFrame) -> DataFrame:
     """(doc_id, merge_levels, summary): a single digest stands as it is (level 0), several are merged in one call (level 1) over their numbered material, here by the perfect persona."""
-    counts = digests.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.first("digest").alias("one"))
-    many = persona_perfect(_material_lines(digests)).select("doc_id", F.col("digest").alias("many"))
-    joined = counts.join(many, "doc_id", "left")
-    return joined.select("doc_id", (F.col("n") > 1).cast("int").alias("merge_levels"), F.when(F.col("n") > 1, F.col("many")).otherwise(F.col("one")).alias("summary"))
+    met = digests.filter(F.col("digest").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "digest"))).alias("d"))
+    many = _summary(F.array_distinct(F.flatten(F.transform("d", lambda x: _material_lines(x["chunk"], x["digest"])))))
+    several = F.size("d") > 1
+    return met.select("doc_id", several.cast("int").alias("merge_levels"), F.when(several, many).otherwise(F.get("d", F.lit(0))["digest"]).alias("summary"))
 
 
 def nonempty(digest: Column, *, blank_too: bool = False) -> Column:

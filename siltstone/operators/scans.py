@@ -13,7 +13,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -135,13 +135,35 @@ class Number(Step):
         return (x.n,)
 
 
-def gather(df: DataFrame, flag, depth, size, block_lines: int) -> DataFrame:
-    """(doc_id, block, line, flag, depth, size): arrays of a block's lines in order, from (doc_id, line_no, line); written once."""
-    row = F.struct(F.col("line_no"), F.col("line"), flag.cast("int").alias("flag"), depth.cast("int").alias("depth"), size.cast("long").alias("size"))
+Told = Callable[[Column], tuple[Column, Column, Column]]
+
+
+def _row(line: Column, seen: Column, told: Told) -> list[Column]:
+    flag, depth, size = told(seen)
+    return [line.alias("line"), flag.cast("int").alias("flag"), depth.cast("int").alias("depth"), size.cast("long").alias("size")]
+
+
+def gather(df: DataFrame, seen: Callable[[Column], Column], told: Told, block_lines: int) -> DataFrame:
+    """(doc_id, block, line, flag, depth, size, alone): arrays of a block's lines in order, from (doc_id, line_no, line); written once. seen: what is looked at of a line; told: flag, depth and size of that. alone: known to be a whole document."""
+    row = F.struct(F.col("line_no"), *_row(F.col("line"), seen(F.col("line")), told))
     rows = df.select("doc_id", F.floor(F.col("line_no") / block_lines).cast("long").alias("block"), row.alias("r"))
-    rows = rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list("r")).alias("r"))
+    return _written(rows.groupBy("doc_id", "block").agg(F.array_sort(F.collect_list("r")).alias("r"), F.lit(False).alias("alone")))
+
+
+def cut(df: DataFrame, seen: Callable[[Column], Column], told: Told, block_lines: int) -> DataFrame:
+    """As gather(), from (doc_id, lines): a document's lines, one row an id. Nothing moves."""
+    last = F.greatest(F.lit(0), F.size("lines") - 1)
+    blocks = df.select("doc_id", "lines", F.explode(F.sequence(F.lit(0), F.floor(last / block_lines).cast("int"))).alias("block"))
+    # a document of one block is taken as it is
+    part = F.when(F.size("lines") <= block_lines, F.col("lines")).otherwise(F.slice("lines", F.col("block") * block_lines + 1, block_lines))
+    parts = blocks.select("doc_id", F.col("block").cast("long").alias("block"), part.alias("part"), (F.size("lines") <= block_lines).alias("alone"))
+    both = F.transform("part", lambda x: F.struct(x.alias("line"), seen(x).alias("seen")))
+    return _written(parts.select("doc_id", "block", F.transform(both, lambda x: F.struct(*_row(x["line"], x["seen"], told))).alias("r"), "alone"))
+
+
+def _written(rows: DataFrame) -> DataFrame:
     same = lambda x, k: x["flag"] + F.when((k > 0) & (x["line"] == F.get("r", k - 1)["line"]), SAME).otherwise(0)
-    return materialise(rows.select("doc_id", "block", F.col("r.line").alias("line"), F.transform("r", same).alias("flag"), F.col("r.depth").alias("depth"), F.col("r.size").alias("size")))
+    return materialise(rows.select("doc_id", "block", F.col("r.line").alias("line"), F.transform("r", same).alias("flag"), F.col("r.depth").alias("depth"), F.col("r.size").alias("size"), "alone"))
 
 
 def _entering(summary: DataFrame, kind: tuple, prefix: str) -> DataFrame:
@@ -198,9 +220,11 @@ def prepare(blocks: DataFrame, steps: Sequence[Step], same: bool) -> DataFrame:
     """blocks with what enters each for every step, a round over summaries for each step that asks; same: also whether a block's first line equals the last one before it."""
     ship(blocks.sparkSession)
     names = ["s:same"] * same + [f"s{k}:{n}" for k, s in enumerate(steps) if s.scan for n in s.scan[1]]
+    # blocks that are whole documents: nothing enters, and finish() fills in totals
+    entered = lambda df: df.withColumns({n: F.lit(0).cast("long") for n in names} | {"s:alone": F.lit(1).cast("long")}).drop("alone")
     if not (blocks.agg(F.max("block")).first()[0] or 0):
-        # blocks that are whole documents: nothing enters, and finish() fills in totals
-        return blocks.withColumns({n: F.lit(0).cast("long") for n in [*names, "s:alone"]})
+        return entered(blocks)
+    whole, blocks = entered(blocks.filter("alone")), blocks.filter("not alone").drop("alone")
     kind = blocks.schema["doc_id"].dataType
     known = blocks.select("doc_id", "block")
     if same:
@@ -222,18 +246,22 @@ def prepare(blocks: DataFrame, steps: Sequence[Step], same: bool) -> DataFrame:
         entering = known.withColumnsRenamed({"doc_id": "_doc", "block": "_block"})
         summary = materialise(_joined(narrow, entering).mapInArrow(summarise, schema))
         known = materialise(_joined(known, _entering(summary, step.scan, f"s{k}:")))
-    return _joined(blocks, known.withColumnsRenamed({"doc_id": "_doc", "block": "_block"}))
+    found = _joined(blocks, known.withColumnsRenamed({"doc_id": "_doc", "block": "_block"})).withColumn("s:alone", F.lit(0).cast("long"))
+    return found.unionByName(whole)
 
 
 def _totals(x: Lines, steps: Sequence[Step], known: dict[str, np.ndarray]) -> Lines:
     """As _applied(), with the totals of blocks that are whole documents."""
-    if "s:alone" not in known:
+    alone = known["s:alone"] > 0
+    if not alone.any():
         return _applied(x, steps, known)
+    x = _applied(x, [], known)
     for k, step in enumerate(steps):
         if step.scan and step.scan is not PARITY:
             found = dict(zip(step.scan[0], step.summary(x), strict=True))
             for f, v in found.items():
-                known[f"s{k}:total" if step.scan is RUNS and f == "n" else f"s{k}:{f}_all"] = np.asarray(v, dtype=np.int64)
+                name = f"s{k}:total" if step.scan is RUNS and f == "n" else f"s{k}:{f}_all"
+                known[name] = np.where(alone, np.asarray(v, dtype=np.int64), known.get(name, 0))
         x = step.apply(x, Entering(known, f"s{k}:"))
     return x
 

@@ -7,6 +7,8 @@ a fence, a log line, how deep) is told by column expressions when the blocks are
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,8 @@ RULE = f"\\A[{SPACE}]*([^{SPACE}a-zA-Z0-9_])\\1{{15,}}[{SPACE}]*\\z"
 FENCE = f"\\A```[^{SPACE}`]*[{SPACE}]*\\z"
 BARE = f"\\A```[{SPACE}]*\\z"
 STAMP = f"\\A[^{SPACE}]+[{SPACE}]+[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}[T ][0-9]{{2}}:[0-9]{{2}}:[0-9]{{2}}"
-LEVEL = "(?<![a-zA-Z0-9_])(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE|FATAL)(?![a-zA-Z0-9_])"
+LEVELS = ("INFO", "WARN", "WARNING", "ERROR", "DEBUG", "TRACE", "FATAL")
+LEVEL = f"(?<![a-zA-Z0-9_])(?:{'|'.join(LEVELS)})(?![a-zA-Z0-9_])"
 BLANK_RUN = 3
 LOG_RUN = 4
 ESCAPE = "\x1b"
@@ -188,26 +191,33 @@ class Trim(Step):
 
 
 def _prepared(df: DataFrame, steps: Sequence[Step], block_lines: int) -> DataFrame:
-    purge = any(isinstance(s, Purge) for s in steps)
-    line = _stripped(F.col("line")) if purge else F.col("line")
-    bare = line.rlike(BARE)
-    bit = lambda which, value: F.when(which, value).otherwise(0)
-    # only what a step asks for is looked at
+    """The lines in blocks with what each is; df has (doc_id, line_no, line), or (doc_id, lines): whole documents' lines in order, whose ids differ."""
     asks = lambda *kinds: any(isinstance(s, kinds) for s in steps)
+    gather = scans.cut if "lines" in df.columns else scans.gather
+    seen = _stripped if asks(Purge) else lambda line: line
+    return scans.prepare(gather(df, seen, lambda line: _told(line, asks), block_lines), steps, asks(Dedup))
+
+
+def _told(line: Column, asks: Callable[..., bool]) -> tuple[Column, Column, Column]:
+    """(flag, depth, size) of a line, without escapes if they go. Only what a step asks for is looked at, and patterns are tried where a line's fixed signs are found."""
+    bit = lambda which, value: F.when(which, value).otherwise(0)
+    when = lambda sign, pattern: F.when(sign, pattern).otherwise(F.lit(False))
     flag, depth, size = F.lit(0), F.lit(0), F.lit(0)
-    if purge:
-        flag = flag + bit(line.rlike(CURSOR) | line.rlike(RULE), NOISE)
+    plain = (line == "") | reduce(or_, [(line >= a) & (line < b) for a, b in ("a{", "A[", "0:")])
+    ticks = line.startswith("```")
+    if asks(Purge):
+        flag = flag + bit(when(~plain, line.rlike(CURSOR) | line.rlike(RULE)), NOISE)
     if asks(Blanks):
         flag = flag + bit(blank(line), BLANK)
     if asks(Fences):
-        flag = flag + bit(bare, CLOSES) + bit(line.rlike(FENCE) & ~bare, OPENS)
-        depth = indentation_depth(line)
+        flag = flag + F.when(ticks, bit(line.rlike(BARE), CLOSES) + bit(line.rlike(FENCE) & ~line.rlike(BARE), OPENS)).otherwise(0)
+        depth = F.when(line.startswith(" ") | line.startswith("\t"), indentation_depth(line)).otherwise(0)
     if asks(Logs):
-        flag = flag + bit(line.rlike(STAMP) | line.rlike(LEVEL), LOG)
+        level = reduce(or_, [line.contains(x) for x in LEVELS if x != "WARNING"])
+        flag = flag + F.when(when(line.contains(":"), line.rlike(STAMP)), LOG).when(when(level, line.rlike(LEVEL)), LOG).otherwise(0)
     if asks(Ends):
         size = length16(line) + 1
-    blocks = scans.gather(df.select("doc_id", "line_no", "line"), flag, depth, size, block_lines)
-    return scans.prepare(blocks, steps, asks(Dedup))
+    return flag, depth, size
 
 
 def _stripped(line: Column) -> Column:
@@ -217,6 +227,7 @@ def _stripped(line: Column) -> Column:
 
 def run_steps(df: DataFrame, steps: Sequence[Step], block_lines: int = BLOCK_LINES) -> DataFrame:
     """(doc_id, line_no, line): what the steps leave of each document, numbered from 0. Line numbers give the order; gaps in them do no harm, ties do not occur.
+    Documents that are at hand whole, one row an id, may come as (doc_id, lines): they are cut into blocks where they are, so no line moves.
 
     Null ids are one document. An empty table gives an empty result. The blocks, and summaries where a document has several, are written in the shared folder.
     """

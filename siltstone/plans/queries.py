@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions import budget, pieces, text
@@ -44,21 +44,28 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.document_lines(table(spark, sf_dir, "documents"))
 
 
-def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Document lines with blanks, escapes, cursors, rules, fences and log lines put in by line number, as the tables have none."""
-    m = F.col("doc_id") + F.col("line_no")
+def _with_noise(line: Column, number: Column) -> Column:
+    """A line and the blanks, escapes, cursors, rules, fences and log lines put in after it, by document and line number."""
+    m = F.col("doc_id") + number
     some = lambda cond, items: F.when(cond, F.array(*items)).otherwise(F.array().cast("array<string>"))
     lits = lambda *xs: [F.lit(x) for x in xs]
-    red = F.concat(F.lit("\x1b[31m"), F.substring("line", 1, 20), F.lit("\x1b[0m"))
-    out = F.concat(
-        F.array("line"),
+    red = F.concat(F.lit("\x1b[31m"), F.substring(line, 1, 20), F.lit("\x1b[0m"))
+    return F.concat(
+        F.array(line),
         some(m % 3 == 0, lits("", "", "", "")),
         some(m % 3 == 1, lits("")),
         some(m % 5 == 0, [red, *lits("    ^^^^^^", "----------------")]),
         some(m % 7 == 0, lits("```py", "def f():", "        a", "            b", "            c", "```")),
         some(m % 4 == 0, [F.lit(f"svc 2026-01-01 10:00:0{k} INFO step {k}") for k in range(6)]),
     )
-    each = _documents(spark, sf_dir).select("doc_id", F.col("line_no").alias("_at"), F.posexplode(out).alias("_sub", "line"))
+
+
+def noisy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with noise put in, as the tables have none: (doc_id, lines), each document's lines in order, where they lie; if rows share an id, (doc_id, line_no, line), numbered over all of them."""
+    docs = table(spark, sf_dir, "documents")
+    if docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return docs.select("doc_id", F.flatten(F.transform(text.split_lines(F.col("text")), lambda x, k: _with_noise(x, k.cast("long")))).alias("lines"))
+    each = lines.document_lines(docs).select("doc_id", F.col("line_no").alias("_at"), F.posexplode(_with_noise(F.col("line"), F.col("line_no"))).alias("_sub", "line"))
     return lines.renumber(each, "doc_id", "_at", "_sub").select("doc_id", "line_no", "line")
 
 
@@ -254,9 +261,8 @@ def split_halves(spark, sf_dir):
 
 
 def _chunk_lines(spark, sf_dir):
-    """The lines of every chunk of the cleaned documents; the clean lines are written once, as slicing and cutting both read them."""
-    rows = materialise(stage0.run_stage0(noisy(spark, sf_dir), skeleton_depth=2, log_lines=3))
-    return chunks.chunk_text(rows, chunks.chunk_lines(rows, chunks.budgets_of(WINDOWS)))
+    """(doc_id, chunk, lines): the lines of every chunk of the cleaned documents."""
+    return chunks.chunk_texts(stage0.run_stage0(noisy(spark, sf_dir), skeleton_depth=2, log_lines=3), chunks.budgets_of(WINDOWS))
 
 
 def persona_perfect(spark, sf_dir):
@@ -268,7 +274,8 @@ def persona_leak(spark, sf_dir):
 
 
 def persona_forgetful(spark, sf_dir):
-    return _digest(digests.persona_forgetful(_chunk_lines(spark, sf_dir)))
+    """It needs to know which chunks there are, not what they hold."""
+    return _digest(digests.persona_forgetful(chunks.chunk_lines(stage0.run_stage0(noisy(spark, sf_dir), skeleton_depth=2, log_lines=3), chunks.budgets_of(WINDOWS))))
 
 
 def _digest(df):
@@ -281,7 +288,8 @@ def merge_material(spark, sf_dir):
 
 
 def _compacted(spark, sf_dir):
-    return digests.merged(materialise(digests.persona_perfect(_chunk_lines(spark, sf_dir))))
+    """Every document's summary, written once, as its size and its text are both asked for."""
+    return materialise(digests.merged(digests.persona_perfect(_chunk_lines(spark, sf_dir))))
 
 
 def compaction_graded(spark, sf_dir):

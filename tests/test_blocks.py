@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import chunks, scans, stage0
+from siltstone.operators import chunks, digests, scans, stage0
+from siltstone.plans import queries
 
 
 def plain_chunks(cost, good, budgets):
@@ -217,3 +218,45 @@ def test_own_transforms_take_the_chains_place(spark):
     upper = lambda d: d.withColumn("line", F.upper("line"))
     assert [r.line for r in stage0.run_stage0(df, transforms=[stage0.dedup_lines, upper]).orderBy("line_no").collect()] == ["A", "", "B"]
     assert stage0.run_stage0(df, transforms=[]).count() == 4
+
+
+@pytest.mark.parametrize("block", [1, 3, 50])
+def test_whole_documents_are_cut_where_they_lie(spark, block):
+    docs = noisy_docs(block)
+    whole = spark.createDataFrame(list(docs.items()), "doc_id long, lines array<string>")
+    rows = whole.select("doc_id", F.posexplode("lines").alias("line_no", "line")).withColumn("line_no", F.col("line_no").cast("long"))
+    made = [sorted(map(tuple, f(df, block_lines=block).collect())) for f in (lambda d, **k: stage0.run_stage0(d, skeleton_depth=2, log_lines=3, **k), stage0.log_runs, lambda d, **k: stage0.head_middle_tail(d, 120, 50, 40, **k)) for df in (whole, rows)]
+    assert made[0] == made[1] and made[2] == made[3] and made[4] == made[5]
+
+
+def exchanges(df):
+    df.collect()
+    return str(df._jdf.queryExecution().executedPlan()).split("Initial Plan")[0].count("Exchange hashpartitioning")
+
+
+@pytest.mark.parametrize("block", [40, 4096])
+def test_chunk_texts_are_the_lines_of_the_chunks(spark, block):
+    docs = {k: v * 3 for k, v in noisy_docs(block).items()}
+    rows = spark.createDataFrame([(d, k, x) for d, v in docs.items() for k, x in enumerate(v)], "doc_id long, line_no long, line string").repartition(5).cache()
+    budgets = [(30, 8), (40, 3)]
+    apart = chunks.chunk_text(rows, chunks.chunk_lines(rows, budgets, block_lines=block))
+    whole = chunks.chunk_texts(rows, budgets, block_lines=block)
+    want = {}
+    for r in apart.orderBy("doc_id", "chunk", "line_no").collect():
+        want.setdefault((r.doc_id, r.chunk), []).append(r.line)
+    assert {(r.doc_id, r.chunk): r.lines for r in whole.collect()} == want
+    for persona in (digests.persona_perfect, digests.persona_leak, digests.persona_forgetful):
+        assert sorted(map(tuple, persona(apart).collect())) == sorted(map(tuple, persona(whole).collect()))
+    plain = spark.range(99).select(F.lit(1).alias("doc_id"), F.lit(0).alias("chunk"), F.col("id").alias("line_no"), F.lit("x").alias("line"))
+    assert exchanges(digests.persona_perfect(plain)) == 1
+
+
+def test_noise_is_numbered_over_rows_that_share_an_id(spark, tmp_path):
+    rows = [(1, "a\nb"), (1, "c"), (2, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.noisy(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "line_no", "line"]
+    numbers = sorted(r.line_no for r in got.filter("doc_id = 1").collect())
+    assert numbers == list(range(len(numbers)))
+    spark.createDataFrame(rows[1:], "doc_id long, text string").write.parquet(f"{tmp_path}/other/documents.parquet")
+    assert exchanges(queries.noisy(spark, f"{tmp_path}/other")) == 0
