@@ -1,6 +1,6 @@
 """Exact top-k inner products by distributed histogram selection.
 
-Query blocks meet candidate blocks cell by cell. Each round scores everything and counts, for each query, the scores in equal bins of the
+Query blocks, a bounded group of them at a time, meet candidate blocks cell by cell where the candidates lie. Each round scores everything and counts, for each query, the scores in equal bins of the
 range that still holds its kth best score; a cell reports only bins that can matter (from its own kth best upwards). Summed over cells, the counts name
 the bin of the kth score, which the next round divides, until bins are single scores. The last pass keeps scores above the kth value, and
 of those equal to it the k smallest ids a cell: ties need no more. Rows are told apart by a number of their own, given when they are written, so
@@ -12,12 +12,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siltstone.llm.arrowmap import map_rows, plain
-from siltstone.session import materialise
+from siltstone.session import Ledger, materialise, scratch
 
 K = 20
 SCALE = 64
@@ -27,6 +27,8 @@ CANDIDATE_BLOCK = 16_384
 LEAST_BLOCK = 512
 #: Bytes of a block's vectors, whatever their length.
 BLOCK_BYTES = 8 << 20
+#: Bytes of the query blocks that are sent out together, and the most files of candidates.
+GROUP_BYTES, MOST_FILES = 32 << 20, 4096
 BINS = 8  # bits
 _STEP = 256
 
@@ -38,10 +40,14 @@ def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int = SCALE)
     return vectors.filter(sound).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * F.lit(float(scale))).cast("long")).alias("v"))
 
 
-def _blocks(rows: DataFrame, name: str, count: int) -> DataFrame:
-    """(dim, name, ids, rows, vs): rows packed by a hash of their number; a block's size is bounded in expectation by the count of blocks."""
-    keyed = rows.withColumn("dim", F.size("v")).withColumn(name, F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
-    packed = keyed.groupBy("dim", name).agg(F.array_sort(F.collect_list(F.struct("vec_id", "row", "v"))).alias("all"))
+def _block_of(count: int) -> Column:
+    """A block by a hash of a row's number; its size is bounded in expectation by the count of blocks."""
+    return F.pmod(F.xxhash64("row"), F.lit(count)).cast("int")
+
+
+def _packed(rows: DataFrame, name: str) -> DataFrame:
+    """(dim, name, ids, rows, vs): the rows of a block together."""
+    packed = rows.groupBy("dim", name).agg(F.array_sort(F.collect_list(F.struct("vec_id", "row", "v"))).alias("all"))
     return packed.select("dim", name, F.col("all.vec_id").alias("ids"), F.col("all.row").alias("rows"), F.flatten(F.col("all.v")).alias("vs"))
 
 
@@ -76,12 +82,13 @@ def _lows(row: dict) -> np.ndarray:
     return np.array([low[x] for x in row["q_rows"]], dtype=np.int64)
 
 
-def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = K, every: int = EVERY, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, k: int = K, every: int = EVERY, scale: int = SCALE, query_block: int = QUERY_BLOCK, candidate_block: int = CANDIDATE_BLOCK, block_bytes: int = BLOCK_BYTES, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every`` its k best other rows (all, if fewer), ties to the smaller id.
 
     Null vectors, ones that hold null or non-finite components and rows without an id take no part. Rows that share an id, or repeat whole, each stand for
     themselves, as queries (each has k rows in the result) and as candidates of all but themselves. Only vectors of one length are compared. Only id and
     vector are read, so other columns may have any name. An empty table gives an empty result. Scores beyond 64 bits raise. A block has at most so many rows, and so many bytes, in expectation.
+    Query blocks are taken in groups of at most ``group_bytes`` (a block at least), one after the other, so what the driver sends at once does not grow with the vectors; results are written in the shared folder.
     """
     rows = materialise(quantised(vectors, id_col, vec_col, scale).withColumn("row", F.monotonically_increasing_id()))
     square = F.aggregate(F.transform("v", lambda c: c.cast("double") * c), F.lit(0.0), lambda a, b: a + b)
@@ -95,9 +102,33 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
     # few vectors still make a cell for every core
     query_block, candidate_block = min(query_block, most), min(candidate_block, most, max(LEAST_BLOCK, -(-int(n) // (2 * vectors.sparkSession.sparkContext.defaultParallelism))))
     q_blocks, c_blocks = max(1, -(-int(n_q or 0) // query_block)), max(1, -(-int(n) // candidate_block))
-    candidates = materialise(_blocks(rows, "c_block", c_blocks).withColumnsRenamed({"ids": "c_ids", "rows": "c_rows", "vs": "c_vs"}))
-    queries = materialise(_blocks(rows.filter(F.col("vec_id") % every == 0), "q_block", q_blocks).withColumnsRenamed({"ids": "q_ids", "rows": "q_rows", "vs": "q_vs"}))
-    cells = queries.withColumn("c_block", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
+    files = min(c_blocks, MOST_FILES)
+    dealt = rows.withColumns({"dim": F.size("v"), "c_block": _block_of(c_blocks)}).repartition(files, "dim", "c_block")  # so many files, as many tasks may share the cells
+    candidates = materialise(_packed(dealt, "c_block").withColumnsRenamed({"ids": "c_ids", "rows": "c_rows", "vs": "c_vs"}))
+    queries = materialise(_packed(rows.filter(F.col("vec_id") % every == 0).withColumns({"dim": F.size("v"), "q_block": _block_of(q_blocks)}), "q_block").withColumnsRenamed({"ids": "q_ids", "rows": "q_rows", "vs": "q_vs"}))
+    groups = _groups(queries, group_bytes)
+    out = Ledger(vectors.sparkSession, "query_id long, rank int, vec_id long, score long")
+    for first, last in groups:
+        with scratch(vectors.sparkSession):
+            out.add(_select(candidates, queries.filter(F.col("q_block").between(first, last)), k, high, exact))
+    return out.read()
+
+
+def _groups(queries: DataFrame, most: int) -> list[tuple[int, int]]:
+    """First and last query block of each group: so many bytes of vectors, ids and ranges, a block at least. The driver learns a number a block."""
+    size = F.sum(8 * F.size("q_vs") + 40 * F.size("q_ids")).alias("n")
+    out, held = [], 0
+    for b, n in sorted(tuple(r) for r in queries.groupBy("q_block").agg(size).collect()):
+        if not out or held + n > most:
+            out.append((b, b))
+            held = 0
+        out[-1] = (out[-1][0], b)
+        held += n
+    return out
+
+
+def _select(candidates: DataFrame, queries: DataFrame, k: int, high: int, exact: bool) -> DataFrame:
+    """The k best rows of the queries of one group, whose blocks are sent to wherever candidates lie; candidates do not move."""
     start = queries.select("dim", "q_block", F.explode("q_rows").alias("query")).select("dim", "q_block", "query", F.lit(-high).cast("long").alias("low"), F.lit(k).cast("long").alias("need"))
     width = 1 << max(0, (2 * high).bit_length() - BINS)
     state = materialise(start)
@@ -107,7 +138,8 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
     def with_state(state: DataFrame) -> DataFrame:
         packed = state.groupBy("dim", "q_block").agg(F.array_sort(F.collect_list(F.struct("query", "low", "need"))).alias("s"))
-        return cells.join(packed, ["dim", "q_block"]).join(candidates, ["dim", "c_block"])
+        asked = queries.join(packed.hint("merge"), ["dim", "q_block"])
+        return candidates.join(F.broadcast(asked), "dim")  # bounded by the group's bytes
 
     while True:
 
@@ -131,7 +163,7 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding"
 
         hist = map_rows(with_state(state).select(*needed), count, counted).groupBy("query", "bin").agg(F.sum("n").alias("n"))
         above = F.sum("n").over(Window.partitionBy("query").orderBy(F.desc("bin"))) - F.col("n")
-        joined = state.join(hist.withColumn("above", above), "query", "left")
+        joined = state.join(hist.withColumn("above", above).hint("merge"), "query", "left")
         # the bin of the kth score; a query with fewer scores keeps its lowest bin
         best = F.max(F.struct((F.col("above") < F.col("need")).alias("ok"), (-F.col("bin")).alias("down"), F.col("above"))).alias("b")
         state = joined.groupBy("dim", "q_block", "query", "low", "need").agg(best)

@@ -215,3 +215,12 @@ def test_many_templates_are_joined_through_an_exchange(spark):
     one, other = license_scan.scan(df), license_scan.scan(df, broadcast_grams=5)
     assert "BroadcastHashJoin" in one._jdf.queryExecution().toString() and "BroadcastHashJoin" not in other._jdf.queryExecution().toString()
     assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect())) and one.count() == len(rows)
+
+
+def test_top_k_sends_a_bounded_group_of_queries_at_a_time(spark):
+    rng = random.Random(5)
+    df = spark.createDataFrame([(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(400)], "vec_id long, embedding array<double>")
+    whole = topk.top_k(df, every=2)
+    parts = topk.top_k(df, every=2, query_block=16, candidate_block=50, group_bytes=4096)
+    assert parts.inputFiles() and len({f.split("round=")[1].split("/")[0] for f in parts.inputFiles()}) >= 4
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect())) and whole.count() == 200 * 20
