@@ -9,6 +9,7 @@ from __future__ import annotations
 import gzip
 import heapq
 import json
+from collections import Counter
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -125,13 +126,34 @@ def prices(found: DataFrame, content: bytes) -> DataFrame:
     return found.select("piece").distinct().mapInArrow(run, T.StructType.fromDDL("piece string, tokens long"))
 
 
+def _counted(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(keys, piece, n): how often each row's text holds a piece, counted where the row is; a text without pieces is one row without a piece."""
+    ship(rows.sparkSession)
+    found = rows.select(*keys, pieces(F.col(text)).alias("_pieces"))
+    schema = T.StructType([*found.schema.fields[: len(keys)], T.StructField("piece", T.StringType()), T.StructField("n", T.LongType())])
+
+    def run(it):
+        import pyarrow as pa
+
+        for batch in it:
+            source, piece, n = [], [], []
+            for k, held in enumerate(batch.column(len(keys)).to_pylist()):
+                counts = Counter(held) or {None: 0}
+                source += [k] * len(counts)
+                piece += counts.keys()
+                n += counts.values()
+            at = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in range(len(keys))), pa.array(piece, pa.string()), pa.array(n, pa.int64())], names=schema.names)
+
+    return found.mapInArrow(run, schema)
+
+
 def exact_tokens(rows: DataFrame, keys: list[str], text: str, content: bytes) -> DataFrame:
     """(keys, pieces, tokens): the exact tokens of each row's text. Rows that share their keys are added up; null keys are a key like any other; null and empty texts cost nothing.
 
-    Pieces are counted by key before they move, and both sides of the join are written tables, so adaptive execution can split a piece that most texts hold.
+    Pieces are counted by row before they move, and both sides of the join are written tables, so adaptive execution can split a piece that most texts hold.
     """
-    each = rows.select(*keys, F.explode_outer(pieces(F.col(text))).alias("piece")).groupBy(*keys, "piece").agg(F.count("piece").alias("n"))
-    each = materialise(each)
+    each = materialise(_counted(rows, keys, text))
     priced = materialise(prices(each.filter("piece is not null"), content))
     found = each.join(priced, "piece", "left")
     return found.groupBy(*keys).agg(F.sum("n").alias("pieces"), F.coalesce(F.sum(F.col("n") * F.col("tokens")), F.lit(0)).alias("tokens"))

@@ -120,3 +120,10 @@ def test_each_piece_is_priced_once(spark):
     found = pieces.prices(df.select(F.explode(pieces.pieces(F.col("text"))).alias("piece")), pieces.vocabulary(spark, PATH))
     seen = [r.piece for r in found.collect()]
     assert len(seen) == len(set(seen)) == 5 + 6
+
+
+def test_pieces_are_counted_where_their_row_is(spark):
+    rows = spark.createDataFrame([(1, "a a b"), (1, "a"), (None, ""), (2, None)], "k long, t string")
+    found = pieces._counted(rows, ["k"], "t")
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, found.collect()), key=str) == sorted([(1, "a", 1), (1, " a", 1), (1, " b", 1), (1, "a", 1), (None, None, 0), (2, None, 0)], key=str)
