@@ -357,7 +357,7 @@ def surface_after_replace(spark, sf_dir):
 
 def surface_streamed(spark, sf_dir):
     """The same surface from a stream of those events in four stretches that take no heed of their order, with the node's tokens beside it."""
-    from siltstone.streaming.state import surface_changes
+    from siltstone.streaming.state import partitioned, surface_changes
 
     priced = _replacing(spark, sf_dir).join(_nodes(spark, sf_dir).select("session_id", "seq", "tokens"), ["session_id", "seq"], "left")
     events = materialise(priced.repartition(4 * spark.sparkContext.defaultParallelism, F.xxhash64("seq", "session_id")))
@@ -368,7 +368,8 @@ def surface_streamed(spark, sf_dir):
     def write(changes, epoch):
         changes.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
 
-    stream = surface_changes(live).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    with partitioned(spark, events.count()):
+        stream = surface_changes(live).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
     changes = spark.read.schema("session_id long, seq long, visible boolean, place long, tokens long, total_tokens long, epoch long").parquet(f"{path}/out")
     last = changes.groupBy("session_id", "seq").agg(F.max_by(F.struct("visible", "place", "tokens"), "epoch").alias("n")).filter("n.visible")

@@ -8,8 +8,9 @@ comes later still begins it anew. No row is dropped for being late. Without a ti
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
@@ -22,6 +23,24 @@ IDLE, DELAY = 3_600_000, "10 minutes"
 _AT = "_at"
 
 
+#: Rows of a stream that a partition of its state should get at least.
+PARTITION_ROWS = 50_000
+
+
+@contextmanager
+def partitioned(spark: SparkSession, rows: int) -> Iterator[int]:
+    """Streams that start in this block deal their state over as many partitions as ``rows`` fill, at least one for each core and at most the session's number. A partition of state costs a second
+    or so in each micro-batch, however few rows it gets, and a stream keeps the number with which it started."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    count = min(int(before), max(spark.sparkContext.defaultParallelism, -(-rows // PARTITION_ROWS)))
+    spark.conf.set(name, str(count))
+    try:
+        yield count
+    finally:
+        spark.conf.set(name, before)
+
+
 def _like(rows: DataFrame, column: str) -> str:
     """A column of rows as DDL: ids are of whatever type they come in."""
     return f"{column} {rows.schema[column].dataType.simpleString()}"
@@ -99,8 +118,11 @@ class _Session(StatefulProcessor):
         self.states = [self.end, *self.declare(handle)]
 
     def _stays(self, times: list[int | None]) -> None:
-        latest, before = max((t for t in times if t is not None), default=None), self.end.get()
-        if latest is None or (before and latest + self.idle <= before[0]):
+        latest = max((t for t in times if t is not None), default=None)
+        if latest is None:
+            return
+        before = self.end.get()
+        if before and latest + self.idle <= before[0]:
             return
         if before:
             self.handle.deleteTimer(before[0])
@@ -147,102 +169,144 @@ def pressure_stream(nodes: DataFrame, threshold: int, retained: int = 0, *, time
     return _run(rows, "session_id", _Pressure(idle, threshold, retained), "total_tokens long", time is not None)
 
 
-class _Cache:
-    """A map state as one call sees it: read once, written back at the end."""
+#: Seqs whose nodes lie in one entry of a session's state.
+BLOCK = 32
+
+
+class _Nodes:
+    """A session's nodes as one call sees them: each block of BLOCK seqs is read at most once, and written at the end if it changed. A node: tokens, place (null: not seen yet), and the replacement
+    that it went with (null: none), which may be known before the node itself. fresh: the session has no state, so nothing is read."""
+
+    def __init__(self, blocks, covers, fresh: bool):
+        self.blocks, self.covers, self.fresh = blocks, covers, fresh
+        self.seen, self.changed, self.covered = {}, set(), {}
+
+    def _block(self, seq: int) -> dict[int, tuple]:
+        number = seq // BLOCK
+        if number not in self.seen:
+            found = None if self.fresh else self.blocks.getValue((number,))
+            self.seen[number] = {n[0]: tuple(n[1:]) for n in found[0]} if found else {}
+        return self.seen[number]
+
+    def _get(self, seq: int) -> tuple:
+        return self._block(seq).get(seq, (None, None, None))
+
+    def _put(self, seq: int, value: tuple) -> None:
+        self._block(seq)[seq] = value
+        self.changed.add(seq // BLOCK)
+
+    def node(self, seq: int) -> tuple[int, int] | None:
+        """(tokens, place), if the node has come."""
+        tokens, place, _ = self._get(seq)
+        return None if place is None else (tokens, place)
+
+    def up(self, seq: int) -> int | None:
+        return self._get(seq)[2]
+
+    def place(self, seq: int) -> int | None:
+        """Where the node is seen; none if it is not there or covered."""
+        _, place, up = self._get(seq)
+        return place if up is None else None
+
+    def put(self, seq: int, tokens: int, place: int) -> None:
+        self._put(seq, (tokens, place, self.up(seq)))
 
-    def __init__(self, state):
-        self.state, self.seen, self.new = state, {}, set()
+    def cover(self, seq: int, up: int) -> None:
+        tokens, place, _ = self._get(seq)
+        self._put(seq, (tokens, place, up))
 
-    def get(self, seq: int):
-        if seq not in self.seen:
-            self.seen[seq] = self.state.getValue((seq,))
-        return self.seen[seq]
+    def covers_of(self, seq: int) -> list[int]:
+        if seq not in self.covered:
+            found = None if self.fresh else self.covers.getValue((seq,))
+            self.covered[seq] = list(found[0]) if found else []
+        return self.covered[seq]
 
-    def put(self, seq: int, value: tuple) -> None:
-        self.seen[seq] = value
-        self.new.add(seq)
+    def set_covers(self, seq: int, covers: list[int]) -> None:
+        self.covered[seq] = covers
+        if covers:
+            self.covers.updateValue((seq,), (covers,))
 
     def flush(self) -> None:
-        for seq in self.new:
-            self.state.updateValue((seq,), self.seen[seq])
+        for number in sorted(self.changed):
+            self.blocks.updateValue((number,), ([(seq, *value) for seq, value in sorted(self.seen[number].items())],))
 
 
 class _Surface(_Session):
-    """Nodes by seq (tokens, place, covers) and, apart from them, the replacement that each covered seq went with, which may be known before the seq itself."""
+    """Nodes by blocks of seqs, and apart from them what each replacement covers, which may be long and is read only where places change."""
 
     def __init__(self, idle: int, whole: bool):
         super().__init__(idle)
         self.whole = whole
 
     def declare(self, handle) -> list:
-        self.nodes = handle.getMapState("nodes", "seq long", "tokens long, place long, covers array<long>")
-        self.ups = handle.getMapState("ups", "seq long", "up long")
+        self.blocks = handle.getMapState("blocks", "block long", "nodes array<struct<seq: long, tokens: long, place: long, up: long>>")
+        self.covers = handle.getMapState("covers", "seq long", "covers array<long>")
         self.total = handle.getValueState("total", "total long")
-        return [self.nodes, self.ups, self.total]
+        return [self.blocks, self.covers, self.total]
 
     def step(self, session, rows: list[Row]) -> Iterator[Row]:
-        nodes, ups, touched = _Cache(self.nodes), _Cache(self.ups), {}
         before = self.total.get()
+        nodes, touched = _Nodes(self.blocks, self.covers, before is None), {}
         total = before[0] if before else 0
 
         def touch(seq: int) -> None:
             if seq not in touched:
-                node = nodes.get(seq)
-                touched[seq] = node[1] if node and not ups.get(seq) else None
+                touched[seq] = nodes.place(seq)
 
         def place(seq: int, covers: list[int]) -> int:
-            found = (nodes.get(c) for c in covers if (ups.get(c) or (None,))[0] == seq)
+            found = (nodes.node(c) for c in covers if nodes.up(c) == seq)
             return min((n[1] for n in found if n), default=seq)
 
         def refresh(seq: int) -> None:
             """Places from a replacement upward, as far as they change."""
             while True:
-                tokens, old, covers = nodes.get(seq)
-                new = min(seq, place(seq, covers))
+                tokens, old = nodes.node(seq)
+                new = min(seq, place(seq, nodes.covers_of(seq)))
                 if new == old:
                     return
                 touch(seq)
-                nodes.put(seq, (tokens, new, covers))
-                if not ups.get(seq):
+                nodes.put(seq, tokens, new)
+                seq = nodes.up(seq)
+                if seq is None:
                     return
-                seq = ups.get(seq)[0]
 
         for r in sorted(rows, key=lambda r: r["seq"]):
             seq = int(r["seq"])
-            if r["op"] is None or nodes.get(seq):
+            if r["op"] is None or nodes.node(seq):
                 continue
             touch(seq)
             covers = sorted({int(c) for c in r["covers"] or [] if c is not None and c < seq}) if r["op"] == "replace" else []
             robbed = set()
             for c in covers:
-                up = ups.get(c)
-                if up and up[0] <= seq:
+                up = nodes.up(c)
+                if up is not None and up <= seq:
                     continue
                 touch(c)
-                if up:
-                    robbed.add(up[0])
-                elif nodes.get(c):
-                    total -= nodes.get(c)[0]
-                ups.put(c, (seq,))
-            tokens = int(r["tokens"] or 0)
-            nodes.put(seq, (tokens, min(seq, place(seq, covers)), covers))
-            if not ups.get(seq):
-                total += tokens
-            for up in sorted(robbed | {u[0] for u in [ups.get(seq)] if u}):
+                if up is not None:
+                    robbed.add(up)
+                elif nodes.node(c):
+                    total -= nodes.node(c)[0]
+                nodes.cover(c, seq)
+            nodes.set_covers(seq, covers)
+            nodes.put(seq, int(r["tokens"] or 0), min(seq, place(seq, covers)))
+            up = nodes.up(seq)
+            if up is None:
+                total += nodes.node(seq)[0]
+            else:
+                robbed.add(up)
+            for up in sorted(robbed):
                 refresh(up)
         nodes.flush()
-        ups.flush()
-        self.total.update((total,))
+        if before is None or total != before[0]:
+            self.total.update((total,))
         if self.whole:
-            gone = {k[0] for k in self.ups.keys()}
-            shown = sorted((v[1], k[0]) for k, v in self.nodes.iterator() if k[0] not in gone)
+            shown = sorted((n[2], n[0]) for _, v in self.blocks.iterator() for n in v[0] if n[2] is not None and n[3] is None)
             yield Row(session_id=session, nodes=[s for _, s in shown], total_tokens=total)
             return
         for seq, old in sorted(touched.items()):
-            node = nodes.get(seq)
-            now = node[1] if node and not ups.get(seq) else None
+            now = nodes.place(seq)
             if now != old:
-                yield Row(session_id=session, seq=seq, visible=now is not None, place=now, tokens=node[0], total_tokens=total)
+                yield Row(session_id=session, seq=seq, visible=now is not None, place=now, tokens=nodes.node(seq)[0], total_tokens=total)
 
 
 def surface_changes(events: DataFrame, *, time: str | None = None, idle: int = IDLE, delay: str = DELAY) -> DataFrame:
@@ -250,8 +314,8 @@ def surface_changes(events: DataFrame, *, time: str | None = None, idle: int = I
     order of place are the surface, total_tokens its tokens after the micro-batch.
 
     events: session_id, seq, op (append, replace or null), covers (array), tokens (null: none). The result is `operators.surface.surface_fold`'s at any split of the events and in any order of
-    their coming: a node goes with the first replacement (by seq) that covers it, even where another that came earlier had taken it. An event reads and writes what it covers, and one that comes
-    late also the replacements above it. An event whose seq was seen is a repetition and is dropped. State holds covered nodes too, until the session ends.
+    their coming: a node goes with the first replacement (by seq) that covers it, even where another that came earlier had taken it. An event reads and writes the blocks (of 32 seqs) that hold
+    what it covers, and one that comes late also those of the replacements above it. An event whose seq was seen is a repetition and is dropped. State holds covered nodes too, until the session ends.
     """
     rows = _timed(events, ["session_id", "seq", "op", "covers", "tokens"], time, delay)
     return _run(rows, "session_id", _Surface(idle, False), "seq long, visible boolean, place long, tokens long, total_tokens long", time is not None)

@@ -65,6 +65,33 @@ def _state(spark, tmp_path, name, variable):
     return spark.read.format("statestore").option("stateVarName", variable).load(str(tmp_path / name / "ck"))
 
 
+def test_a_sessions_nodes_lie_in_blocks(spark, tmp_path):
+    """Fifty nodes, one of them covered before it comes, are two entries of state; only replacements have covers of their own."""
+    first = [("s", 60, "replace", [3, 4], 7), *[("s", k, "append", None, 1) for k in range(50) if k != 4]]
+    rows, _ = _stream(spark, tmp_path, "blocks", [first, [("s", 4, "append", None, 1)]], EVENT, surface_changes)
+    assert {r.seq for r in rows if r.visible} == {*range(50), 60} - {3, 4} and {r.total_tokens for r in rows} == {55}
+    assert _state(spark, tmp_path, "blocks", "blocks").count() == 2
+    assert _state(spark, tmp_path, "blocks", "covers").count() == 1
+
+
+def test_small_streams_have_few_partitions_of_state(spark, sf):
+    from pathlib import Path
+
+    from siltstone.plans.queries import surface_streamed
+    from siltstone.session import shared_dir
+
+    folder, before = Path(shared_dir(spark).removeprefix("file://")), spark.conf.get("spark.sql.shuffle.partitions")
+    known = set(folder.glob("siltstone-stream-*"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        surface_streamed(spark, sf)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "16"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    (made,) = set(folder.glob("siltstone-stream-*")) - known
+    assert len([p for p in (made / "state/state/0").iterdir() if p.name.isdigit()]) == spark.sparkContext.defaultParallelism
+
+
 def test_state_of_ended_sessions_goes(spark, tmp_path):
     """Ten sessions an hour for ten hours: only those of the last hour leave state behind."""
     batches = [[(f"s{h}-{k}", 1 + i, "overflow", 60, f"2026-01-01 {h:02d}:{i:02d}:00") for k in range(10) for i in range(2)] for h in range(10)]
