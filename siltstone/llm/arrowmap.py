@@ -29,17 +29,27 @@ def sampled(rows: DataFrame, keys: list[str], count: int, *, size: str | None =
     """At most ``count`` rows, the same ones at every run, spread by a hash of the keys: those under a threshold that leaves about twice as many, then the first in order of hash and keys.
 
     Rows come whole. With ``most``, the text column ``size`` has at most so many bytes in all: rows are taken in that order until the next one would pass it. A pass finds the size of the table,
-    one the lengths where they matter, and one the rows; each task hands on only what lies under the threshold. keys should hold all columns that matter.
+    one the hashes, with lengths where they matter, and one the rows. That pass knows the last hash taken, so no row beyond it leaves its task, and rows that repeat leave it once, with their number:
+    neither long rows nor many copies bring the driver more than the result. keys should hold all columns that matter.
     """
     total = rows.count()
     place = F.xxhash64(*keys)
     if total > 4 * count:
         rows = rows.filter(place <= F.lit(int(-(2**63) + 2**64 * (2 * count / total))).cast("long"))
-    if most is not None:
-        lengths = rows.select(place.alias("_place"), F.octet_length(size).cast("long").alias("_n")).orderBy("_place", "_n").limit(count).collect()
-        fits = np.cumsum([r["_n"] for r in lengths], dtype=np.int64) <= most
-        count = int(fits.argmin()) if len(fits) and not fits.all() else len(fits)
-    return rows.orderBy(place, *keys).limit(count)
+    length = F.lit(0) if most is None else F.octet_length(size)
+    found = rows.groupBy(place.alias("_place"), length.cast("long").alias("_n")).agg(F.count(F.lit(1)).alias("_copies")).orderBy("_place", "_n").limit(count).collect()
+    places, lengths, copies = (np.array([r[c] for r in found], dtype=np.int64) for c in ("_place", "_n", "_copies"))
+    ends = np.cumsum(copies)
+    fits = np.cumsum(np.repeat(lengths, np.clip(count - (ends - copies), 0, copies))) <= (most or 0)
+    count = int(fits.argmin()) if len(fits) and not fits.all() else len(fits)
+    if not count:
+        return rows.limit(0)
+    last = int(places[np.searchsorted(ends, count)])
+    left = count - int(copies[places < last].sum())  # of the rows with the last hash
+    columns, (many, copy) = [F.col(f"`{c}`") for c in rows.columns], fresh(rows, "copies", "copy")
+    each = rows.filter(place <= F.lit(last).cast("long")).groupBy(*columns).agg(F.count(F.lit(1)).alias(many))
+    taken = F.when(place == F.lit(last).cast("long"), F.least(F.col(many), F.lit(left).cast("long"))).otherwise(F.col(many))
+    return each.withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), taken))).orderBy(place, *keys).limit(count).select(*columns)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
